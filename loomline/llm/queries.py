@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import byte_bpe, ngram_jaccard, quality_rules, suffix_dedup, token_records, url_filter, warc
+from loomline.llm import byte_bpe, decontaminate, ngram_jaccard, quality_rules, suffix_dedup, token_records, url_filter, warc
 
 
 def tokenizer_file(name: str) -> str:
@@ -53,10 +53,14 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), bpe_pattern())
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_token_records, op4_quality_rules, op5_warc, op8_ngram_jaccard, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_token_records, op4_quality_rules, op5_warc, op8_ngram_jaccard, op9_decontaminate, op10_byte_bpe)}
 
 ORACLES = {"op2_url_filter": url_filter.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op8_ngram_jaccard": ngram_jaccard.ORACLE}
