@@ -14,6 +14,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline.session import written
+
 #: Rows of the sample on which rule costs and selectivities are estimated.
 SAMPLE_ROWS = 2000
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -101,7 +103,7 @@ def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
     sample decides the order alone, and the order decides no verdict. With an
     empty sample the rules keep their order.
     """
-    sample = docs.select("text").limit(sample_rows)
+    sample = written(docs.select("text").limit(sample_rows), "quality-sample")
     timed = []
     for at, rule in enumerate(rules):
         began = time.perf_counter()
