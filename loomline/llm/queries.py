@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import byte_bpe, decontaminate, license_scan, ngram_jaccard, quality_rules, suffix_dedup, token_records, url_filter, warc
+from loomline.llm import byte_bpe, decontaminate, html_extract, license_scan, ngram_jaccard, quality_rules, suffix_dedup, token_records, url_filter, warc
 
 
 def tokenizer_file(name: str) -> str:
@@ -49,6 +49,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.known(spark))
 
@@ -65,6 +69,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), bpe_pattern())
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_token_records, op4_quality_rules, op5_warc, op7_license_scan, op8_ngram_jaccard, op9_decontaminate, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_token_records, op4_quality_rules, op5_warc, op6_html_extract, op7_license_scan, op8_ngram_jaccard, op9_decontaminate, op10_byte_bpe)}
 
 ORACLES = {"op2_url_filter": url_filter.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op7_license_scan": license_scan.oracle(), "op8_ngram_jaccard": ngram_jaccard.ORACLE}
