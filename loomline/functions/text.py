@@ -101,10 +101,10 @@ SIMPLIFY = [
     (r"<[^>]+>", ""),
     (r"\(([^:]+):([^:]+):\d+(\.\d+)?\)", "$1, $2"),
     (r"\(([^:]+):\d+(\.\d+)?\)", "$1"),
-    (r"\|(?=[^\[\]]*\])", ", "),
+    (r"((?:\[(?=[^\]]+\])|(?!^)\G)[^\[\]|]*)\|", "$1, "),
     (r"\[([^\]]+)\]", "$1"),
     (r"\(([^()]+)\)", "$1"),
-    (r"([^:]+):\s*\d+(\.\d+)?", "$1"),
+    (r"([^:]):\s*\d+(\.\d+)?", "$1"),
     (r",[ ]+,", ", "),
     (r"[|()\[\]]", ""),
     (r":(?![ \d])", ""),

@@ -543,3 +543,97 @@ def limit_precedence(t):
 @query("SELECT doc_id FROM documents WHERE contains(lower(source || ' ' || text), 'the and')")
 def substring_search(t):
     return t("documents").where(F.lower(F.concat_ws(" ", "source", "text")).contains("the and")).select("doc_id")
+
+
+# ---- plans, boxes, generator, streams ----
+
+
+@query("""SELECT src, CASE WHEN k = 0 THEN dst ELSE dst || '_' || k END AS dst, 'move' AS action FROM (
+SELECT 'd/' || doc_id AS src, 'sorted/' || source || '/x' AS dst, row_number() OVER (PARTITION BY source ORDER BY 'd/' || doc_id) - 1 AS k FROM documents)""")
+def move_plan(t):
+    from loomline.plans import moves
+
+    plan = t("documents").select(F.concat(F.lit("d/"), F.col("doc_id")).alias("src"), F.concat(F.lit("sorted/"), F.col("source"), F.lit("/x")).alias("dst"), F.lit("move").alias("action"))
+    return moves.numbered(plan)
+
+
+@query("SELECT l_orderkey, l_linenumber, round(CASE WHEN u > 0 THEN i / u ELSE 0 END, 6) AS iou FROM (SELECT *, a * b + 900 - i AS u FROM (SELECT l_orderkey, l_linenumber, l_quantity AS a, l_linenumber * 10.0 AS b, greatest(least(l_quantity + 5, 40) - 10, 0) * greatest(least(l_linenumber * 10.0, 35) - 5, 0) AS i FROM lineitem))")
+def box_iou(t):
+    from loomline.functions.boxes import iou
+
+    box = lambda x, y, w, h: F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
+    a = box(F.lit(5.0), F.lit(0.0), F.col("l_quantity"), F.col("l_linenumber") * F.lit(10.0))
+    b = box(F.lit(10.0), F.lit(5.0), F.lit(30.0), F.lit(30.0))
+    return t("lineitem").select("l_orderkey", "l_linenumber", F.round(iou(a, b), 6).alias("iou"))
+
+
+@query()
+def sum_inc_rows(t):
+    from loomline.operators import generator
+
+    rows = t("part").select(F.col("p_partkey").alias("id"), F.format_string("<sum_inc count=5 lower=0 upper=%d>a:0 b:0</sum_inc>", "p_size").alias("template"))
+    return generator.rows(rows)
+
+
+@query()
+def simplified_prompts(t):
+    return t("documents").select("doc_id", X.simplify_prompt(F.col("text")).alias("prompt"))
+
+
+@query()
+def fnv_hash(t):
+    from loomline.functions.boxes import fnv1a
+
+    return t("part").select("p_partkey", fnv1a(F.col("p_name")).alias("h"))
+
+
+@query("SELECT event_type, time_bucket(INTERVAL '1 day', ts) AS start, count(*) AS n, min(value) AS least, max(value) AS most, round(max(value) - min(value), 6) AS delta FROM events GROUP BY ALL")
+def tumbling_batch(t):
+    from loomline.streaming import usage
+
+    rows = usage.tumbling(t("events").withColumn("ts", F.col("ts").cast("timestamp")), ["event_type"], "1 day")
+    return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def _streamed(name):
+    def add(f):
+        QUERIES[name] = f
+        return f
+
+    return add
+
+
+@_streamed("stream_dedupe")
+def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events through a deduplicating stream."""
+    from loomline.streaming import usage
+
+    stream = usage.deduplicated(usage.events(spark, f"{sf_dir}/events.parquet"), ["event_id"], "60 days").select("event_id", "user_id")
+    return usage.run_to_end(stream, "dedupe")
+
+
+ORACLES["stream_dedupe"] = "SELECT DISTINCT event_id, user_id FROM events"
+
+
+@_streamed("stream_quota")
+def stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rolling two-hour use per user, as a stateful stream."""
+    from loomline.streaming import usage
+
+    rows = usage.events(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("key"), "ts", "event_id", F.lit(7200).alias("window_s"), F.lit(4).alias("quota"))
+    return usage.run_to_end(usage.rolling_quota(rows), "quota").select("key", "event_id", "used", "limited")
+
+
+ORACLES["stream_quota"] = """SELECT key, event_id, used, used >= 4 AS limited FROM (
+SELECT user_id AS key, event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+ - (SELECT count(*) FROM events o WHERE o.user_id = e.user_id AND epoch_us(o.ts) + 7200000000 <= epoch_us(e.ts)) AS used FROM events e)"""
+
+
+@_streamed("stream_jobs")
+def stream_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settled jobs of a stateful stream: purchases complete, other events start or move a job."""
+    from loomline.streaming import usage
+
+    kind = F.when(F.col("event_type") == "purchase", "completed").otherwise("progress")
+    rows = usage.events(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("job"), F.lit("image").alias("media"), kind.alias("kind"), "ts", F.col("value").alias("progress"))
+    return usage.run_to_end(usage.settled_jobs(rows), "jobs")
