@@ -104,7 +104,7 @@ class WordEncoder:
         for w in words:
             low = w.lower()
             stem = low.rstrip(self.TAIL)
-            if len(stem) == len(low) or not stem or not stem.decode()[-1].isalpha():
+            if len(stem) == len(low) or not stem or not stem.decode().lower()[-1].isalpha():
                 stem, tail = low, b""
             else:
                 tail = low[len(stem) :]
