@@ -10,12 +10,14 @@
    task's memory is cut into chunks, and every pair of chunks is searched.
 5. Links give components.
 
-Sketches lose no link in practice: of the s smallest hashes of the union of a
+Sketches lose no link in practice: of the smallest hashes of the union of a
 linked pair each is shared with a chance of at least 0.75, whatever the texts
-are, so that all of the first 32 miss with a chance below 1e-19, and fewer than
-16 of the first 64 are shared with one below 1e-15; that is less than the
-chance that two of the 64-bit hashes collide. Sets of up to 48 shingles use
-exact bounds, and so do prefixes of sets of up to 124.
+are. Fewer than 20 of the first 64 are shared with a chance below 4e-14, and no
+two neighbours of them with one below 1e-15. Sets of up to 48 shingles use exact
+bounds, and sets of up to 124 exact prefixes: two sets that are linked share a
+hash among the first |S| - 0.75 |S| + 1 of both. Larger sets go by pairs of
+neighbouring hashes, which texts with a passage in common seldom share, so that
+blocks stay small; sets of 125 to 166 use both, as partners of either kind.
 """
 
 from __future__ import annotations
@@ -37,10 +39,11 @@ WORDS = 5
 #: Linked: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 SKETCH = 64
-NEED = 16
-PREFIX = 32
+NEED = 20
+#: Sets up to this size go by single hashes, and from there to the largest partner's size by both.
+SINGLES, BOTH = 124, 166
 #: Shingles of a chunk; a block with more is searched in pairs of chunks.
-CHUNK_SHINGLES = 1_500_000
+CHUNK_SHINGLES = 2_000_000
 #: DivideSkip's weight of a probe against a merge step.
 MU = 0.01
 
@@ -189,8 +192,10 @@ def _candidates(classes: DataFrame) -> DataFrame:
     met = places.join(shared, "token").groupBy("class").agg(F.count(F.lit(1)).alias("met"), F.first("n").alias("n")).where(F.col("met") >= need).select("class")
     some = written(classes.join(met, "class"), "jaccard-candidates")
 
-    prefix = F.least(F.lit(PREFIX), F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int")
-    heads = some.select("class", F.explode(F.slice("tokens", F.lit(1), prefix)).alias("token"))
+    prefix = (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int")
+    single = some.where(F.col("n") <= BOTH).select("class", F.explode(F.slice("tokens", F.lit(1), prefix)).alias("token"))
+    neighbours = F.transform(F.sequence(F.lit(1), F.lit(SKETCH - 1)), lambda i: F.xxhash64(F.get("tokens", i - 1), F.get("tokens", i)))
+    heads = single.union(some.where(F.col("n") > SINGLES).select("class", F.explode(neighbours).alias("token")))
     least = heads.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("token", "lo")
     edges = heads.join(least, "token").select(F.col("class").alias("u"), F.col("lo").alias("v"))
     blocks = components(edges).select(F.col("id").alias("class"), F.col("root").alias("block"))
