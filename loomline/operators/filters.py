@@ -96,3 +96,19 @@ def not_hidden(path: Column) -> Column:
 def looks_binary(content: Column) -> Column:
     """A NUL among the first 4096 bytes."""
     return F.position(F.lit(b"\x00"), F.substring(content, 1, 4096)) > 0
+
+
+def moderated(body: Column) -> Column:
+    """Whether a JSON body says ``moderated: true`` anywhere inside."""
+    return F.coalesce(body.rlike(r'"moderated"\s*:\s*true'), F.lit(False))
+
+
+def outcome(status: Column, message: Column) -> Column:
+    """limit, moderated, failed or ok of a response, by its status and text; the first rule that holds."""
+    text = F.lower(F.coalesce(message, F.lit("")))
+    return (
+        F.when((status == 429) | text.rlike("rate limit|limit reached|too many requests|quota"), "limit")
+        .when(text.rlike("moderat|policy|violat|not allowed"), "moderated")
+        .when((status >= 400) | text.rlike("error|failed|timed out"), "failed")
+        .otherwise("ok")
+    )

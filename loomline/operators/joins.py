@@ -120,3 +120,56 @@ def plan_uploads(files: DataFrame, destinations: DataFrame, existing: DataFrame,
     there = existing.select("repo", F.col("path").alias("target"), F.col("sha256").alias("there_sha"))
     action = F.when(F.col("there_sha").isNull(), "upload").when(F.col("there_sha") == F.col("sha256"), "same").otherwise(policy)
     return jobs.join(there, ["repo", "target"], "left").withColumn("action", action)
+
+
+def with_backgrounds(subjects: DataFrame, backgrounds: DataFrame, draws: int, seed: int = 0) -> DataFrame:
+    """Every subject (id) with ``draws`` backgrounds (place from 0, path), drawn with replacement; no cross product is made."""
+    n = backgrounds.count()
+    picks = subjects.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    picks = picks.withColumn("place", F.pmod(F.xxhash64("id", "draw", F.lit(seed)), F.lit(max(n, 1))))
+    return picks.join(backgrounds, "place")
+
+
+def filter_if_known(rows: DataFrame, attribute: str, wanted: Column) -> DataFrame:
+    """A filter that holds only where any row carries the attribute at all."""
+    known = rows.agg(F.max(F.col(attribute).isNotNull()).alias("_known"))
+    return rows.join(F.broadcast(known)).where(~F.coalesce("_known", F.lit(False)) | F.coalesce(wanted, F.lit(False))).drop("_known")
+
+
+def most_specific(paths: DataFrame, column: str = "path") -> DataFrame:
+    """Paths without those that are a folder above another one: each path's ancestors are exploded and removed by an anti join."""
+    parts = F.split(column, "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    ancestors = paths.select(F.explode(above).alias("_above"), column).where(F.col("_above") != F.col(column)).select(F.col("_above").alias(column)).distinct()
+    return paths.join(ancestors, column, "left_anti")
+
+
+def handled(records: DataFrame, entries: DataFrame) -> DataFrame:
+    """Records (id, fingerprint, original_id) with their entry (seq, fingerprint, original_id): by fingerprint, else by the original, the first of several."""
+    by_print = entries.groupBy("fingerprint").agg(F.min("seq").alias("by_print"))
+    by_origin = entries.where("original_id IS NOT NULL").groupBy("original_id").agg(F.min("seq").alias("by_origin"))
+    return records.join(by_print, "fingerprint", "left").join(by_origin, "original_id", "left").withColumn("entry", F.coalesce("by_print", "by_origin")).drop("by_print", "by_origin")
+
+
+def online_clusters(vectors: DataFrame, group: str, order: str, threshold: float) -> DataFrame:
+    """group, order, cluster: in order, a vector joins the first exemplar within the threshold or becomes one.
+
+    The result hangs on the order, so a group (one folder of images) is one task.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, ignore_index=True)
+        exemplars: list[np.ndarray] = []
+        found = []
+        for v in pdf["embedding"]:
+            v = np.asarray(v, float)
+            near = np.flatnonzero(np.linalg.norm(np.array(exemplars) - v, axis=1) <= threshold) if exemplars else []
+            if not len(near):
+                exemplars.append(v)
+            found.append(int(near[0]) if len(near) else len(exemplars) - 1)
+        return pd.DataFrame({group: pdf[group], order: pdf[order], "cluster": found})
+
+    kinds = dict(vectors.dtypes)
+    return vectors.select(group, order, "embedding").groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {order} {kinds[order]}, cluster long")

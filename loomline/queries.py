@@ -637,3 +637,59 @@ def stream_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "purchase", "completed").otherwise("progress")
     rows = usage.events(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("job"), F.lit("image").alias("media"), kind.alias("kind"), "ts", F.col("value").alias("progress"))
     return usage.run_to_end(usage.settled_jobs(rows), "jobs")
+
+
+# ---- geometry, further joins ----
+
+
+@query("SELECT p_partkey, list_transform(range(1, 5), lambda k: (p_size // 4 + CASE WHEN k <= p_size % 4 THEN 1 ELSE 0 END))::VARCHAR AS parts FROM part")
+def even_distribution(t):
+    from loomline.functions import geometry as G
+
+    parts = F.transform(G.distribute(F.col("p_size"), 4), lambda x: x.cast("string"))
+    return t("part").select("p_partkey", F.concat(F.lit("["), F.array_join(parts, ", "), F.lit("]")).alias("parts"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round_even(w * (512.0::DOUBLE / greatest(w, h)), 0)::INT AS width, round_even(h * (512.0::DOUBLE / greatest(w, h)), 0)::INT AS height FROM (SELECT l_orderkey, l_linenumber, l_partkey + 1 AS w, l_suppkey + 1 AS h FROM lineitem)")
+def long_side_resize(t):
+    from loomline.functions import geometry as G
+
+    size = G.long_side(F.col("l_partkey") + 1, F.col("l_suppkey") + 1, 512)
+    return t("lineitem").select("l_orderkey", "l_linenumber", size.alias("s")).select("l_orderkey", "l_linenumber", "s.width", "s.height")
+
+
+@query("""WITH p AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '[?#].*$', ''), '/$', '') AS path FROM pages) SELECT path FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE starts_with(q.path, p.path || '/'))""")
+def most_specific_paths(t):
+    paths = t("pages").select(F.regexp_replace(X.url_without_query(F.col("url")), "/$", "").alias("path")).distinct()
+    return J.most_specific(paths)
+
+
+@query("SELECT event_id FROM events WHERE user_id = 7")
+def filter_if_known(t):
+    return J.filter_if_known(t("events").select("event_id", "user_id"), "user_id", F.col("user_id") == 7).select("event_id")
+
+
+@query("SELECT c_custkey, least(coalesce(a, b), coalesce(b, a)) IS NOT NULL AS any_match, coalesce(a, b) AS entry FROM customer LEFT JOIN (SELECT s_acctbal AS f, min(s_suppkey) AS a FROM supplier GROUP BY f) x ON f = c_acctbal LEFT JOIN (SELECT s_nationkey AS n, min(s_suppkey) AS b FROM supplier GROUP BY n) y ON n = c_nationkey")
+def handled_entries(t):
+    records = t("customer").select("c_custkey", F.col("c_acctbal").alias("fingerprint"), F.col("c_nationkey").alias("original_id"))
+    entries = t("supplier").select(F.col("s_suppkey").alias("seq"), F.col("s_acctbal").alias("fingerprint"), F.col("s_nationkey").alias("original_id"))
+    return J.handled(records, entries).select("c_custkey", F.col("entry").isNotNull().alias("any_match"), "entry")
+
+
+@query()
+def online_clusters(t):
+    return J.online_clusters(t("embeddings").withColumn("g", F.col("vec_id") % 16), "g", "vec_id", 4.0)
+
+
+@query()
+def background_draws(t):
+    backgrounds = O.ordinal(t("supplier").select(F.col("s_suppkey").alias("path")), [F.col("path")])
+    return J.with_backgrounds(t("customer").select(F.col("c_custkey").alias("id")), backgrounds, 3, seed=2).select("id", "draw", "path")
+
+
+@query("SELECT event_id, CASE WHEN contains(props, '1') THEN 'limit' ELSE 'ok' END AS outcome FROM events")
+def response_outcomes(t):
+    from loomline.operators import filters as P
+
+    message = F.when(F.col("props").contains("1"), "Rate limit reached").otherwise("done")
+    return t("events").select("event_id", P.outcome(F.lit(200), message).alias("outcome"))
