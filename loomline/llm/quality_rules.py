@@ -34,7 +34,7 @@ RULES = (
     Rule("too_few_words", "n_words < 50"),
     Rule("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     Rule("symbol_words", "10 * n_symbols > 3 * n_words"),
-    Rule("repeated_lines", "10 * n_dup_lines > 3 * size(filter(split(text, '\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]'))"),
+    Rule("repeated_lines", "n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * size(filter(split(text, '\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]'))"),
     Rule("word_length", "word_chars > 20 * n_words OR word_chars < 2 * n_words"),
     Rule("shouting", "2 * length(regexp_replace(text, '[^A-Z]+', '')) > word_chars"),
 )
@@ -157,7 +157,7 @@ c AS (
   FROM d JOIN w USING (u) JOIN lin USING (u) LEFT JOIN cov USING (u)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars > 20 * n_words OR word_chars < 2 * n_words
+  NOT (base_failed OR 10 * n_symbols > 3 * n_words OR n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines OR word_chars > 20 * n_words OR word_chars < 2 * n_words
     OR 2 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > word_chars) AS kept
 FROM b
 """
