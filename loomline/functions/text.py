@@ -250,8 +250,9 @@ def gcd(a: Column, b: Column) -> Column:
 
 
 def aspect_folder(width: Column, height: Column) -> Column:
-    """The reduced aspect ratio as ``%05dx%05d``."""
-    return F.format_string("%05dx%05d", (width / gcd(width, height)).cast("int"), (height / gcd(width, height)).cast("int"))
+    """The reduced aspect ratio as ``%05dx%05d``; zeros where both sides are 0."""
+    part = lambda side: F.coalesce(F.try_divide(side, gcd(width, height)), F.lit(0)).cast("int")
+    return F.format_string("%05dx%05d", part(width), part(height))
 
 
 def cooldown_ms(text: Column) -> Column:

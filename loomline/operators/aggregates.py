@@ -91,8 +91,8 @@ def tally(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def merged_records(rows: DataFrame, key: list[str], fields: list[str], seq: str) -> DataFrame:
-    """One row per key; of each field the last value that is not null."""
-    return rows.groupBy(*key).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col(seq))).alias(f) for f in fields])
+    """One row per key; of each field the last value that is not null, of equally late ones the largest."""
+    return rows.groupBy(*key).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.struct(seq, f))).alias(f) for f in fields])
 
 
 def fingerprint(*parts: Column) -> Column:

@@ -190,7 +190,7 @@ def band_label(t):
     return t("part").select("p_partkey", X.band(F.col("p_retailprice"), 950, 1500).alias("band"))
 
 
-@query("SELECT l_orderkey, l_linenumber, printf('%05dx%05d', (w / gcd(w, h))::INT, (h / gcd(w, h))::INT) AS folder FROM (SELECT l_orderkey, l_linenumber, l_partkey AS w, l_suppkey AS h FROM lineitem)")
+@query("SELECT l_orderkey, l_linenumber, printf('%05dx%05d', coalesce((w / nullif(gcd(w, h), 0))::INT, 0), coalesce((h / nullif(gcd(w, h), 0))::INT, 0)) AS folder FROM (SELECT l_orderkey, l_linenumber, l_partkey AS w, l_suppkey AS h FROM lineitem)")
 def aspect_ratio_folder(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", X.aspect_folder(F.col("l_partkey"), F.col("l_suppkey")).alias("folder"))
 
@@ -375,7 +375,7 @@ def repeat_counts(t):
     return t("part").select("p_partkey", A.repeats(10, F.col("p_size") / F.lit(40.0)).alias("repeats"))
 
 
-@query("""SELECT l_partkey, arg_max(a, s) FILTER (WHERE a IS NOT NULL) AS a, arg_max(b, s) FILTER (WHERE b IS NOT NULL) AS b FROM (
+@query("""SELECT l_partkey, arg_max(a, struct_pack(s := s, v := a)) FILTER (WHERE a IS NOT NULL) AS a, arg_max(b, struct_pack(s := s, v := b)) FILTER (WHERE b IS NOT NULL) AS b FROM (
 SELECT l_partkey, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity END AS a, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS b, l_orderkey * 10 + l_linenumber AS s FROM lineitem) GROUP BY l_partkey""")
 def merged_fields(t):
     rows = t("lineitem").selectExpr("l_partkey", "CASE WHEN l_linenumber % 2 = 0 THEN l_quantity END AS a", "CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS b", "l_orderkey * 10 + l_linenumber AS s")
