@@ -8,19 +8,22 @@ found exactly:
    places around anchors whose k-gram occurs twice can hold repeats.
 2. Anchors whose whole surroundings occur twice are settled by that: all of it
    is repeated. One of each such group goes on, as evidence.
-3. Surroundings of anchors that differ go to blocks by k-gram. A block is
-   concatenated, its suffixes are sorted, and breadth-first backward extension
-   on the Burrows-Wheeler transform sets common prefixes by increasing value.
-   It stops at LENGTH: neighbours that are still unset share at least LENGTH
-   bytes.
-
-A k-gram with more different surroundings than a block holds is settled by
-digests of its strings instead, which are counted in a shuffle.
+3. Surroundings that differ are halved: the strings that begin up to HALF bytes
+   before the anchor all cover one core of bytes, and so do the others. Halves
+   whose core occurs once hold no repeats.
+4. The other halves go to blocks by core. A block is concatenated, its suffixes
+   are sorted, and breadth-first backward extension on the Burrows-Wheeler
+   transform sets common prefixes by increasing value. It stops at LENGTH:
+   neighbours that are still unset share at least LENGTH bytes.
+
+A core with more different halves than a block holds is settled by digests of
+its strings instead, which are counted in a shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +40,11 @@ from loomline.session import written
 LENGTH = 200
 #: Bytes of an anchor's k-gram.
 GRAM = 40
+#: Strings that begin up to so many bytes before their anchor are the first half.
+HALF = (LENGTH - GRAM) // 2
 #: Bytes of a block.
-BLOCK_BYTES = 2 << 20
-#: Different surroundings of a k-gram that go to one block.
+BLOCK_BYTES = 1 << 19
+#: Halves with one core that go to one block.
 MOST_WINDOWS = 4096
 _CHUNK = 2 << 20
 
@@ -80,14 +85,17 @@ def text_tag(text: bytes) -> int:
     return xxhash.xxh32_intdigest(text) >> 1
 
 
-def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """gram, window (hash of the surroundings), id, at (place in the text, then the text's tag) of every anchor."""
+def _anchor_rows(docs: DataFrame, grams_only: bool = False) -> DataFrame:
+    """gram, window (hash of the surroundings), id, at (place in the text, then the text's tag) of every anchor; or gram alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for a, b, data, offsets in slices(batch.column(1)):
                 places, grams = anchors(data, offsets)
+                if grams_only:
+                    yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], ["gram"])
+                    continue
                 row = np.searchsorted(offsets, places, "right") - 1
                 lo = np.maximum(offsets[row], places - (LENGTH - GRAM))
                 hi = np.minimum(offsets[row + 1], places + LENGTH)
@@ -97,21 +105,34 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                 at = ((places - offsets[row]) << 31) | tags[row]
                 yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(windows.view(np.int64)), ids.slice(a, b - a).take(pa.array(row)), pa.array(at)], ["gram", "window", "id", "at"])
 
-    return docs.mapInArrow(run, "gram long, window long, id long, at long")
+    return docs.mapInArrow(run, "gram long" + ", window long, id long, at long" * (not grams_only))
 
 
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Places of the suffixes sorted by their first ``depth`` symbols at least; a symbol 0 ends a row and is unique."""
+    """Places of the suffixes sorted by their first ``depth`` symbols at least; a symbol 0 ends a row and is unique.
+
+    Seven symbols make the first key; then pairs of ranks double the sorted
+    length, for the suffixes that are not told apart yet.
+    """
     n = len(symbols)
     zero = np.flatnonzero(symbols == 0)
-    left = zero[np.searchsorted(zero, np.arange(n))] - np.arange(n)  # symbols before the row's end
-    key, h = np.zeros(n, np.int64), 7
-    for j in range(h):
-        own = np.zeros(n, np.int64)
-        own[: max(0, n - j)] = symbols[j:]
-        own[left < j] = 0
-        key = (key << 9) | own
-    order = np.argsort(key, kind="stable")
+    left = (np.repeat(zero, np.diff(zero, prepend=-1)) - np.arange(n)).astype(np.int32)  # symbols before the row's end
+    key, h = symbols.astype(np.int64), 7
+
+    def after(x: np.ndarray, j: int) -> np.ndarray:
+        """What stands j symbols on, nothing beyond the row's end."""
+        out = np.zeros(n, np.int64)
+        out[: max(0, n - j)] = x[j:]
+        out[left < j] = 0
+        return out
+
+    two = key << 9 | after(key, 1)
+    four = two << 18 | after(two, 2)
+    key = (four << 18 | after(two, 4)) << 9 | after(key, 6)
+    order = np.argsort(key)
+    ended = left[order] < h  # equal ones of these differ by their place
+    some = order[ended]
+    order[ended] = some[np.lexsort((some, key[some]))]
     slots, sorted_key, rank = np.arange(n), key[order], np.zeros(n, np.int64)
     while True:
         head = np.ones(len(slots), bool)
@@ -123,7 +144,7 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
             return order
         some = order[slots]
         key = rank[some] * (n + 1) + rank[np.minimum(some + h, n - 1)]
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         order[slots], sorted_key = some[by], key[by]
         h *= 2
 
@@ -137,11 +158,13 @@ def repeated_starts(symbols: np.ndarray, length: int) -> np.ndarray:
     it is set, and only such intervals are extended again.
     """
     n = len(symbols)
+    symbols = symbols.astype(np.int16)
     order = suffix_array(symbols, length)
-    inverse = np.empty(n, np.int64)
-    inverse[order] = np.arange(n)
+    inverse = np.empty(n, np.int32)
+    inverse[order] = np.arange(n, dtype=np.int32)
     before = symbols[order - 1]  # the Burrows-Wheeler transform
     step = inverse[order - 1]  # where a suffix goes when its preceding symbol is put before it
+    real = before != 0
     known = np.zeros(n + 1, bool)
     known[[0, n]] = True
     first = symbols[order]
@@ -152,13 +175,13 @@ def repeated_starts(symbols: np.ndarray, length: int) -> np.ndarray:
         width = hi - lo
         one = width == 1
         single = lo[one]
-        single = step[single[before[single] != 0]]
+        single = step[single[real[single]]]
         single = single[~known[single + 1]]
         lo, width = lo[~one], width[~one]
         places = np.arange(width.sum()) + np.repeat(lo - np.r_[0, np.cumsum(width)[:-1]], width) if len(lo) else np.zeros(0, np.int64)
         group = np.repeat(np.arange(len(lo)), width)
-        real = before[places] != 0
-        places, group = places[real], group[real]
+        inside = real[places]
+        places, group = places[inside], group[inside]
         to = step[places]
         by = np.argsort(to)
         to, key = to[by], group[by] * 257 + before[places[by]]
@@ -201,22 +224,22 @@ def _repeats_in(block: pd.DataFrame) -> pd.DataFrame:
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whole k-gram groups, which arrive sorted, until a block is full."""
-    held, size = [], 0
-    last: pd.DataFrame | None = None  # the group that may go on in the next batch
+    """Whole groups of one core, which arrive sorted, until a block is full."""
+    held: pd.DataFrame | None = None
     for batch in batches:
-        if last is not None:
-            batch = pd.concat([last, batch], ignore_index=True)
-        final = batch["gram"] == batch["gram"].iloc[-1]
-        last, batch = batch[final], batch[~final]
-        for _, group in batch.groupby("gram", sort=False):
-            held.append(group)
-            size += int(group["data"].str.len().sum())
-            if size >= BLOCK_BYTES:
-                yield _repeats_in(pd.concat(held, ignore_index=True))
-                held, size = [], 0
-    if last is not None:
-        yield _repeats_in(pd.concat([*held, last], ignore_index=True))
+        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        sizes = held["data"].str.len().cumsum().to_numpy()
+        ends = np.flatnonzero((held["core"].to_numpy()[1:] != held["core"].to_numpy()[:-1]) | (held["gram"].to_numpy()[1:] != held["gram"].to_numpy()[:-1])) + 1
+        at = 0
+        while len(ends) and sizes[-1] - (sizes[at - 1] if at else 0) > BLOCK_BYTES:
+            k = np.searchsorted(sizes[ends - 1], (sizes[at - 1] if at else 0) + BLOCK_BYTES)
+            if k == len(ends):
+                break
+            yield _repeats_in(held.iloc[at : ends[k]])
+            at, ends = ends[k], ends[k + 1 :]
+        held = held.iloc[at:]
+    if held is not None and len(held):
+        yield _repeats_in(held)
 
 
 def _by_text(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -232,7 +255,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """id, tag (of the text), lo, hi of spans covered by repeated strings; spans may overlap."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = _anchor_rows(docs)
-    twice = written(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "suffix-grams")
+    twice = written(_anchor_rows(docs, grams_only=True).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "suffix-grams")
     some = written(every.join(twice, "gram", "left_semi"), "suffix-anchors")
     windows = some.groupBy("gram", "window").agg(F.count(F.lit(1)).alias("n"), F.first("id").alias("id"), F.first("at").alias("at"))
     place, tag = F.shiftright("at", 31), F.col("at").bitwiseAND((1 << 31) - 1)
@@ -241,70 +264,125 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     settled = some.join(whole, ["gram", "window"], "left_semi").select("id", tag.alias("tag"), F.greatest(F.lit(0), place - (LENGTH - GRAM)).alias("lo"), (place + LENGTH).alias("hi"))
 
     windows = written(windows, "suffix-windows")
-    differing = windows.groupBy("gram").agg(F.count(F.lit(1)).alias("windows")).where("windows > 1")
-    open_ = windows.join(differing, "gram").select("gram", "id", "at", "n", (F.col("windows") > MOST_WINDOWS).alias("wide"))
-    texts = _with_text(docs, _by_text(open_, ["gram", "at", "n", "wide"]), "inner").select("id", "text", "rows")
+    differing = windows.groupBy("gram").agg(F.count(F.lit(1)).alias("windows")).where("windows > 1").select("gram")
+    open_ = windows.join(differing, "gram").select("gram", "id", "at", (F.col("n") > 1).alias("many"))
+    texts = _with_text(docs, _by_text(open_, ["gram", "at", "many"]), "inner").select("id", "text", "rows")
+    cores = texts.mapInArrow(_cores, "gram long, core long, id long, at long, half int, many boolean")
+    sizes = cores.groupBy("gram", "core").agg(F.count(F.lit(1)).alias("halves")).where("halves > 1")
+    halves = cores.join(sizes, ["gram", "core"]).select("gram", "core", "id", "at", "half", "many", (F.col("halves") > MOST_WINDOWS).alias("wide"))
+    fields = ["gram", "core", "at", "half", "many"]
+    narrow = _with_text(docs, _by_text(halves.where("NOT wide"), fields), "inner").select("id", "text", "rows")
+    blocks = narrow.mapInArrow(_cut, "gram long, core long, id long, tag long, lo long, data binary").repartition("gram", "core").sortWithinPartitions("gram", "core")
+    found = settled.unionByName(blocks.mapInPandas(_blocks, "id long, tag long, lo long, hi long"))
+    wide = _with_text(docs, _by_text(halves.where("wide"), fields), "inner").select("id", "text", "rows")
+    strings = wide.mapInArrow(_digests, "d1 long, d2 long, id long, tag long, lo long, many boolean")
+    again = strings.groupBy("d1", "d2").agg(F.bool_or("many").alias("many"), F.count_distinct("id", "tag", "lo").alias("places")).where("many OR places > 1").select("d1", "d2")
+    return found.unionByName(strings.join(again, ["d1", "d2"], "left_semi").select("id", "tag", "lo", (F.col("lo") + LENGTH).alias("hi")))
 
-    def cut(batches: Iterator[pa.RecordBatch], wide: bool) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for id_, text, rows in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                data = (text.as_py() or "").encode()
-                own, out = text_tag(data), []
-                for r in rows.as_py():
-                    if r["wide"] != wide or r["at"] & ((1 << 31) - 1) != own:
-                        continue
-                    p = r["at"] >> 31
-                    lo, hi = max(0, p - (LENGTH - GRAM)), min(len(data), p + LENGTH)
-                    if wide:
-                        for x in range(lo, min(p, len(data) - LENGTH) + 1):
-                            d = xxhash.xxh3_128_intdigest(data[x : x + LENGTH])
-                            out.append({"d1": (d >> 64) - (1 << 63), "d2": (d & (1 << 64) - 1) - (1 << 63), "id": id_, "tag": own, "lo": x, "n": r["n"]})
-                    else:
-                        out.append({"gram": r["gram"], "id": id_, "tag": own, "lo": lo, "data": data[lo:hi]})
-                if out:
-                    kinds = [("d1", pa.int64()), ("d2", pa.int64()), ("id", pa.int64()), ("tag", pa.int64()), ("lo", pa.int64()), ("n", pa.int64())] if wide else [("gram", pa.int64()), ("id", pa.int64()), ("tag", pa.int64()), ("lo", pa.int64()), ("data", pa.binary())]
-                    yield pa.RecordBatch.from_pylist(out, pa.schema(kinds))
-
-    blocks = texts.mapInArrow(lambda x: cut(x, False), "gram long, id long, tag long, lo long, data binary").repartition("gram").sortWithinPartitions("gram")
-    sorted_out = blocks.mapInPandas(_blocks, "id long, tag long, lo long, hi long")
-    found = settled.unionByName(sorted_out)
-    if differing.where(F.col("windows") > MOST_WINDOWS).limit(1).count():
-        strings = texts.where(F.exists("rows", lambda r: r["wide"])).mapInArrow(lambda x: cut(x, True), "d1 long, d2 long, id long, tag long, lo long, n long")
-        again = strings.groupBy("d1", "d2").agg(F.max("n").alias("n"), F.count_distinct("id", "tag", "lo").alias("places")).where("n > 1 OR places > 1").select("d1", "d2")
-        found = found.unionByName(strings.join(again, ["d1", "d2"], "left_semi").select("id", "tag", "lo", (F.col("lo") + LENGTH).alias("hi")))
-    return found
-
-
-def kept_parts(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
+
+_TAG = (1 << 31) - 1
+
+
+def _starts(p: int, n: int, half: int) -> tuple[int, int]:
+    """First and last start of the strings of a half around an anchor at ``p`` of ``n`` bytes; none if the first is larger."""
+    lo, hi = (p - HALF, p) if half == 0 else (p - (LENGTH - GRAM), p - HALF - 1)
+    return max(0, lo), min(hi, n - LENGTH)
+
+
+def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each half of the given anchors that holds strings."""
+    for batch in batches:
+        gram, core, ids, ats, halves, many = [], [], [], [], [], []
+        for id_, text, rows in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            data = (text.as_py() or "").encode()
+            own = text_tag(data)
+            for r in rows.as_py():
+                p = r["at"] >> 31
+                if r["at"] & _TAG != own:
+                    continue
+                for half in (0, 1):
+                    lo, hi = _starts(p, len(data), half)
+                    if lo <= hi:
+                        part = data[p : p + LENGTH - HALF] if half == 0 else data[p - HALF - 1 : p + GRAM]
+                        gram.append(r["gram"])
+                        core.append(xxhash.xxh3_64_intdigest(part, half) - (1 << 63))
+                        ids.append(id_)
+                        ats.append(r["at"])
+                        halves.append(half)
+                        many.append(r["many"])
+        yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(core, pa.int64()), pa.array(ids, pa.int64()), pa.array(ats, pa.int64()), pa.array(halves, pa.int32()), pa.array(many, pa.bool_())], ["gram", "core", "id", "at", "half", "many"])
+
+
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(id, tag, text bytes, row) of the given halves whose text is the one they were found in."""
+    for batch in batches:
+        for id_, text, rows in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            data = (text.as_py() or "").encode()
+            own = text_tag(data)
+            for r in rows.as_py():
+                if r["at"] & _TAG == own:
+                    yield id_, own, data, r
+
+
+def _batched(rows: Iterator[tuple], names: tuple[str, ...], types: list[pa.DataType], most: int = 4000) -> Iterator[pa.RecordBatch]:
+    while some := list(itertools.islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some, strict=True), types, strict=True)], list(names))
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the strings of each half."""
+
+    def rows() -> Iterator[tuple]:
+        for id_, tag, data, r in _halves(batches):
+            lo, hi = _starts(r["at"] >> 31, len(data), r["half"])
+            yield r["gram"], r["core"], id_, tag, lo, data[lo : hi + LENGTH]
+
+    yield from _batched(rows(), ("gram", "core", "id", "tag", "lo", "data"), [pa.int64()] * 5 + [pa.binary()])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A digest of every string of each half."""
+
+    def rows() -> Iterator[tuple]:
+        for id_, tag, data, r in _halves(batches):
+            lo, hi = _starts(r["at"] >> 31, len(data), r["half"])
+            for x in range(lo, hi + 1):
+                d = xxhash.xxh3_128_intdigest(data[x : x + LENGTH])
+                yield (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), id_, tag, x, r["many"]
+
+    yield from _batched(rows(), ("d1", "d2", "id", "tag", "lo", "many"), [pa.int64()] * 5 + [pa.bool_()])
+
+
+def kept_parts(data: bytes, spans: list[tuple[int, int]] | np.ndarray) -> tuple[bytes, int, int]:
     """The bytes outside the spans, the number removed, and the number of maximal removed runs."""
-    parts, at, removed, runs, end = [], 0, 0, 0, -1
-    for lo, hi in sorted(spans):
-        hi = min(hi, len(data))
-        if lo > end:
-            runs += 1
-        if hi > at:
-            parts.append(data[at : max(at, lo)])
-            removed += hi - max(at, lo)
-            at = hi
-        end = max(end, hi)
-    parts.append(data[at:])
-    return b"".join(parts), removed, runs
+    spans = np.asarray(spans, np.int64).reshape(-1, 2)
+    if not len(spans):
+        return data, 0, 0
+    lo, hi = spans[:, 0], np.minimum(spans[:, 1], len(data))
+    order = np.argsort(lo, kind="stable")
+    lo, reach = lo[order], np.maximum.accumulate(hi[order])
+    first = np.flatnonzero(np.r_[True, lo[1:] > reach[:-1]])
+    starts, ends = lo[first].tolist(), reach[np.r_[first[1:] - 1, len(lo) - 1]].tolist()
+    kept = b"".join(data[a:b] for a, b in zip([0, *ends], [*starts, len(data)], strict=True))
+    return kept, len(data) - len(kept), len(first)
 
 
 def _apply(docs: DataFrame, make, fields: list[StructField]) -> DataFrame:
     """The docs' columns, with what ``make(text bytes, spans)`` returns as further columns."""
-    spans = _by_text(repeated_spans(docs), ["tag", "lo", "hi"])
-    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("id")), "left").drop("id")
+    spans = _by_text(repeated_spans(docs), ["tag", "lo", "hi"]).select(F.col("id").alias("_span_id"), F.col("rows").alias("_spans"))
+    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_span_id")), "left").drop("_span_id")
     names = docs.columns
     place = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = batch.column(len(names))
+            bounds, flat = rows.offsets.to_pylist(), rows.values
+            tags, pairs = flat.field("tag").to_numpy(), np.stack([flat.field("lo").to_numpy(), flat.field("hi").to_numpy()], 1)
             made = []
-            for text, rows in zip(batch.column(place), batch.column(len(names)), strict=True):
-                data = (text.as_py() or "").encode()
-                own = text_tag(data) if rows.is_valid else 0
-                made.append(make(data, [(r["lo"], r["hi"]) for r in rows.as_py() or () if r["tag"] == own]))
+            for k, text in enumerate(batch.column(place).cast(pa.binary())):
+                data, a, b = text.as_py() or b"", bounds[k], bounds[k + 1]
+                made.append(make(data, pairs[a:b][tags[a:b] == text_tag(data)] if b > a and rows[k].is_valid else ()))
             more = [pa.array(x) for x in zip(*made, strict=True)] if made else [pa.array([], pa.null()) for _ in fields]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *more], [*names, *(f.name for f in fields)])
 
@@ -320,7 +398,7 @@ def removal(docs: DataFrame) -> DataFrame:
     whole. Repeated rows are copies of each other, so each loses its text.
     """
 
-    def make(data: bytes, spans: list[tuple[int, int]]):
+    def make(data: bytes, spans):
         kept, removed, runs = kept_parts(data, spans)
         return len(data), removed, runs, hashlib.sha256(kept).hexdigest()
 
@@ -335,7 +413,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     text of repeats alone becomes empty, and a null text stays null.
     """
 
-    def make(data: bytes, spans: list[tuple[int, int]]):
+    def make(data: bytes, spans):
         return (kept_parts(data, spans)[0].decode("utf-8", "ignore"),)
 
     names = docs.columns
