@@ -18,7 +18,7 @@ from loomline.session import written
 
 #: Rows of the sample on which rule costs and selectivities are estimated.
 SAMPLE_ROWS = 2000
-_SPACE = r"[\x20\x09-\x0D]+"
+_SPACE, _WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
 _SPACES = " \t\n\u000b\u000c\r"
 
 
@@ -53,22 +53,23 @@ def _covered(words: Column) -> Column:
     once. All inside the row: nothing is shuffled, and the work for a text of n
     words grows as n log n.
     """
-    n = F.size(words)
-    windows = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))
+    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
 
     def marked(found: Column) -> Column:
-        same = lambda a, b: F.get(found, a)["h"] == F.get(found, b)["h"]
-        hit = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda j: F.coalesce(same(j, j - 1), F.lit(False)) | F.coalesce(same(j, j + 1), F.lit(False)))
-        return F.array_sort(F.transform(hit, lambda j: F.get(found, j)["i"]))
+        same = lambda a, b: F.coalesce(F.get(found, a)["h"] == F.get(found, b)["h"], F.lit(False))
+        hit = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda j: same(j, j - 1) | same(j, j + 1))
+        return F.sort_array(F.transform(hit, lambda j: F.get(found, j)["i"]))
 
     def length(at: Column) -> Column:
         start = F.struct(F.lit(0).alias("sum"), F.lit(-3).alias("last"))
         step = lambda acc, i: F.struct((acc["sum"] + F.least(F.lit(3), i - acc["last"])).alias("sum"), i.alias("last"))
         return F.aggregate(at, start, step, lambda acc: acc["sum"])
 
-    hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
-    repeats = F.size(F.array_distinct(hashes)) < n - 2
-    return F.when((n < 4) | ~repeats, 0).otherwise(_let(_let(F.array_sort(windows), marked), length)).cast("long")
+    def covered(h: Column) -> Column:
+        windows = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(_let(_let(F.sort_array(windows), marked), length))
+
+    return F.when(F.size(words) < 4, 0).otherwise(_let(hashes, covered)).cast("long")
 
 
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -81,19 +82,16 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     words = F.filter(F.split(text, _SPACE), lambda w: w != "")
     packed = F.translate(text, _SPACES, "")
-    counted = docs.withColumns(
-        {
-            "_w": _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _covered(w).alias("n_repeat_words"))),
-            "_l": _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-            "word_chars": F.length(packed).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
-        }
-    )
-    return (
-        counted.withColumns({"n_words": F.col("_w.n_words"), "n_dup_lines": F.col("_l"), "n_repeat_words": F.col("_w.n_repeat_words")})
-        .drop("_w", "_l")
-        .withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
-    )
+    cheap = {
+        "n_words": F.regexp_count(text, F.lit(_WORD)).cast("long"),
+        "word_chars": F.length(packed).cast("long"),
+        "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
+    }
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in cheap]
+    # a generator's columns are worked out once, however many rules read them
+    counted = docs.select(*others, F.inline(F.array(F.struct(*[v.alias(k) for k, v in cheap.items()]))))
+    counted = counted.withColumns({"n_repeat_words": _let(words, _covered), "n_dup_lines": _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))})
+    return counted.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
 
 
 def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
@@ -135,10 +133,15 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The input rows and columns of documents that the cascade keeps; the base rules are its members."""
-    order = ordered_rules(docs, rules)
-    names = docs.columns
-    return with_counts(docs.withColumns({})).where(cascade(order).isNull()).select(*[F.col(f"`{c}`") for c in names])
+    """The input rows and columns of documents that the cascade keeps; the base rules are its members.
+
+    The dear counts are columns that only the filter reads, so each is worked out
+    where a rule asks for it, and not for rows that an earlier rule rejects.
+    """
+    order, names = ordered_rules(docs, rules), docs.columns
+    own = [F.col(f"`{c}`").alias(f"_own_{k}") for k, c in enumerate(names)]
+    counted = with_counts(docs.select(F.col("text"), *own))
+    return counted.where(cascade(order).isNull()).select(*[F.col(f"_own_{k}").alias(c) for k, c in enumerate(names)])
 
 
 ORACLE = r"""
