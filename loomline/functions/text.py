@@ -304,3 +304,17 @@ def name_with_digest(path: Column) -> Column:
     """A stem with the first eight hex digits of the path's MD5, then the extension."""
     base = F.regexp_extract(path, r"([^/]*)$", 1)
     return F.concat(F.regexp_replace(base, r"\.[^.]*$", ""), F.lit("_"), F.substring(F.md5(path), 1, 8), F.regexp_extract(base, r"(\.[^.]*)$", 1))
+
+
+def entry_caption(names: Column, tags: Column, channels: Column, additional: str = "") -> Column:
+    """A scraped entry's caption: names, tags, additional tags and ``watermark "channel"``, lower-cased, empty parts closed up."""
+    low = lambda x: F.transform(x, F.lower)
+    more = [t.strip().lower().replace("_", " ") for t in additional.split(",")]
+    marks = F.transform(low(channels), lambda c: F.concat(F.lit('watermark "'), c, F.lit('"')))
+    parts = F.flatten(F.array(low(names), low(tags), F.array(*[F.lit(t) for t in more]), marks))
+    return F.array_join(F.filter(parts, lambda x: x != ""), ", ")
+
+
+def episode_number(name: Column) -> Column:
+    """The first number of a name, 0 without one: a key to sort episodes by."""
+    return F.coalesce(F.regexp_extract(name, r"(\d+)", 1).try_cast("bigint"), F.lit(0))

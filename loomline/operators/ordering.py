@@ -127,3 +127,18 @@ def reading_order(x: Column, y: Column, tolerance: float) -> list[Column]:
 def best_with_fallback(rows: DataFrame, key: list[str], wanted: Column, exact: Column, order: list[Column]) -> DataFrame:
     """The best row per key: of the wanted type unless there is none, then of exact size, then the first."""
     return keep_newest(rows, key, [F.coalesce(wanted, F.lit(False)).desc(), F.coalesce(exact, F.lit(False)).desc(), *order], 1)
+
+
+def combinations(left: DataFrame, right: DataFrame, allowed: Column, n: int, seed: int = 0, most: int = 1_000_000) -> DataFrame:
+    """``n`` distinct allowed pairs of two small tables, drawn by the seed; larger tables are refused."""
+    size = left.count() * right.count()
+    if size > most:
+        raise ValueError(f"{size} pairs; at most {most} are listed")
+    pairs = left.crossJoin(F.broadcast(right)).where(allowed)
+    return pairs.orderBy(F.xxhash64(*pairs.columns, F.lit(seed)), *pairs.columns).limit(n)
+
+
+def retries(failures: DataFrame, key: list[str], most: int = 3, base_ms: int = 900, step_ms: int = 600) -> DataFrame:
+    """key, attempts, wait_ms of failures to try again: at most ``most`` times, each wait ``step_ms`` longer."""
+    tried = failures.groupBy(*key).agg(F.count(F.lit(1)).alias("attempts"))
+    return tried.where(F.col("attempts") <= most).withColumn("wait_ms", F.lit(base_ms) + F.lit(step_ms) * F.col("attempts"))

@@ -143,3 +143,14 @@ def id_range(spark: SparkSession, start: int, end: int, known: DataFrame, id_col
 def not_yet(rows: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose key has not been handled: the resumable part of a sync."""
     return rows.join(done.select(*key).distinct(), key, "left_anti")
+
+
+def by_basename(files: DataFrame) -> DataFrame:
+    """base, n, first_path: how many files share a name."""
+    return files.groupBy("base").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first_path"))
+
+
+def folders_with_images(files: DataFrame, extensions: tuple[str, ...] = IMAGE_EXTENSIONS) -> DataFrame:
+    """Folders that hold a file with exactly such an extension; other cases do not count."""
+    raw = F.regexp_extract("base", r"\.([^.]*)$", 1)
+    return files.where(raw.isin(list(extensions))).select("parent").distinct()

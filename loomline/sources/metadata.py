@@ -195,6 +195,38 @@ def exif_text(data: bytes) -> dict[str, str]:
     return {k: v for k, v in values.items() if v}
 
 
+def jpeg_with_comment(data: bytes, text: str | None, software: str | None = None) -> bytes:
+    """The JPEG with an EXIF block of its own: the text as a user comment in UTF-16 and the software; None for both removes the block."""
+    if data[:2] != b"\xff\xd8":
+        return data
+    out, at = [data[:2]], 2
+    comment = b"UNICODE\0" + text.encode("utf-16le") if text is not None else b""
+    maker = software.encode() + b"\0" if software is not None else b""
+    if comment or maker:
+        # a first directory with software and a pointer, then the EXIF directory with the comment, then the values
+        entries = [(0x0131, 2, maker)] if maker else []
+        second = 8 + 2 + 12 * (len(entries) + bool(comment)) + 4
+        values = second + (2 + 12 + 4 if comment else 0)
+        first = struct.pack("<H", len(entries) + bool(comment))
+        for tag, kind, value in entries:
+            first += struct.pack("<HHI", tag, kind, len(value)) + (value.ljust(4, b"\0") if len(value) <= 4 else struct.pack("<I", values))
+        if comment:
+            first += struct.pack("<HHII", 0x8769, 4, 1, second)
+        body = first + bytes(4)
+        held = maker if len(maker) > 4 else b""
+        if comment:
+            body += struct.pack("<H", 1) + struct.pack("<HHII", 0x9286, 7, len(comment), values + len(held)) + bytes(4)
+        block = b"Exif\0\0" + b"II*\0" + struct.pack("<I", 8) + body + held + comment
+        out.append(b"\xff\xe1" + (len(block) + 2).to_bytes(2, "big") + block)
+    while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] not in (0xD9, 0xDA):
+        n = int.from_bytes(data[at + 2 : at + 4], "big")
+        part = data[at : at + 2 + n]
+        if not (part[1] == 0xE1 and part[4:10] == b"Exif\0\0"):
+            out.append(part)
+        at += 2 + n
+    return b"".join([*out, data[at:]])
+
+
 def embedded(data: bytes) -> dict[str, str]:
     return png_text(data) if data[:8] == PNG else exif_text(data)
 

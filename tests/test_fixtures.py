@@ -161,3 +161,22 @@ def test_harvest_and_srcset(spark):
     assert sorted(r["id"] for r in files.harvest(rows, "body").collect()) == ["1", "2"]
     pages = spark.createDataFrame([(0, "a.jpg 100w, b.jpg 300w, c.jpg 200w")], "page_id long, srcset string")
     assert files.srcset_best(pages).first()["best"] == "b.jpg"
+
+
+def test_jpeg_comment():
+    plain = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x07\x08\x00\x05\x00\x06\xff\xda\x00\x02data\xff\xd9"
+    made = metadata.jpeg_with_comment(plain, "cat é\nSteps: 20", "maker 1")
+    assert metadata.exif_text(made) == {"parameters": "cat é\nSteps: 20", "Software": "maker 1"}
+    assert metadata.size_of(made) == ("JPEG", 6, 5)
+    assert metadata.jpeg_with_comment(made, None) == plain
+    assert metadata.exif_text(metadata.jpeg_with_comment(made, "x")) == {"parameters": "x"}
+
+
+def test_entries_and_draws(spark):
+    got = one(spark, X.entry_caption(lit(["Ann B"]), lit(["Red", "Tall"]), lit(["Chan"]), "extra_tag"))
+    assert got == 'ann b, red, tall, extra tag, watermark "chan"'
+    a, b = spark.range(5).withColumnRenamed("id", "a"), spark.range(5).withColumnRenamed("id", "b")
+    pairs = [tuple(r) for r in O.combinations(a, b, F.col("a") != F.col("b"), 8, seed=1).collect()]
+    assert len(set(pairs)) == 8 and all(x != y for x, y in pairs)
+    rows = spark.createDataFrame([("x",), ("x",), ("y",), *[("z",)] * 4], "k string")
+    assert {tuple(r) for r in O.retries(rows, ["k"]).collect()} == {("x", 2, 2100), ("y", 1, 1500)}
