@@ -608,7 +608,7 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events through a deduplicating stream."""
     from loomline.streaming import usage
 
-    stream = usage.deduplicated(usage.events(spark, f"{sf_dir}/events.parquet"), ["event_id"], "60 days").select("event_id", "user_id")
+    stream = usage.deduplicated(usage.whole_table(spark, f"{sf_dir}/events.parquet"), ["event_id"], "60 days").select("event_id", "user_id")
     return usage.run_to_end(stream, "dedupe")
 
 
@@ -620,7 +620,7 @@ def stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rolling two-hour use per user, as a stateful stream."""
     from loomline.streaming import usage
 
-    rows = usage.events(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("key"), "ts", "event_id", F.lit(7200).alias("window_s"), F.lit(4).alias("quota"))
+    rows = usage.whole_table(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("key"), "ts", "event_id", F.lit(7200).alias("window_s"), F.lit(4).alias("quota"))
     return usage.run_to_end(usage.rolling_quota(rows), "quota").select("key", "event_id", "used", "limited")
 
 
@@ -635,7 +635,7 @@ def stream_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomline.streaming import usage
 
     kind = F.when(F.col("event_type") == "purchase", "completed").otherwise("progress")
-    rows = usage.events(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("job"), F.lit("image").alias("media"), kind.alias("kind"), "ts", F.col("value").alias("progress"))
+    rows = usage.whole_table(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("job"), F.lit("image").alias("media"), kind.alias("kind"), "ts", F.col("value").alias("progress"))
     return usage.run_to_end(usage.settled_jobs(rows), "jobs")
 
 

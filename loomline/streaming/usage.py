@@ -6,6 +6,7 @@ operator takes and returns a streaming DataFrame (most also run on a batch one).
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,18 +18,24 @@ from loomline.session import new_path
 
 #: A pending image job of this age counts as done; another kind is dropped at the later age.
 IMAGE_GRACE_S, OTHER_GRACE_S = 120, 360
-#: Readings remembered per key.
-MOST_ITEMS = 600
 
+def events(spark: SparkSession, path: str, per_trigger: int | None = 100) -> DataFrame:
+    """A stream of the files of a Parquet event table, ``ts`` as a timestamp (watermarks need one with a zone).
 
-def events(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFrame:
-    """A stream of the files of a Parquet event table, ``ts`` as a timestamp (watermarks need one with a zone)."""
+    A batch has ``per_trigger`` files at most, None for all; files must come in time order then, up to the watermark's delay.
+    """
     schema = spark.read.parquet(path).schema
     anyhow = f"{path[:-1]}[{path[-1]}]"  # as a pattern, the path may name a folder or a single file
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(anyhow)
+    reader = spark.readStream.schema(schema)
+    rows = (reader if per_trigger is None else reader.option("maxFilesPerTrigger", per_trigger)).parquet(anyhow)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def whole_table(spark: SparkSession, path: str) -> DataFrame:
+    """``events`` of all files at once: in one batch nothing is late and a key's rows are in time order, whatever the files' number and order."""
+    return events(spark, path, None)
+
+
 def json_events(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
     """Events from JSON text; lines that are no JSON are left out."""
     return lines.select(F.from_json(column, schema).alias("e")).where("e IS NOT NULL").select("e.*")
@@ -103,8 +110,8 @@ def rolling_quota(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
 
     An event expires ``window_s`` seconds after it was counted, by the window
     that held then; later changes of the window move only later events. Events
-    of a batch are taken in time order. The state holds the last ``MOST_ITEMS``
-    expiries and goes when all have passed.
+    of a batch are taken in time order. The state holds the expiries that have
+    not passed, and goes with the last of them.
     """
     out = "key long, ts timestamp, event_id long, used long, limited boolean"
 
@@ -112,14 +119,14 @@ def rolling_quota(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        expiries = list(state.get[0]) if state.exists else []
+        expiries = sorted(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         found = []
         for r in rows.itertuples(index=False):
             now = int(r.ts.value // 1000)
-            expiries = [e for e in expiries if e > now]
-            expiries.append(now + int(r.window_s) * 1_000_000)
-            expiries = expiries[-MOST_ITEMS:]
+            while expiries and expiries[0] <= now:
+                heapq.heappop(expiries)
+            heapq.heappush(expiries, now + int(r.window_s) * 1_000_000)
             found.append((key[0], r.ts, r.event_id, len(expiries), len(expiries) >= r.quota))
         state.update((expiries,))
         state.setTimeoutTimestamp(max(max(expiries) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
