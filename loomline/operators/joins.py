@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from loomline.operators.ordering import ordinal
+from loomline.session import new_path, written
 
 
 def preferred(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -151,25 +159,64 @@ def handled(records: DataFrame, entries: DataFrame) -> DataFrame:
     return records.join(by_print, "fingerprint", "left").join(by_origin, "original_id", "left").withColumn("entry", F.coalesce("by_print", "by_origin")).drop("by_print", "by_origin")
 
 
-def online_clusters(vectors: DataFrame, group: str, order: str, threshold: float) -> DataFrame:
-    """group, order, cluster: in order, a vector joins the first exemplar within the threshold or becomes one.
+#: Undecided vectors of which a round finds the exemplars; the exemplars of one round are sent to every task.
+ROUND_VECTORS = 4096
+
+
+def _first_within(vectors: np.ndarray, places: np.ndarray, exemplars: np.ndarray, own: np.ndarray, threshold: float) -> np.ndarray:
+    """For each vector the number of the first exemplar within the threshold (an exemplar is its own, NaN or not), else -1."""
+    found, left = np.full(len(vectors), -1), np.arange(len(vectors))
+    for k in range(len(exemplars)):
+        if not len(left):
+            break
+        hit = (np.linalg.norm(vectors[left] - exemplars[k], axis=1) <= threshold) | (places[left] == own[k])
+        found[left[hit]] = k
+        left = left[~hit]
+    return found
+
+
+def _exemplars(vectors: np.ndarray, threshold: float) -> np.ndarray:
+    """Places of the vectors that are within the threshold of no exemplar before them."""
+    chosen, left = [], np.arange(len(vectors))
+    while len(left):
+        chosen.append(left[0])
+        left = left[1:]
+        left = left[~(np.linalg.norm(vectors[left] - vectors[chosen[-1]], axis=1) <= threshold)]
+    return np.array(chosen, int)
+
+
+def online_clusters(vectors: DataFrame, order: str, threshold: float) -> DataFrame:
+    """order, cluster: in order, a vector joins the first exemplar of the whole table within the threshold or becomes one.
 
-    The result hangs on the order, so a group (one folder of images) is one task.
+    A round takes the first ROUND_VECTORS undecided vectors, finds their
+    exemplars on the driver and assigns all undecided vectors to them in
+    parallel; earlier exemplars are within the threshold of none of these. Equal
+    places in the order are told apart by the vectors. A round decides all that
+    it took, so there is at most one for each ROUND_VECTORS exemplars; the work
+    is the number of vectors times that of exemplars.
     """
-    import numpy as np
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, ignore_index=True)
-        exemplars: list[np.ndarray] = []
-        found = []
-        for v in pdf["embedding"]:
-            v = np.asarray(v, float)
-            near = np.flatnonzero(np.linalg.norm(np.array(exemplars) - v, axis=1) <= threshold) if exemplars else []
-            if not len(near):
-                exemplars.append(v)
-            found.append(int(near[0]) if len(near) else len(exemplars) - 1)
-        return pd.DataFrame({group: pdf[group], order: pdf[order], "cluster": found})
-
-    kinds = dict(vectors.dtypes)
-    return vectors.select(group, order, "embedding").groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {order} {kinds[order]}, cluster long")
+    spark = vectors.sparkSession
+    rows = vectors.select(order, F.col("embedding").cast("array<double>").alias("embedding"))
+    left = written(ordinal(rows, [F.col(order), F.col("embedding")], "_place"), "clusters-rows")
+    schema = T.StructType([*left.schema.fields, T.StructField("cluster", T.LongType())])
+    matrix = lambda column, n: column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+    paths, base = [], 0
+    while (block := left.orderBy("_place").limit(ROUND_VECTORS).select("_place", "embedding").toArrow()).num_rows:
+        places, values = block["_place"].to_numpy(), matrix(block["embedding"].combine_chunks(), block.num_rows)
+        chosen = _exemplars(values, threshold)
+        shared = spark.sparkContext.broadcast((values[chosen], places[chosen], base))
+
+        def assign(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            exemplars, own, base = shared.value
+            for batch in batches:
+                if batch.num_rows:
+                    found = _first_within(matrix(batch["embedding"], batch.num_rows), batch["_place"].to_numpy(), exemplars, own, threshold)
+                    yield batch.append_column("cluster", pa.array(found + base, pa.int64(), mask=found < 0))
+
+        paths.append(new_path(spark, "clusters-round"))
+        left.mapInArrow(assign, schema).write.parquet(paths[-1])
+        left = spark.read.schema(schema).parquet(paths[-1]).where("cluster IS NULL").drop("cluster")
+        base += len(chosen)
+    if not paths:
+        return spark.createDataFrame([], schema).select(order, "cluster")
+    return spark.read.schema(schema).parquet(*paths).where("cluster IS NOT NULL").select(order, "cluster")

@@ -678,7 +678,7 @@ def handled_entries(t):
 
 @query()
 def online_clusters(t):
-    return J.online_clusters(t("embeddings").withColumn("g", F.col("vec_id") % 16), "g", "vec_id", 4.0)
+    return J.online_clusters(t("embeddings"), "vec_id", 4.0)
 
 
 @query()

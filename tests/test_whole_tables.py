@@ -2,9 +2,12 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomline import queries as Q
+from loomline.operators import joins as J
 
 START = datetime(2026, 1, 1)
 
@@ -34,3 +37,24 @@ def test_streams_over_many_unordered_files(spark, tmp_path):
     bought = {str(u): min(ts for _, ts, v, kind, *_ in made if v == u and kind == "purchase") for u in (0, 1)}
     assert {k: (r["outcome"], r["settled_at"]) for k, r in jobs.items() if k in bought} == {k: ("completed", t) for k, t in bought.items()}
     assert set(jobs) == {"0", "1", "2"} and jobs["2"]["outcome"] == "assumed"
+
+
+def test_clusters_of_the_whole_table(spark, sf):
+    """The sample's vectors lie within the threshold of each other: one cluster, whatever vec_id leaves by 16."""
+    rows = Q.QUERIES["online_clusters"](spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/embeddings.parquet").count() and {r["cluster"] for r in rows} == {0}
+
+
+@pytest.mark.parametrize("most", [7, 4096])
+def test_clusters_by_rounds(spark, monkeypatch, most):
+    monkeypatch.setattr(J, "ROUND_VECTORS", most)
+    vectors = np.random.default_rng(5).uniform(0, 4, (150, 2))
+    exemplars, want = [], []
+    for i, v in enumerate(vectors):
+        near = [k for k, e in enumerate(exemplars) if np.linalg.norm(e - v) <= 0.8]
+        if not near:
+            exemplars.append(v)
+        want.append((i, near[0] if near else len(exemplars) - 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = J.online_clusters(df.repartition(3), "vec_id", 0.8)
+    assert len(exemplars) > 14 and sorted(map(tuple, got.collect())) == want
