@@ -82,6 +82,10 @@ for _k, _v in enumerate(WORD_KINDS.values()):
 _N_TAGS, _N_WORDS = len(TAG_KINDS), len(WORD_KINDS)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCT = re.compile(r"[.!?;:,]")
+#: Marked sections that the standard parser knows; it raises on others.
+_MARKED = re.compile(r"<!\[(?:temp|cdata|ignore|include|rcdata|if|else|endif)(?![-_.a-z0-9])", re.I)
+#: Numeric references with more digits than int() takes.
+_LONG_REFERENCE = re.compile(r"&#([0-9]{4300,})")
 
 
 class Node:
@@ -123,6 +127,12 @@ class _Builder(HTMLParser):
             self.hidden -= tag in HIDDEN
         del self.open[to:]
 
+    def parse_html_declaration(self, i: int) -> int:
+        """As HTML has it, an unknown marked section is a comment up to the next ``>``."""
+        if self.rawdata.startswith("<![", i) and not _MARKED.match(self.rawdata, i):
+            return self.parse_bogus_comment(i)
+        return super().parse_html_declaration(i)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in CLOSES:
             ends, stops = CLOSES[tag]
@@ -172,13 +182,11 @@ class _Builder(HTMLParser):
 
 
 def parse(html: str) -> Node:
-    """The tree of elements and text blocks of a page; broken and cut pages parse as far as they go."""
+    """The tree of elements and text blocks of a page; broken markup costs no text behind it."""
     builder = _Builder()
-    try:
-        builder.feed(html)
-        builder.close()
-    except (AssertionError, ValueError):  # the parser's own checks on hopeless markup: what was read so far counts
-        pass
+    # more than seven digits are no character, however many they are
+    builder.feed(_LONG_REFERENCE.sub(lambda m: "&#" + (m[1].lstrip("0") or "0")[:8], html))
+    builder.close()
     builder.flush()
     return builder.root
 
