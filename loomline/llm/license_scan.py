@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +71,12 @@ Permission is granted to anyone to use this software for any purpose, including
 3. This notice may not be removed or altered from any source distribution.""",
 }
 
+#: Further whole texts are the files of the folder licenses; they are often given without what follows this line.
+FILES = ["Apache-2.0", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0"]
+END = "END OF TERMS AND CONDITIONS"
+#: Fixed value: the clause that BSD-3-Clause has and BSD-2-Clause has not.
+ENDORSEMENT = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
 #: Equivalent spellings, after case folding.
 SPELLINGS = [
     ("licenc", "licens"),
@@ -103,9 +111,21 @@ def whole(lines: Column) -> Column:
     return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    """Name and text of all licences whose whole text is known; a name can have several."""
+    out = list(TEXTS.items())
+    for name in FILES:
+        text = files(__package__).joinpath("licenses", f"{name}.txt").read_text(encoding="utf-8")
+        out.append((name, text))
+        if END in text:
+            out.append((name, text[: text.index(END) + len(END)]))
+    out.append(("BSD-3-Clause", TEXTS["BSD-2-Clause"].replace("BSD 2-Clause", "BSD 3-Clause").replace("\n\nTHIS SOFTWARE", f"\n\n{ENDORSEMENT}\n\nTHIS SOFTWARE")))
+    return out
+
+
 def known(spark: SparkSession) -> DataFrame:
     """license, kind (text or notice), digest and chars of the known licences; ties go to the smallest name."""
-    rows = [("text", name, text) for name, text in TEXTS.items()]
+    rows = [("text", name, text) for name, text in whole_texts()]
     rows += [("notice", name, phrase.format(the + spelling)) for name, ways in NAMES.items() for spelling in ways for phrase in PHRASES for the in ("", "the ")]
     table = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("license"), F.lit(t).alias("text")) for k, n, t in rows])))
     form = table.withColumn("form", whole(canonical_lines(F.col("text")))).withColumn("chars", F.length("form"))

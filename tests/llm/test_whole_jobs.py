@@ -2,7 +2,7 @@
 
 import pytest
 
-from loomline.llm import html_extract
+from loomline.llm import html_extract, license_scan
 
 
 @pytest.mark.parametrize("odd", ["<![foo[ x ]>", "<![foo[ x ]]>", "<![0 ]>", "<![ CDATA[ x ]]>", "<![>", "<i>&#" + "9" * 5000 + ";</i>", "<i>&#" + "0" * 5000 + "65;</i>"])
@@ -10,3 +10,13 @@ def test_html_text_behind_odd_markup(odd):
     nodes = html_extract._nodes(html_extract.parse(f"<p>a</p>{odd}<p>b &lt;</p>"))
     texts = [n.text for n in nodes if n.text is not None]
     assert (texts[0], texts[-1]) == ("a", "b <") and texts[1:-1] in ([], ["\ufffd"], ["A"])
+
+
+def test_whole_licenses(spark):
+    files = license_scan.files(license_scan.__package__).joinpath("licenses")
+    named = {n: files.joinpath(f"{n}.txt").read_text() for n in ("Apache-2.0", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0")} | license_scan.TEXTS
+    named["Apache-2.0"] = named["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2021 Someone")
+    docs = spark.createDataFrame([*named.items(), ("none", named["GPL-3.0"] + " And more.")], "doc_id string, text string")
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan(docs, license_scan.known(spark)).collect()}
+    assert got == {n: n for n in named} | {"none": None}
+    assert set(license_scan.NAMES) - set(named) == {"CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0"}
