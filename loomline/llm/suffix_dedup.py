@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -80,9 +80,17 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     return places, np.concatenate(grams)[first]
 
 
+_TAG = (1 << 31) - 1
+
+
 def text_tag(text: bytes) -> int:
     """31 bits that tell rows of one doc_id with different texts apart."""
-    return xxhash.xxh32_intdigest(text) >> 1
+    return xxhash.xxh64_intdigest(text, 42) & _TAG
+
+
+def _text_tag() -> Column:
+    """``text_tag`` of the column text, null as empty: Spark's hash has 42 as its seed."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit(_TAG))
 
 
 def _anchor_rows(docs: DataFrame, grams_only: bool = False) -> DataFrame:
@@ -203,10 +211,10 @@ def _spans(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _repeats_in(block: pd.DataFrame) -> pd.DataFrame:
     """id, tag, lo, hi of repeated spans; surroundings of one text that overlap are one row of the block."""
-    block = block.sort_values(["id", "tag", "lo"], ignore_index=True)
+    block = block.sort_values(["none", "id", "tag", "lo"], ignore_index=True)
     rows: list[list] = []
-    for id_, tag, lo, data in zip(block["id"].tolist(), block["tag"].tolist(), block["lo"].tolist(), block["data"], strict=True):
-        last = rows[-1] if rows else None
+    for none, id_, tag, lo, data in zip(block["none"].tolist(), block["id"].tolist(), block["tag"].tolist(), block["lo"].tolist(), block["data"], strict=True):
+        last, id_ = rows[-1] if rows else None, None if none else id_
         if last and last[0] == (id_, tag) and lo <= last[1] + len(last[2]):
             last[2] += data[max(0, last[1] + len(last[2]) - lo) :]
         else:
@@ -220,7 +228,7 @@ def _repeats_in(block: pd.DataFrame) -> pd.DataFrame:
         (id_, tag), at, data = rows[k]
         base = ends[k] - len(data) - 1
         found += [(id_, tag, a, b) for a, b in zip(*(x - base + at for x in _spans(starts[row == k], LENGTH)), strict=True)]
-    return pd.DataFrame(found, columns=["id", "tag", "lo", "hi"])
+    return pd.DataFrame(found, columns=["id", "tag", "lo", "hi"]).astype({"id": "Int64"})
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,13 +250,13 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _repeats_in(held)
 
 
-def _by_text(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """id and its rows as one array; a document's anchors are as many as its length allows."""
-    return rows.groupBy("id").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+def _by_text(rows: DataFrame, columns: list[str], tag: Column) -> DataFrame:
+    """id, _tag and their rows as one array without repeats: one text's anchors, however many rows share the id or are its copies."""
+    return rows.groupBy("id", tag.alias("_tag")).agg(F.collect_set(F.struct(*columns)).alias("rows"))
 
 
 def _with_text(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    return docs.join(rows, F.col("doc_id").eqNullSafe(F.col("id")), how)
+    return docs.join(rows, F.col("doc_id").eqNullSafe(F.col("id")) & (_text_tag() == F.col("_tag")), how)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -266,23 +274,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     windows = written(windows, "suffix-windows")
     differing = windows.groupBy("gram").agg(F.count(F.lit(1)).alias("windows")).where("windows > 1").select("gram")
     open_ = windows.join(differing, "gram").select("gram", "id", "at", (F.col("n") > 1).alias("many"))
-    texts = _with_text(docs, _by_text(open_, ["gram", "at", "many"]), "inner").select("id", "text", "rows")
+    texts = _with_text(docs, _by_text(open_, ["gram", "at", "many"], tag), "inner").select("id", "text", "rows")
     cores = texts.mapInArrow(_cores, "gram long, core long, id long, at long, half int, many boolean")
     sizes = cores.groupBy("gram", "core").agg(F.count(F.lit(1)).alias("halves")).where("halves > 1")
     halves = cores.join(sizes, ["gram", "core"]).select("gram", "core", "id", "at", "half", "many", (F.col("halves") > MOST_WINDOWS).alias("wide"))
     fields = ["gram", "core", "at", "half", "many"]
-    narrow = _with_text(docs, _by_text(halves.where("NOT wide"), fields), "inner").select("id", "text", "rows")
-    blocks = narrow.mapInArrow(_cut, "gram long, core long, id long, tag long, lo long, data binary").repartition("gram", "core").sortWithinPartitions("gram", "core")
+    narrow = _with_text(docs, _by_text(halves.where("NOT wide"), fields, tag), "inner").select("id", "text", "rows")
+    blocks = narrow.mapInArrow(_cut, "gram long, core long, none boolean, id long, tag long, lo long, data binary").repartition("gram", "core").sortWithinPartitions("gram", "core")
     found = settled.unionByName(blocks.mapInPandas(_blocks, "id long, tag long, lo long, hi long"))
-    wide = _with_text(docs, _by_text(halves.where("wide"), fields), "inner").select("id", "text", "rows")
+    wide = _with_text(docs, _by_text(halves.where("wide"), fields, tag), "inner").select("id", "text", "rows")
     strings = wide.mapInArrow(_digests, "d1 long, d2 long, id long, tag long, lo long, many boolean")
-    again = strings.groupBy("d1", "d2").agg(F.bool_or("many").alias("many"), F.count_distinct("id", "tag", "lo").alias("places")).where("many OR places > 1").select("d1", "d2")
+    again = strings.groupBy("d1", "d2").agg(F.bool_or("many").alias("many"), F.count_distinct(F.struct("id", "tag", "lo")).alias("places")).where("many OR places > 1").select("d1", "d2")
     return found.unionByName(strings.join(again, ["d1", "d2"], "left_semi").select("id", "tag", "lo", (F.col("lo") + LENGTH).alias("hi")))
 
 
-_TAG = (1 << 31) - 1
-
-
 def _starts(p: int, n: int, half: int) -> tuple[int, int]:
     """First and last start of the strings of a half around an anchor at ``p`` of ``n`` bytes; none if the first is larger."""
     lo, hi = (p - HALF, p) if half == 0 else (p - (LENGTH - GRAM), p - HALF - 1)
@@ -330,14 +335,14 @@ def _batched(rows: Iterator[tuple], names: tuple[str, ...], types: list[pa.DataT
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the strings of each half."""
+    """The bytes of the strings of each half; ``none`` tells a null id, as pandas would make all ids floats."""
 
     def rows() -> Iterator[tuple]:
         for id_, tag, data, r in _halves(batches):
             lo, hi = _starts(r["at"] >> 31, len(data), r["half"])
-            yield r["gram"], r["core"], id_, tag, lo, data[lo : hi + LENGTH]
+            yield r["gram"], r["core"], id_ is None, id_ or 0, tag, lo, data[lo : hi + LENGTH]
 
-    yield from _batched(rows(), ("gram", "core", "id", "tag", "lo", "data"), [pa.int64()] * 5 + [pa.binary()])
+    yield from _batched(rows(), ("gram", "core", "none", "id", "tag", "lo", "data"), [pa.int64()] * 2 + [pa.bool_()] + [pa.int64()] * 3 + [pa.binary()])
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,8 +374,8 @@ def kept_parts(data: bytes, spans: list[tuple[int, int]] | np.ndarray) -> tuple[
 
 def _apply(docs: DataFrame, make, fields: list[StructField]) -> DataFrame:
     """The docs' columns, with what ``make(text bytes, spans)`` returns as further columns."""
-    spans = _by_text(repeated_spans(docs), ["tag", "lo", "hi"]).select(F.col("id").alias("_span_id"), F.col("rows").alias("_spans"))
-    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_span_id")), "left").drop("_span_id")
+    spans = _by_text(repeated_spans(docs), ["tag", "lo", "hi"], F.col("tag")).select(F.col("id").alias("_span_id"), F.col("_tag").alias("_span_tag"), F.col("rows").alias("_spans"))
+    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_span_id")) & (_text_tag() == F.col("_span_tag")), "left").drop("_span_id", "_span_tag")
     names = docs.columns
     place = names.index("text")
 

@@ -1,8 +1,11 @@
 """Operators that used to do less than the whole job."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
-from loomline.llm import html_extract, license_scan
+from loomline.llm import html_extract, license_scan, suffix_dedup
 
 
 @pytest.mark.parametrize("odd", ["<![foo[ x ]>", "<![foo[ x ]]>", "<![0 ]>", "<![ CDATA[ x ]]>", "<![>", "<i>&#" + "9" * 5000 + ";</i>", "<i>&#" + "0" * 5000 + "65;</i>"])
@@ -20,3 +23,27 @@ def test_whole_licenses(spark):
     got = {r["doc_id"]: r["license"] for r in license_scan.scan(docs, license_scan.known(spark)).collect()}
     assert got == {n: n for n in named} | {"none": None}
     assert set(license_scan.NAMES) - set(named) == {"CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0"}
+
+
+def test_suffix_arrays_of_one_text(spark, monkeypatch):
+    """Rows without an id, some of them copies of each other: no array holds more than one text's rows, and the result is that of unique ids."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    shared = word(260)
+    texts = [word(300) + shared + word(300) for _ in range(30)] + [word(400)] * 5
+    largest = []
+
+    def by_text(rows, *args, plain=suffix_dedup._by_text):
+        out = plain(rows, *args)
+        largest.append(out.agg(F.max(F.size("rows"))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "_by_text", by_text)
+    results = []
+    for ids in (range(len(texts)), [None] * len(texts)):
+        docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+        results.append(sorted(tuple(r)[1:] for r in suffix_dedup.removal(docs).collect()))
+        results.append(max(largest))
+        largest.clear()
+    assert results[2] == results[0] and results[3] <= results[1]
+    assert any(0 < r[1] < r[0] for r in results[0])
