@@ -19,6 +19,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def fresh(names: list[str], *wanted: str) -> list[str]:
+    """Column names for the ``wanted`` that clash with none of ``names``, whatever the case."""
+    taken = {n.lower() for n in names}
+    lead = "_"
+    while any((lead + w).lower() in taken for w in wanted):
+        lead += "_"
+    return [lead + w for w in wanted]
+
+
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string or binary column and its row offsets; a null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -3,25 +3,30 @@
 1. Documents with equal sets are one class; only classes go on.
 2. A sketch of each class, its 64 smallest shingle hashes, tells whether enough
    of them occur in another class. Most documents end here.
-3. Classes that share sketch hashes form candidate blocks.
+3. A class goes by its first hashes, at most 32. The smallest class that goes by
+   a hash leads all classes that go by it: they meet in the leader's block. A
+   block holds only classes that share a hash with its leader, so blocks do not
+   chain, and copies of one text have few different leaders.
 4. A block's full sets are indexed by shingle. Each set searches the index for
    sets that hold at least T of its shingles: short inverted lists are merged,
-   long ones are probed for the few that can still reach T. A block beyond a
-   task's memory is cut into chunks, and every pair of chunks is searched.
+   long ones are probed for the few that can still reach T. Large blocks are cut
+   into chunks by set size and hash, and only pairs of chunks whose sizes can
+   link are searched. Two classes that meet in several blocks are judged in the
+   first of them alone.
 5. Links give components.
 
-Sketches lose no link in practice: of the smallest hashes of the union of a
-linked pair each is shared with a chance of at least 0.75, whatever the texts
-are. Fewer than 20 of the first 64 are shared with a chance below 4e-14, and no
-two neighbours of them with one below 1e-15. Sets of up to 48 shingles use exact
-bounds, and sets of up to 124 exact prefixes: two sets that are linked share a
-hash among the first |S| - 0.75 |S| + 1 of both. Larger sets go by pairs of
-neighbouring hashes, which texts with a passage in common seldom share, so that
-blocks stay small; sets of 125 to 166 use both, as partners of either kind.
+Two linked sets differ in at most a third of the smaller one's size, and the
+smallest shingle that they share is among the first |S| - 0.75 |S| + 1 of either.
+By these bounds the sketch is exact for sets of up to 153 shingles and the
+choice of hashes for sets of up to 127. For larger ones at least 0.75 of the
+smallest hashes of the union are shared whatever the texts are, so that fewer
+than 13 of 64, or none of 32, are shared with a chance below 2**-64: that of two
+shingles having one 64-bit hash.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +35,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from loomline.llm.arrow_text import shingle_sets, slices
+from loomline.llm.arrow_text import fresh, shingle_sets, slices
 from loomline.llm.components import components
 from loomline.session import written
 
@@ -39,11 +45,15 @@ WORDS = 5
 #: Linked: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 SKETCH = 64
-NEED = 20
-#: Sets up to this size go by single hashes, and from there to the largest partner's size by both.
-SINGLES, BOTH = 124, 166
-#: Shingles of a chunk; a block with more is searched in pairs of chunks.
+#: Of the sketch of a large set, so many hashes occur in a linked set's sketch.
+NEED = 13
+#: Hashes that a class goes by, at most.
+FIRST = 32
+#: Shingles of a chunk at most; blocks beyond FINE_SHINGLES are cut into up to FINE_CHUNKS smaller ones for an even load.
 CHUNK_SHINGLES = 2_000_000
+FINE_SHINGLES, FINE_CHUNKS = 50_000, 8
+#: Sizes of linked sets lie in one band or in two neighbours: bands grow by a little more than 4/3.
+BAND = 1.34
 #: DivideSkip's weight of a probe against a merge step.
 MU = 0.01
 
@@ -54,7 +64,7 @@ def class_id(shingles: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, words: int = WORDS, with_tokens: bool = True) -> DataFrame:
-    """doc_id, n_shingles, class (null without words) and, if asked for, tokens: the smallest hashes in ascending order."""
+    """doc_id, n_shingles, class (null without words) and, if asked for, tag (hash of the text) and tokens: the smallest hashes in ascending order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,11 +76,12 @@ def sketches(docs: DataFrame, words: int = WORDS, with_tokens: bool = True) -> D
                 if with_tokens:
                     heads = [s[:SKETCH].view(np.int64) for s in sets]
                     ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads))))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "tokens"][: len(columns)])
+                    columns += [batch.column(2).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads)))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "tag", "tokens"][: len(columns)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, class long" + ", tokens array<long>" * with_tokens)
+    columns = ["doc_id", "text", *[F.xxhash64("text").alias("tag")] * with_tokens]
+    return docs.select(*columns).mapInArrow(run, f"doc_id {kind}, n_shingles long, class long" + ", tag long, tokens array<long>" * with_tokens)
 
 
 def _index(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,9 +97,9 @@ def _index(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def search(sets: list[np.ndarray], queries: list[np.ndarray], percent: int = PERCENT) -> Iterator[tuple[int, np.ndarray]]:
     """(place of the query, ascending places of sets that it links to), by DivideSkip.
 
-    A set that equals the query is found like any other. The lists are counted
-    in one pass over their concatenation instead of over a heap; counts and
-    results are those of a heap merge.
+    A set that equals the query is found like any other. Short lists are merged
+    by a sort of their concatenation, whose work is that of a heap merge: it
+    grows with the lists and not with the number of sets.
     """
     vocabulary, starts, postings = _index(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -105,10 +116,11 @@ def search(sets: list[np.ndarray], queries: list[np.ndarray], percent: int = PER
         short, probed = lists[: len(lists) - long], lists[len(lists) - long :]
         each = lengths[short]
         places = np.arange(each.sum()) + np.repeat(starts[short] - np.r_[0, np.cumsum(each)[:-1]], each)
-        counts = np.bincount(postings[places], minlength=len(sets))
-        found = np.flatnonzero(counts >= least - long)
-        found = found[(100 * sizes[found] >= percent * n) & (100 * n >= percent * sizes[found])]
-        total = counts[found]
+        merged = np.sort(postings[places], kind="stable")
+        head = np.flatnonzero(np.r_[True, merged[1:] != merged[:-1]]) if len(merged) else np.zeros(0, np.int64)
+        found, total = merged[head], np.diff(np.r_[head, len(merged)])
+        some = (total >= least - long) & (100 * sizes[found] >= percent * n) & (100 * n >= percent * sizes[found])
+        found, total = found[some], total[some]
         for t in probed:
             if not len(found):
                 break
@@ -139,7 +151,8 @@ def _search_block(block: pd.DataFrame) -> pd.DataFrame:
     """(class, root, n_links) of the classes of a block, or of one pair of its chunks, that have links.
 
     n_links counts the documents of linked classes found here; the root is a
-    class of the same component.
+    class of the same component. Pairs that also meet in the block of a smaller
+    leader are left to that one.
     """
     block = block.drop_duplicates("class").sort_values("class", ignore_index=True)
     sets = [np.frombuffer(x, np.uint64) for x in block["shingles"]]
@@ -147,14 +160,32 @@ def _search_block(block: pd.DataFrame) -> pd.DataFrame:
     same = block["i"].iloc[0] == block["j"].iloc[0]
     weight, n_links, links = block["size"].to_numpy(), np.zeros(len(block), np.int64), []
     if len(left) and len(right):
-        for q, found in search([sets[r] for r in right], [sets[q] for q in left]):
-            q, found = left[q], right[found]
-            found = found[found != q]
-            n_links[q] += weight[found].sum()
-            if not same:
-                np.add.at(n_links, found, weight[q])
-            if len(found):
-                links.append((q, found))
+        leader = block["block"].iloc[0]
+        earlier = [[x for x in led if x < leader] for led in block["leaders"]]
+        others: dict[int, list[int]] = {}
+        for k, r in enumerate(right):
+            for x in earlier[r]:
+                others.setdefault(x, []).append(k)
+        met: dict[int, np.ndarray] = {}
+        todo = []
+        for q in left:
+            if lists := [others[x] for x in earlier[q] if x in others]:
+                met[q] = np.zeros(len(right), bool)
+                for own in lists:
+                    met[q][own] = True
+                if met[q].all():
+                    continue
+            todo.append(q)
+        if todo:
+            for at, found in search([sets[r] for r in right], [sets[q] for q in todo]):
+                q = todo[at]
+                found = right[found[~met[q][found]] if q in met else found]
+                found = found[found != q]
+                n_links[q] += weight[found].sum()
+                if not same:
+                    np.add.at(n_links, found, weight[q])
+                if len(found):
+                    links.append((q, found))
     roots = _roots(len(block), links)
     some = n_links > 0
     return pd.DataFrame({"class": block["class"][some], "root": block["class"].to_numpy()[roots[some]], "n_links": n_links[some]})
@@ -176,50 +207,59 @@ def _search_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """class, n, tokens, rep (smallest doc_id), size (documents) of every distinct non-empty set."""
-    return written(
-        sketches(docs).where("class IS NOT NULL").groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")),
-        "jaccard-classes",
-    )
+    """class, n, tokens, rep (smallest doc_id), tag (of a text of rep), size (documents) of every distinct non-empty set."""
+    rows = sketches(docs).where("class IS NOT NULL")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag"))
+    found = rows.groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"), first.alias("first"), F.count(F.lit(1)).alias("size"))
+    return written(found.select("class", "n", "tokens", F.col("first.doc_id").alias("rep"), "first.tag", "size"), "jaccard-classes")
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
-    """class, rep, size, n and block of the classes that can have a partner."""
+    """class, rep, tag, size, n and tokens of the classes that can have a partner."""
     places = classes.select("class", "n", F.explode("tokens").alias("token"))
     # a token occurs in several classes if its smallest and largest class differ: two numbers a token, combined on the map side
     shared = places.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("token")
-    need = F.when(F.col("n") <= 48, F.ceil(F.col("n") * PERCENT / 100)).otherwise(NEED)
+    overlap = F.ceil(F.col("n") * PERCENT / 100)
+    need = F.greatest(F.least(F.lit(NEED), overlap), F.least(overlap, F.lit(SKETCH) - F.floor(F.col("n") / 3)))
     met = places.join(shared, "token").groupBy("class").agg(F.count(F.lit(1)).alias("met"), F.first("n").alias("n")).where(F.col("met") >= need).select("class")
-    some = written(classes.join(met, "class"), "jaccard-candidates")
-
-    prefix = (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int")
-    single = some.where(F.col("n") <= BOTH).select("class", F.explode(F.slice("tokens", F.lit(1), prefix)).alias("token"))
-    neighbours = F.transform(F.sequence(F.lit(1), F.lit(SKETCH - 1)), lambda i: F.xxhash64(F.get("tokens", i - 1), F.get("tokens", i)))
-    heads = single.union(some.where(F.col("n") > SINGLES).select("class", F.explode(neighbours).alias("token")))
-    least = heads.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("token", "lo")
-    edges = heads.join(least, "token").select(F.col("class").alias("u"), F.col("lo").alias("v"))
-    blocks = components(edges).select(F.col("id").alias("class"), F.col("root").alias("block"))
-    return some.join(blocks, "class").select("class", "rep", "size", "n", "block")
+    return written(classes.join(met, "class"), "jaccard-candidates")
+
+
+def _cells(candidates: DataFrame) -> DataFrame:
+    """class, leaders (ascending) and cells: the block, pair of chunks (i, j) and own chunk in which a class is searched."""
+    prefix = F.least(F.lit(FIRST), F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int")
+    heads = candidates.select("class", "n", F.explode(F.slice("tokens", F.lit(1), prefix)).alias("token"))
+    leaders = heads.groupBy("token").agg(F.min("class").alias("block"), F.max("class").alias("hi")).where("block <> hi").select("token", "block")
+    members = written(heads.join(leaders, "token").select("class", "n", "block").distinct(), "jaccard-members")
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND))
+    members = members.withColumn("band", band)
+    count = F.greatest(F.ceil(F.col("x") / CHUNK_SHINGLES), F.least(F.lit(FINE_CHUNKS), F.ceil(F.col("x") / FINE_SHINGLES)))
+    shape = members.groupBy("block", "band").agg(F.sum("n").alias("x")).withColumn("k", count)
+    shape = shape.groupBy("block").agg(F.sum("x").alias("total"), F.map_from_entries(F.collect_list(F.struct("band", "k"))).alias("chunks"))  # an entry a band, of which there are few
+    chunk = lambda b, h: b * (1 << 32) + h
+    small = F.col("total") <= min(FINE_SHINGLES, CHUNK_SHINGLES)
+    own = chunk(F.col("band"), F.pmod(F.xxhash64("class"), F.col("chunks")[F.col("band")]))
+    near = F.filter(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1), lambda b: F.map_contains_key("chunks", b))
+    others = F.flatten(F.transform(near, lambda b: F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks")[b] - 1), lambda h: chunk(b, h))))
+    placed = members.join(shape, "block").withColumn("chunk", F.when(small, F.lit(0).cast("long")).otherwise(own)).withColumn("others", F.when(small, F.array(F.lit(0).cast("long"))).otherwise(others))
+    cells = F.transform("others", lambda o: F.struct("block", F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j"), "chunk"))
+    return placed.select("class", "block", cells.alias("cells")).groupBy("class").agg(F.sort_array(F.collect_set("block")).alias("leaders"), F.flatten(F.collect_list("cells")).alias("cells"))
 
 
 def _linked(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     """class, root, n_links of the classes that link to another class."""
-    chunks = candidates.groupBy("block").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).cast("int").alias("chunks"))
-    placed = candidates.join(chunks, "block").select(F.col("class").alias("of"), "rep", "size", "block", "chunks")
-    texts = docs.select("doc_id", "text").join(placed, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "of", "size", "block", "chunks")
+    placed = candidates.select("class", "rep", "tag", "size").join(_cells(candidates), "class").withColumnRenamed("class", "of")
+    texts = docs.select("doc_id", "text").join(placed, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.xxhash64("text") == F.col("tag")))
+    texts = texts.select("text", "of", "size", "leaders", "cells").dropDuplicates(["of"])  # rows that share an id and a text
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(0)):
-                found = list(shingle_sets(data, offsets))
-                mine = [len(s) > 0 and class_id(s) == c for s, c in zip(found, batch.column(1)[a:b].to_pylist(), strict=True)]  # else another row with the same doc_id
-                rest = [batch.column(k).slice(a, b - a).filter(pa.array(mine)) for k in range(1, 5)]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array([s.tobytes() for s, m in zip(found, mine, strict=True) if m], pa.binary())], ["class", "size", "block", "chunks", "shingles"])
-
-    full = texts.mapInArrow(sets, "class long, size long, block long, chunks int, shingles binary")
-    chunk = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
-    paired = full.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    keyed = paired.select("class", "size", "block", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "shingles")
+                found = pa.array([s.tobytes() for s in shingle_sets(data, offsets)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(1, 5)), found], ["class", "size", "leaders", "cells", "shingles"])
+
+    full = texts.mapInArrow(sets, "class long, size long, leaders array<long>, cells array<struct<block: long, i: long, j: long, chunk: long>>, shingles binary")
+    keyed = full.withColumn("cell", F.explode("cells")).select("class", "size", "leaders", "cell.block", "cell.i", "cell.j", "cell.chunk", "shingles")
     found = keyed.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInPandas(_search_blocks, "class long, root long, n_links long")
     return written(found, "jaccard-links")
 
@@ -258,10 +298,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without words are all kept, as they link with nothing; of repeated rows
     one stays. All input columns are returned.
     """
+    names = docs.columns
+    kind, keep_id, keep_class = fresh(names, "class", "keep_id", "keep_class")
     own = groups(docs.select("doc_id", "text"))
     first = own.where(F.col("class").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("class").alias("class"), F.first("doc_id").alias("doc_id"))
-    keep = first.select(F.col("doc_id").alias("_keep_id"), F.col("class").alias("_keep_class"))
-    names = docs.columns
+    keep = first.select(F.col("doc_id").alias(keep_id), F.col("class").alias(keep_class))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,14 +310,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
             for a, b, data, offsets in slices(batch.column(at)):
                 part = batch.slice(a, b - a)
                 classes = pa.array([class_id(s) if len(s) else None for s in shingle_sets(data, offsets)], pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns, classes], [*names, "_class"])
-
-    from pyspark.sql.types import LongType, StructField, StructType
+                yield pa.RecordBatch.from_arrays([*part.columns, classes], [*names, kind])
 
-    typed = docs.mapInArrow(marked, StructType([*docs.schema.fields, StructField("_class", LongType())]))
-    joined = typed.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_class") == F.col("_keep_class")), "left_semi")
-    once = joined.dropDuplicates(["doc_id", "_class"])
-    return once.unionByName(typed.where("_class IS NULL")).select(*[F.col(f"`{c}`") for c in names])
+    typed = docs.mapInArrow(marked, StructType([*docs.schema.fields, StructField(kind, LongType())]))
+    joined = typed.join(keep, F.col("doc_id").eqNullSafe(F.col(keep_id)) & (F.col(kind) == F.col(keep_class)), "left_semi")
+    once = joined.dropDuplicates(["doc_id", kind])
+    return once.unionByName(typed.where(F.col(kind).isNull())).select(*[F.col(f"`{c}`") for c in names])
 
 
 ORACLE = r"""
