@@ -4,20 +4,30 @@ The index holds the items; every passage of every document is a query. An
 item's impacts are divided by its score for its own text, so one threshold fits
 all items. Items above it are then verified by their question's and their
 answer's word n-grams in the passage.
+
+Item count, mean length and document frequencies are taken over all items in
+Spark. Tasks build the index in parts of bounded size from these and write them
+to the shared folder; a task that searches documents loads one part at a time.
+Scores and verdicts do not depend on how items are dealt to parts.
 """
 
 from __future__ import annotations
 
+import functools
+import io
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.arrow_text import LOWER, prefix_sums, slices, span_hash, words
+from loomline.session import new_path, written
 
 K1, B = 1.2, 0.75
 #: Share of an item's score for itself that a passage must reach.
@@ -25,31 +35,42 @@ THRESHOLD = 0.5
 #: Shares of the question's and the answer's n-grams that must occur in the passage.
 QUESTION, ANSWER = 0.6, 0.5
 GRAM = 5
+#: Words of the n-grams of short questions and of short answers.
+LEAST_GRAM = 3, 1
 #: Postings of a block, which has a maximum of its own.
 BLOCK = 8
 #: Words that occur in more than this share of the items are looked up only where the others leave a chance.
 COMMON = 0.05
-#: Bytes of item text in one index; more items make further indexes, each of which sees every passage.
+#: Bytes of item text in one part of the index, on average; each part sees every passage.
 INDEX_BYTES = 16 << 20
+#: Bytes of document text for which a task loads the parts of an index once.
+BUFFER_BYTES = 16 << 20
 
 #: Letters, digits and non-ASCII bytes stay (A-Z lower-cased); other bytes separate words.
 NORMAL = LOWER.copy()
 NORMAL[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
 
 
-class Part(NamedTuple):
-    size: int  # words of an n-gram
-    grams: frozenset
+class Stats(NamedTuple):
+    """Of all items with words, whatever part they are in."""
+
+    items: int
+    mean: float  # words of an item
+    most: int  # words of the longest item
 
 
-class Item(NamedTuple):
-    item_id: int
-    question: Part
-    answer: Part
+class Grams(NamedTuple):
+    """The n-grams of one side of every item: its n, and runs of distinct hashes."""
+
+    size: np.ndarray
+    starts: np.ndarray
+    hashes: np.ndarray
 
 
 class Index(NamedTuple):
-    items: list[Item]
+    items: np.ndarray  # ids as text
+    question: Grams
+    answer: Grams
     vocabulary: np.ndarray  # sorted word hashes
     starts: np.ndarray  # of each word's postings
     owner: np.ndarray  # ascending item places
@@ -66,14 +87,14 @@ def hashed_words(text: str) -> np.ndarray:
     return span_hash(prefix_sums(data), start, end)
 
 
-def grams(hashes: np.ndarray, n: int) -> frozenset:
-    """Hashes of runs of n words."""
+def grams(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Distinct hashes of runs of n words."""
     if not 0 < n <= len(hashes):
-        return frozenset()
+        return np.zeros(0, np.uint64)
     out = np.zeros(len(hashes) - n + 1, np.uint64)
     for j in range(n):
         out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[j : len(hashes) - n + 1 + j]
-    return frozenset(out.tolist())
+    return np.unique(out)
 
 
 def split_item(text: str) -> tuple[str, str]:
@@ -82,38 +103,69 @@ def split_item(text: str) -> tuple[str, str]:
     return (text, "") if len(parts) < 2 else (" ".join(parts[:-1]), parts[-1])
 
 
-def part(text: str) -> Part:
-    """The n-grams of a question or answer; one with fewer words is a single n-gram."""
-    hashes = hashed_words(text)
-    size = min(GRAM, len(hashes))
-    return Part(size, grams(hashes, size))
+def gram_size(n_words: int, least: int) -> int:
+    """Words of the n-grams of a side of ``n_words``: a quarter of them, so that one altered word leaves most n-grams, but ``least`` to GRAM."""
+    return min(GRAM, max(least, n_words // 4), n_words)
+
 
+def _sides(texts: list[str], least: int) -> Grams:
+    """The n-grams of questions or answers."""
+    hashes = [hashed_words(t) for t in texts]
+    size = np.array([gram_size(len(h), least) for h in hashes], np.int64)
+    found = [grams(h, n) for h, n in zip(hashes, size.tolist(), strict=True)]
+    return Grams(size, np.cumsum([0, *map(len, found)]), np.concatenate(found))
 
-def build(rows: list[tuple[int, str]]) -> Index | None:
-    """The index of (item_id, text); items without words are left out."""
-    kept = [(i, t, h) for i, t in rows if len(h := hashed_words(t or ""))]
+
+def build(rows: list[tuple[object, str]], stats: Stats | None = None, frequencies: list[np.ndarray] | None = None) -> Index | None:
+    """The index of (item_id, text), or of a part of all items; items without words are left out.
+
+    For a part, ``stats`` are those of all items and ``frequencies`` holds for
+    each row how many of all items have each of its distinct words, by ascending
+    hash. Else both are taken from the rows.
+    """
+    kept = [(str(i), t, h, k) for k, (i, t) in enumerate(rows) if len(h := hashed_words(t or ""))]
     if not kept:
         return None
-    lengths = np.array([len(h) for _, _, h in kept])
+    lengths = np.array([len(h) for _, _, h, _ in kept])
+    stats = stats or Stats(len(kept), float(lengths.mean()), int(lengths.max()))
     term, owner, tf = [], [], []
-    for place, (_, _, h) in enumerate(kept):
+    for place, (_, _, h, _) in enumerate(kept):
         w, c = np.unique(h, return_counts=True)
         term.append(w)
         tf.append(c)
         owner.append(np.full(len(w), place))
+    df = np.concatenate([frequencies[k] for *_, k in kept]) if frequencies else None
     term, owner, tf = map(np.concatenate, (term, owner, tf))
     order = np.argsort(term, kind="stable")
     term, owner, tf = term[order], owner[order], tf[order]
     first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
     starts = np.r_[first, len(term)]
-    df = np.repeat(np.diff(starts), np.diff(starts))
-    score = np.log(1 + (len(kept) - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / lengths.mean()))
+    df = np.repeat(np.diff(starts), np.diff(starts)) if df is None else df[order]
+    score = np.log(1 + (stats.items - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / stats.mean))
     impact = score / np.bincount(owner, score)[owner]
-    common = np.diff(starts) > max(1, COMMON * len(kept))
+    common = df[first] > max(1, COMMON * stats.items)
     by_item = np.bincount(owner, impact * np.repeat(common, np.diff(starts)), minlength=len(kept))
     rest = np.maximum.reduceat(by_item, np.arange(0, len(kept), BLOCK))
-    items = [Item(i, *map(part, split_item(t))) for i, t, _ in kept]
-    return Index(items, term[first], starts, owner, impact, common, by_item, rest, int(lengths.max()))
+    question, answer = (_sides([split_item(t)[k] for _, t, _, _ in kept], least) for k, least in enumerate(LEAST_GRAM))
+    return Index(np.array([i for i, *_ in kept]), question, answer, term[first], starts, owner, impact, common, by_item, rest, stats.most)
+
+
+def _packed(index: Index) -> bytes:
+    out = io.BytesIO()
+    flat = {k: v for k, v in index._asdict().items() if not isinstance(v, Grams)}
+    flat |= {f"{side}_{k}": v for side in ("question", "answer") for k, v in getattr(index, side)._asdict().items()}
+    np.savez(out, **flat)
+    return out.getvalue()
+
+
+@functools.lru_cache(maxsize=1)
+def load(path: str) -> Index:
+    """A part of an index from the shared folder; a worker process keeps the last one."""
+    files, name = pafs.FileSystem.from_uri(path)
+    with files.open_input_stream(name) as source, np.load(io.BytesIO(source.read())) as flat:
+        sides = [Grams(*(flat[f"{side}_{k}"] for k in Grams._fields)) for side in ("question", "answer")]
+        rest = {k: flat[k] for k in Index._fields if k not in ("question", "answer", "most")}
+        return Index(question=sides[0], answer=sides[1], most=int(flat["most"]), **rest)
 
 
 def _postings(index: Index, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,32 +286,92 @@ def matches(index: Index, data: np.ndarray, offsets: np.ndarray) -> dict[tuple[i
         own = hashes[p_first[p] : p_end[p]]
         terms = np.unique(term[p_first[p] : p_end[p]])
         hits = wand(index, terms[terms >= 0])
-        text: dict[int, frozenset] = {}
+        text: dict[int, np.ndarray] = {}
         for place, score in hits:
-            item = index.items[place]
             shares = []
-            for size, wanted in (item.question, item.answer):
+            for side in (index.question, index.answer):
+                size, wanted = int(side.size[place]), side.hashes[side.starts[place] : side.starts[place + 1]]
                 if size not in text:
                     text[size] = grams(own, size)
-                shares.append(len(wanted & text[size]) / len(wanted) if wanted else 1.0)
+                shares.append(float(np.isin(wanted, text[size], assume_unique=True).mean()) if len(wanted) else 1.0)
             if shares[0] >= QUESTION and shares[1] >= ANSWER:
                 old = found.get((int(p_row[p]), place), (0.0, 0.0, 0.0, 0))
                 found[int(p_row[p]), place] = (max(score, old[0]), max(shares[0], old[1]), max(shares[1], old[2]), old[3] + 1)
     return found
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """Indexes over runs of items in id order, each of at most INDEX_BYTES of text.
+def write_index(benchmark: DataFrame) -> list[str]:
+    """Build the index of all items in parts of about INDEX_BYTES of text and return their paths in the shared folder.
 
-    The items are gathered one run at a time, so the size of what is gathered
-    and broadcast is bounded whatever the table holds. Null texts are left out.
+    Frequencies are counted by one shuffle of the items' words. A part is built
+    and written by one task; the driver sees paths alone. Null texts and texts
+    without words are left out; repeated items are items of their own.
     """
-    rows = benchmark.select("item_id", "text").where("text IS NOT NULL")
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    runs = max(1, -(-total // INDEX_BYTES))
-    run = F.pmod(F.xxhash64("item_id"), F.lit(runs))
-    built = [build([(r["item_id"], r["text"]) for r in (rows.where(run == k) if runs > 1 else rows).orderBy("item_id", "text").collect()]) for k in range(runs)]
-    return [x for x in built if x is not None]
+    spark = benchmark.sparkSession
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [hashed_words(t) for t in batch.column(2).to_pylist()]
+            terms = [np.unique(h).view(np.int64) for h in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(h) for h in found], pa.int64()), pa.array(terms, pa.list_(pa.int64()))], ["u", "item", "text", "n", "terms"])
+
+    rows = benchmark.where("text IS NOT NULL").select(F.monotonically_increasing_id().alias("u"), F.col("item_id").cast("string").alias("item"), "text")
+    items = written(rows.mapInArrow(counted, "u long, item string, text string, n long, terms array<long>"), "bm25-items").where("n > 0")
+    whole = items.agg(F.count(F.lit(1)).alias("items"), F.avg("n").alias("mean"), F.max("n").alias("most"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    if not whole["items"]:
+        return []
+    stats, parts = Stats(whole["items"], whole["mean"], whole["most"]), -(-whole["bytes"] // INDEX_BYTES)
+    words_of = items.select("u", F.explode("terms").alias("term"))
+    frequency = words_of.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    by_item = words_of.join(frequency, "term").groupBy("u").agg(F.collect_list(F.struct("term", "df")).alias("df"))
+    dealt = items.join(by_item, "u").select(F.pmod(F.xxhash64("u"), F.lit(parts)).alias("part"), "item", "text", "df")
+    out = new_path(spark, "bm25-index")
+
+    def make(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["item"] is not None, r["item"] or "", r["text"]))
+        frequencies = []
+        for r in rows:  # by ascending unsigned hash, as ``build`` meets the words
+            pairs = np.array([(x["term"], x["df"]) for x in r["df"]], np.int64)
+            frequencies.append(pairs[np.argsort(pairs[:, 0].astype(np.uint64)), 1])
+        index = build([("" if r["item"] is None else "=" + r["item"], r["text"]) for r in rows], stats, frequencies)
+        files, folder = pafs.FileSystem.from_uri(out)
+        files.create_dir(folder, recursive=True)
+        name = f"{folder}/{uuid.uuid4().hex}.npz"
+        with files.open_output_stream(name) as sink:
+            sink.write(_packed(index))
+        return pa.table({"path": [out.rsplit(folder, 1)[0] + name]})
+
+    made = written(dealt.groupBy("part").applyInArrow(make, "path string"), "bm25-parts")
+    return sorted(r["path"] for r in made.collect())
+
+
+def _searched(docs: DataFrame, paths: list[str], schema, give: Callable) -> DataFrame:
+    """``give(batches, found)`` of each buffer of documents, where found maps (row of the buffer, item) to its match."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def searched() -> Iterator[pa.RecordBatch]:
+            found: dict[tuple[int, str], tuple] = {}
+            for path in paths:
+                index, first = load(path), 0
+                for batch in held:
+                    for a, _, data, offsets in slices(batch.column(place)):
+                        found |= {(first + a + r, str(index.items[i])): x for (r, i), x in matches(index, data, offsets).items()}
+                    first += batch.num_rows
+            yield from give(held, found)
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.column(place).nbytes
+            if size > BUFFER_BYTES:
+                yield from searched()
+                held, size = [], 0
+        if held:
+            yield from searched()
+
+    return docs.mapInArrow(run, schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -267,47 +379,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Words are case-folded (A-Z) runs of letters, digits and non-ASCII
     characters. Passages are runs of twice the longest item's words, half
-    overlapping, so an item of any length lies inside one. A match needs the
-    share THRESHOLD of the item's own BM25 score, and QUESTION and ANSWER of the
-    n-grams; an item of one sentence has no answer to verify. Null and empty
-    texts match nothing; repeated rows match each. Other columns are not read.
+    overlapping, so an item of any length lies inside one, and whole texts are
+    searched however long. A match needs the share THRESHOLD of the item's own
+    BM25 score, and QUESTION and ANSWER of the n-grams; an item of one sentence
+    has no answer to verify. The columns are the largest over the passages that
+    match, and their number. Null and empty texts match nothing; repeated rows
+    match each; items with one id and text give one match; an empty table of
+    documents or items gives no rows. Other columns are not read.
     """
-    spark = docs.sparkSession
     id_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {id_kind}, item_id {item_kind}, score double, question_share double, answer_share double, n_passages long"
-    parts = []
-    for index in indexes(benchmark):
-        shared = spark.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for a, _, data, offsets in slices(batch.column(1)):
-                    if found := matches(shared.value, data, offsets):
-                        ids = batch.column(0).take(pa.array([a + r for r, _ in found]))
-                        items = pa.array([shared.value.items[i].item_id for _, i in found])
-                        yield pa.RecordBatch.from_arrays([ids, items, *(pa.array(x) for x in zip(*found.values(), strict=True))], ["doc_id", "item_id", "score", "question_share", "answer_share", "n_passages"])
-
-        parts.append(docs.select("doc_id", "text").mapInArrow(run, schema))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    names = ["doc_id", "item", "score", "question_share", "answer_share", "n_passages"]
+
+    def give(held: list[pa.RecordBatch], found: dict) -> Iterator[pa.RecordBatch]:
+        if found:
+            ids = pa.concat_arrays([b.column(0) for b in held]).take(pa.array([r for r, _ in found]))
+            items = pa.array([i[1:] if i else None for _, i in found], pa.string())
+            yield pa.RecordBatch.from_arrays([ids, items, *(pa.array(x) for x in zip(*found.values(), strict=True))], names)
+
+    paths = write_index(benchmark)
+    rows = _searched(docs.select("doc_id", "text"), paths, f"doc_id {id_kind}, item string, score double, question_share double, answer_share double, n_passages long", give)
+    # sums of one item can be taken in any order: the last digits mean nothing
+    return rows.select("doc_id", F.col("item").cast(item_kind).alias("item_id"), F.round("score", 9).alias("score"), "question_share", "answer_share", "n_passages")
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The input rows and columns of documents that match no test item; nothing is shuffled."""
-    spark, place = docs.sparkSession, docs.columns.index("text")
-    for index in indexes(benchmark):
-        shared = spark.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for a, _, data, offsets in slices(batch.column(place)):
-                    keep[[a + r for r, _ in matches(shared.value, data, offsets)]] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    """The input rows and columns of documents that match no test item, by the rules of ``contaminated``.
+
+    Nothing is shuffled. Null and empty texts stay, as do repeated rows; with an
+    empty table of items all rows stay. Extra columns pass through.
+    """
+
+    def give(held: list[pa.RecordBatch], found: dict) -> Iterator[pa.RecordBatch]:
+        bad, first = np.array(sorted({r for r, _ in found}), np.int64), 0
+        for batch in held:
+            keep = np.ones(batch.num_rows, bool)
+            keep[bad[(bad >= first) & (bad < first + batch.num_rows)] - first] = False
+            first += batch.num_rows
+            yield batch.filter(pa.array(keep))
+
+    return _searched(docs, write_index(benchmark), docs.schema, give)
