@@ -27,8 +27,8 @@ from loomline.session import new_path, written
 LEAST_REVISIT_BYTES = 100
 #: Bytes read at once.
 BLOCK = 1 << 20
-#: A member that grows beyond this is taken for damage.
-MOST_RECORD_BYTES = 1 << 30
+#: What a record may grow to: a cell of a table holds less than 2 GiB, so no record of ours is longer. Beyond, the bytes are a reported gap.
+MOST_RECORD_BYTES = (1 << 31) + (1 << 20)
 MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 
@@ -202,9 +202,11 @@ def with_references(pages: DataFrame) -> DataFrame:
     stored. A null id counts as the largest, and where a digest has null ids
     alone, all are stored.
     """
-    digest = F.when(F.octet_length("html") >= LEAST_REVISIT_BYTES, F.sha2(F.encode("html", "UTF-8"), 256))
+    # a page without a digest has a key of its own, which meets nothing, so that such pages do not gather in one task
+    alone = F.concat(F.lit("none "), F.xxhash64("page_id", "url").cast("string"))
+    digest = F.when(F.octet_length("html") >= LEAST_REVISIT_BYTES, F.sha2(F.encode("html", "UTF-8"), 256)).otherwise(alone)
     rows = pages.select("page_id", "url", "html", digest.alias("digest"))
-    first = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    first = rows.where("digest NOT LIKE 'none %'").groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     repeated = first.where("n > 1 AND first_id IS NOT NULL").select("digest", "first_id")
     joined = rows.join(repeated, "digest", "left")
     return joined.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
@@ -240,7 +242,7 @@ def write_archives(pages: DataFrame, out: str) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """Records and gaps of the archives that a table of paths names, an archive to a task at a time.
+    """Records and gaps of the archives that a table of paths names, an archive to a task at a time; see ``gap_log``.
 
     path, offset, record_id, record_type, uri, refers_to, payload_digest (as the
     record states it), payload_bytes (of the full payload, from the HTTP
@@ -290,16 +292,25 @@ def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     return manifest.select("path").repartitionByRange(archives, "path").mapInArrow(run, ddl)
 
 
+def gap_log(read: DataFrame) -> DataFrame:
+    """path, offset, gap_end, gap_reason of all gaps of ``read_archives``, as a written table of the shared folder."""
+    return written(read.where("gap_end IS NOT NULL").select("path", "offset", "gap_end", "gap_reason"), "warc-gaps")
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, as the archives hold them.
 
-    Null and empty html count as an empty payload; such pages, short ones and
-    repeated rows follow ``with_references``. Other columns are ignored. For
-    stored payloads length and digest are taken from the bytes read back.
+    Null and empty html count as an empty payload; such pages, short ones, ties
+    and repeated rows follow ``with_references``. Whole payloads are written and
+    read, however long. An empty table gives no rows. Other columns are ignored.
+    For stored payloads length and digest are taken from the bytes read back.
+    The archives were written by this call, so a gap in one of them fails the
+    query instead of losing a page.
     """
     spark = pages.sparkSession
     manifest = write_archives(with_references(pages), new_path(spark, "warc"))
-    read = read_archives(spark, manifest).where("gap_end IS NULL")
+    gap = F.raise_error(F.concat_ws(" ", F.lit("gap in"), "path", F.lit("at byte"), "offset", "gap_reason"))
+    read = read_archives(spark, manifest).where(F.when(F.col("gap_end").isNotNull(), gap.cast("boolean")).otherwise(F.lit(True)))
     number = lambda c: F.expr(f"try_cast(substring_index({c}, ':', -1) AS BIGINT)")
     stored = F.col("payload").isNotNull()
     return read.select(
