@@ -4,7 +4,8 @@ A record is ``length u64 | masked crc of the length u32 | data | masked crc of
 the data u32``, little-endian. The data is one sequence of ids: unsigned 16-bit
 where the vocabulary fits, else 32-bit. ``shard-*.idx`` beside each
 ``shard-*.rec`` holds (id i64, offset u64, tokens u64) per record, so a reader
-can fetch records in any order. Records lie in ascending id over the shards.
+can fetch records in any order. Records lie in ascending id over the shards and,
+inside a shard, over its files, which are closed at about ``file_bytes``.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ from loomline.session import new_path, written
 #: Rotation and addend of the checksum mask: a checksum stored among checksummed data must not look like one.
 MASK_DELTA = 0xA282EAD8
 INDEX = np.dtype([("id", "<i8"), ("offset", "<u8"), ("tokens", "<u8")])
+#: Bytes of text for a shard, at most on average, and bytes of a file, after which a shard begins a new one.
+SHARD_BYTES, FILE_BYTES = 256 << 20, 64 << 20
+#: Records of which a reader holds the numbers at once.
+READ_ROWS = 1 << 16
 #: Words that a worker process remembers; this bounds the memory for them.
 CACHE_WORDS = 1_200_000
 
@@ -132,83 +137,95 @@ def word_encoder(path: str, width: int) -> WordEncoder:
     return WordEncoder(path, width)
 
 
-def write_records(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 1, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_records(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 1, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encode every text, append ``end_id``, and write shards in ascending id order.
 
     Rows are range-partitioned by id and sorted inside the shard (ties by text,
     null ids first), so shard order is id order and no task sees more than its
-    range. Returns the manifest: shard, path, index_path, records, tokens,
-    id_width. A file name carries the attempt that wrote it and only the
-    manifest's rows count, so a retried task leaves no double records.
-    A null text is empty and has only the end id; equal ids keep all their rows.
+    range. There is a shard for each SHARD_BYTES of text, and for each shuffle
+    partition; where one id has more rows than that, they are one shard of
+    several files. Returns the manifest, a row a file: shard, part, path,
+    index_path, records, tokens, id_width. A file name carries the attempt that
+    wrote it and only the manifest's rows count, so a retried task leaves no
+    double records. A null text is empty and has only the end id; equal ids keep
+    all their rows; an empty table writes no file.
     """
     spark = docs.sparkSession
-    shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if shards is None:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+        shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     width = 2 if max(tokenizer(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    names = ["shard", "part", "path", "index_path", "records", "tokens", "id_width"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = word_encoder(tokenizer_path, width), end_id.to_bytes(width, "little")
         files, folder = pafs.FileSystem.from_uri(out)
         files.create_dir(folder, recursive=True)
-        shard = TaskContext.get().partitionId()
-        name = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex[:8]}"
-        index, offset, tokens, sink = [], 0, 0, None
+        uri, shard = out.rsplit(folder, 1)[0], TaskContext.get().partitionId()
+        lead, part, sink, name = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex[:8]}", 0, None, ""
+        index: list[tuple[int, int, int]] = []
+        offset = tokens = 0
+
+        def closed() -> pa.RecordBatch:
+            sink.close()
+            with files.open_output_stream(name + ".idx") as side:
+                side.write(np.array(index, INDEX).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (shard, part, f"{uri}{name}.rec", f"{uri}{name}.idx", len(index), tokens, width)], names)
+
         for batch in batches:
-            if sink is None and batch.num_rows:
-                sink = files.open_output_stream(name + ".rec")
             for i, text in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
+                if sink is None:
+                    name, index, offset, tokens = f"{lead}-{part:04d}", [], 0, 0
+                    sink = files.open_output_stream(name + ".rec")
                 data = encoder(text.as_py() or b"") + end
                 record, i = frame(data), i.as_py()
                 sink.write(record)
                 index.append((np.iinfo(np.int64).min if i is None else i, offset, len(data) // width))
                 offset += len(record)
                 tokens += len(data) // width
+                if offset >= file_bytes:
+                    yield closed()
+                    sink, part = None, part + 1
         if sink is not None:
-            sink.close()
-            with files.open_output_stream(name + ".idx") as side:
-                side.write(np.array(index, INDEX).tobytes())
-            uri = out.rsplit(folder, 1)[0]
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{uri}{name}.rec"], "index_path": [f"{uri}{name}.idx"], "records": [len(index)], "tokens": [tokens], "id_width": [width]})
+            yield closed()
 
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
-    return written(ordered.mapInArrow(run, "shard long, path string, index_path string, records long, tokens long, id_width long"), "token-manifest")
+    return written(ordered.mapInArrow(run, "shard long, part long, path string, index_path string, records long, tokens long, id_width long"), "token-manifest")
 
 
 def read_records(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """One row per record from the files: shard, seq, doc_id, n_tokens, ids_crc32, before (ids earlier in the shard).
+    """One row per record from the files: shard, part, seq, doc_id, n_tokens, ids_crc32, before (ids earlier in the file).
 
     Every record's checksums are verified; a mismatch between index and file
-    raises. Shards are read one record at a time.
+    raises. A file is read one record at a time, and READ_ROWS rows are held.
     """
+    names = ["shard", "part", "seq", "doc_id", "n_tokens", "ids_crc32", "before"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard in batch.to_pylist():
-                files, path = pafs.FileSystem.from_uri(shard["path"])
-                index = read_index(files, pafs.FileSystem.from_uri(shard["index_path"])[1])
-                counts, crcs = [], []
-                with files.open_input_stream(path, buffer_size=1 << 20) as source:
-                    while (ids := read_frame(source, shard["id_width"])) is not None:
-                        counts.append(len(ids))
-                        crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                counts = np.array(counts, np.int64)
-                if len(index) != len(counts) or (index["tokens"] != counts.astype(np.uint64)).any():
-                    raise ValueError(f"{shard['path']} and its index differ")
-                ids = index["id"].copy()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(ids), shard["shard"])),
-                        pa.array(np.arange(len(ids))),
-                        pa.array(ids, mask=ids == np.iinfo(np.int64).min),
-                        pa.array(counts),
-                        pa.array(np.array(crcs, np.int64)),
-                        pa.array(np.cumsum(counts) - counts),
-                    ],
-                    ["shard", "seq", "doc_id", "n_tokens", "ids_crc32", "before"],
-                )
-
-    shards = max(1, manifest.count())
-    return manifest.repartitionByRange(shards, "shard").mapInArrow(run, "shard long, seq long, doc_id long, n_tokens long, ids_crc32 long, before long")
+            for own in batch.to_pylist():
+                files, path = pafs.FileSystem.from_uri(own["path"])
+                seq = before = 0
+                with files.open_input_stream(path, buffer_size=1 << 20) as source, files.open_input_stream(pafs.FileSystem.from_uri(own["index_path"])[1], buffer_size=1 << 20) as side:
+                    while True:
+                        index = np.frombuffer(side.read(READ_ROWS * INDEX.itemsize), INDEX)
+                        counts, crcs = np.zeros(len(index), np.int64), np.zeros(len(index), np.int64)
+                        for k in range(len(index)):
+                            if (ids := read_frame(source, own["id_width"])) is None or len(ids) != index["tokens"][k]:
+                                raise ValueError(f"{own['path']} and its index differ")
+                            counts[k], crcs[k] = len(ids), zlib.crc32(ids.astype("<u4").tobytes())
+                        if not len(index):
+                            break
+                        ids = index["id"].copy()
+                        columns = [np.full(len(ids), own["shard"]), np.full(len(ids), own["part"]), np.arange(seq, seq + len(ids)), None, counts, crcs, before + np.cumsum(counts) - counts]
+                        doc_ids = pa.array(ids, mask=ids == np.iinfo(np.int64).min)
+                        yield pa.RecordBatch.from_arrays([doc_ids if c is None else pa.array(c) for c in columns], names)
+                        seq, before = seq + len(ids), before + int(counts.sum())
+                    if read_frame(source, own["id_width"]) is not None:
+                        raise ValueError(f"{own['path']} and its index differ")
+
+    files = max(1, manifest.count())
+    return manifest.repartitionByRange(files, "shard", "part").mapInArrow(run, "shard long, part long, seq long, doc_id long, n_tokens long, ids_crc32 long, before long")
 
 
 def fetch(uri: str, offset: int, width: int) -> np.ndarray:
@@ -223,13 +240,15 @@ def token_records(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> Data
     """doc_id, start, n_tokens, ids_crc32, read back from files that this call writes to the shared folder.
 
     ``start`` counts the ids of all earlier documents: a running sum inside the
-    shard plus the totals of earlier shards, which the manifest holds (a row
-    per shard). An empty table gives no rows.
+    file plus the totals of earlier files, which the manifest holds (a row per
+    file). A null text is empty; whole texts are encoded, however long; of equal
+    ids, ordered by text, each has its own row; an empty table gives no rows.
+    Other columns are not read.
     """
     from pyspark.sql import Window
 
     spark = docs.sparkSession
     manifest = write_records(docs, new_path(spark, "token-records"), tokenizer_path, end_id)
-    earlier = manifest.select("shard", (F.sum("tokens").over(Window.orderBy("shard")) - F.col("tokens")).alias("base"))
-    rows = read_records(spark, manifest)
-    return rows.join(F.broadcast(earlier), "shard").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    earlier = manifest.select("shard", "part", (F.sum("tokens").over(Window.orderBy("shard", "part")) - F.col("tokens")).alias("base"))
+    rows = read_records(spark, manifest).join(earlier, ["shard", "part"])  # broadcast only where Spark finds the manifest small enough
+    return rows.select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
