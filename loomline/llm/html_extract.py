@@ -9,28 +9,42 @@ so an ancestor and a descendant never contradict each other.
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+import io
 import math
 import re
+import sys
+import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 
+from loomline.llm import html_samples
 from loomline.llm.html_samples import sample_page
+from loomline.session import shared_dir
 
 #: Generated pages on which the trees are fitted: the bound of the training sample.
 TRAIN_PAGES = 600
 TREES, DEPTH, SEED = 20, 5, 7
 
-#: Elements without content, elements whose text is never shown, and elements inside a line of text.
+#: Elements without content; elements whose text is no text of the page (scripts, styles, form controls and what only stands in for a plug-in frame); the last of these that end a block; elements inside a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style noscript template title iframe object svg canvas math select option textarea datalist".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+HIDDEN = frozenset("head script style template title iframe select option textarea datalist".split())
+HIDDEN_BLOCKS = frozenset("head title iframe".split())
+INLINE = frozenset(
+    "a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label map mark math meter nobr noscript object output picture progress q rp rt ruby s samp slot small span strike strong sub sup svg time tt u var video wbr".split()
+)
+#: Elements whose inner elements are all parts of a line.
+FOREIGN = frozenset(["math", "svg"])
 #: A start tag of the key ends an open element of the value's first set, unless one of the second lies between.
 _BLOCKS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 _SCOPE = frozenset("html body table td th caption button object".split())
@@ -100,16 +114,26 @@ class Node:
 
 
 class _Builder(HTMLParser):
-    """Builds blocks from tags as they come, closing what HTML closes by itself."""
+    """Builds blocks from tags as they come, closing what HTML closes by itself.
+
+    ``at`` holds the places of each open tag, so that finding what a tag closes
+    takes the same time at any depth.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", None)
         self.open: list[tuple[str, Node]] = [("html", self.root)]
-        self.hidden = 0
+        self.at: dict[str, list[int]] = {"html": [0]}
+        self.blocks = [0]  # places of open elements that are not inside a line
+        self.hidden = self.foreign = 0
         self.run: list[str] = []
         self.linked = 0
 
+    def inline(self, tag: str) -> bool:
+        """Whether the element is part of a line: so are elements of formulas and drawings, and custom ones."""
+        return tag in INLINE or self.foreign > 0 or "-" in tag or (tag in HIDDEN and tag not in HIDDEN_BLOCKS)
+
     def flush(self) -> None:
         if self.run:
             text = " ".join("".join(self.run).split())
@@ -120,13 +144,29 @@ class _Builder(HTMLParser):
                 owner.children.append(leaf)
             self.run, self.linked = [], 0
 
+    def _push(self, tag: str, node: Node, block: bool) -> None:
+        self.at.setdefault(tag, []).append(len(self.open))
+        if block:
+            self.blocks.append(len(self.open))
+        self.hidden += tag in HIDDEN
+        self.foreign += tag in FOREIGN
+        self.open.append((tag, node))
+
     def _pop(self, to: int) -> None:
+        if self.blocks[-1] >= to:
+            self.flush()
+        while self.blocks[-1] >= to:
+            self.blocks.pop()
         for tag, _ in self.open[to:]:
-            if tag not in INLINE:
-                self.flush()
+            self.at[tag].pop()
             self.hidden -= tag in HIDDEN
+            self.foreign -= tag in FOREIGN
         del self.open[to:]
 
+    def _last(self, tags: frozenset[str]) -> int:
+        """Place of the innermost open element of these tags, 0 without one."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
     def parse_html_declaration(self, i: int) -> int:
         """As HTML has it, an unknown marked section is a comment up to the next ``>``."""
         if self.rawdata.startswith("<![", i) and not _MARKED.match(self.rawdata, i):
@@ -134,50 +174,48 @@ class _Builder(HTMLParser):
         return super().parse_html_declaration(i)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in CLOSES:
+        if self.foreign and (tag in _BLOCKS or tag == "body"):
+            self._pop(min(self.at[t][0] for t in FOREIGN if self.at.get(t)))  # a block ends a formula or drawing that was left open
+        if tag in CLOSES and not self.foreign:
             ends, stops = CLOSES[tag]
-            at, last = len(self.open) - 1, None
-            while at > 0 and self.open[at][0] not in stops:
-                if self.open[at][0] in ends:
-                    last = at
-                at -= 1
-            if last is not None:
-                self._pop(last)
+            above = self._last(stops)
+            inside = [places[k] for t in ends if (places := self.at.get(t)) and (k := bisect_right(places, above)) < len(places)]
+            if inside:
+                self._pop(min(inside))
         if tag in VOID:
             if tag == "br":
                 self.run.append(" ")
-            elif tag not in INLINE:
+            elif not self.inline(tag):
                 self.flush()
             return
-        if tag in ("html", "body") and any(t == tag for t, _ in self.open):
+        if tag in ("html", "body") and self.at.get(tag):
             return
-        if tag in INLINE:
-            self.open.append((tag, self.open[-1][1]))
+        inline, owner = self.inline(tag), self.open[-1][1]
+        if not inline:
+            self.flush()
+        if inline or tag in HIDDEN:
+            self._push(tag, owner, not inline)
             return
-        self.flush()
-        if tag in HIDDEN:
-            self.hidden += 1
-            self.open.append((tag, self.open[-1][1]))
-            return
-        owner = self.open[-1][1]
         node = Node(tag, owner, {k: v or "" for k, v in attrs})
         owner.children.append(node)
-        self.open.append((tag, node))
+        self._push(tag, node, True)
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.handle_starttag(tag, attrs)
+        if self.foreign and tag not in VOID and tag not in FOREIGN and self.open[-1][0] == tag:
+            self._pop(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("body", "html"):
+        if tag in ("body", "html") or not self.at.get(tag):
             return
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at][0] == tag:
-                self._pop(at)
-                return
-            if tag in INLINE and self.open[at][0] not in INLINE:
-                return
+        at = self.at[tag][-1]
+        if at and not (self.inline(tag) and self.blocks[-1] > at):
+            self._pop(at)
 
     def handle_data(self, data: str) -> None:
         if not self.hidden and data:
             self.run.append(data)
-            if any(t == "a" for t, _ in self.open):
+            if self.at.get("a"):
                 self.linked += len(data)
 
 
@@ -342,6 +380,29 @@ def fit(spark: SparkSession, train_pages: int = TRAIN_PAGES, seed: int = SEED) -
     return _FITTED[train_pages, seed]
 
 
+def _version(train_pages: int, seed: int) -> str:
+    """Tells models apart: the sample, the trees' parameters, and the code that makes pages and features."""
+    sources = [inspect.getsource(m) for m in (sys.modules[__name__], html_samples)]
+    return hashlib.sha256(repr((train_pages, seed, TREES, DEPTH, *sources)).encode()).hexdigest()[:16]
+
+
+def stored(spark: SparkSession, train_pages: int = TRAIN_PAGES, seed: int = SEED) -> Trees:
+    """The fitted trees from the shared folder; the first driver that asks for a version fits and writes it."""
+    path = f"{shared_dir(spark)}/html-trees-{_version(train_pages, seed)}.npz"
+    files, name = pafs.FileSystem.from_uri(path)
+    if files.get_file_info(name).type == pafs.FileType.File:
+        with files.open_input_stream(name) as source, np.load(io.BytesIO(source.read())) as flat:
+            return Trees(*(flat[k] for k in Trees._fields))
+    trees, out = fit(spark, train_pages, seed), io.BytesIO()
+    np.savez(out, **trees._asdict())
+    files.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    draft = f"{name}.{uuid.uuid4().hex}"
+    with files.open_output_stream(draft) as sink:
+        sink.write(out.getvalue())
+    files.move(draft, name)  # readers see whole files alone
+    return trees
+
+
 def decode(nodes: list[Node], odds: np.ndarray) -> str:
     """Text blocks of the likeliest labelling in which every kept node has kept ancestors, joined by line ends."""
     p1 = -np.logaddexp(0, -odds)
@@ -366,12 +427,15 @@ def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
 
     The whole html is read. Character references are decoded, white space inside
     a block becomes one space, blocks are trimmed and joined in page order by a
-    line end. Scripts, styles, comments and other unseen elements never count. A
-    page without main text, and a null or empty html, give an empty text.
-    Repeated rows give repeated results; nothing is shuffled.
+    line end. Scripts, styles, form controls and markup comments never count;
+    formulas, drawings, custom elements and what stands in for a script or an
+    object are parts of their line. A page without main text, and a null or empty
+    html, give an empty text. Work grows in proportion to a page's length at any
+    depth. Repeated rows give repeated results, an empty table no rows; other
+    columns are not read; nothing is shuffled.
     """
     spark = pages.sparkSession
-    shared = spark.sparkContext.broadcast(trees or fit(spark))
+    shared = spark.sparkContext.broadcast(trees or stored(spark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
