@@ -90,12 +90,12 @@ def parse_parameters_first(text: Column) -> Column:
     )
 
 
-#: The rewrites that simplify a prompt, in order. Escaped brackets wait as words meanwhile.
+#: The rewrites that simplify a prompt, in order. Escaped brackets wait as private-use characters meanwhile.
 SIMPLIFY = [
     (r"\(:0\)", ""),
     (r"\( :0\)", " "),
-    (r"\\\(", "bracket_open"),
-    (r"\\\)", "bracket_close"),
+    (r"\\\(", "\ue000"),
+    (r"\\\)", "\ue001"),
     (r"(?<=\))([^,\s\]])", ",$1"),
     (r"(?<=\])([^,\s\]])", ",$1"),
     (r"<[^>]+>", ""),
@@ -110,8 +110,8 @@ SIMPLIFY = [
     (r":(?![ \d])", ""),
     (r"BREAK", ""),
     (r"\s*,\s*", ", "),
-    (r"bracket_open", "("),
-    (r"bracket_close", ")"),
+    (r"\ue000", "("),
+    (r"\ue001", ")"),
     (r",\s*:\d+(\.\d+)?,", ", "),
     (r",\s*\d+(\.\d+)?,", ", "),
     (r"^,|,$", ""),
@@ -159,6 +159,25 @@ def clean_basename(name: Column) -> Column:
     return F.when(stem.contains(" (copy"), F.regexp_extract(stem, r"^(.*) \(copy", 1)).otherwise(stem)
 
 
+#: File types whose names are cleaned.
+POSTFIX_TYPES = ["jpg", "jpeg", "png", "gif", "bmp", "tiff", "ico"]
+
+
+def without_postfix(name: Column, pattern: str) -> Column:
+    """An image's file name without what the pattern matches; names of other types stay."""
+    return F.when(F.lower(F.regexp_extract(name, r"[^.]\.([^.]*)$", 1)).isin(POSTFIX_TYPES), F.regexp_replace(name, pattern, "")).otherwise(name)
+
+
+def without_number(name: Column) -> Column:
+    """A file's stem without a space and number at its end."""
+    return F.regexp_replace(F.regexp_replace(name, r"\.[^.]*$", ""), r" [0-9]+$", "")
+
+
+def with_repeats(folder: Column, repeats: Column) -> Column:
+    """A folder name with its number of repeats in front, in place of one that it has."""
+    return F.concat_ws("_", repeats.cast("string"), F.regexp_replace(folder, r"^[0-9]+_", ""))
+
+
 def extension(name: Column, mode: str = "last") -> Column:
     """Lower-cased extension: ``.tar.*`` pairs count as one, dot files have none; mode ``full`` keeps all suffixes."""
     base = F.lower(F.regexp_extract(name, r"([^/\\]*)$", 1))

@@ -37,6 +37,32 @@ def depth_counts(paths: DataFrame, depth: int, column: str = "path") -> DataFram
     return paths.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def folder_counts(paths: DataFrame, depth: int, counted: Column, column: str = "path") -> DataFrame:
+    """folder, n: like ``depth_counts`` over files of which only some are counted.
+
+    A folder at the depth is there with a count of 0 too; one above only with
+    files of its own that count.
+    """
+    parts = F.split(column, "/")
+    level = F.least(F.size(parts) - 1, F.lit(depth))
+    found = paths.groupBy(F.array_join(F.slice(parts, 1, level), "/").alias("folder")).agg(F.count_if(counted).alias("n"), F.max(level).alias("_level"))
+    return found.where((F.col("_level") == depth) | (F.col("n") > 0)).select("folder", "n")
+
+
+def planned_totals(plan: DataFrame, action: str = "action", size: str = "bytes") -> DataFrame:
+    """One row: files, uploads, copies and skips of a plan, and the bytes to upload and to copy."""
+    of = lambda kind: F.col(action) == kind
+    total = lambda kind: F.coalesce(F.sum(F.when(of(kind), F.col(size))), F.lit(0)).cast("long")
+    return plan.agg(
+        F.count_if(of("upload") | of("copy")).alias("files_planned"),
+        F.count_if(of("upload")).alias("uploads_planned"),
+        F.count_if(of("copy")).alias("copies_planned"),
+        F.count_if(of("skip")).alias("skipped_planned"),
+        total("upload").alias("bytes_planned"),
+        total("copy").alias("copy_bytes_planned"),
+    )
+
+
 def share_rollup(rows: DataFrame, outer: str, inner: str) -> DataFrame:
     """Counts per (outer, inner) and per inner over all, with the share of each level's total."""
     counted = rows.groupingSets([[outer, inner], [inner]], outer, inner).agg(F.count(F.lit(1)).alias("n"), F.grouping(outer).cast("int").alias("combined"))
@@ -67,6 +93,12 @@ def duplicates(rows: DataFrame, key: list[str], member: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(member).alias("first_member"), F.max(member).alias("last_member")).where("n > 1")
 
 
+def duplicate_members(rows: DataFrame, key: list[str], member: str) -> DataFrame:
+    """Every member of the keys that have several, with their number: a row each, so that no key's list has to fit a task."""
+    many = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.select(*key, member).join(many, key)
+
+
 def distinct_per_period(rows: DataFrame, at: str, unit: str, identity: Column, key: list[str]) -> DataFrame:
     """Exact distinct identities per key and UTC day, Monday week or month."""
     return rows.groupBy(*key, F.date_trunc(unit, F.col(at)).cast("date").alias("period")).agg(F.count_distinct(identity).alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,8 +101,63 @@ def looks_binary(content: Column) -> Column:
 
 
 def moderated(body: Column) -> Column:
-    """Whether a JSON body says ``moderated: true`` anywhere inside."""
-    return F.coalesce(body.rlike(r'"moderated"\s*:\s*true'), F.lit(False))
+    """Whether a JSON body says ``moderated: true`` anywhere inside; a text that is no JSON object or array does not.
+
+    Inside a JSON string a quote has a backslash before it, so a key's quote has none.
+    """
+    return F.coalesce(body.rlike(r'^\s*[{\[]') & F.try_parse_json(body).isNotNull() & body.rlike(r'(?<!\\)"moderated"\s*:\s*true(?![\w])'), F.lit(False))
+
+
+def regex_search(text: Column, pattern: str) -> Column:
+    """Whether the pattern is found; an empty or invalid one finds nothing."""
+    try:
+        re.compile(pattern)
+    except re.error:
+        pattern = ""
+    return F.coalesce(text.rlike(pattern), F.lit(False)) if pattern else F.lit(False)
+
+
+def cooldown_class(text: Column) -> Column:
+    """policy, cooldown or none of a reply's text; a policy refusal comes first."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    policy = low.rlike(r"content policy|didn.?t comply|wasn.?t able to generate.*policy|cannot generate.*policy")
+    return F.when(policy, "policy").when(low.rlike("temporary rate limit|cooldown|used too quickly|slow down|wait a short while|try again later"), "cooldown").otherwise("none")
+
+
+#: What a body must hold to ask for an edited or a high-quality image.
+EDIT_MARKS = ["imageedit", "image-edit", "image_edit", "imagereferences"]
+QUALITY_MARKS = ["imagepro", "quality", "imagine-image-gen-pro"]
+IMAGE_CONFIGS = ["responseMetadata.modelConfigOverride.modelMap.imageGenModelConfig", "responseMetadata.modelConfigOverride.modelMap.imageEditModelConfig", "toolOverrides.imageGen", "toolOverrides.imageEdit"]
+IMAGE_COUNTS = ["numImages", "numberOfImages", "imageCount", "n"]
+
+
+def generation_request(url: Column, method: Column, body: Column, url_part: str, image_like: Column) -> Column:
+    """service, amount and detail of a request that starts a generation, else null.
+
+    Only POST requests of a URL with ``url_part`` and a JSON object count. Video
+    comes first (by its configuration or the model's name), in a class of its
+    own at 720 lines; then, where ``image_like`` holds, edits, high quality and
+    plain images. The amount is the stated number of images, of the first filled
+    configuration or the body, else 4 for high quality and 1 for others.
+    """
+    got = lambda path: F.get_json_object(body, "$." + path)
+    model, low = F.lower(F.coalesce(got("modelName"), F.lit(""))), F.lower(body)
+    video = F.coalesce(got("responseMetadata.modelConfigOverride.modelMap.videoGenModelConfig"), got("toolOverrides.videoGen"))
+    resolution = F.lower(F.coalesce(F.get_json_object(video, "$.resolutionName"), F.get_json_object(video, "$.resolution"), F.lit("")))
+    any_of = lambda text, marks: F.coalesce(text.rlike("|".join(marks)), F.lit(False))
+    config = F.coalesce(*[got(c) for c in IMAGE_CONFIGS])
+    counts = [F.get_json_object(config, "$." + c) for c in IMAGE_COUNTS] + [got(c) for c in ("responseMetadata.imageCount", "imageGenerationCount", "imageCount")]
+    stated = F.coalesce(*[F.nullif(c.try_cast("int"), F.lit(0)) for c in counts])
+    attached = F.coalesce(F.json_array_length(got("fileAttachments")) > 0, F.lit(False))
+    edit = any_of(model, ["image-edit", "image_edit"]) | any_of(low, EDIT_MARKS) | (attached & low.contains("edit"))
+    high = any_of(model, ["pro", "quality"]) | any_of(low, QUALITY_MARKS)
+    made = lambda service, amount, detail: F.struct(service.alias("service"), F.greatest(F.lit(1), amount).alias("amount"), F.when(model != "", model).otherwise(detail).alias("detail"))
+    of = lambda name, amount, detail: made(F.lit(name), F.coalesce(stated, F.lit(amount)), detail)
+    starts = url.contains(url_part) & (F.upper(F.coalesce(method, F.lit("GET"))) == "POST") & body.rlike(r"(?s)^\s*\{") & F.try_parse_json(body).isNotNull()
+    is_video = video.isNotNull() | model.contains("video")
+    found = F.when(is_video, made(F.when(resolution.contains("720"), "video720p").otherwise("video"), F.lit(1), F.lit("video")))
+    found = found.when(image_like & edit, of("imageEdit", 1, "image edit")).when(image_like & high, of("imagePro", 4, "quality image")).when(image_like, of("image", 1, "speed image"))
+    return F.when(starts, found)
 
 
 def outcome(status: Column, message: Column) -> Column:

@@ -35,15 +35,22 @@ def transfer(work: DataFrame, reference: DataFrame) -> DataFrame:
     """Captions for work rows (name, raw_name, folder) from reference rows (name, folder, seq, caption).
 
     By the cleaned name, else by the raw one; of several candidates one in the
-    same folder comes first, then the earliest.
+    same folder comes first, then the earliest. The reference is cut to one row
+    per name and folder and one per name before it meets the work, so each join
+    adds at most one row to a work row. A chosen row's caption counts even where
+    it is null.
     """
-    one = lambda key: (
-        F.min_by(F.struct("caption", "seq"), F.struct((F.col("w.folder") != F.col("r.folder")), F.col("r.seq"))).alias(key)
-    )
-    w, r = work.alias("w"), reference.alias("r")
-    clean = w.join(r, F.col("w.name") == F.col("r.name")).groupBy("w.id").agg(one("c"))
-    raw = w.where("raw_name <> name").alias("w").join(r, F.col("w.raw_name") == F.col("r.name")).groupBy("w.id").agg(one("d"))
-    return work.join(clean, "id", "left").join(raw, "id", "left").select(*work.columns, F.coalesce("c.caption", "d.caption").alias("caption"))
+    best = F.min_by(F.struct("caption", F.lit(True).alias("found")), "seq")
+    here = reference.groupBy("name", "folder").agg(best.alias("here"))
+    anywhere = reference.groupBy("name").agg(best.alias("anywhere"))
+
+    def chosen(rows: DataFrame, name: str, out: str) -> DataFrame:
+        near = here.select(F.col("name").alias(name), "folder", "here")
+        far = anywhere.select(F.col("name").alias(name), "anywhere")
+        return rows.join(near, [name, "folder"], "left").join(far, name, "left").withColumn(out, F.coalesce("here", "anywhere")).drop("here", "anywhere")
+
+    found = chosen(chosen(work, "name", "_clean"), "raw_name", "_raw")
+    return found.select(*work.columns, F.coalesce("_clean", "_raw")["caption"].alias("caption"))
 
 
 def reconcile(refs: DataFrame, local: DataFrame, forced: bool = False) -> DataFrame:
@@ -80,6 +87,21 @@ def theta_first_match(vectors: DataFrame, known: DataFrame, threshold: float, mo
     return pairs.groupBy("v.vec_id").agg(F.min_by(F.struct("k.name", F.round(distance, 6).alias("distance")), "k.seq").alias("m")).select("vec_id", "m.name", "m.distance")
 
 
+def downloads_by_model(downloads: DataFrame, models: DataFrame, owner: Column, seconds: int, at: str = "timestamp") -> DataFrame:
+    """model_id, model_name, bucket, downloads: how far an owner's counters (model_id, model_name, download_count) rose in each time bucket."""
+    own = models.where(owner).select(F.col("id").alias("model_id")).distinct()
+    bucket = (F.floor(F.unix_timestamp(F.col(at).cast("timestamp")) / seconds) * seconds).cast("long")
+    rows = downloads.join(own, "model_id", "left_semi")
+    return rows.groupBy("model_id", "model_name", bucket.alias("bucket")).agg((F.max("download_count") - F.min("download_count")).alias("downloads"))
+
+
+def last_value_by_key(rows: DataFrame, values: DataFrame, key: str, value: str, seq: list[str]) -> DataFrame:
+    """Rows with the value last associated with their key (a URL, say); null where none is. Empty keys and values associate nothing."""
+    kept = values.where((F.col(key) != "") & F.col(value).isNotNull())
+    last = kept.groupBy(key).agg(F.max_by(value, F.struct(*seq)).alias(value))
+    return rows.join(last, key, "left")
+
+
 def merge_right_wins(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     """Full outer join in which a non-null value of the right wins."""
     names = [c for c in left.columns if c not in key]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.session import written
+
 
 def round_robin(rows: DataFrame, stem: str, parts: int) -> DataFrame:
     """``part`` for every row: distinct stems in order are dealt in turn, rows of a stem stay together.
@@ -21,10 +23,12 @@ def ordinal(rows: DataFrame, order: list[Column], name: str = "place") -> DataFr
 
     Rows are range-partitioned and sorted; a place is the row's number inside its
     partition plus the rows of earlier partitions, of which there is one count
-    each. The order should be total, else equal rows get any of their places.
+    each. The partitioned rows are written once: ranges come from a sample of
+    the rows, so a second evaluation could deal them otherwise. The order should
+    be total, else equal rows get any of their places.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    placed = written(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "ordinal")
     placed = placed.withColumns({"_part": F.shiftright("_id", 33), "_row": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id")
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", (F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
@@ -97,10 +101,33 @@ def sample_to_target(rows: DataFrame, order: list[Column], needed: int, seed: in
 
 
 def weighted_choice(rows: DataFrame, weight: str, order: list[str], seed: int = 0) -> DataFrame:
-    """One row with a chance in proportion to its weight; the table is a small configuration."""
-    total = F.sum(weight).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    upto = F.sum(weight).over(Window.orderBy(*order))
-    return rows.withColumns({"_total": total, "_upto": upto}).where(F.col("_upto") > F.col("_total") * seeded(F.lit("pick"), seed=seed)).orderBy(*order).limit(1).drop("_total", "_upto")
+    """One row with a chance in proportion to its weight: that with the earliest arrival of a process of its rate.
+
+    The row with the least -ln(u) / weight, u drawn per row, is the one; rows
+    without a weight above 0 are never drawn. One partial minimum per task.
+    """
+    arrival = -F.log(F.lit(1.0) - seeded(*[F.col(c) for c in order], seed=seed)) / F.col(weight)
+    return rows.where(F.col(weight) > 0).orderBy(arrival, *order).limit(1)
+
+
+def first_rows(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The first ``limit`` rows in order, as paged requests with a falling remainder give them; none for a limit of 0 or less."""
+    return rows.orderBy(*order).limit(max(limit, 0))
+
+
+def validation_draw(files: DataFrame, group: str, member: str, blocked: Column, n: int, most_failures: int = 10, seed: int = 0) -> DataFrame:
+    """Members to move out of each group: ``n`` drawn in a seeded order, leaving out blocked ones.
+
+    A group ends early once ``most_failures`` blocked members came in a row. A
+    blocked member is met once, as drawing it again could not succeed.
+    """
+    drawn = Window.partitionBy(group).orderBy(F.xxhash64(group, member, F.lit(seed)), member)
+    rows = files.withColumn("_bad", F.coalesce(blocked, F.lit(False)).cast("int"))
+    rows = rows.withColumns({"_place": F.row_number().over(drawn), "_good": F.sum(1 - F.col("_bad")).over(drawn)})
+    streak = Window.partitionBy(group, "_good").orderBy("_place")
+    rows = rows.withColumn("_streak", F.sum("_bad").over(streak))  # blocked ones since the last good one
+    ended = F.max((F.col("_streak") >= most_failures).cast("int")).over(drawn)
+    return rows.withColumn("_ended", ended).where((F.col("_bad") == 0) & (F.col("_ended") == 0) & (F.col("_good") <= n)).select(*files.columns)
 
 
 def bernoulli_words(words: Column, share: float, seed: int = 0) -> Column:

@@ -122,10 +122,10 @@ def label_sync(t):
     return t("documents").select("doc_id", T.join(T.sync_labels(T.parse(F.col("text")), ["lab"], ["the"])).alias("caption"))
 
 
-@query("SELECT doc_id, concat_ws(', ', nullif(replace(source, '_', ' '), ''), nullif(left(text, 40), '')) AS by_folder, concat_ws(', ', nullif(left(text, 40), ''), 'doc ' || doc_id) AS by_file FROM documents")
+@query("SELECT doc_id, concat_ws(', ', nullif(replace(source, '_', ' '), ''), nullif(text, '')) AS by_folder, concat_ws(', ', nullif(text, ''), 'doc ' || doc_id) AS by_file FROM documents")
 def caption_from_path(t):
-    short, stem = F.substring("text", 1, 40), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
-    return t("documents").select("doc_id", T.from_folder(short, F.col("source")).alias("by_folder"), T.from_file_name(short, stem).alias("by_file"))
+    stem = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
+    return t("documents").select("doc_id", T.from_folder(F.col("text"), F.col("source")).alias("by_folder"), T.from_file_name(F.col("text"), stem).alias("by_file"))
 
 
 # ---- text ----
@@ -229,24 +229,22 @@ def pair_first_extension(t):
     return J.pair_captions(t("orders").select(F.col("o_orderkey").alias("stem_path")), images, ["jpg", "png", "webp"])
 
 
-@query("""WITH w AS (SELECT c_custkey AS id, c_mktsegment AS name, c_name AS raw_name, c_nationkey AS folder FROM customer),
-r AS (SELECT 'seg' AS k, c_mktsegment AS name, c_nationkey AS folder, c_custkey AS seq, c_name AS caption FROM customer WHERE c_custkey % 7 = 0)
-SELECT w.id, w.name, w.folder, arg_min(r.caption, struct_pack(a := w.folder <> r.folder, b := r.seq)) AS caption FROM w LEFT JOIN r ON w.name = r.name GROUP BY ALL""")
+@query("""WITH w AS (SELECT c_custkey AS id, c_mktsegment AS name, c_nationkey AS folder, c_name AS caption FROM customer),
+same AS (SELECT name, folder, arg_min(caption, id) AS c FROM w GROUP BY ALL), anywhere AS (SELECT name, arg_min(caption, id) AS c FROM w GROUP BY ALL)
+SELECT w.id, w.name, w.folder, coalesce(same.c, anywhere.c) AS caption FROM w LEFT JOIN same USING (name, folder) LEFT JOIN anywhere USING (name)""")
 def transfer_preferred(t):
     c = t("customer")
     work = c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("name"), F.col("c_name").alias("raw_name"), F.col("c_nationkey").alias("folder"))
-    ref = c.where("c_custkey % 7 = 0").select(F.col("c_mktsegment").alias("name"), F.col("c_nationkey").alias("folder"), F.col("c_custkey").alias("seq"), F.col("c_name").alias("caption"))
+    ref = c.select(F.col("c_mktsegment").alias("name"), F.col("c_nationkey").alias("folder"), F.col("c_custkey").alias("seq"), F.col("c_name").alias("caption"))
     return J.transfer(work, ref).select("id", "name", "folder", "caption")
 
 
-@query("""WITH l AS (SELECT p_partkey || '/' || p_size AS path, p_size || '' AS base FROM part), r AS (SELECT ps || '/' || sz AS path, sz || '' AS base FROM (SELECT p_partkey AS ps, p_size AS sz FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 0, p_size FROM part WHERE p_partkey % 5 = 0)),
+@query("""WITH l AS (SELECT p_partkey || '/' || p_size AS path, p_size || '' AS base FROM part), r AS (SELECT l_partkey || '/' || l_quantity::INT AS path, l_quantity::INT || '' AS base FROM lineitem),
 a AS (SELECT DISTINCT l.path FROM l JOIN r USING (path)), s AS (SELECT base FROM l GROUP BY base HAVING count(*) = 1), o AS (SELECT DISTINCT base FROM r WHERE path NOT IN (SELECT path FROM a))
 SELECT l.path, l.base, CASE WHEN a.path IS NOT NULL THEN 'path' WHEN l.base IN (SELECT base FROM s) AND l.base IN (SELECT base FROM o) THEN 'base' END AS chosen FROM l LEFT JOIN a USING (path)""")
 def reconcile_refs(t):
-    part = t("part")
-    row = lambda df, k: df.select(F.concat_ws("/", k, "p_size").alias("path"), F.col("p_size").cast("string").alias("base"))
-    refs = row(part.where("p_partkey % 3 = 0"), F.col("p_partkey")).union(row(part.where("p_partkey % 5 = 0"), F.lit(0)))
-    return J.reconcile(refs, row(part, F.col("p_partkey")))
+    row = lambda df, key, size: df.select(F.concat_ws("/", key, F.col(size).cast("int")).alias("path"), F.col(size).cast("int").cast("string").alias("base"))
+    return J.reconcile(row(t("lineitem"), "l_partkey", "l_quantity"), row(t("part"), "p_partkey", "p_size"))
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
@@ -266,21 +264,21 @@ def local_vs_manifest_first_location(t):
     return J.locate(t("part").select(F.col("p_partkey").alias("sha")), m, "sha", [F.col("repo"), F.col("path"), F.col("l_linenumber")])
 
 
-@query("""WITH a AS (SELECT user_id, date_trunc('day', ts)::DATE AS day, max(value) AS used, min(value) AS low, max(event_id) AS last_id FROM events WHERE event_id % 2 = 0 GROUP BY ALL),
-b AS (SELECT user_id, date_trunc('day', ts)::DATE AS day, max(value) AS used, min(value) AS low, max(event_id) AS last_id FROM events WHERE event_id % 3 = 0 GROUP BY ALL)
+@query("""WITH a AS (SELECT user_id, date_trunc('day', ts)::DATE AS day, max(value) AS used, min(value) AS low, max(event_id) AS last_id FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL),
+b AS (SELECT user_id, date_trunc('day', ts)::DATE AS day, max(value) AS used, min(value) AS low, max(event_id) AS last_id FROM events WHERE event_type NOT IN ('click', 'view') GROUP BY ALL)
 SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.day, b.day) AS day, greatest(a.used, b.used) AS used, least(a.low, b.low) AS low, coalesce(b.last_id, a.last_id) AS last_id FROM a FULL JOIN b ON a.user_id = b.user_id AND a.day = b.day""")
 def history_merge(t):
-    state = lambda k: t("events").where(f"event_id % {k} = 0").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.max("value").alias("used"), F.min("value").alias("low"), F.max("event_id").alias("last_id"))
-    return J.merge_history(state(2), state(3), ["user_id", "day"], ["used"], ["low"], [], ["last_id"])
+    passive = F.col("event_type").isin("click", "view")
+    state = lambda side: t("events").where(side).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.max("value").alias("used"), F.min("value").alias("low"), F.max("event_id").alias("last_id"))
+    return J.merge_history(state(passive), state(~passive), ["user_id", "day"], ["used"], ["low"], [], ["last_id"])
 
 
-@query("""WITH e AS (SELECT l_partkey AS repo, l_suppkey AS path, min(l_quantity) AS q FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL)
-SELECT s.s_suppkey AS path, d.repo, CASE WHEN e.q IS NULL THEN 'upload' WHEN e.q = 10 THEN 'same' ELSE 'skip' END AS action
-FROM supplier s CROSS JOIN (SELECT p_partkey AS repo FROM part WHERE p_partkey <= 20) d LEFT JOIN e ON e.repo = d.repo AND e.path = s.s_suppkey""")
+@query("""SELECT s.s_suppkey AS path, n.n_nationkey AS repo, CASE WHEN c.c_custkey IS NULL THEN 'upload' WHEN c.c_nationkey = s.s_nationkey THEN 'same' ELSE 'skip' END AS action
+FROM supplier s CROSS JOIN nation n LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey AND c.c_custkey = s.s_suppkey""")
 def upload_plan(t):
-    files = t("supplier").select(F.col("s_suppkey").cast("string").alias("path"), F.lit("10.0").alias("sha256"))
-    places = t("part").where("p_partkey <= 20").select(F.col("p_partkey").alias("repo"), F.lit("").alias("prefix"))
-    there = t("lineitem").where("l_linenumber = 1").groupBy(F.col("l_partkey").alias("repo"), F.col("l_suppkey").cast("string").alias("path")).agg(F.min("l_quantity").cast("string").alias("sha256"))
+    files = t("supplier").select(F.col("s_suppkey").cast("string").alias("path"), F.col("s_nationkey").alias("sha256"))
+    places = t("nation").select(F.col("n_nationkey").alias("repo"), F.lit("").alias("prefix"))
+    there = t("customer").select(F.col("c_nationkey").alias("repo"), F.col("c_custkey").cast("string").alias("path"), F.col("c_nationkey").alias("sha256"))
     return J.plan_uploads(files, places, there, F.lit("skip")).select(F.col("path").cast("long").alias("path"), "repo", "action")
 
 
@@ -452,7 +450,8 @@ def weighted_source(t):
     return O.weighted_choice(t("documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")), "n", ["source"], seed=1)
 
 
-@query()
+@query("""SELECT doc_id, list_reduce(list_prepend({'c': 0::BIGINT, 's': 0::BIGINT, 'm': 0::BIGINT}, list_transform(string_split(text, chr(10)), lambda x: {'c': 0::BIGINT, 's': strlen(x) + 1, 'm': 0::BIGINT})),
+lambda a, b: {'c': a.c + CASE WHEN a.s + b.s >= 1000 THEN 1 ELSE 0 END, 's': CASE WHEN a.s + b.s >= 1000 THEN 0 ELSE a.s + b.s END, 'm': a.c}).m::INT AS last_chunk FROM documents""")
 def greedy_size_split(t):
     lengths = F.transform(F.split("text", "\n"), lambda x: F.octet_length(x) + 1)
     return t("documents").select("doc_id", F.array_max(O.greedy_split(lengths, 1000)).alias("last_chunk"))
@@ -476,22 +475,25 @@ def except_sets(t):
     return t("nation").select(F.col("n_nationkey").alias("k")).exceptAll(t("supplier").where("s_acctbal > 9000").select("s_nationkey").distinct()).distinct()
 
 
-@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) WHERE k = 1 AND event_id NOT IN (SELECT event_id FROM events WHERE event_id % 10 = 0)")
+@query("""WITH k AS (SELECT event_id, ts, user_id, value::INT AS v, ts >= TIMESTAMP '2024-01-15' AS later FROM events)
+SELECT user_id, v, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, v ORDER BY ts, event_id) AS n FROM k WHERE later) x
+WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM k s WHERE NOT s.later AND s.user_id = x.user_id AND s.v = x.v)""")
 def seen_set(t):
-    first = O.keep_newest(t("events"), ["user_id", "event_type"], [F.col("ts"), F.col("event_id")], 1).select("user_id", "event_type", "event_id")
-    return first.join(t("events").where("event_id % 10 = 0").select("event_id"), "event_id", "left_anti").select("user_id", "event_type", "event_id")
+    rows = t("events").select("event_id", "ts", "user_id", F.bround("value").cast("int").alias("v"), (F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")).alias("later"))
+    first = O.keep_newest(rows.where("later"), ["user_id", "v"], [F.col("ts"), F.col("event_id")], 1)
+    return J.without_partner(first, rows.where("NOT later"), ["user_id", "v"]).select("user_id", "v", "event_id")
 
 
 # ---- vectors ----
 
 
-@query("""SELECT v.vec_id, arg_min(k.name, k.seq) AS name, round(arg_min(d, k.seq), 6) AS distance FROM (SELECT vec_id FROM embeddings) v LEFT JOIN (
-SELECT a.vec_id, 'v' || b.vec_id AS name, b.vec_id AS seq, sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2))) AS d
-FROM embeddings a, embeddings b WHERE b.vec_id < 20) k ON k.vec_id = v.vec_id AND d <= 4.0 GROUP BY v.vec_id""")
+@query("""WITH k AS (SELECT 'v' || label AS name, label AS seq, arg_min(embedding, vec_id) AS e FROM embeddings GROUP BY label)
+SELECT v.vec_id, arg_min(k.name, k.seq) AS name, round(arg_min(d, k.seq), 6) AS distance FROM (SELECT vec_id FROM embeddings) v LEFT JOIN (
+SELECT a.vec_id, k.name, k.seq, sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: (a.embedding[i]::DOUBLE - k.e[i]::DOUBLE) ** 2))) AS d FROM embeddings a, k) k ON k.vec_id = v.vec_id AND d <= 1.2 GROUP BY v.vec_id""")
 def theta_first_match(t):
-    vectors = t("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    known = vectors.where("vec_id < 20").select(F.concat(F.lit("v"), F.col("vec_id")).alias("name"), "embedding", F.col("vec_id").alias("seq"))
-    return J.theta_first_match(vectors, known, 4.0)
+    vectors = t("embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    known = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding")).select(F.concat(F.lit("v"), F.col("label")).alias("name"), "embedding", F.col("label").alias("seq"))
+    return J.theta_first_match(vectors.drop("label"), known, 1.2)
 
 
 @query("""SELECT vec_id, round(list_sum(list_transform(range(1, len(e) + 1), lambda i: abs(e[i] - r[i]))), 6) AS l1, round(sqrt(list_sum(list_transform(range(1, len(e) + 1), lambda i: (e[i] - r[i]) ** 2))), 6) AS l2,
@@ -524,12 +526,12 @@ def purge_predicate(t):
     return rows.where(P.purge(F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity"), F.col("multiplier"), 0, 50, 10, 20)).select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT p_partkey, p_size < 20 OR length(p_name) < 12 AS small_or, p_size < 20 AND length(p_name) < 20 AND p_size * length(p_name) < 400 AS small_and, p_size * length(p_name) >= 100 AND p_size * length(p_name) <= 900 AS in_bounds FROM part")
+@query("SELECT p_partkey, p_size < 20 OR length(p_name) < 12 AS small_or_sides, p_size < 15 OR length(p_name) < 15 AS small_or, p_size < 20 AND length(p_name) < 20 AND p_size * length(p_name) < 400 AS small_and, p_size * length(p_name) >= 100 AND p_size * length(p_name) <= 900 AS in_bounds FROM part")
 def size_predicates(t):
     from loomline.operators import filters as P
 
     w, h = F.col("p_size"), F.length("p_name")
-    return t("part").select("p_partkey", ((w < 20) | (h < 12)).alias("small_or"), P.small_and(w, h, 20).alias("small_and"), (P.size_error(w, h, 10, 30).isNull()).alias("in_bounds"))
+    return t("part").select("p_partkey", ((w < 20) | (h < 12)).alias("small_or_sides"), P.small_or(w, h, 15).alias("small_or"), P.small_and(w, h, 20).alias("small_and"), (P.size_error(w, h, 10, 30).isNull()).alias("in_bounds"))
 
 
 @query("""SELECT user_id, coalesce(arg_max(v, struct_pack(t := ts, e := event_id)) FILTER (WHERE event_type = 'purchase' AND v IS NOT NULL), max(v) FILTER (WHERE event_type = 'click'), min(v), 0) AS effective FROM (SELECT *, CASE WHEN value > 50 THEN value END AS v FROM events) GROUP BY user_id""")
@@ -580,7 +582,7 @@ def simplified_prompts(t):
     return t("documents").select("doc_id", X.simplify_prompt(F.col("text")).alias("prompt"))
 
 
-@query()
+@query("""SELECT p_partkey, lpad(lower(to_hex(list_reduce(list_prepend(2166136261::UBIGINT, list_transform(range(1, length(p_name) + 1), lambda i: ord(p_name[i])::UBIGINT)), lambda h, b: (xor(h, b) * 16777619) % 4294967296::UBIGINT))), 8, '0') AS h FROM part""")
 def fnv_hash(t):
     from loomline.functions.boxes import fnv1a
 
@@ -693,3 +695,6 @@ def response_outcomes(t):
 
     message = F.when(F.col("props").contains("1"), "Rate limit reached").otherwise("done")
     return t("events").select("event_id", P.outcome(F.lit(200), message).alias("outcome"))
+
+
+from loomline import more_queries  # noqa: E402, F401  (registers the rest)

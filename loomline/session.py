@@ -27,12 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
     Where the session leaves that setting out (local tests), a folder of this
-    machine is taken, which is right only for a local master.
+    machine is taken; with another master than a local one that raises, as other
+    machines would not see it. What is written there stays until the folder is
+    cleared: results are read from it later.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="loomline-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -54,6 +58,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in the shared folder; its files go with the DataFrame."""
+    """``df.checkpoint()`` in the shared folder; its files stay there unless spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -7,6 +7,8 @@ import fnmatch
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.session import written
+
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "webp", "bmp", "gif")
 
 
@@ -112,18 +114,24 @@ def json_lines(bodies: DataFrame, column: str, schema: str) -> DataFrame:
     return bodies.select(*[c for c in bodies.columns if c != column], F.explode(F.filter(parts, lambda r: r.isNotNull())).alias("record")).where(F.to_json("record") != "{}")
 
 
-def harvest(bodies: DataFrame, column: str, depth: int = 4) -> DataFrame:
-    """Every object that has an ``id``, at any place of a JSON document down to ``depth``, once per id.
+def harvest(bodies: DataFrame, column: str) -> DataFrame:
+    """Every object that has an ``id``, at any place of a JSON document, once per id.
 
-    Each level is one pass of ``variant_explode``; nothing is parsed in Python.
+    Each level is one pass of ``variant_explode`` over a written table; the last
+    level is the one that has no objects or arrays left, however deep that is.
+    Nothing is parsed in Python.
     """
     keep = [c for c in bodies.columns if c != column]
     level = bodies.select(*keep, F.try_parse_json(F.col(column)).alias("v")).where("v IS NOT NULL")
     found = None
-    for _ in range(depth + 1):
+    while True:
+        level = written(level, "harvest-level")
         here = level.where("try_variant_get(v, '$.id', 'string') IS NOT NULL").selectExpr(*keep, "try_variant_get(v, '$.id', 'string') AS id", "to_json(v) AS object")
         found = here if found is None else found.unionByName(here)
-        level = level.where("schema_of_variant(v) LIKE 'OBJECT%' OR schema_of_variant(v) LIKE 'ARRAY%'").lateralJoin(bodies.sparkSession.tvf.variant_explode(F.col("v").outer())).select(*keep, F.col("value").alias("v"))
+        level = level.where("schema_of_variant(v) LIKE 'OBJECT%' OR schema_of_variant(v) LIKE 'ARRAY%'")
+        if level.isEmpty():
+            break
+        level = level.lateralJoin(bodies.sparkSession.tvf.variant_explode(F.col("v").outer())).select(*keep, F.col("value").alias("v"))
     return found.groupBy(*keep, "id").agg(F.min("object").alias("object"))
 
 

@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline import queries as Q
+from loomline import session
 from loomline.operators import joins as J
+from loomline.operators import ordering as O
+from loomline.sources import files as S
 
 START = datetime(2026, 1, 1)
 
@@ -58,3 +61,58 @@ def test_clusters_by_rounds(spark, monkeypatch, most):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
     got = J.online_clusters(df.repartition(3), "vec_id", 0.8)
     assert len(exemplars) > 14 and sorted(map(tuple, got.collect())) == want
+
+
+def test_places_of_wide_rows(spark):
+    """More rows than a range sample holds, with a payload that later plans prune: every place once, in order."""
+    n = 150_000
+    rows = spark.range(n).select(F.xxhash64("id").alias("k"), "id", F.repeat(F.lit("x"), 40).alias("payload")).repartition(8)
+    placed = O.ordinal(rows, [F.col("k"), F.col("id")])
+    assert placed.agg(F.count_distinct("place"), F.min("place"), F.max("place")).first() == (n, 0, n - 1)
+    wrong = placed.select("k", "place").join(placed.select((F.col("place") + 1).alias("place"), F.col("k").alias("before")), "place").where("before > k").count()
+    assert wrong == 0 and placed.where("length(payload) = 40").count() == n
+
+
+def test_transfer_prefers_the_folder(spark):
+    work = spark.createDataFrame([(1, "a", "a", "x"), (2, "a", "a", "z"), (3, "c", "b", "x"), (4, "q", "q", None), (5, "a", "b", "x")], "id long, name string, raw_name string, folder string")
+    ref = spark.createDataFrame([("a", "x", 5, "ax5"), ("a", "x", 3, "ax3"), ("a", "y", 1, "ay1"), ("b", "y", 2, "by2")], "name string, folder string, seq long, caption string")
+    assert {r["id"]: r["caption"] for r in J.transfer(work, ref).collect()} == {1: "ax3", 2: "ay1", 3: "by2", 4: None, 5: "ax3"}
+
+
+def test_harvest_of_deep_documents(spark):
+    body = '{"id": 0, "a": ' * 12 + "1" + "}" * 12
+    rows = spark.createDataFrame([(1, body.replace('"id": 0', '"id": %d') % tuple(range(12))), (2, "no json"), (3, None)], "k long, body string")
+    assert sorted((r["k"], r["id"]) for r in S.harvest(rows, "body").collect()) == sorted((1, str(i)) for i in range(12))
+
+
+def test_validation_draw_ends_after_failures_in_a_row(spark):
+    rows = spark.range(40).select(F.lit("g").alias("g"), "id")
+    order = [r["id"] for r in O.validation_draw(rows, "g", "id", F.lit(False), 40, seed=1).orderBy(F.xxhash64("g", "id", F.lit(1)), "id").collect()]
+    assert len(order) == 40
+    bad = order[3:6]
+    for most, want in ((3, order[:3]), (4, order[:3] + order[6:11])):
+        got = O.validation_draw(rows, "g", "id", F.col("id").isin(bad), 8, most_failures=most, seed=1)
+        assert {r["id"] for r in got.collect()} == set(want)
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        sparkContext = Context()
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Session())
+
+
+def test_drawn_source_follows_weights(spark):
+    rows = spark.createDataFrame([("a", 0.0), ("b", 1.0), ("c", 9.0)], "name string, w double")
+    drawn = [O.weighted_choice(rows, "w", ["name"], seed=k).first()["name"] for k in range(40)]
+    assert set(drawn) == {"b", "c"} and drawn.count("c") > 25
