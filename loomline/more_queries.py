@@ -22,9 +22,9 @@ cat = F.concat
 # ---- numbering and order ----
 
 
-@query("SELECT *, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS place FROM lineitem")
+@query("SELECT *, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_tax) - 1 AS place FROM lineitem")
 def numbered_rows(t):
-    return O.ordinal(t("lineitem"), [F.col("l_shipdate"), F.col("l_orderkey"), F.col("l_linenumber")])
+    return O.ordinal(t("lineitem"), [F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_tax")])
 
 
 @query("SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_type LIKE 'S%' THEN 1 WHEN p_type LIKE 'P%' THEN 2 ELSE 3 END, p_partkey) AS k FROM part")
