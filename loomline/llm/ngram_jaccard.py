@@ -12,7 +12,7 @@
    long ones are probed for the few that can still reach T. Large blocks are cut
    into chunks by set size and hash, and only pairs of chunks whose sizes can
    link are searched. Two classes that meet in several blocks are judged in the
-   first of them alone.
+   first of them alone, and blocks that could add no pair are left out.
 5. Links give components.
 
 Two linked sets differ in at most a third of the smaller one's size, and the
@@ -51,7 +51,7 @@ NEED = 13
 FIRST = 32
 #: Shingles of a chunk at most; blocks beyond FINE_SHINGLES are cut into up to FINE_CHUNKS smaller ones for an even load.
 CHUNK_SHINGLES = 2_000_000
-FINE_SHINGLES, FINE_CHUNKS = 50_000, 8
+FINE_SHINGLES, FINE_CHUNKS = 100_000, 6
 #: Sizes of linked sets lie in one band or in two neighbours: bands grow by a little more than 4/3.
 BAND = 1.34
 #: DivideSkip's weight of a probe against a merge step.
@@ -231,6 +231,10 @@ def _cells(candidates: DataFrame) -> DataFrame:
     heads = candidates.select("class", "n", F.explode(F.slice("tokens", F.lit(1), prefix)).alias("token"))
     leaders = heads.groupBy("token").agg(F.min("class").alias("block"), F.max("class").alias("hi")).where("block <> hi").select("token", "block")
     members = written(heads.join(leaders, "token").select("class", "n", "block").distinct(), "jaccard-members")
+    # a block whose members all have one smaller first leader adds nothing: every pair of them meets in that one's block
+    first = members.groupBy("class").agg(F.min("block").alias("first"))
+    ends = members.join(first, "class").groupBy("block").agg(F.min("first").alias("lo"), F.max("first").alias("hi"))
+    members = members.join(ends.where("lo <> hi OR lo = block").select("block"), "block", "left_semi")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND))
     members = members.withColumn("band", band)
     count = F.greatest(F.ceil(F.col("x") / CHUNK_SHINGLES), F.least(F.lit(FINE_CHUNKS), F.ceil(F.col("x") / FINE_SHINGLES)))
