@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's docs. All but the last return the
-columns of ``documents``; a stage works on all that its predecessor kept.
+columns of ``documents``; a stage works on all that its predecessor kept. Null
+ids, null and empty texts, ties, repeated rows, empty tables and extra columns
+follow the operators' own rules: see quality_rules.keep_clean,
+ngram_jaccard.keep_one, suffix_dedup.without_repeats,
+decontaminate.without_benchmark and byte_bpe.round_trip.
 """
 
 from __future__ import annotations

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 #: Characters after which a long text is cut at the next safe boundary.
 PIECE_CHARS = 50_000
-#: Cut before white space that follows another character: no match of the pre-split pattern spans that place.
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+#: Cut before white space that follows another character: no match of the pre-split pattern spans that place. U+001C to U+001F are
+#: white space for Python alone, so they are neither.
+_SAFE = re.compile(r"(?<=\S)(?=[^\S\x1c-\x1f])")
 
 
 @functools.lru_cache(maxsize=4)

@@ -142,9 +142,12 @@ def scan(docs: DataFrame, licenses: DataFrame) -> DataFrame:
     lower-cased, copyright lines out, equivalent spellings made one, punctuation
     and runs of white space made one space. All follows from the canonical text,
     so equal documents are looked up once; lines whose length no known notice
-    has are not digested. The known table must name each (kind, digest) once.
+    has are not digested. Of known texts with one digest the smallest name counts.
+    An empty table gives no rows; repeated rows give repeated results; whole
+    texts are read, however long; other columns are not read.
     """
     spark = docs.sparkSession
+    licenses = licenses.groupBy("kind", "digest").agg(F.min("license").alias("license"), F.min("chars").alias("chars"))
     shape = licenses.agg(F.collect_set(F.when(F.col("kind") == "notice", F.col("chars"))).alias("notice"), F.collect_set(F.when(F.col("kind") == "text", F.col("chars"))).alias("text"), F.count(F.lit(1)).alias("n")).first()
     licenses = F.broadcast(licenses) if shape["n"] <= BROADCAST_ROWS else licenses
     lengths = lambda x: F.array(*[F.lit(i) for i in sorted(x)]).cast("array<int>")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from loomline.llm.arrow_text import mix, powers, prefix_sums, slices
+from loomline.llm.arrow_text import fresh, mix, powers, prefix_sums, slices
 from loomline.session import written
 
 LENGTH = 200
@@ -374,9 +374,10 @@ def kept_parts(data: bytes, spans: list[tuple[int, int]] | np.ndarray) -> tuple[
 
 def _apply(docs: DataFrame, make, fields: list[StructField]) -> DataFrame:
     """The docs' columns, with what ``make(text bytes, spans)`` returns as further columns."""
-    spans = _by_text(repeated_spans(docs), ["tag", "lo", "hi"], F.col("tag")).select(F.col("id").alias("_span_id"), F.col("_tag").alias("_span_tag"), F.col("rows").alias("_spans"))
-    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_span_id")) & (_text_tag() == F.col("_span_tag")), "left").drop("_span_id", "_span_tag")
     names = docs.columns
+    span_id, span_tag, found = fresh(names, "span_id", "span_tag", "spans")
+    spans = _by_text(repeated_spans(docs), ["tag", "lo", "hi"], F.col("tag")).select(F.col("id").alias(span_id), F.col("_tag").alias(span_tag), F.col("rows").alias(found))
+    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col(span_id)) & (_text_tag() == F.col(span_tag)), "left").drop(span_id, span_tag)
     place = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,7 +423,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         return (kept_parts(data, spans)[0].decode("utf-8", "ignore"),)
 
     names = docs.columns
-    cut = _apply(docs, make, [StructField("_kept", StringType())])
-    text = F.when(F.col("text").isNotNull(), F.col("_kept")).alias("text")
-    count = F.length("_kept").cast(docs.schema["n_chars"].dataType).alias("n_chars") if "n_chars" in names else None
+    (kept,) = fresh(names, "kept")
+    cut = _apply(docs, make, [StructField(kept, StringType())])
+    text = F.when(F.col("text").isNotNull(), F.col(kept)).alias("text")
+    count = F.length(kept).cast(docs.schema["n_chars"].dataType).alias("n_chars") if "n_chars" in names else None
     return cut.select(*[text if c == "text" else count if c == "n_chars" else F.col(f"`{c}`") for c in names])

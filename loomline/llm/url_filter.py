@@ -82,7 +82,13 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
 
 
 def url_filter(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """page_id, host, path, rule, verdict of every page; other columns are not read."""
+    """page_id, host, path, rule, verdict of every page, by the rules of ``judge``.
+
+    A null url, or one without ``://``, has an empty host and path and the
+    default verdict; whole urls are judged, however long; repeated rows give
+    repeated results; an empty table gives no rows. Rules with a null part fit
+    nothing; without rules all is allowed. Other columns are not read.
+    """
     judged = judge(pages.select("page_id", "url"), rules)
     return judged.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))
 
