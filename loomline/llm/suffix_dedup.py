@@ -93,27 +93,24 @@ def _text_tag() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit(_TAG))
 
 
-def _anchor_rows(docs: DataFrame, grams_only: bool = False) -> DataFrame:
-    """gram, window (hash of the surroundings), id, at (place in the text, then the text's tag) of every anchor; or gram alone."""
+def _anchor_rows(docs: DataFrame) -> DataFrame:
+    """gram, window (hash of the surroundings), id, place in the text and text tag of every anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for a, b, data, offsets in slices(batch.column(1)):
                 places, grams = anchors(data, offsets)
-                if grams_only:
-                    yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], ["gram"])
-                    continue
                 row = np.searchsorted(offsets, places, "right") - 1
                 lo = np.maximum(offsets[row], places - (LENGTH - GRAM))
                 hi = np.minimum(offsets[row + 1], places + LENGTH)
                 view, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_64_intdigest
                 windows = np.array([digest(view[x:y], p) for x, y, p in zip(lo.tolist(), hi.tolist(), (places - lo).tolist(), strict=True)], np.uint64)
-                tags = np.array([text_tag(view[x:y]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int64)
-                at = ((places - offsets[row]) << 31) | tags[row]
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(windows.view(np.int64)), ids.slice(a, b - a).take(pa.array(row)), pa.array(at)], ["gram", "window", "id", "at"])
+                tags = np.array([text_tag(view[x:y]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int32)
+                columns = [grams.view(np.int64), windows.view(np.int64), ids.slice(a, b - a).take(pa.array(row)), (places - offsets[row]).astype(np.int32), tags[row]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "window", "id", "place", "tag"])
 
-    return docs.mapInArrow(run, "gram long" + ", window long, id long, at long" * (not grams_only))
+    return docs.mapInArrow(run, "gram long, window long, id long, place int, tag int")
 
 
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -262,9 +259,10 @@ def _with_text(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """id, tag (of the text), lo, hi of spans covered by repeated strings; spans may overlap."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = _anchor_rows(docs)
-    twice = written(_anchor_rows(docs, grams_only=True).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "suffix-grams")
-    some = written(every.join(twice, "gram", "left_semi"), "suffix-anchors")
+    every = written(_anchor_rows(docs), "suffix-places")  # read twice: the grams alone, then what repeats
+    twice = written(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "suffix-grams")
+    at = F.shiftleft(F.col("place").cast("long"), 31).bitwiseOR(F.col("tag").cast("long")).alias("at")
+    some = written(every.join(twice, "gram", "left_semi").select("gram", "window", "id", at), "suffix-anchors")
     windows = some.groupBy("gram", "window").agg(F.count(F.lit(1)).alias("n"), F.first("id").alias("id"), F.first("at").alias("at"))
     place, tag = F.shiftright("at", 31), F.col("at").bitwiseAND((1 << 31) - 1)
 
