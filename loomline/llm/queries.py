@@ -71,4 +71,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_token_records, op4_quality_rules, op5_warc, op6_html_extract, op7_license_scan, op8_ngram_jaccard, op9_decontaminate, op10_byte_bpe)}
 
-ORACLES = {"op2_url_filter": url_filter.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op7_license_scan": license_scan.oracle(), "op8_ngram_jaccard": ngram_jaccard.ORACLE}
+ORACLES = {"op2_url_filter": url_filter.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op5_warc": warc.ORACLE, "op7_license_scan": license_scan.oracle(), "op8_ngram_jaccard": ngram_jaccard.ORACLE}

@@ -320,3 +320,12 @@ def round_trip(pages: DataFrame) -> DataFrame:
         "record_type",
         number("refers_to").alias("refers_to"),
     )
+
+
+#: Groups whole payloads, not digests, so that it does not share the operator's way of finding copies.
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+stored AS (SELECT h, min(page_id) AS first_id FROM p WHERE strlen(h) >= 100 GROUP BY h),
+j AS (SELECT page_id, h, CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to FROM p LEFT JOIN stored USING (h))
+SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM j
+"""
