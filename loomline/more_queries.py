@@ -506,3 +506,29 @@ def first_limit_locks(spark: SparkSession, sf_dir: str):
     locks = U.run_to_end(U.limit_locks(rows), "locks")
     first = locks.groupBy("key").agg(F.min(F.struct("reached_at", "renew_at")).alias("l"))
     return first.select("key", F.col("l.reached_at").cast("timestamp_ntz").alias("reached_at"), F.col("l.renew_at").cast("timestamp_ntz").alias("renew_at"))
+
+
+@_streamed("""WITH e AS (SELECT user_id AS key, event_id, ts, event_type = 'purchase' AS fix FROM events),
+b AS (SELECT *, sum(CASE WHEN fix THEN -1 ELSE 1 END) OVER (PARTITION BY key ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS b FROM e),
+m AS (SELECT *, min(b) OVER (PARTITION BY key ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM b),
+l AS (SELECT *, lag(event_id) OVER level AS item, lag(ts) OVER level AS since FROM m WHERE NOT fix OR b >= least(coalesce(low, 0), 0)
+  WINDOW level AS (PARTITION BY key, CASE WHEN fix THEN b + 1 ELSE b END ORDER BY ts, event_id))
+SELECT key, item, event_id AS flagged_by FROM l WHERE fix AND ts < since + INTERVAL 1 DAY""")
+def late_flags(spark: SparkSession, sf_dir: str):
+    """Purchases correct the newest open event of their user of the day before them."""
+    rows = U.whole_table(spark, f"{sf_dir}/events.parquet")
+    kind = F.when(F.col("event_type") == "purchase", "corrected").otherwise("counted")
+    rows = rows.select(F.col("user_id").alias("key"), kind.alias("kind"), F.col("event_id").alias("item"), F.lit(None).cast("long").alias("exact"), "ts")
+    return U.run_to_end(U.late_corrections(rows), "late")
+
+
+@_streamed("""WITH e AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS key, ts, event_id, CASE event_type WHEN 'purchase' THEN 'saved' WHEN 'view' THEN 'failed' ELSE 'final' END AS kind FROM events),
+f AS (SELECT *, lag(kind) OVER (PARTITION BY key ORDER BY ts, event_id) AS before FROM e),
+g AS (SELECT *, count(*) FILTER (kind = 'saved' AND before = 'final') OVER (PARTITION BY key ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS saved FROM f)
+SELECT key, event_id FROM g WHERE kind = 'final' AND before IS DISTINCT FROM 'final' AND saved = 0""")
+def started_fetches(spark: SparkSession, sf_dir: str):
+    """Fetches of a user and day: views fail them, purchases save them, other events are final."""
+    rows = U.whole_table(spark, f"{sf_dir}/events.parquet")
+    kind = F.when(F.col("event_type") == "purchase", "saved").when(F.col("event_type") == "view", "failed").otherwise("final")
+    rows = rows.select(F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("key"), kind.alias("kind"), "event_id", "ts")
+    return U.run_to_end(U.fetched_once(rows), "fetches")

@@ -173,6 +173,77 @@ def limit_locks(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     return keyed.applyInPandasWithState(step, out, "reached long, renew long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def late_corrections(stream: DataFrame, keep_s: int = 86_400, delay: str = "1 hour") -> DataFrame:
+    """key, item, flagged_by of every counted item that a later correction flags.
+
+    Events are (key, kind counted or corrected, item, exact, ts). A correction
+    flags the item that ``exact`` names; where that is null, unknown, expired or
+    flagged already, the newest unflagged item of its key. An item can be flagged
+    for ``keep_s`` seconds; a correction that finds none is lost. Repeated items
+    count once, events without an item are left out, other kinds do nothing.
+    """
+    out = "key long, item long, flagged_by long"
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = dict(zip(*state.get, strict=True)) if state.exists else {}  # unflagged items, oldest first
+        found = []
+        for kind, item, exact, ts in pd.concat(list(batches)).sort_values(["ts", "item"])[["kind", "item", "exact", "ts"]].itertuples(index=False):
+            now = int(ts.value // 1000)
+            while held and held[oldest := next(iter(held))] + keep_s * 1_000_000 <= now:
+                del held[oldest]
+            if kind == "counted":
+                held.setdefault(int(item), now)
+            elif kind == "corrected" and held:
+                meant = next(reversed(held)) if pd.isna(exact) or int(exact) not in held else int(exact)
+                del held[meant]
+                found.append((key[0], meant, int(item)))
+        if held:
+            state.update((list(held), list(held.values())))
+            state.setTimeoutTimestamp(max(max(held.values()) // 1000 + keep_s * 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        if found:
+            yield pd.DataFrame(found, columns=["key", "item", "flagged_by"])
+
+    keyed = stream.where("item IS NOT NULL").withWatermark("ts", delay).groupBy("key")
+    return keyed.applyInPandasWithState(step, out, "items array<long>, ats array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def fetched_once(stream: DataFrame, keep_s: int = 86_400, delay: str = "1 hour") -> DataFrame:
+    """key, event_id of every finished event that starts a fetch.
+
+    Events are (key, kind final, saved or failed, event_id, ts); events of
+    several shapes meet under one key. A final event starts a fetch unless one of
+    its key is under way or was saved. A failure lets the next final event try
+    again. A key is forgotten ``keep_s`` seconds after its newest event.
+    """
+    out = "key string, event_id long"
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        (at,) = state.get if state.exists else ("idle",)
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        found = []
+        for kind, event_id in rows[["kind", "event_id"]].itertuples(index=False):
+            if kind == "final" and at == "idle":
+                at = "under way"
+                found.append((key[0], event_id))
+            elif at == "under way" and kind in ("saved", "failed"):
+                at = "saved" if kind == "saved" else "idle"
+        state.update((at,))
+        state.setTimeoutTimestamp(max(int(rows["ts"].iloc[-1].value // 1_000_000) + keep_s * 1000, state.getCurrentWatermarkMs() + 1))
+        if found:
+            yield pd.DataFrame(found, columns=["key", "event_id"])
+
+    keyed = stream.withWatermark("ts", delay).groupBy("key")
+    return keyed.applyInPandasWithState(step, out, "at string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def notifications(rows: DataFrame, key: list[str], message: str, quiet_s: int = 60) -> DataFrame:
     """Messages without exact repeats of the one before within the quiet time."""
     from pyspark.sql import Window
