@@ -67,3 +67,16 @@ def test_token_files_roll(spark, sf, monkeypatch):
     assert manifest.select("shard").distinct().count() > 4 and manifest.where("part > 2").count()
     rolled = token_records.read_records(spark, manifest).orderBy("shard", "part", "seq").select(*fields).collect()
     assert [tuple(r) for r in rolled] == [tuple(r[k] for k in fields) for r in plain]
+
+
+def test_sql_on_odd_pages(spark, equal):
+    """Null and short payloads, ties of the smallest id, null ids, repeated rows and letters of several bytes."""
+    import duckdb
+
+    long, wide = "<p>" + "word " * 40, "é" * 50
+    rows = [(1, None), (2, ""), (3, "x" * 99), (4, "x" * 99), (9, long), (5, long), (5, long), (None, long), (6, wide), (7, wide), (None, "y" * 100), (None, "y" * 100)]
+    pages = spark.createDataFrame([(i, "http://a.com/", h) for i, h in rows], "page_id long, url string, html string")
+    c = duckdb.connect()
+    c.execute("CREATE TABLE pages (page_id BIGINT, html VARCHAR)")
+    c.executemany("INSERT INTO pages VALUES (?, ?)", rows)
+    equal(warc.round_trip(pages), c.sql(warc.ORACLE))
