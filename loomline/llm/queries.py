@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import byte_bpe, decontaminate, html_extract, license_scan, ngram_jaccard, quality_rules, suffix_dedup, token_records, url_filter, warc
+from loomline.llm import byte_bpe, conversation_trie, decontaminate, html_extract, license_scan, ngram_jaccard, periodic_runs, quality_rules, simhash_dedup, suffix_dedup, token_records, url_filter, warc
 
 
 def tokenizer_file(name: str) -> str:
@@ -69,6 +69,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), bpe_pattern())
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_token_records, op4_quality_rules, op5_warc, op6_html_extract, op7_license_scan, op8_ngram_jaccard, op9_decontaminate, op10_byte_bpe)}
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(conversation_trie.rebuilt(conversation_trie.sequences(table(spark, sf_dir, "conversations"))))
 
-ORACLES = {"op2_url_filter": url_filter.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op5_warc": warc.ORACLE, "op7_license_scan": license_scan.oracle(), "op8_ngram_jaccard": ngram_jaccard.ORACLE}
+
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.report(simhash_dedup.near_duplicates(table(spark, sf_dir, "documents")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(periodic_runs.periodic_runs(periodic_runs.with_repeats(table(spark, sf_dir, "documents"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_token_records, op4_quality_rules, op5_warc, op6_html_extract, op7_license_scan, op8_ngram_jaccard, op9_decontaminate, op10_byte_bpe, op11_conversation_trie, op12_simhash_dedup, op13_periodic_runs)}
+
+ORACLES = {"op2_url_filter": url_filter.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op5_warc": warc.ORACLE, "op7_license_scan": license_scan.oracle(), "op8_ngram_jaccard": ngram_jaccard.ORACLE, "op11_conversation_trie": conversation_trie.ORACLE}
