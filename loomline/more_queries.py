@@ -13,7 +13,7 @@ from loomline.operators import filters as P
 from loomline.operators import joins as J
 from loomline.operators import ordering as O
 from loomline.plans import moves as M
-from loomline.queries import ORACLES, QUERIES, query
+from loomline.queries import ORACLES, QUERIES, query, table
 from loomline.sources import files as S
 from loomline.streaming import usage as U
 
@@ -456,10 +456,11 @@ def record_fingerprint(t):
     return t("customer").select("c_custkey", A.fingerprint(F.col("c_name"), F.col("c_mktsegment"), F.col("c_nationkey")).alias("print"))
 
 
-@query("SELECT conv_id, turn, role, text FROM conversations WHERE role IS NOT NULL")
+@query("""SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER w AS before, epoch(date_trunc('second', ts)) - epoch(date_trunc('second', lag(ts) OVER w)) AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type))
+WHERE NOT coalesce(before = event_type AND gap < 43200, false)""")
 def usage_notifications(t):
-    rows = t("conversations").withColumn("ts", F.timestamp_seconds(F.col("turn") * 1000))
-    return U.notifications(rows, ["conv_id"], "text", 60).select("conv_id", "turn", "role", "text")
+    """Messages of a user without exact repeats of the one before within twelve hours."""
+    return U.notifications(t("events").withColumn("ts", F.col("ts").cast("timestamp")), ["user_id"], "event_type", 43_200).select("user_id", "event_id", "event_type")
 
 
 @query("SELECT user_id, sum(CASE event_type WHEN 'view' THEN -1 WHEN 'click' THEN 1 ELSE 0 END)::BIGINT AS balance FROM events GROUP BY user_id")
@@ -492,8 +493,8 @@ def _streamed(sql: str | None = None):
 SELECT * FROM w WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def tumbling_stream(spark: SparkSession, sf_dir: str):
     """Daily windows through a stream: those that the watermark has passed."""
-    rows = U.tumbling(U.whole_table(spark, f"{sf_dir}/events.parquet"), ["event_type"], "1 day")
-    return U.run_to_end(rows, "tumbling").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    rows = U.replayed(table(spark, sf_dir, "events"), lambda stream: U.tumbling(stream, ["event_type"], "1 day"), "tumbling")
+    return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @_streamed("""WITH h AS (SELECT user_id AS key, date_trunc('milliseconds', ts) AS t FROM events WHERE event_type = 'click'), o AS (SELECT key, t, row_number() OVER (PARTITION BY key ORDER BY t) AS k FROM h),
@@ -501,9 +502,9 @@ c AS (SELECT key, min(t) AS t FROM h GROUP BY key)
 SELECT key, t AS reached_at, t + INTERVAL 1 HOUR AS renew_at FROM c""")
 def first_limit_locks(spark: SparkSession, sf_dir: str):
     """The first lock of every user whose clicks are limit hits without a stated renewal."""
-    rows = U.whole_table(spark, f"{sf_dir}/events.parquet").where("event_type = 'click'")
+    rows = table(spark, sf_dir, "events").where("event_type = 'click'")
     rows = rows.select(F.col("user_id").alias("key"), F.lit("hit").alias("kind"), "ts", F.lit(None).cast("timestamp").alias("renew_at"))
-    locks = U.run_to_end(U.limit_locks(rows), "locks")
+    locks = U.replayed(rows, U.limit_locks, "locks")
     first = locks.groupBy("key").agg(F.min(F.struct("reached_at", "renew_at")).alias("l"))
     return first.select("key", F.col("l.reached_at").cast("timestamp_ntz").alias("reached_at"), F.col("l.renew_at").cast("timestamp_ntz").alias("renew_at"))
 
@@ -516,10 +517,10 @@ l AS (SELECT *, lag(event_id) OVER level AS item, lag(ts) OVER level AS since FR
 SELECT key, item, event_id AS flagged_by FROM l WHERE fix AND ts < since + INTERVAL 1 DAY""")
 def late_flags(spark: SparkSession, sf_dir: str):
     """Purchases correct the newest open event of their user of the day before them."""
-    rows = U.whole_table(spark, f"{sf_dir}/events.parquet")
+    rows = table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "purchase", "corrected").otherwise("counted")
     rows = rows.select(F.col("user_id").alias("key"), kind.alias("kind"), F.col("event_id").alias("item"), F.lit(None).cast("long").alias("exact"), "ts")
-    return U.run_to_end(U.late_corrections(rows), "late")
+    return U.replayed(rows, U.late_corrections, "late")
 
 
 @_streamed("""WITH e AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS key, ts, event_id, CASE event_type WHEN 'purchase' THEN 'saved' WHEN 'view' THEN 'failed' ELSE 'final' END AS kind FROM events),
@@ -528,7 +529,26 @@ g AS (SELECT *, count(*) FILTER (kind = 'saved' AND before = 'final') OVER (PART
 SELECT key, event_id FROM g WHERE kind = 'final' AND before IS DISTINCT FROM 'final' AND saved = 0""")
 def started_fetches(spark: SparkSession, sf_dir: str):
     """Fetches of a user and day: views fail them, purchases save them, other events are final."""
-    rows = U.whole_table(spark, f"{sf_dir}/events.parquet")
+    rows = table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "purchase", "saved").when(F.col("event_type") == "view", "failed").otherwise("final")
     rows = rows.select(F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("key"), kind.alias("kind"), "event_id", "ts")
-    return U.run_to_end(U.fetched_once(rows), "fetches")
+    return U.replayed(rows, U.fetched_once, "fetches")
+
+
+@_streamed("""WITH RECURSIVE e AS (
+  SELECT user_id AS key, epoch_us(ts) // 1000 AS t, event_type = 'purchase' AS good, CASE WHEN event_id % 5 = 0 THEN epoch_us(ts) // 1000 + 7200000 * (1 + event_id % 3) END AS exact, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k
+  FROM events WHERE event_type IN ('click', 'error', 'purchase')),
+s AS (
+  SELECT DISTINCT key, 0::BIGINT AS k, NULL::BIGINT AS reached, NULL::BIGINT AS renew, false AS counts FROM e
+  UNION ALL
+  SELECT key, k, CASE WHEN good THEN NULL WHEN counts THEN coalesce(reached1, t) ELSE reached1 END, CASE WHEN good THEN NULL WHEN counts THEN coalesce(exact, t + 3600000) ELSE renew1 END, counts
+  FROM (SELECT *, NOT good AND (renew1 IS NULL OR exact IS NOT NULL) AS counts FROM (
+    SELECT e.*, CASE WHEN e.t >= s.renew THEN NULL ELSE s.reached END AS reached1, CASE WHEN e.t >= s.renew THEN NULL ELSE s.renew END AS renew1 FROM s JOIN e ON e.key = s.key AND e.k = s.k + 1)))
+SELECT key, make_timestamp(reached * 1000) AS reached_at, make_timestamp(renew * 1000) AS renew_at FROM s WHERE counts""")
+def limit_lock_history(spark: SparkSession, sf_dir: str):
+    """All locks of every user: clicks and errors are hits, each fifth with a stated renewal, purchases are successes."""
+    rows = table(spark, sf_dir, "events").where("event_type IN ('click', 'error', 'purchase')")
+    exact = F.when(F.col("event_id") % 5 == 0, F.timestamp_millis(F.unix_millis(F.col("ts").cast("timestamp")) + 7_200_000 * (1 + F.col("event_id") % 3)))
+    rows = rows.select(F.col("user_id").alias("key"), F.when(F.col("event_type") == "purchase", "success").otherwise("hit").alias("kind"), "ts", exact.alias("renew_at"))
+    locks = U.replayed(rows, U.limit_locks, "lock-history")
+    return locks.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("reached_at", "renew_at")})

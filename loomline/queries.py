@@ -610,8 +610,7 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events through a deduplicating stream."""
     from loomline.streaming import usage
 
-    stream = usage.deduplicated(usage.whole_table(spark, f"{sf_dir}/events.parquet"), ["event_id"], "60 days").select("event_id", "user_id")
-    return usage.run_to_end(stream, "dedupe")
+    return usage.replayed(table(spark, sf_dir, "events"), lambda rows: usage.deduplicated(rows, ["event_id"], "60 days").select("event_id", "user_id"), "dedupe")
 
 
 ORACLES["stream_dedupe"] = "SELECT DISTINCT event_id, user_id FROM events"
@@ -622,8 +621,8 @@ def stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rolling two-hour use per user, as a stateful stream."""
     from loomline.streaming import usage
 
-    rows = usage.whole_table(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("key"), "ts", "event_id", F.lit(7200).alias("window_s"), F.lit(4).alias("quota"))
-    return usage.run_to_end(usage.rolling_quota(rows), "quota").select("key", "event_id", "used", "limited")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", "event_id", F.lit(7200).alias("window_s"), F.lit(4).alias("quota"))
+    return usage.replayed(rows, usage.rolling_quota, "quota").select("key", "event_id", "used", "limited")
 
 
 ORACLES["stream_quota"] = """SELECT key, event_id, used, used >= 4 AS limited FROM (
@@ -633,12 +632,87 @@ SELECT user_id AS key, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ep
 
 @_streamed("stream_jobs")
 def stream_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settled jobs of a stateful stream: purchases complete, other events start or move a job."""
+    """Jobs of a user settled by purchases, errors or time: six hours after they began (images) or after twelve hours of silence."""
     from loomline.streaming import usage
 
-    kind = F.when(F.col("event_type") == "purchase", "completed").otherwise("progress")
-    rows = usage.whole_table(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("job"), F.lit("image").alias("media"), kind.alias("kind"), "ts", F.col("value").alias("progress"))
-    return usage.run_to_end(usage.settled_jobs(rows), "jobs")
+    kind = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("progress")
+    media = F.when(F.col("user_id") % 2 == 0, "image").otherwise("video")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("job"), media.alias("media"), kind.alias("kind"), "ts", F.col("value").alias("progress"))
+    found = usage.replayed(rows, lambda stream: usage.settled_jobs(stream, 6 * 3600, 12 * 3600, 86_400), "jobs")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "settled_at")})
+
+
+_MARK = "(SELECT epoch_us(max(ts)) // 1000 - 600000 FROM events)"
+
+ORACLES["stream_jobs"] = f"""WITH RECURSIVE e AS (
+  SELECT *, row_number() OVER (PARTITION BY job ORDER BY t, r, event_id) AS k FROM (
+    SELECT user_id AS job, user_id % 2 = 0 AS image, epoch_us(ts) AS t, value AS p, CASE event_type WHEN 'purchase' THEN 0 WHEN 'error' THEN 1 ELSE 2 END AS r, event_id FROM events)),
+s AS (
+  SELECT DISTINCT job, image, 0::BIGINT AS k, NULL::BIGINT AS start, NULL::BIGINT AS last, 0::DOUBLE AS progress, NULL::BIGINT AS settled, [NULL::STRUCT(outcome VARCHAR, a BIGINT, b BIGINT, progress DOUBLE)] AS found FROM e
+  UNION ALL
+  SELECT job, image, k, CASE WHEN done THEN NULL ELSE start2 END, CASE WHEN skip THEN last ELSE t END, progress2, CASE WHEN done THEN t ELSE settled2 END,
+    [CASE WHEN fired THEN struct_pack(outcome := CASE WHEN image THEN 'assumed' ELSE 'dropped' END, a := start, b := due, progress := progress) END,
+     CASE WHEN done THEN struct_pack(outcome := CASE r WHEN 0 THEN 'completed' ELSE 'failed' END, a := start2, b := t, progress := progress2) END]
+  FROM (
+    SELECT *, NOT skip AND r < 2 AS done, CASE WHEN skip THEN NULL ELSE coalesce(start1, t) END AS start2, CASE WHEN skip THEN progress ELSE greatest(CASE WHEN start1 IS NULL THEN 0 ELSE progress END, p) END AS progress2 FROM (
+      SELECT *, settled2 IS NOT NULL AS skip FROM (
+        SELECT *, CASE WHEN t >= settled1 + 86400000000 THEN NULL ELSE settled1 END AS settled2 FROM (
+          SELECT *, CASE WHEN fired THEN CASE WHEN image THEN due END ELSE settled END AS settled1, CASE WHEN fired THEN NULL ELSE start END AS start1 FROM (
+            SELECT *, coalesce(CASE WHEN image THEN t >= due ELSE t > due END, false) AS fired FROM (
+              SELECT s.job, s.image, e.k, s.start, s.last, s.progress, s.settled, e.t, e.p, e.r, CASE WHEN s.start IS NULL THEN NULL WHEN s.image THEN s.start + 21600000000 ELSE s.last + 43200000000 END AS due
+              FROM s JOIN e ON e.job = s.job AND e.k = s.k + 1))))))),
+o AS (
+  SELECT job, unnest(found) AS x FROM s
+  UNION ALL SELECT job, struct_pack(outcome := CASE WHEN image THEN 'assumed' ELSE 'dropped' END, a := start, b := due, progress := progress) FROM (
+    SELECT *, CASE WHEN image THEN start + 21600000000 ELSE last + 43200000000 END AS due FROM s WHERE k = (SELECT max(k) FROM e WHERE e.job = s.job) AND start IS NOT NULL) WHERE ceil(due / 1000.0) < {_MARK})
+SELECT job::VARCHAR AS job, x.outcome AS outcome, make_timestamp(x.a) AS started_at, make_timestamp(x.b) AS settled_at, x.progress AS progress FROM o WHERE x IS NOT NULL"""
+
+
+@_streamed("stream_attempts")
+def stream_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts of a user: signups click, views see it busy, clicks see it idle, purchases complete it."""
+    from loomline.streaming import usage
+
+    kind = F.when(F.col("event_type") == "signup", "clicked").when(F.col("event_type") == "view", "busy").when(F.col("event_type") == "click", "idle").when(F.col("event_type") == "purchase", "completed").otherwise("other")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("job"), kind.alias("kind"), "ts")
+    found = usage.replayed(rows, lambda stream: usage.attempts(stream, 6 * 3600, 86_400), "attempts")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "settled_at")})
+
+
+ORACLES["stream_attempts"] = f"""WITH RECURSIVE e AS (
+  SELECT *, row_number() OVER (PARTITION BY job ORDER BY t, r, event_id) AS k FROM (
+    SELECT user_id AS job, epoch_us(ts) AS t, CASE event_type WHEN 'purchase' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS r, event_id FROM events)),
+s AS (
+  SELECT DISTINCT job, 0::BIGINT AS k, NULL::BIGINT AS start, false AS busy, NULL::BIGINT AS late, NULL::VARCHAR AS outcome, NULL::BIGINT AS a, NULL::BIGINT AS b FROM e
+  UNION ALL
+  SELECT job, k, CASE WHEN outcome IS NOT NULL THEN NULL WHEN start1 IS NULL AND r = 3 THEN t ELSE start1 END, outcome IS NULL AND start1 IS NOT NULL AND (busy1 OR r = 1),
+    CASE WHEN fired THEN start END, outcome, start1, t
+  FROM (
+    SELECT *, CASE WHEN start1 IS NULL THEN NULL WHEN r = 0 THEN 'success' WHEN r = 2 AND busy1 AND t >= start1 + 2000000 THEN 'returned' WHEN r = 2 AND NOT busy1 AND t >= start1 + 21600000000 THEN 'never_accepted' END AS outcome FROM (
+      SELECT *, CASE WHEN fired THEN NULL ELSE start END AS start1, busy AND NOT fired AS busy1 FROM (
+        SELECT s.job, e.k, s.start, s.busy, e.t, e.r, coalesce(e.t >= s.start + 86400000000, false) AS fired FROM s JOIN e ON e.job = s.job AND e.k = s.k + 1)))),
+o AS (
+  SELECT job, outcome, a, b FROM s WHERE outcome IS NOT NULL
+  UNION ALL SELECT job, 'timed_out', late, late + 86400000000 FROM s WHERE late IS NOT NULL
+  UNION ALL SELECT job, 'timed_out', start, start + 86400000000 FROM s WHERE k = (SELECT max(k) FROM e WHERE e.job = s.job) AND ceil((start + 86400000000) / 1000.0) < {_MARK})
+SELECT job::VARCHAR AS job, outcome, make_timestamp(a) AS started_at, make_timestamp(b) AS settled_at FROM o"""
+
+
+@_streamed("stream_pauses")
+def stream_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of a user held back by purchases, which pause it for four or for twelve hours from then on."""
+    from loomline.streaming import usage
+
+    buys = F.col("event_type") == "purchase"
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.when(buys, "cooldown").otherwise("request").alias("kind"), F.col("event_id").alias("item"), F.when(F.col("event_id") % 2 == 0, 4 * 3600).otherwise(12 * 3600).alias("wait_s"), "ts")
+    return usage.replayed(rows, usage.paced, "pauses").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("asked_at", "released_at")})
+
+
+ORACLES["stream_pauses"] = f"""WITH e AS (SELECT user_id AS key, event_id AS item, epoch_us(ts) AS t, event_type = 'purchase' AS pause, CASE WHEN event_id % 2 = 0 THEN 14400000000 ELSE 43200000000 END AS w, max(epoch_us(ts)) OVER (PARTITION BY user_id) AS newest FROM events),
+c AS (SELECT *, lead(t) OVER (PARTITION BY key ORDER BY t, item) AS next FROM e WHERE pause),
+p AS (SELECT *, min(CASE WHEN next IS NULL OR t + w <= next THEN t + w END) OVER (PARTITION BY key ORDER BY t, item ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS over FROM c),
+r AS (SELECT e.key, e.item, e.t, e.newest, CASE WHEN p.t + p.w > e.t THEN p.over ELSE e.t END AS freed FROM e ASOF LEFT JOIN p ON p.key = e.key AND p.t <= e.t WHERE NOT e.pause)
+SELECT key, item, make_timestamp(t) AS asked_at, make_timestamp(freed) AS released_at FROM r WHERE freed <= newest OR ceil(freed / 1000.0) < {_MARK}"""
 
 
 # ---- geometry, further joins ----

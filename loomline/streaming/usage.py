@@ -2,12 +2,13 @@
 
 Event time is a timestamp column ``ts``; watermarks bound all state. Each
 operator takes and returns a streaming DataFrame (most also run on a batch one).
+Spark's first watermark is the start of 1970; events up to then are late.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomline.session import new_path
 
-#: A pending image job of this age counts as done; another kind is dropped at the later age.
+#: A pending image counts as done at this age; another kind is dropped when it was silent for longer than the other.
 IMAGE_GRACE_S, OTHER_GRACE_S = 120, 360
+#: A request that was never seen busy was not accepted at the first age; any is given up at the second; one that came back earlier than the third may still be going.
+ACCEPT_S, GIVE_UP_S, RETURN_S = 15, 720, 2
+
 
 def events(spark: SparkSession, path: str, per_trigger: int | None = 100) -> DataFrame:
     """A stream of the files of a Parquet event table, ``ts`` as a timestamp (watermarks need one with a zone).
@@ -31,9 +35,38 @@ def events(spark: SparkSession, path: str, per_trigger: int | None = 100) -> Dat
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def whole_table(spark: SparkSession, path: str) -> DataFrame:
-    """``events`` of all files at once: in one batch nothing is late and a key's rows are in time order, whatever the files' number and order."""
-    return events(spark, path, None)
+def time_slices(rows: DataFrame, least: int = 3, most: int = 1_000_000) -> list[DataFrame]:
+    """The rows in slices by ``ts``, ascending: at least ``least`` of them and about ``most`` rows each; rows of one time stay together.
+
+    Only counts and cuts reach the driver. Rows without a time are left out.
+    """
+    timed = rows.where("ts IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp"))
+    n = timed.count()
+    k = max(least, -(-n // most))
+    cuts = timed.agg(F.percentile_approx(F.unix_micros("ts"), [i / k for i in range(1, k)], 10 * k)).first()[0] or []
+    edges = [None, *sorted(set(cuts)), None]
+    at = F.unix_micros("ts")
+    return [timed.where((F.lit(True) if a is None else at > a) & (F.lit(True) if b is None else at <= b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def replayed(rows: DataFrame, operator: Callable[[DataFrame], DataFrame], name: str, least: int = 3, most: int = 1_000_000, mode: str = "append") -> DataFrame:
+    """A table through a streaming operator in batches of ascending event time, as a Parquet table of the shared folder.
+
+    A slice goes to the source when the query is done with the one before, so
+    batches come in time order on any store, and a task holds the rows of a key
+    within one slice at most.
+    """
+    spark = rows.sparkSession
+    source, out = new_path(spark, f"source-{name}"), new_path(spark, f"stream-{name}")
+    query = None
+    for part in time_slices(rows, least, most):
+        part.write.mode("append").parquet(source)
+        if query is None:
+            stream = operator(spark.readStream.schema(part.schema).parquet(source))
+            query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state").outputMode(mode).start()
+        query.processAllAvailable()
+    query.stop()
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def json_events(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
@@ -41,10 +74,13 @@ def json_events(lines: DataFrame, schema: str, column: str = "value") -> DataFra
     return lines.select(F.from_json(column, schema).alias("e")).where("e IS NOT NULL").select("e.*")
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that is there now through a checkpointed query into a Parquet table of the shared folder, read back."""
+def run_to_end(stream: DataFrame, name: str, mode: str = "append", out: str | None = None) -> DataFrame:
+    """All that is there now through a checkpointed query into a Parquet table of the shared folder, read back.
+
+    With the ``out`` of an earlier run, the query goes on from its checkpoint: its state and what it has read hold over the restart.
+    """
     spark = stream.sparkSession
-    out = new_path(spark, f"stream-{name}")
+    out = out or new_path(spark, f"stream-{name}")
     query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
@@ -67,42 +103,197 @@ def signed(stream: DataFrame) -> DataFrame:
     return stream.withColumn("delta", F.when(F.col("kind") == "retracted", -1).when(F.col("kind") == "counted", 1).otherwise(0))
 
 
-def settled_jobs(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """job, outcome, started_at, settled_at, progress of each job, once.
+def _micros(ts: pd.Timestamp) -> int:
+    return ts.value // 1000
+
+
+def _stamp(micros: int) -> pd.Timestamp:
+    return pd.Timestamp(micros * 1000)
+
+
+def _wait(state: GroupState, micros: int) -> None:
+    """Wake the key once the watermark is past ``micros``."""
+    state.setTimeoutTimestamp(max(-(-micros // 1000), state.getCurrentWatermarkMs() + 1))
+
+
+def _ordered(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
+    """The rows of one key and batch in order; ``replayed`` bounds them."""
+    return pd.concat(list(batches)).sort_values(by, kind="stable")
 
-    Events are (job, media, kind, ts, progress) of kind started, progress,
-    completed or failed. A completion wins over failures in the same batch;
-    progress only rises. A job without an end counts as done (image) or is
-    dropped (other media) once its grace has passed in event time.
+
+_SETTLED = "job string, outcome string, started_at timestamp, settled_at timestamp"
+
+
+def settled_jobs(stream: DataFrame, image_s: int = IMAGE_GRACE_S, other_s: int = OTHER_GRACE_S, keep_s: int = 86_400, delay: str = "10 minutes") -> DataFrame:
+    """job, outcome, started_at, settled_at, progress of each job.
+
+    Events are (job, media, kind, ts, progress) of kind completed, failed or any
+    other. Of events at one time a completion comes first, then a failure. An
+    image that is pending ``image_s`` seconds after its first event counts as done
+    (assumed) at that time; a job of another kind, or of none, is dropped once it
+    was silent for over ``other_s`` seconds. A settled job ignores what follows for
+    ``keep_s`` seconds; after that, and at once after it was dropped, an event
+    begins a new job. progress is the most seen before the job was settled, 0 if
+    none. media is that of the first event.
+
+    Deadlines hold inside a batch as between batches, so that the same events,
+    in time order, give the same rows however they are cut into batches.
     """
-    out = "job string, outcome string, started_at timestamp, settled_at timestamp, progress double"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, media, progress, done = state.get if state.exists else (None, None, 0.0, False)
-        outcome = at = None
+        start, last, media, progress, settled = state.get if state.exists else (None,) * 5
+        found = []
+
+        def settle(outcome: str, at: int) -> None:
+            nonlocal start, settled
+            found.append((key[0], outcome, _stamp(start), _stamp(at), progress))
+            start, settled = None, (None if outcome == "dropped" else at)
+
+        def due() -> int:
+            return start + image_s * 1_000_000 if media == "image" else last + other_s * 1_000_000
+
+        def pass_time(now: int) -> None:
+            nonlocal settled
+            if start is not None and (now >= due() if media == "image" else now > due()):
+                settle("assumed" if media == "image" else "dropped", due())
+            if settled is not None and now >= settled + keep_s * 1_000_000:
+                settled = None
+
         if state.hasTimedOut:
-            if not done:
-                outcome, at = ("assumed" if media == "image" else "dropped"), state.getCurrentWatermarkMs()
-            state.remove()
+            pass_time(state.getCurrentWatermarkMs() * 1000)
+        else:
+            rows = _ordered((b.assign(rank=b["kind"].map({"completed": 0, "failed": 1}).fillna(2)) for b in batches), ["ts", "rank"])
+            for r in rows.itertuples(index=False):
+                now = _micros(r.ts)
+                pass_time(now)
+                if settled is not None:
+                    continue
+                if start is None:
+                    start, media, progress = now, r.media, 0.0
+                last, progress = now, max(progress, 0.0 if pd.isna(r.progress) else float(r.progress))
+                if r.kind in ("completed", "failed"):
+                    settle(r.kind, now)
+        if start is None and settled is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((start, last, media, progress, settled))
+            _wait(state, due() if start is not None else settled + keep_s * 1_000_000)
+        if found:
+            yield pd.DataFrame(found, columns=["job", "outcome", "started_at", "settled_at", "progress"])
+
+    keyed = stream.withWatermark("ts", delay).groupBy("job")
+    return keyed.applyInPandasWithState(step, f"{_SETTLED}, progress double", "start long, last long, media string, progress double, settled long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def attempts(stream: DataFrame, accept_s: int = ACCEPT_S, give_up_s: int = GIVE_UP_S, delay: str = "10 minutes") -> DataFrame:
+    """job, outcome, started_at, settled_at of each attempt: success, returned, never_accepted or timed_out.
+
+    Events are (job, kind clicked, busy, idle or completed, ts). A click begins
+    an attempt unless one is under way. A completion is a success. An idle sight
+    after a busy one ends the attempt as returned, from RETURN_S after the click;
+    an idle sight without a busy one ends it as never_accepted, from ``accept_s``
+    after the click. At ``give_up_s`` after the click it has timed out. Of events
+    at one time completions come first, then busy, idle and clicked. Other kinds,
+    and events of a job without an attempt, do nothing. Deadlines hold inside a
+    batch as between batches.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, busy = state.get if state.exists else (None, False)
+        found = []
+
+        def settle(outcome: str, at: int) -> None:
+            nonlocal start, busy
+            found.append((key[0], outcome, _stamp(start), _stamp(at)))
+            start, busy = None, False
+
+        def pass_time(now: int) -> None:
+            if start is not None and now >= start + give_up_s * 1_000_000:
+                settle("timed_out", start + give_up_s * 1_000_000)
+
+        if state.hasTimedOut:
+            pass_time(state.getCurrentWatermarkMs() * 1000)
         else:
-            rows = pd.concat(list(batches)).sort_values("ts")
-            times = [int(t.timestamp() * 1000) for t in rows["ts"]]
-            start = min([t for t in (start, times[0]) if t is not None])
-            media = media or rows["media"].iloc[0]
-            progress = max(progress, float(rows["progress"].fillna(0).max()))
-            for kind in ("completed", "failed"):
-                hits = [t for t, k in zip(times, rows["kind"], strict=True) if k == kind]
-                if hits and not done:
-                    outcome, at, done = kind, hits[0], True
-            state.update((start, media, progress, done))
-            grace = IMAGE_GRACE_S if media == "image" else OTHER_GRACE_S
-            state.setTimeoutTimestamp(max(start + grace * 1000, state.getCurrentWatermarkMs() + 1))
-        if outcome is not None:
-            moment = lambda ms: pd.Timestamp(ms, unit="ms")
-            yield pd.DataFrame([(key[0], outcome, moment(start), moment(at), progress)], columns=["job", "outcome", "started_at", "settled_at", "progress"])
+            order = {"completed": 0, "busy": 1, "idle": 2, "clicked": 3}
+            for r in _ordered((b.assign(rank=b["kind"].map(order).fillna(4)) for b in batches), ["ts", "rank"]).itertuples(index=False):
+                now = _micros(r.ts)
+                pass_time(now)
+                if r.kind == "clicked" and start is None:
+                    start = now
+                elif start is not None and r.kind == "completed":
+                    settle("success", now)
+                elif start is not None and r.kind == "busy":
+                    busy = True
+                elif start is not None and r.kind == "idle":
+                    if busy and now >= start + RETURN_S * 1_000_000:
+                        settle("returned", now)
+                    elif not busy and now >= start + accept_s * 1_000_000:
+                        settle("never_accepted", now)
+        if start is not None:
+            state.update((start, busy))
+            _wait(state, start + give_up_s * 1_000_000)
+        elif state.exists:
+            state.remove()
+        if found:
+            yield pd.DataFrame(found, columns=["job", "outcome", "started_at", "settled_at"])
 
     keyed = stream.withWatermark("ts", delay).groupBy("job")
-    return keyed.applyInPandasWithState(step, out, "start long, media string, progress double, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.applyInPandasWithState(step, _SETTLED, "start long, busy boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def paced(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """key, item, asked_at, released_at of each request: at once, or when the pause that it fell into is over.
+
+    Events are (key, kind cooldown or request, item, wait_s, ts). A cooldown
+    pauses its key for ``wait_s`` seconds from then on; one that comes during a
+    pause sets the end anew, earlier or later. At the end of a pause all that
+    waited is released, oldest first. Of events at one time cooldowns come first.
+    A cooldown without a wait, and other kinds, do nothing. The pause and what
+    waits are state in the checkpoint: a query that is stopped and started again
+    goes on as if it had not been stopped, and a key that neither waits nor is
+    paused has no state.
+    """
+    out = "key long, item long, asked_at timestamp, released_at timestamp"
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        until, items, asked = state.get if state.exists else (None, [], [])
+        items, asked = list(items), list(asked)
+        found = []
+
+        def pass_time(now: int) -> None:
+            nonlocal until
+            if until is not None and now >= until:
+                found.extend((key[0], i, _stamp(a), _stamp(until)) for i, a in zip(items, asked, strict=True))
+                items.clear()
+                asked.clear()
+                until = None
+
+        if state.hasTimedOut:
+            pass_time(state.getCurrentWatermarkMs() * 1000)
+        else:
+            rows = _ordered((b.assign(rank=(b["kind"] != "cooldown").astype(int)) for b in batches), ["ts", "rank", "item"])
+            for r in rows.itertuples(index=False):
+                now = _micros(r.ts)
+                pass_time(now)
+                if r.kind == "cooldown" and not pd.isna(r.wait_s):
+                    until = now + int(r.wait_s * 1_000_000)
+                    pass_time(now)
+                elif r.kind == "request" and until is None:
+                    found.append((key[0], r.item, r.ts, r.ts))
+                elif r.kind == "request":
+                    items.append(int(r.item))
+                    asked.append(now)
+        if until is not None:
+            state.update((until, items, asked))
+            _wait(state, until)
+        elif state.exists:
+            state.remove()
+        if found:
+            yield pd.DataFrame(found, columns=["key", "item", "asked_at", "released_at"])
+
+    keyed = stream.withWatermark("ts", delay).groupBy("key")
+    return keyed.applyInPandasWithState(step, out, "until long, items array<long>, asked array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rolling_quota(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -120,7 +311,7 @@ def rolling_quota(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
             state.remove()
             return
         expiries = sorted(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        rows = _ordered(batches, ["ts", "event_id"])
         found = []
         for r in rows.itertuples(index=False):
             now = int(r.ts.value // 1000)
@@ -151,8 +342,8 @@ def limit_locks(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
             return
         reached, renew = state.get if state.exists else (None, None)
         found = []
-        for r in pd.concat(list(batches)).sort_values("ts").itertuples(index=False):
-            now, exact = int(r.ts.timestamp() * 1000), None if pd.isna(r.renew_at) else int(r.renew_at.timestamp() * 1000)
+        for r in _ordered(batches, ["ts"]).itertuples(index=False):
+            now, exact = _micros(r.ts) // 1000, None if pd.isna(r.renew_at) else _micros(r.renew_at) // 1000
             if renew is not None and now >= renew:
                 reached = renew = None
             if r.kind == "success":
@@ -190,7 +381,7 @@ def late_corrections(stream: DataFrame, keep_s: int = 86_400, delay: str = "1 ho
             return
         held = dict(zip(*state.get, strict=True)) if state.exists else {}  # unflagged items, oldest first
         found = []
-        for kind, item, exact, ts in pd.concat(list(batches)).sort_values(["ts", "item"])[["kind", "item", "exact", "ts"]].itertuples(index=False):
+        for kind, item, exact, ts in _ordered(batches, ["ts", "item"])[["kind", "item", "exact", "ts"]].itertuples(index=False):
             now = int(ts.value // 1000)
             while held and held[oldest := next(iter(held))] + keep_s * 1_000_000 <= now:
                 del held[oldest]
@@ -226,22 +417,25 @@ def fetched_once(stream: DataFrame, keep_s: int = 86_400, delay: str = "1 hour")
         if state.hasTimedOut:
             state.remove()
             return
-        (at,) = state.get if state.exists else ("idle",)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        at, last = state.get if state.exists else ("idle", None)
         found = []
-        for kind, event_id in rows[["kind", "event_id"]].itertuples(index=False):
+        for kind, event_id, ts in _ordered(batches, ["ts", "event_id"])[["kind", "event_id", "ts"]].itertuples(index=False):
+            now = _micros(ts)
+            if last is not None and now >= last + keep_s * 1_000_000:
+                at = "idle"
+            last = now
             if kind == "final" and at == "idle":
                 at = "under way"
                 found.append((key[0], event_id))
             elif at == "under way" and kind in ("saved", "failed"):
                 at = "saved" if kind == "saved" else "idle"
-        state.update((at,))
-        state.setTimeoutTimestamp(max(int(rows["ts"].iloc[-1].value // 1_000_000) + keep_s * 1000, state.getCurrentWatermarkMs() + 1))
+        state.update((at, last))
+        _wait(state, last + keep_s * 1_000_000)
         if found:
             yield pd.DataFrame(found, columns=["key", "event_id"])
 
     keyed = stream.withWatermark("ts", delay).groupBy("key")
-    return keyed.applyInPandasWithState(step, out, "at string", "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.applyInPandasWithState(step, out, "at string, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def notifications(rows: DataFrame, key: list[str], message: str, quiet_s: int = 60) -> DataFrame:
