@@ -181,23 +181,3 @@ def histogram(content: Column) -> Column:
         return values.map(one)
 
     return run(content)
-
-
-def dominant(content: Column, k: int, bits: int = 4) -> Column:
-    """The k commonest colours as hex text, each the mean of a cell of the colour cube."""
-
-    @F.pandas_udf("array<string>")
-    def run(values: pd.Series) -> pd.Series:
-        def one(x: bytes | None):
-            p = decode(x)
-            if p is None or p.shape[2] < 3:
-                return None
-            flat = p[:, :, :3].reshape(-1, 3)
-            cell = (flat >> (8 - bits)).astype(np.int64) @ [1 << 2 * bits, 1 << bits, 1]
-            kinds, place, n = np.unique(cell, return_inverse=True, return_counts=True)
-            order = np.lexsort((kinds, -n))[:k]
-            return ["#%02x%02x%02x" % tuple(flat[place == c].mean(0).round().astype(int)) for c in order]
-
-        return values.map(one)
-
-    return run(content)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomline.functions import boxes as B
 from loomline.functions import tags as T
 from loomline.functions import text as X
+from loomline.operators import accounts
 from loomline.operators import aggregates as A
 from loomline.operators import filters as P
 from loomline.operators import joins as J
@@ -46,6 +47,55 @@ def best_candidate(t):
     return rows.select("l_partkey", "l_orderkey", "l_linenumber")
 
 
+@query("""WITH i AS (SELECT *, p_partkey % 97 AS x FROM part), g AS (SELECT *, CASE WHEN p_retailprice - lag(p_retailprice) OVER h <= 3.0 THEN 0 ELSE 1 END AS new FROM i WINDOW h AS (PARTITION BY p_brand ORDER BY p_retailprice, x, p_partkey)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY p_brand ORDER BY p_retailprice, x, p_partkey)::INT AS row FROM g)
+SELECT p_brand, p_partkey, row, row_number() OVER (PARTITION BY p_brand ORDER BY row, x, p_retailprice, p_partkey)::INT AS place FROM r""")
+def reading_places(t):
+    rows = t("part").withColumn("x", F.col("p_partkey") % 97)
+    return O.reading_order(rows, ["p_brand"], "x", "p_retailprice", 3.0, ["p_partkey"]).select("p_brand", "p_partkey", "row", "place")
+
+
+@query("""WITH i AS (SELECT *, p_partkey % 97 AS x FROM part), a AS (SELECT p_brand, median(p_retailprice) AS ay, 48 AS ax FROM i GROUP BY p_brand),
+k AS (SELECT i.* FROM i JOIN a USING (p_brand) WHERE p_retailprice < ay - 30.0 OR (abs(p_retailprice - ay) <= 30.0 AND x < ax - 1)),
+g AS (SELECT *, CASE WHEN lag(p_retailprice) OVER h - p_retailprice <= 3.0 THEN 0 ELSE 1 END AS new FROM k WINDOW h AS (PARTITION BY p_brand ORDER BY p_retailprice DESC, x DESC, p_partkey)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, x DESC, p_partkey)::INT AS row FROM g)
+SELECT p_brand, p_partkey, row, row_number() OVER (PARTITION BY p_brand ORDER BY row, x DESC, p_retailprice DESC, p_partkey)::INT AS place FROM r""")
+def reading_places_from_anchor(t):
+    """Upwards from a boundary in the middle of each page."""
+    rows = t("part").withColumn("x", F.col("p_partkey") % 97)
+    anchors = rows.groupBy("p_brand").agg(F.percentile("p_retailprice", 0.5).alias("ay"))
+    rows = rows.join(anchors, "p_brand").where(O.from_anchor(F.col("x"), F.col("p_retailprice"), F.lit(48), F.col("ay"), 30.0, upwards=True, included=False))
+    return O.reading_order(rows, ["p_brand"], "x", "p_retailprice", 3.0, ["p_partkey"], upwards=True).select("p_brand", "p_partkey", "row", "place")
+
+
+_ACCOUNT_IDS = """SELECT c_custkey AS record, 'cookie' AS kind, CASE WHEN c_custkey % 5 = 0 THEN 'unknown' ELSE (c_custkey // 3)::VARCHAR END AS value FROM customer
+  UNION ALL SELECT c_custkey, 'page', CASE WHEN c_custkey % 7 = 1 THEN ((c_custkey * 13) % 401)::VARCHAR END FROM customer
+  UNION ALL SELECT c_custkey, 'login', CASE WHEN c_nationkey = 3 THEN ' hot ' WHEN c_custkey % 11 = 2 THEN '' ELSE c_custkey::VARCHAR END FROM customer"""
+
+
+def _account_records(t):
+    key = F.col("c_custkey")
+    cookie = F.when(key % 5 == 0, "unknown").otherwise(F.expr("c_custkey div 3").cast("string"))
+    page = F.when(key % 7 == 1, (key * 13 % 401).cast("string"))
+    login = F.when(F.col("c_nationkey") == 3, " hot ").when(key % 11 == 2, "").otherwise(key.cast("string"))
+    return t("customer").select(key.alias("record"), cookie.alias("cookie"), page.alias("page"), login.alias("login"))
+
+
+_REACHED = f"""WITH RECURSIVE i AS (SELECT record, kind, trim(value) AS value FROM ({_ACCOUNT_IDS}) WHERE coalesce(lower(trim(value)), '') NOT IN ('', 'unknown')),
+reach AS (SELECT c_custkey AS a, c_custkey AS b FROM customer UNION SELECT reach.a, y.record FROM reach JOIN i x ON x.record = reach.b JOIN i y ON y.kind = x.kind AND y.value = x.value),
+g AS (SELECT a AS record, min(b) AS account FROM reach GROUP BY a)"""
+
+
+@query(f"{_REACHED} SELECT record, account FROM g")
+def account_groups(t):
+    return accounts.account_groups(_account_records(t), "record", ["cookie", "page", "login"])
+
+
+@query(f"{_REACHED} SELECT DISTINCT account, kind, value FROM i JOIN g USING (record)")
+def known_accounts(t):
+    return accounts.known_accounts(_account_records(t), "record", ["cookie", "page", "login"])
+
+
 @query("SELECT event_id, ts FROM events ORDER BY ts, event_id LIMIT 500")
 def remaining_limit(t):
     return O.first_rows(t("events"), [F.col("ts"), F.col("event_id")], 500).select("event_id", "ts")

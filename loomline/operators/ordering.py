@@ -146,9 +146,32 @@ def rank_key(value: Column, ranks: list[str]) -> Column:
     return F.when(at > 0, at).otherwise(F.lit(len(ranks) + 1))
 
 
-def reading_order(x: Column, y: Column, tolerance: float) -> list[Column]:
-    """Order by rows of about equal height, then from left to right."""
-    return [F.floor(y / tolerance), x]
+def reading_order(items: DataFrame, key: list[str], x: str, y: str, tolerance: float, tie: list[str], upwards: bool = False) -> DataFrame:
+    """The items with row and place, from 1, in reading order: rows from the top, each from the left; ``upwards`` all the other way round.
+
+    A row goes on as long as the next item in order of height is within the
+    tolerance of the one before, so that no fixed band cuts it. Items without a
+    place are left out. A key is one page or list, whose items fit a sort.
+    """
+    turn = (lambda c: F.col(c).desc()) if upwards else (lambda c: F.col(c).asc())
+    by_height = Window.partitionBy(*key).orderBy(turn(y), turn(x), *tie)
+    gap = F.abs(F.col(y) - F.lag(y).over(by_height)) > tolerance
+    rows = items.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    rows = rows.withColumn("row", F.coalesce(gap, F.lit(True)).cast("int"))
+    rows = rows.withColumn("row", F.sum("row").over(by_height).cast("int"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("row", turn(x), turn(y), *tie)))
+
+
+def from_anchor(x: Column, y: Column, at_x: Column, at_y: Column, tolerance: float, upwards: bool = False, included: bool = True) -> Column:
+    """Whether an item comes at or after an anchor in reading order, give or take a pixel.
+
+    Upwards, an anchor that is only a boundary (not ``included``) lets in what
+    lies left of it alone.
+    """
+    same = F.abs(y - at_y) <= tolerance
+    if not upwards:
+        return (y > at_y + tolerance) | (same & (x >= at_x - 1))
+    return (y < at_y - tolerance) | (same & (x <= at_x + 1 if included else x < at_x - 1))
 
 
 def best_with_fallback(rows: DataFrame, key: list[str], wanted: Column, exact: Column, order: list[Column]) -> DataFrame:
