@@ -83,4 +83,4 @@ def exif_replaced(t):
     fields = F.when(F.col("doc_id") % 4 == 0, F.create_map(F.lit("UserComment"), F.lit(""))).otherwise(F.create_map(F.lit("Artist"), F.lit("")))
     rows = rows.select("doc_id", exif.with_exif(exif.replace_in_field(F.col("content"), "UserComment", "the", "THE"), fields).alias("content"))
     text = F.coalesce(exif.exif_field(F.col("content"), "UserComment"), exif.exif_field(F.col("content"), "Artist"))
-    return rows.select("doc_id", text.alias("t")).where("t IS NOT NULL").select("doc_id", F.char_length("t").alias("n_chars"), F.sha2("t", 256).alias("sha256"))
+    return rows.select("doc_id", text.alias("t")).where("t IS NOT NULL").select("doc_id", F.char_length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("sha256"))
