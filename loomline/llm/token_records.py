@@ -68,9 +68,7 @@ def read_index(files: pafs.FileSystem, path: str) -> np.ndarray:
 
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
-    coder = Tokenizer.from_file(path)
-    coder.encode_special_tokens = True  # such strings inside a text are ordinary text
-    return coder
+    return Tokenizer.from_file(path)
 
 
 class WordEncoder:
@@ -89,12 +87,15 @@ class WordEncoder:
     def __init__(self, path: str, width: int):
         self.coder, self.kind, self.known = tokenizer(path), f"<u{width}", {b"": b""}
         self.width = width
+        self.added = [t.content.lower().encode() for t in self.coder.get_added_tokens_decoder().values()]
         self.ends = np.zeros(self.coder.get_vocab_size(), bool)
         for token, i in self.coder.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
 
     def __call__(self, text: bytes) -> bytes:
         """The ids of one text as little-endian integers."""
+        if any(t in low for low in [text.lower()] for t in self.added):
+            return np.array(self.coder.encode(text.decode(), add_special_tokens=False).ids, self.kind).tobytes()
         split, known = text.split(), self.known
         if new := set(split).difference(known):
             if len(known) > CACHE_WORDS:

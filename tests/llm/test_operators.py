@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from loomline.llm import arrow_text, byte_bpe, components, decontaminate, html_extract, license_scan, ngram_jaccard, quality_rules, suffix_dedup, token_records, url_filter, warc
 from loomline.llm import queries as Q
@@ -111,9 +112,10 @@ def test_url_filter_odd(spark):
 
 
 def test_word_encoder():
-    whole = token_records.tokenizer(WORD)
+    whole = Tokenizer.from_file(WORD)
     rng = random.Random(3)
-    texts = [t for t in ODD if t] + ["".join(rng.choices("aéİ .,'%$#sT1½\t\u0301日-", k=rng.randint(1, 60))) for _ in range(400)]
+    marks = ["a <|endoftext|> b", "<|startoftext|>", "x<|ENDOFTEXT|>y <|endoftext|>", "<|endoftext|", "<|end<|endoftext|>oftext|> s", "é\t<|endoftext|>\n <|endoftext|>"]
+    texts = [t for t in ODD if t] + marks + ["".join(rng.choices("aéİ .,'%$#sT1½\t\u0301日-", k=rng.randint(1, 60))) for _ in range(400)]
     coder = token_records.WordEncoder(WORD, 2)
     for t in texts:
         assert np.frombuffer(coder(t.encode()), "<u2").tolist() == whole.encode(t, add_special_tokens=False).ids, t
@@ -125,7 +127,7 @@ def test_token_records(spark, sf, odd, empty):
         got = sorted(token_records.token_records(docs, WORD).collect(), key=lambda r: r["start"])
         texts = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
         assert [r["doc_id"] for r in got] == sorted(i for i, _ in texts)
-        coder, start = token_records.tokenizer(WORD), 0
+        coder, start = Tokenizer.from_file(WORD), 0
         ids = collections.defaultdict(list)
         for i, t in texts:
             ids[i].append(zlib.crc32(np.array([*coder.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()))
