@@ -27,6 +27,8 @@ from loomline.session import new_path, written
 LEAST_REVISIT_BYTES = 100
 #: Bytes read at once.
 BLOCK = 1 << 20
+#: Bytes of an archive after which its task begins another.
+ARCHIVE_BYTES = 128 << 20
 #: What a record may grow to: a cell of a table holds less than 2 GiB, so no record of ours is longer. Beyond, the bytes are a reported gap.
 MOST_RECORD_BYTES = (1 << 31) + (1 << 20)
 MAGIC = b"\x1f\x8b\x08"
@@ -70,7 +72,7 @@ class Gap(NamedTuple):
     reason: str
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
+def parse(data: bytes | bytearray) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and length of the record at the start of ``data``; ValueError if a check fails."""
     if not _VERSION.match(data):
         raise ValueError("no version line")
@@ -78,7 +80,7 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
     if end < 0:
         raise ValueError("headers do not end")
     headers = {}
-    for line in data[:end].split(b"\r\n")[1:]:
+    for line in bytes(data[:end]).split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("header without a colon")
@@ -89,7 +91,7 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
     start, stop = end + 4, end + 4 + int(length)
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise ValueError("record does not end where its length says")
-    block = data[start:stop]
+    block = bytes(memoryview(data)[start:stop])
     digest = headers.get("warc-block-digest", "")
     if digest.startswith("sha256:") and hashlib.sha256(block).hexdigest() != digest[7:]:
         raise ValueError("block digest differs")
@@ -97,10 +99,10 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
 
 
 class _Window:
-    """A forward view of a file that keeps only the bytes still needed."""
+    """A forward view of a file that keeps only the bytes still needed; growing and dropping cost the bytes added and dropped."""
 
     def __init__(self, source: BinaryIO):
-        self.source, self.data, self.base, self.ended = source, b"", 0, False
+        self.source, self.data, self.base, self.ended = source, bytearray(), 0, False
 
     def more(self) -> bool:
         if not self.ended:
@@ -110,7 +112,8 @@ class _Window:
         return not self.ended
 
     def drop(self, n: int) -> None:
-        self.data, self.base = self.data[n:], self.base + n
+        del self.data[:n]
+        self.base += n
 
 
 def _inflate(view: _Window) -> tuple[bytes, int]:
@@ -133,18 +136,20 @@ def _inflate(view: _Window) -> tuple[bytes, int]:
 
 
 def _plain(view: _Window) -> tuple[dict[str, str], bytes, int]:
-    """The uncompressed record at the start of the window."""
-    while True:
-        try:
-            return parse(view.data)
-        except ValueError:
-            # the record may only not be read whole yet; damage shows at the next version line or at the end
-            if _VERSION.search(view.data, 1) or len(view.data) > MOST_RECORD_BYTES or not view.more():
-                break
-    # a payload may itself hold a version line: read on while the stated length asks for it
-    head = re.match(rb"WARC/1\.[01]\r\n(?:[^\r\n]+\r\n)*?content-length:\s*(\d+)\r\n", view.data, re.I)
-    while head and len(view.data) < head.end() + int(head[1]) + BLOCK and int(head[1]) < MOST_RECORD_BYTES and view.more():
-        pass
+    """The uncompressed record at the start of the window: its headers are read, then what they ask for, and all is checked once."""
+    seen = 0
+    while (end := view.data.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+        # headers that do not end before the next record begins are damaged
+        if _VERSION.search(view.data, max(1, seen - 10)) or len(view.data) > MOST_RECORD_BYTES:
+            break
+        seen = len(view.data)
+        if not view.more():
+            break
+    head = re.match(rb"WARC/1\.[01]\r\n(?:[^\r\n]+\r\n)*?content-length:\s*(\d{1,18})\r\n", view.data[: max(0, end) + 2], re.I)
+    if head:
+        whole = end + 8 + int(head[1])
+        while len(view.data) < whole <= MOST_RECORD_BYTES and view.more():
+            pass
     return parse(view.data)
 
 
@@ -212,9 +217,10 @@ def with_references(pages: DataFrame) -> DataFrame:
     return joined.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, out: str) -> DataFrame:
-    """Write one archive per partition and return the manifest (path, records, bytes).
+def write_archives(pages: DataFrame, out: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Write the pages and return the manifest (path, records, bytes), an archive a row.
 
+    A task closes an archive once it holds ``archive_bytes`` and begins another.
     File names carry the attempt that wrote them, and only files that the
     manifest names count, so a retried task leaves no double records. A null
     html is empty; a null url leaves the target out.
@@ -223,20 +229,28 @@ def write_archives(pages: DataFrame, out: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, folder = pafs.FileSystem.from_uri(out)
         files.create_dir(folder, recursive=True)
-        name = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}.warc.gz"
-        sink, records, size = None, 0, 0
+        own = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}"
+        sink, name, records, size, part = None, "", 0, 0, 0
+
+        def closed() -> pa.RecordBatch:
+            sink.close()
+            return pa.RecordBatch.from_pydict({"path": [out.rsplit(folder, 1)[0] + name], "records": [records], "bytes": [size]})
+
         for batch in batches:
-            if sink is None and batch.num_rows:
-                sink = files.open_output_stream(name)
             for page_id, url, html, refers_to in zip(*batch.columns, strict=True):
+                if sink is None:
+                    name, records, size, part = f"{own}-{part:04d}.warc.gz", 0, 0, part + 1
+                    sink = files.open_output_stream(name)
                 payload = (html.as_py() or "").encode()
                 kind = "response" if refers_to.as_py() is None else "revisit"
                 data = member(record(kind, f"urn:page:{page_id.as_py()}", url.as_py() or "", payload, hashlib.sha256(payload).hexdigest(), None if kind == "response" else f"urn:page:{refers_to.as_py()}"))
                 sink.write(data)
                 records, size = records + 1, size + len(data)
+                if size >= archive_bytes:
+                    yield closed()
+                    sink = None
         if sink is not None:
-            sink.close()
-            yield pa.RecordBatch.from_pydict({"path": [out.rsplit(folder, 1)[0] + name], "records": [records], "bytes": [size]})
+            yield closed()
 
     return written(pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
 
@@ -244,6 +258,9 @@ def write_archives(pages: DataFrame, out: str) -> DataFrame:
 def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Records and gaps of the archives that a table of paths names, an archive to a task at a time; see ``gap_log``.
 
+    A task holds the record it reads, at most MOST_RECORD_BYTES, and its
+    compressed bytes, and takes time in proportion to them.
+
     path, offset, record_id, record_type, uri, refers_to, payload_digest (as the
     record states it), payload_bytes (of the full payload, from the HTTP
     headers), payload (null for revisits), gap_end and gap_reason (for gaps

@@ -2,6 +2,8 @@
 
 import hashlib
 import io
+import random
+import time
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -80,3 +82,42 @@ def test_sql_on_odd_pages(spark, equal):
     c.execute("CREATE TABLE pages (page_id BIGINT, html VARCHAR)")
     c.executemany("INSERT INTO pages VALUES (?, ?)", rows)
     equal(warc.round_trip(pages), c.sql(warc.ORACLE))
+
+
+def test_time_of_long_records_is_in_proportion():
+    """A record four times as long takes about four times as long to read, compressed or not; a copy of all that is held for every block would take sixteen times."""
+    rng = random.Random(1)
+    block = rng.randbytes(1 << 20)
+    for wrap in (lambda x: x, lambda x: warc.member(x, 0)):
+        took = []
+        for mb in (32, 128):
+            data = wrap(warc.record("response", "urn:page:1", "u", block * mb, "x"))
+            began = time.perf_counter()
+            (found,) = warc.salvage(io.BytesIO(data))
+            took.append(time.perf_counter() - began)
+            assert isinstance(found, warc.Record) and len(found.block) > mb << 20
+        assert took[1] < 9 * took[0] + 0.2
+
+
+def test_many_small_records_between_long_damage():
+    """Small records in plain and packed form around megabytes of noise: all are found, and each stretch of noise is a gap."""
+    rng = random.Random(2)
+    for packed in (True, False):
+        parts, ids = [], []
+        for k in range(600):
+            if k % 200 == 100:
+                parts.append(b"\r\n\r\n".join(rng.randbytes(700_000).replace(b"\x1f\x8b", b"..") for _ in range(3)))
+            data = warc.record("response", f"urn:page:{k}", "u" * (k % 40), b"WARC/1.0\r\n" * (k % 5) + rng.randbytes(k), "x")
+            parts.append(warc.member(data) if packed else data)
+            ids.append(k)
+        found = list(warc.salvage(io.BytesIO(b"".join(parts))))
+        assert [int(x.headers["warc-record-id"].split(":")[-1].strip(">")) for x in found if isinstance(x, warc.Record)] == ids
+        assert sum(isinstance(x, warc.Gap) for x in found) == 3
+
+
+def test_archives_roll(spark):
+    pages = _pages(spark, 400)
+    manifest = warc.write_archives(warc.with_references(pages), warc.new_path(spark, "roll"), archive_bytes=3000)
+    rows = manifest.collect()
+    assert len(rows) > 8 and sum(r["records"] for r in rows) == 400 and all(r["bytes"] < 3000 + 2000 for r in rows)
+    assert warc.read_archives(spark, manifest).where("gap_end IS NULL").count() == 400
