@@ -185,7 +185,7 @@ def oracle() -> str:
         return f"regexp_replace({out}, '{_PUNCTUATION}', ' ', 'g')"
 
     whole_ = lambda x: f"trim(regexp_replace({x}, '[ \\n]+', ' ', 'g'), ' ')"
-    texts = ", ".join(f"('{n}', {_sql_text(t)})" for n, t in TEXTS.items())
+    texts = ", ".join(f"('{n}', {_sql_text(t)})" for n, t in whole_texts())
     notices = ", ".join(f"('{n}', {_sql_text(p.format(the + s))})" for n, ways in NAMES.items() for s in ways for p in PHRASES for the in ("", "the "))
     return f"""
 WITH t AS (SELECT min(license) AS license, {whole_(lines('x'))} AS form FROM (VALUES {texts}) AS v(license, x) GROUP BY form),

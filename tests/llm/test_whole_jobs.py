@@ -47,3 +47,20 @@ def test_suffix_arrays_of_one_text(spark, monkeypatch):
         largest.clear()
     assert results[2] == results[0] and results[3] <= results[1]
     assert any(0 < r[1] < r[0] for r in results[0])
+
+
+def test_whole_licenses_against_sql(spark, equal):
+    """Every known whole text, in other case, with copyright lines and more white space, and texts beside them: the SQL gives what the query gives."""
+    import duckdb
+    import pandas as pd
+
+    rows = []
+    for k, (name, text) in enumerate(license_scan.whole_texts()):
+        rows += [(10 * k, text), (10 * k + 1, "Copyright (c) 2020 A. Person\n" + text.upper().replace(" ", "  ")), (10 * k + 2, text + " One more."), (10 * k + 3, text[: len(text) // 2]), (10 * k + 4, f"Licensed under the {name} License.\n" + text[:50])]
+    rows += [(9000, None), (9001, ""), (9000, license_scan.TEXTS["MIT"]), (None, license_scan.TEXTS["MIT"])]
+    c = duckdb.connect()
+    c.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64"}))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = license_scan.scan(docs, license_scan.known(spark))
+    equal(got, c.sql(license_scan.oracle()))
+    assert got.where("license IS NOT NULL").count() == 2 * len(license_scan.whole_texts()) + 2
