@@ -375,10 +375,35 @@ def harvested_objects(t):
     return S.harvest(t("events").select("event_id", body.alias("body")), "body").select("event_id", "id")
 
 
-@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'b.jpg' ELSE 'a.jpg' END AS best FROM pages")
+@query("""WITH h AS (SELECT page_id, list_filter(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: x NOT LIKE '%,') AS h FROM pages), c AS (SELECT page_id, unnest(h) AS x, generate_subscripts(h, 1) AS k, page_id % 3 = 0 AS wide FROM h)
+SELECT page_id, regexp_extract(trim(x), '^(\\S+)', 1) AS best FROM c QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN wide THEN (length(x) * 37 % 1000)::DOUBLE WHEN k % 2 = 0 THEN (length(x) % 5)::DOUBLE ELSE 1.0 END DESC, k) = 1""")
 def srcset_candidates(t):
-    srcset = F.when(F.col("page_id") % 3 == 0, "a.jpg 100w, b.jpg 640w, c.jpg 320w").otherwise("a.jpg 2x, b.jpg, c.jpg 2x")
-    return S.srcset_best(t("pages").select("page_id", srcset.alias("srcset")))
+    """The links of every page that end in no comma as a srcset: widths on each third page, densities, on every second link, on the others."""
+    links = F.filter(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)), lambda h: ~h.endswith(","))
+    size = lambda h, k: F.when(F.col("page_id") % 3 == 0, cat((F.length(h) * 37 % 1000).cast("string"), F.lit("w"))).when(k % 2 == 1, cat((F.length(h) % 5).cast("string"), F.lit("x"))).otherwise("")
+    rows = t("pages").select("page_id", F.array_join(F.transform(links, lambda h, k: cat(h, F.lit(" "), size(h, k))), ", ").alias("srcset"))
+    return S.srcset_best(rows)
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN -1 WHEN 'error' THEN -2 WHEN 'click' THEN 1 ELSE 0 END AS d, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+b AS (SELECT user_id, event_id, k, greatest(d, 0)::BIGINT AS balance FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_id, e.k, greatest(b.balance + e.d, 0) FROM b JOIN e ON e.user_id = b.user_id AND e.k = b.k + 1)
+SELECT user_id, event_id, balance FROM b""")
+def rolled_back_counts(t):
+    """Clicks count, views take one back and errors two, never below nothing."""
+    delta = F.when(F.col("event_type") == "view", -1).when(F.col("event_type") == "error", -2).when(F.col("event_type") == "click", 1).otherwise(0)
+    return A.balances(t("events").withColumn("d", delta), ["user_id"], ["ts", "event_id"], "d").select("user_id", "event_id", "balance")
+
+
+@query("""WITH u AS (SELECT user_id, user_id % 40 AS base, max(value) FILTER (event_type = 'purchase' AND value > 190) AS live, max(value) FILTER (event_type = 'signup' AND value > 180) AS reached,
+  max(value) FILTER (event_type = 'view' AND value > 180) AS reported, min(value) FILTER (event_type = 'click') AS floor, user_id % 3 = 0 AS exact, max(value) FILTER (event_type = 'error') AS history FROM events GROUP BY user_id)
+SELECT user_id, CASE WHEN live IS NOT NULL THEN live WHEN reached IS NOT NULL THEN reached WHEN reported IS NOT NULL THEN floor(reported + 0.5)
+  WHEN exact THEN floor(greatest(base::DOUBLE, coalesce(floor, base)) + 0.5) ELSE floor(greatest(base::DOUBLE, coalesce(floor, base), coalesce(history, base)) + 0.5) END::DOUBLE AS effective FROM u""")
+def effective_limits(t):
+    """A limit per user by all six sources of it."""
+    most = lambda kind, least=0: F.max(F.when((F.col("event_type") == kind) & (F.col("value") > least), F.col("value")))
+    users = t("events").groupBy("user_id").agg(most("purchase", 190).alias("live"), most("signup", 180).alias("reached"), most("view", 180).alias("reported"), F.min(F.when(F.col("event_type") == "click", F.col("value"))).alias("floor"), most("error", -1e9).alias("history"))
+    limit = P.effective_limit(F.col("user_id") % 40, F.col("live"), F.col("reached"), F.col("reported"), F.col("floor"), F.col("user_id") % 3 == 0, F.col("history"))
+    return users.select("user_id", limit.alias("effective"))
 
 
 @query("SELECT i AS doc_id, quality FROM (SELECT unnest(range(0, (SELECT max(doc_id) + 1 FROM labels))) AS i) LEFT JOIN labels ON doc_id = i")

@@ -145,3 +145,14 @@ def cleanup_plan(rows: DataFrame, group: str, member: str, tags: str, original:
     ranked = once.withColumns({"size": F.count(F.lit(1)).over(w), "blocked": F.max(~F.col(member).cast("string").rlike("^[0-9]+$")).over(w), "rank": F.row_number().over(best)})
     action = F.when(F.col("rank") == 1, "keep").when(F.col("blocked"), "blocked").otherwise("remove")
     return ranked.where("size >= 2").select(group, member, action.alias("action"))
+
+
+def balances(rows: DataFrame, key: list[str], order: list[str], delta: str, name: str = "balance") -> DataFrame:
+    """The rows with a running sum of ``delta`` per key that never falls below 0: what is taken back of nothing is lost.
+
+    It is the plain running sum less its least value so far, where that is
+    negative. Rows of a key are sorted in one task, which can spill.
+    """
+    upto = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = rows.withColumn(name, F.sum(F.coalesce(delta, F.lit(0))).over(upto))
+    return summed.withColumn(name, F.col(name) - F.least(F.lit(0), F.min(name).over(upto)))

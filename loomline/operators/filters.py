@@ -169,3 +169,16 @@ def outcome(status: Column, message: Column) -> Column:
         .when((status >= 400) | text.rlike("error|failed|timed out"), "failed")
         .otherwise("ok")
     )
+
+
+def effective_limit(default: Column, live: Column, reached: Column, reported: Column, floor: Column, exact: Column, history: Column) -> Column:
+    """The limit that counts: a live one, else the one reached today, else one that was reported.
+
+    Else it is the default, raised to a stated floor, and, unless it is set
+    ``exact``, to the most in the history. What is reported or worked out is
+    rounded, halves up, and not below 0; a missing default is 0.
+    """
+    rounded = lambda x: F.when(x.isNotNull(), F.greatest(F.floor(x + 0.5), F.lit(0)).cast("double"))
+    raised = F.greatest(F.coalesce(default, F.lit(0)).cast("double"), floor.cast("double"))
+    own = F.when(F.coalesce(exact, F.lit(False)), raised).otherwise(F.greatest(raised, history.cast("double")))
+    return F.coalesce(live.cast("double"), reached.cast("double"), rounded(reported), rounded(own))

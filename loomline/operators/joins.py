@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 from loomline.operators.ordering import ordinal
 from loomline.session import new_path, written
 
+#: Destinations that a plan takes at most.
+MOST_DESTINATIONS = 10_000
+
 
 def preferred(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the first in ``order``, which should be total."""
@@ -143,9 +146,12 @@ def plan_uploads(files: DataFrame, destinations: DataFrame, existing: DataFrame,
     """Every file (path, sha256, bytes) at every destination (repo, prefix) with its action.
 
     upload where nothing lies at the target, ``same`` where the checksum agrees,
-    else what ``policy`` says: skip, overwrite or fail. Destinations are a small
-    configuration and are broadcast.
+    else what ``policy`` says: skip, overwrite or fail. Destinations are a
+    configuration and are broadcast; more than MOST_DESTINATIONS are refused, as
+    the plan has a row for every file at each of them.
     """
+    if destinations.limit(MOST_DESTINATIONS + 1).count() > MOST_DESTINATIONS:
+        raise ValueError(f"more than {MOST_DESTINATIONS} destinations")
     jobs = files.join(F.broadcast(destinations)).withColumn("target", F.concat_ws("/", F.nullif("prefix", F.lit("")), "path"))
     there = existing.select("repo", F.col("path").alias("target"), F.col("sha256").alias("there_sha"))
     action = F.when(F.col("there_sha").isNull(), "upload").when(F.col("there_sha") == F.col("sha256"), "same").otherwise(policy)

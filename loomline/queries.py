@@ -771,4 +771,4 @@ def response_outcomes(t):
     return t("events").select("event_id", P.outcome(F.lit(200), message).alias("outcome"))
 
 
-from loomline import media_queries, more_queries  # noqa: E402, F401  (register the rest)
+from loomline import file_queries, media_queries, more_queries  # noqa: E402, F401  (register the rest)

@@ -7,6 +7,7 @@ import fnmatch
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.operators.ordering import ordinal
 from loomline.session import written
 
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "webp", "bmp", "gif")
@@ -41,6 +42,11 @@ def scan_present(spark: SparkSession, roots: list[str], **options) -> DataFrame:
     return scan(spark, there, **options)
 
 
+def walked(files: DataFrame) -> DataFrame:
+    """The files with ``place``, from 0: folder by folder in order of their paths, names in order inside each. Numbered by ranges, not in one task."""
+    return ordinal(files, [F.col("parent"), F.col("base"), F.col("path")])
+
+
 def images(files: DataFrame, extensions: tuple[str, ...] = IMAGE_EXTENSIONS, exact_case: bool = False) -> DataFrame:
     """Files with an image extension: in any case, or all lower or all upper alone."""
     raw = F.regexp_extract("base", r"\.([^.]*)$", 1)

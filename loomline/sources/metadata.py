@@ -61,7 +61,10 @@ def png_text(data: bytes) -> dict[str, str]:
 
 
 def png_with_text(data: bytes, values: dict[str, str | None]) -> bytes:
-    """The PNG with text chunks of these keys (in any case) replaced, before its end; None deletes a key."""
+    """The PNG with text chunks of these keys (in any case) replaced, before its end; None deletes a key.
+
+    Text beyond Latin-1 goes into an international chunk.
+    """
     gone = {k.lower().encode("latin-1", "ignore") for k in values}
     chunk = lambda kind, content: len(content).to_bytes(4, "big") + kind + content + zlib.crc32(kind + content).to_bytes(4, "big")
     out = [PNG]
@@ -69,7 +72,11 @@ def png_with_text(data: bytes, values: dict[str, str | None]) -> bytes:
         if kind in (b"tEXt", b"zTXt", b"iTXt") and content.partition(b"\0")[0].lower() in gone:
             continue
         if kind == b"IEND":
-            out += [chunk(b"tEXt", k.encode("latin-1", "ignore") + b"\0" + v.replace("\0", "").encode("latin-1", "ignore")) for k, v in values.items() if v is not None]
+            for k, v in values.items():
+                if v is not None:
+                    key, text = k.encode("latin-1", "ignore"), v.replace("\0", "")
+                    plain = all(c <= "\xff" for c in text)
+                    out.append(chunk(b"tEXt", key + b"\0" + text.encode("latin-1")) if plain else chunk(b"iTXt", key + b"\0\0\0\0\0" + text.encode()))
         out.append(chunk(kind, content))
     return b"".join(out) if len(out) > 1 else data
 

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomline.session import written
+
 
 def text_report(rows: DataFrame, key: str, value: str, path: str) -> None:
     """``key: value`` lines."""
@@ -44,18 +50,116 @@ def script_lines(files: DataFrame, command: Column) -> DataFrame:
     return rows.withColumn("lines", lines).select("folder", "path", F.posexplode("lines").alias("part", "line")).orderBy("folder", "path", "part")
 
 
-def zipped(files: DataFrame, group: str) -> DataFrame:
-    """group, archive: the files (name, content) of a group as one ZIP, names sorted and times fixed; a group must fit a task."""
+def write_files(rows: DataFrame, root: str) -> DataFrame:
+    """Write every row (path under ``root``, content) as a file of its own; path and bytes of each, as a written table.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for name, content in sorted(zip(pdf["name"], pdf["content"], strict=True)):
-                z.writestr(zipfile.ZipInfo(name), bytes(content or b""))
-        return pd.DataFrame([(pdf[group].iloc[0], out.getvalue())], columns=[group, "archive"])
+    A file is written beside its place under a name of its own and then moved
+    there, so that nobody sees half a file and a task that runs again changes
+    nothing. A null content is an empty file. Of rows that share a path any one
+    wins: resolve them with ``plans.moves`` first. ``..`` in a path is refused.
+    """
 
-    kind = files.schema[group].dataType.simpleString()
-    return files.select(group, "name", "content").groupBy(group).applyInPandas(run, f"{group} {kind}, archive binary")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, folder = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            found = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                if ".." in path.split("/"):
+                    raise ValueError(f"{path} leaves its root")
+                place, data = f"{folder}/{path.strip('/')}", bytes(content) if content is not None else b""
+                files.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                part = f"{place}.{uuid.uuid4().hex}.part"
+                with files.open_output_stream(part) as sink:
+                    sink.write(data)
+                files.move(part, place)
+                found.append((path, len(data)))
+            yield pd.DataFrame(found, columns=["path", "bytes"])
+
+    return written(rows.select("path", F.col("content").cast("binary").alias("content")).mapInPandas(run, "path string, bytes long"), "files-written")
+
+
+class _Pieces(io.RawIOBase):
+    """A sink that cannot seek, for an archive that is written as it grows."""
+
+    def __init__(self, sink):
+        self.sink, self.at = sink, 0
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self.sink.write(bytes(data))
+        self.at += len(data)
+        return len(data)
+
+    def tell(self) -> int:
+        return self.at
+
+
+#: What an archive holds: each file alone, the files of a source, or those of a folder.
+ZIP_MODES = {"file": lambda: F.col("path"), "source": lambda: F.split_part("path", F.lit("/"), F.lit(1)), "folder": lambda: F.regexp_extract("path", r"^(.*)/[^/]*$", 1)}
+
+
+def zipped(files: DataFrame, mode: str, out: str) -> DataFrame:
+    """archive, path, entries, bytes of the ZIP files that the files (path, content) make in the folder ``out``, one for each group of ZIP_MODES.
+
+    A group's files come sorted by path and go into its archive one at a time,
+    with fixed times, so that a task holds one file, however large the group; the
+    same files give the same bytes. Archive names carry the attempt, and only
+    those count that this manifest, a written table, names.
+    """
+    kept = files.select(ZIP_MODES[mode]().alias("archive"), "path", F.col("content").cast("binary").alias("content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = pafs.FileSystem.from_uri(out)
+        store.create_dir(folder, recursive=True)
+        now, target, archive, name, entries = None, None, None, "", 0
+
+        def closed() -> pa.RecordBatch:
+            archive.close()
+            target.sink.close()
+            return pa.RecordBatch.from_pydict({"archive": [now], "path": [out.rsplit(folder, 1)[0] + name], "entries": [entries], "bytes": [target.at]})
+
+        for batch in batches:
+            for group, path, content in zip(*batch.columns, strict=True):
+                if archive is None or group.as_py() != now:
+                    if archive is not None:
+                        yield closed()
+                    now, entries, name = group.as_py(), 0, f"{folder}/{uuid.uuid4().hex}.zip"
+                    target = _Pieces(store.open_output_stream(name))
+                    archive = zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED)
+                info = zipfile.ZipInfo(path.as_py())
+                info.compress_type = zipfile.ZIP_DEFLATED
+                archive.writestr(info, content.as_py() or b"")
+                entries += 1
+        if archive is not None:
+            yield closed()
+
+    ordered = kept.repartition("archive").sortWithinPartitions("archive", "path")
+    return written(ordered.mapInArrow(run, "archive string, path string, entries long, bytes long"), "zip-manifest")
+
+
+def unzipped(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+    """archive, path, content of the files in the archives of a manifest, an archive to a task at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for group, place in zip(batch["archive"], batch["path"], strict=True):
+                store, name = pafs.FileSystem.from_uri(place)
+                with store.open_input_file(name) as source, zipfile.ZipFile(source) as archive:
+                    for info in archive.infolist():
+                        yield pd.DataFrame([(group, info.filename, archive.read(info))], columns=["archive", "path", "content"])
+
+    return manifest.select("archive", "path").repartition("path").mapInPandas(run, "archive string, path string, content binary")
+
+
+def remembered(seen: DataFrame, new: DataFrame, key: list[str], at: str, most: int) -> DataFrame:
+    """The ``most`` keys that were seen last, of what was remembered and what is new; a key seen again counts by its last time.
+
+    The bound is by ``at``, then the key; the keys beyond it are forgotten.
+    """
+    rows = seen.select(*key, at).unionByName(new.select(*key, at)).groupBy(*key).agg(F.max(at).alias(at))
+    return rows.orderBy(F.col(at).desc(), *key).limit(most)
 
 
 def insert_or_ignore(table: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
