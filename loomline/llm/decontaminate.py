@@ -7,16 +7,17 @@ answer's word n-grams in the passage.
 
 Item count, mean length and document frequencies are taken over all items in
 Spark. Tasks build the index in parts of bounded size from these and write them
-to the shared folder; a task that searches documents loads one part at a time.
+to the shared folder; a task that searches documents uses one part at a time, and
+keeps those that fit HELD_BYTES.
 Scores and verdicts do not depend on how items are dealt to parts.
 """
 
 from __future__ import annotations
 
-import functools
 import io
 import re
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -45,6 +46,8 @@ COMMON = 0.05
 INDEX_BYTES = 16 << 20
 #: Bytes of document text for which a task loads the parts of an index once.
 BUFFER_BYTES = 16 << 20
+#: Bytes of an index that a worker process keeps; a larger part is kept alone.
+HELD_BYTES = 192 << 20
 
 #: Letters, digits and non-ASCII bytes stay (A-Z lower-cased); other bytes separate words.
 NORMAL = LOWER.copy()
@@ -75,8 +78,8 @@ class Index(NamedTuple):
     starts: np.ndarray  # of each word's postings
     owner: np.ndarray  # ascending item places
     impact: np.ndarray
-    common: np.ndarray  # per word: is it in many items
-    item_rest: np.ndarray  # per item: what all its common words add
+    common: np.ndarray  # per word: is it in many items, and not needed to find one
+    item_rest: np.ndarray  # per item: what all its common words add, always under THRESHOLD
     rest: np.ndarray  # per block of items: the most of these
     most: int  # words of the longest item
 
@@ -144,7 +147,12 @@ def build(rows: list[tuple[object, str]], stats: Stats | None = None, frequencie
     score = np.log(1 + (stats.items - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / stats.mean))
     impact = score / np.bincount(owner, score)[owner]
     common = df[first] > max(1, COMMON * stats.items)
-    by_item = np.bincount(owner, impact * np.repeat(common, np.diff(starts)), minlength=len(kept))
+    place = np.repeat(np.arange(len(first)), np.diff(starts))
+    # an item that common words alone could retrieve is found by the weightiest of them, which then counts as rare in this part
+    while (bare := (by_item := np.bincount(owner, impact * common[place], minlength=len(kept))) + 1e-9 >= THRESHOLD).any():
+        some = np.flatnonzero(common[place] & bare[owner])
+        some = some[np.lexsort((-impact[some], owner[some]))]
+        common[place[some[np.r_[True, owner[some][1:] != owner[some][:-1]]]]] = False
     rest = np.maximum.reduceat(by_item, np.arange(0, len(kept), BLOCK))
     question, answer = (_sides([split_item(t)[k] for _, t, _, _ in kept], least) for k, least in enumerate(LEAST_GRAM))
     return Index(np.array([i for i, *_ in kept]), question, answer, term[first], starts, owner, impact, common, by_item, rest, stats.most)
@@ -158,9 +166,21 @@ def _packed(index: Index) -> bytes:
     return out.getvalue()
 
 
-@functools.lru_cache(maxsize=1)
+_held: OrderedDict[str, tuple[Index, int]] = OrderedDict()
+
+
 def load(path: str) -> Index:
-    """A part of an index from the shared folder; a worker process keeps the last one."""
+    """A part of an index from the shared folder; a worker process keeps those used last, up to HELD_BYTES, and always one."""
+    if path not in _held:
+        index = _read(path)
+        _held[path] = index, sum(x.nbytes for part in index for x in (part if isinstance(part, Grams) else (part,)) if isinstance(x, np.ndarray))
+        while len(_held) > 1 and sum(size for _, size in _held.values()) > HELD_BYTES:
+            _held.popitem(last=False)
+    _held.move_to_end(path)
+    return _held[path][0]
+
+
+def _read(path: str) -> Index:
     files, name = pafs.FileSystem.from_uri(path)
     with files.open_input_stream(name) as source, np.load(io.BytesIO(source.read())) as flat:
         sides = [Grams(*(flat[f"{side}_{k}"] for k in Grams._fields)) for side in ("question", "answer")]
@@ -278,8 +298,6 @@ def matches(index: Index, data: np.ndarray, offsets: np.ndarray) -> dict[tuple[i
         some = set((key[bound + 1e-9 >= THRESHOLD] // n_items).tolist())
     else:
         some = set()
-    if (index.rest + 1e-9 >= THRESHOLD).any():
-        some = set(range(len(p_row)))
 
     found: dict[tuple[int, int], tuple[float, float, float, int]] = {}
     for p in sorted(some):

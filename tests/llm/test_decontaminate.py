@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 from loomline.llm import decontaminate as D
@@ -101,3 +102,43 @@ def test_text_ids_and_extra_columns(spark):
     assert got == {(1, "a"), (2, None)}
     left = D.without_benchmark(docs, items)
     assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(3, None, 7, None)]
+
+
+@pytest.mark.parametrize("part_bytes", [16 << 20, 200])
+def test_items_of_common_words_alone(spark, monkeypatch, part_bytes):
+    """Items all of whose words are in many items are found like others, and do not send every passage to the full search."""
+    rng = random.Random(14)
+    few = ["the", "of", "and", "to", "in", "is", "that", "it"]
+    rare = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(3000)]
+    items = [(k, " ".join(rng.choices(few, k=12)) + ". " + " ".join(rng.choices(few, k=4))) for k in range(25)]
+    items += [(100 + k, " ".join(rng.choices(few + rare, k=14)) + ". " + " ".join(rng.choices(rare, k=3))) for k in range(60)]
+    docs = [(k, " ".join(rng.choices(rare, k=60) + ([items[k % 85][1]] if k % 4 == 0 else []) + rng.choices(rare + few[:1], k=40))) for k in range(160)]
+    monkeypatch.setattr(D, "INDEX_BYTES", part_bytes)
+    searched = []
+    monkeypatch.setattr(D, "wand", lambda index, terms, plain=D.wand: searched.append(1) or plain(index, terms))
+    index = D.build(items)
+    assert (index.item_rest < D.THRESHOLD).all()
+    data = [t.encode() for _, t in docs]
+    hits = D.matches(index, np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    want = by_force(docs, items)
+    assert {(docs[r][0], items[i][0]) for r, i in hits} == want.keys() and len(want) >= 40
+    passages = sum(max(1, -(-len(_words(t)) // index.most) - 1) for _, t in docs)
+    assert len(searched) < passages / 3
+    rows = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): round(r["score"], 6) for r in rows} == {k: round(x[0], 6) for k, x in want.items()}
+
+
+def test_parts_that_are_kept(spark, monkeypatch):
+    items = spark.createDataFrame([(k, f"item number {k} has words{k} of its own{k}. and an answer{k}.") for k in range(40)], "item_id long, text string")
+    monkeypatch.setattr(D, "INDEX_BYTES", 300)
+    paths = D.write_index(items)
+    assert len(paths) > 4
+    one = D.load(paths[0])
+    size = D._held[paths[0]][1]
+    monkeypatch.setattr(D, "HELD_BYTES", 3 * size)
+    for path in paths:
+        D.load(path)
+        assert sum(n for _, n in D._held.values()) <= 3 * size or len(D._held) == 1
+    monkeypatch.setattr(D, "HELD_BYTES", 0)
+    again = D.load(paths[0])
+    assert list(D._held) == [paths[0]] and (again.vocabulary == one.vocabulary).all()
