@@ -65,6 +65,23 @@ def image_recolour_pairs(t):
     return _pictures(t).select("vec_id", F.array_join(pairs, " ").alias("pairs"))
 
 
+_CHANCES = {"crop": 0.95, "rotate": 0.4, "flip": 0.5, "colour": 0.55, "stretch": 0.0, "gamma": 0.0, "blur": 0.12, "sharpen": 0.18, "noise": 0.12}
+_U = "('0x' || md5(item_seed || '|{0}|11')[1:13])::BIGINT / 4503599627370496.0"
+
+
+@query(f"""WITH p AS (SELECT 'pictures/' || vec_id AS stem, 'pictures/' || vec_id || '.png' AS path, row_number() OVER (ORDER BY 'pictures/' || vec_id || '.png') - 1 AS place, count(*) OVER () AS n FROM embeddings),
+d AS (SELECT i AS draw, path, stem, ('0x' || md5(i || '|12')[1:15])::BIGINT AS item_seed FROM (SELECT unnest(range(2 * (SELECT count(*) FROM embeddings))) AS i) JOIN p ON place = ('0x' || md5(i || '|11')[1:15])::BIGINT % n)
+SELECT draw, path, item_seed, stem[10:] || '__aug_' || lpad((draw + 1)::VARCHAR, 8, '0') || '_' || right(lpad(lower(to_hex(item_seed)), 16, '0'), 8) || '.png' AS out,
+  array_to_string(list_filter([{", ".join(f"CASE WHEN {_U.format(op + '?')} < {chance} THEN '{op}' END" for op, chance in _CHANCES.items())}], lambda x: x IS NOT NULL), ' ') AS ops,
+  CASE WHEN {_U.format('crop?')} < 0.95 THEN round({_U.format('scale')} * (1.0 - 0.78) + 0.78, 9) END AS scale FROM d""")
+def augmentation_plan(t):
+    """Two draws for every picture on average, and the steps that each goes through."""
+    sized = _pictures(t).select(F.format_string("pictures/%d.png", "vec_id").alias("path"), F.lit(8).alias("width"), F.lit(8).alias("height"))
+    rows = augment.plan(sized, 2 * t("embeddings").count(), seed=11)
+    crop = F.get(F.filter("steps", lambda s: s["op"] == "crop"), F.lit(0))
+    return rows.select("draw", "path", "item_seed", "out", F.array_join(F.transform("steps", lambda s: s["op"]), " ").alias("ops"), F.round(F.get(crop["values"], F.lit(0)), 9).alias("scale"))
+
+
 @query()
 def augmentation_log(t):
     """Two draws for every picture on average, and what was done to each."""

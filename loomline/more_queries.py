@@ -108,6 +108,28 @@ def validation_draw_sizes(t):
     return moved.groupBy("source").agg(F.count_distinct("doc_id").alias("moved"), F.bool_and(F.col("lang") != "en").alias("sound"))
 
 
+@query("""WITH RECURSIVE o AS (SELECT source, doc_id, (coalesce(lang = 'en', false))::INT AS bad, row_number() OVER (PARTITION BY source ORDER BY md5(source || '|' || doc_id || '|5'), doc_id) AS k FROM documents),
+s AS (SELECT DISTINCT source, 0::BIGINT AS k, NULL::BIGINT AS doc_id, 0::BIGINT AS good, 0::BIGINT AS streak, false AS taken FROM o
+  UNION ALL SELECT o.source, o.k, o.doc_id, s.good + 1 - o.bad, CASE WHEN o.bad = 1 THEN s.streak + 1 ELSE 0 END, o.bad = 0 FROM s JOIN o ON o.source = s.source AND o.k = s.k + 1 WHERE s.streak < 2 AND s.good < 4)
+SELECT source, doc_id FROM s WHERE taken""")
+def validation_draws(t):
+    """Up to four documents of each source in another language than English, until two English ones came in a row."""
+    return O.validation_draw(t("documents").select("source", "doc_id", "lang"), "source", "doc_id", F.col("lang") == "en", 4, most_failures=2, seed=5).select("source", "doc_id")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || '|9'), doc_id) - 1 AS place FROM documents")
+def shuffled_places(t):
+    return O.ordinal(t("documents").select("doc_id"), [O.drawn(F.col("doc_id"), seed=9), F.col("doc_id")])
+
+
+@query("SELECT n_name, r_name FROM nation, region WHERE n_regionkey <> r_regionkey ORDER BY md5(n_name || '|' || r_name || '|4'), n_name, r_name LIMIT 30")
+def drawn_pairs(t):
+    pairs = t("nation").select("n_name", "n_regionkey"), t("region").select("r_name", "r_regionkey")
+    regions = {r["n_name"]: r["n_regionkey"] for r in pairs[0].collect()} | {r["r_name"]: r["r_regionkey"] for r in pairs[1].collect()}
+    key = F.create_map(*[F.lit(x) for kv in regions.items() for x in kv])
+    return O.combinations(pairs[0].select("n_name"), pairs[1].select("r_name"), key[F.col("n_name")] != key[F.col("r_name")], 30, seed=4)
+
+
 @query("SELECT source, least(count(*), 5) AS n, least(count(*), 5) AS n_distinct FROM documents GROUP BY source")
 def exact_sample_sizes(t):
     rows = O.exact_sample(t("documents").select("doc_id", "source"), ["source"], F.col("doc_id"), 5, seed=3)

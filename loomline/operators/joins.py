@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.operators.ordering import ordinal
+from loomline.operators.ordering import drawn_number, ordinal
 from loomline.session import new_path, written
 
 #: Destinations that a plan takes at most.
@@ -162,7 +162,7 @@ def with_backgrounds(subjects: DataFrame, backgrounds: DataFrame, draws: int, se
     """Every subject (id) with ``draws`` backgrounds (place from 0, path), drawn with replacement; no cross product is made."""
     n = backgrounds.count()
     picks = subjects.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    picks = picks.withColumn("place", F.pmod(F.xxhash64("id", "draw", F.lit(seed)), F.lit(max(n, 1))))
+    picks = picks.withColumn("place", drawn_number(F.col("id"), F.col("draw"), seed=seed) % max(n, 1))
     return picks.join(backgrounds, "place")
 
 

@@ -82,21 +82,31 @@ def rolling_count(rows: DataFrame, key: list[str], at: str, seconds: int) -> Dat
     return rows.withColumn("in_window", F.count(F.lit(1)).over(w))
 
 
+def drawn(*parts: Column, seed: int = 0) -> Column:
+    """Hexadecimal digits drawn from the parts and the seed: the MD5 of their text, joined by bars, so that any engine draws alike."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts], F.lit(str(seed))))
+
+
+def drawn_number(*parts: Column, seed: int = 0, digits: int = 15) -> Column:
+    """A whole number of so many hexadecimal digits, 15 at most."""
+    return F.conv(F.substring(drawn(*parts, seed=seed), 1, digits), 16, 10).cast("long")
+
+
 def seeded(*parts: Column, seed: int = 0) -> Column:
     """A uniform number in [0, 1) drawn from the parts and the seed."""
-    return F.pmod(F.xxhash64(*parts, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    return drawn_number(*parts, seed=seed, digits=13) / F.lit(float(1 << 52))
 
 
 def exact_sample(rows: DataFrame, key: list[str], identity: Column, n: int, seed: int = 0) -> DataFrame:
     """``n`` rows per key without replacement, or all where there are fewer; the same rows for the same seed."""
-    return keep_newest(rows, key, [F.xxhash64(identity, F.lit(seed)), identity], n)
+    return keep_newest(rows, key, [drawn(identity, seed=seed), identity], n)
 
 
 def sample_to_target(rows: DataFrame, order: list[Column], needed: int, seed: int = 0) -> DataFrame:
     """``needed`` draws with replacement, each with a seed of its own for what follows."""
     placed = ordinal(rows, order)
     n = placed.count()
-    draws = rows.sparkSession.range(needed).select(F.col("id").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(n, 1))).alias("place"), F.shiftrightunsigned(F.xxhash64("id", F.lit(seed + 1)), 1).alias("item_seed"))
+    draws = rows.sparkSession.range(needed).select(F.col("id").alias("draw"), (drawn_number(F.col("id"), seed=seed) % max(n, 1)).alias("place"), drawn_number(F.col("id"), seed=seed + 1).alias("item_seed"))
     return draws.join(placed, "place").drop("place")
 
 
@@ -121,12 +131,12 @@ def validation_draw(files: DataFrame, group: str, member: str, blocked: Column,
     A group ends early once ``most_failures`` blocked members came in a row. A
     blocked member is met once, as drawing it again could not succeed.
     """
-    drawn = Window.partitionBy(group).orderBy(F.xxhash64(group, member, F.lit(seed)), member)
+    by_draw = Window.partitionBy(group).orderBy(drawn(F.col(group), F.col(member), seed=seed), member)
     rows = files.withColumn("_bad", F.coalesce(blocked, F.lit(False)).cast("int"))
-    rows = rows.withColumns({"_place": F.row_number().over(drawn), "_good": F.sum(1 - F.col("_bad")).over(drawn)})
+    rows = rows.withColumns({"_place": F.row_number().over(by_draw), "_good": F.sum(1 - F.col("_bad")).over(by_draw)})
     streak = Window.partitionBy(group, "_good").orderBy("_place")
     rows = rows.withColumn("_streak", F.sum("_bad").over(streak))  # blocked ones since the last good one
-    ended = F.max((F.col("_streak") >= most_failures).cast("int")).over(drawn)
+    ended = F.max((F.col("_streak") >= most_failures).cast("int")).over(by_draw)
     return rows.withColumn("_ended", ended).where((F.col("_bad") == 0) & (F.col("_ended") == 0) & (F.col("_good") <= n)).select(*files.columns)
 
 
@@ -137,7 +147,7 @@ def bernoulli_words(words: Column, share: float, seed: int = 0) -> Column:
 
 def shuffled(rows: DataFrame, identity: Column, seed: int = 0) -> DataFrame:
     """Rows in an order drawn from the seed."""
-    return rows.orderBy(F.xxhash64(identity, F.lit(seed)), identity)
+    return rows.orderBy(drawn(identity, seed=seed), identity)
 
 
 def rank_key(value: Column, ranks: list[str]) -> Column:
@@ -185,7 +195,7 @@ def combinations(left: DataFrame, right: DataFrame, allowed: Column, n: int, see
     if size > most:
         raise ValueError(f"{size} pairs; at most {most} are listed")
     pairs = left.crossJoin(F.broadcast(right)).where(allowed)
-    return pairs.orderBy(F.xxhash64(*pairs.columns, F.lit(seed)), *pairs.columns).limit(n)
+    return pairs.orderBy(drawn(*[F.col(c) for c in pairs.columns], seed=seed), *pairs.columns).limit(n)
 
 
 def retries(failures: DataFrame, key: list[str], most: int = 3, base_ms: int = 900, step_ms: int = 600) -> DataFrame:

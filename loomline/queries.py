@@ -430,22 +430,23 @@ def turn_header_on_change(t):
     return O.with_headers(t("conversations"), ["conv_id"], ["turn", "role", "text"], "role")
 
 
-@query()
+@query("SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || '|3'), doc_id) <= 5")
 def exact_sample_per_group(t):
     return O.exact_sample(t("documents").select("doc_id", "source"), ["source"], F.col("doc_id"), 5, seed=3)
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM documents)
+SELECT i AS draw, ('0x' || md5(i || '|4')[1:15])::BIGINT AS item_seed, doc_id FROM range(500) r(i) JOIN d ON place = ('0x' || md5(i || '|3')[1:15])::BIGINT % n""")
 def sample_with_replacement(t):
     return O.sample_to_target(t("documents").select("doc_id"), [F.col("doc_id")], 500, seed=3)
 
 
-@query()
+@query("""SELECT doc_id, len(list_filter(string_split(text, ' '), lambda x, i: i = 1 OR ('0x' || md5(x || '|' || (i - 1) || '|0')[1:13])::BIGINT / 4503599627370496.0 < 0.3))::INT AS n FROM documents""")
 def bernoulli_word_sample(t):
     return t("documents").select("doc_id", F.size(O.bernoulli_words(F.split("text", " "), 0.3)).alias("n"))
 
 
-@query()
+@query("SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY -ln(1.0 - ('0x' || md5(source || '|1')[1:13])::BIGINT / 4503599627370496.0) / count(*), source LIMIT 1")
 def weighted_source(t):
     return O.weighted_choice(t("documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")), "n", ["source"], seed=1)
 
@@ -757,7 +758,8 @@ def online_clusters(t):
     return J.online_clusters(t("embeddings"), "vec_id", 4.0)
 
 
-@query()
+@query("""WITH b AS (SELECT s_suppkey AS path, row_number() OVER (ORDER BY s_suppkey) - 1 AS place, count(*) OVER () AS n FROM supplier)
+SELECT c_custkey AS id, d::INT AS draw, path FROM customer, range(3) r(d) JOIN b ON place = ('0x' || md5(c_custkey || '|' || d || '|2')[1:15])::BIGINT % n""")
 def background_draws(t):
     backgrounds = O.ordinal(t("supplier").select(F.col("s_suppkey").alias("path")), [F.col("path")])
     return J.with_backgrounds(t("customer").select(F.col("c_custkey").alias("id")), backgrounds, 3, seed=2).select("id", "draw", "path")

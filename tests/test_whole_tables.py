@@ -87,7 +87,7 @@ def test_harvest_of_deep_documents(spark):
 
 def test_validation_draw_ends_after_failures_in_a_row(spark):
     rows = spark.range(40).select(F.lit("g").alias("g"), "id")
-    order = [r["id"] for r in O.validation_draw(rows, "g", "id", F.lit(False), 40, seed=1).orderBy(F.xxhash64("g", "id", F.lit(1)), "id").collect()]
+    order = [r["id"] for r in O.validation_draw(rows, "g", "id", F.lit(False), 40, seed=1).orderBy(O.drawn(F.col("g"), F.col("id"), seed=1), "id").collect()]
     assert len(order) == 40
     bad = order[3:6]
     for most, want in ((3, order[:3]), (4, order[:3] + order[6:11])):
