@@ -6,6 +6,7 @@ As in ``pixels``, an image that cannot be read gives null.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -293,6 +294,51 @@ def downsized(content: Column, most: int, least: int) -> Column:
     return run(content)
 
 
+def composite(below: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """An image over another of its size by its transparency, as RGB, or RGBA where the lower one has transparency."""
+    alpha = lambda p: p[:, :, -1:].astype(float) / 255 if p.shape[2] in (2, 4) else np.ones((*p.shape[:2], 1))
+    a, b = alpha(above), alpha(below)
+    total = a + b * (1 - a)
+    colour = np.divide(rgb(above) * a + rgb(below) * b * (1 - a), total, out=np.zeros((*below.shape[:2], 3)), where=total > 0)
+    return whole(np.concatenate([colour, total * 255], axis=2) if below.shape[2] in (2, 4) else colour)
+
+
+def _pairs(first: Column, second: Column, x: Column, y: Column, make: Callable[[np.ndarray, np.ndarray, float, float], np.ndarray]) -> Column:
+    """``make`` of the pixels of two images and two numbers; null where an image cannot be read."""
+
+    @F.pandas_udf("binary")
+    def run(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(left: bytes | None, right: bytes | None, dx: float, dy: float) -> bytes | None:
+            p, q = decode(left), decode(right)
+            return None if p is None or q is None else encode(np.ascontiguousarray(make(p, q, dx, dy)))
+
+        return pd.Series([one(*v) for v in zip(a, b, x, y, strict=True)], dtype=object)
+
+    return run(first, second, x.cast("double"), y.cast("double"))
+
+
+def covered(content: Column, overlay: Column) -> Column:
+    """Images with an overlay brought to their size and laid over them."""
+    return _pairs(content, overlay, F.lit(0.0), F.lit(0.0), lambda p, q, *_: composite(p, whole(resized(q, p.shape[1], p.shape[0]))))
+
+
+def on_background(subject: Column, background: Column, x: Column, y: Column) -> Column:
+    """Subjects over backgrounds that are scaled to cover them, as RGB.
+
+    The background's window is moved right and down by shares of the subject's
+    sides, from 0 and as far as the background reaches.
+    """
+
+    def make(p: np.ndarray, q: np.ndarray, dx: float, dy: float) -> np.ndarray:
+        h, w = p.shape[:2]
+        scale = max(w / q.shape[1], h / q.shape[0])
+        wide, high = max(w, int(q.shape[1] * scale)), max(h, int(q.shape[0] * scale))
+        left, top = min(max(int(dx * w), 0), wide - w), min(max(int(dy * h), 0), high - h)
+        return composite(rgb(whole(resized(q, wide, high)))[top : top + h, left : left + w], p)
+
+    return _pairs(subject, background, x, y, make)
+
+
 def face_crop(content: Column, box: Column, least: int) -> Column:
     """A square around a found face (x, y, w, h) of at least ``least`` pixels a side where the image has them, moved inside the image."""
 
@@ -313,12 +359,12 @@ def face_crop(content: Column, box: Column, least: int) -> Column:
     return run(content, F.struct(*[box[k].alias(k) for k in ("x", "y", "w", "h")]))
 
 
-def from_values(values: Column, width: int) -> Column:
-    """A grey PNG of whole numbers from 0 to 255, ``width`` a row; what is left of a last row that is not full, and no values, give null."""
+def from_values(values: Column, width: int, channels: int = 1) -> Column:
+    """A PNG of whole numbers from 0 to 255, ``width`` pixels a row, 1 to 4 channels a pixel; no values, or a last row that is not full, give null."""
 
     @F.pandas_udf("binary")
     def run(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda v: encode(np.asarray(v, np.uint8).reshape(-1, width, 1)) if v is not None and len(v) and len(v) % width == 0 else None)
+        return rows.map(lambda v: encode(np.asarray(v, np.uint8).reshape(-1, width, channels)) if v is not None and len(v) and len(v) % (width * channels) == 0 else None)
 
     return run(values)
 

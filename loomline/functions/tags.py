@@ -107,6 +107,12 @@ def sync_labels(tags: Column, enabled: list[str], disabled: list[str]) -> Column
     return F.concat(F.array_except(F.array(*[F.lit(t) for t in enabled]).cast("array<string>"), kept), kept)
 
 
+def sync_changes(tags: Column, before: Column, now: Column) -> Column:
+    """Only what changed of the enabled labels since a remembered state: newly enabled ones that are missing in front, newly disabled ones gone."""
+    kept = F.array_except(tags, F.array_except(before, now))
+    return F.concat(F.array_except(F.array_except(now, before), kept), kept)
+
+
 def from_file_name(caption: Column, stem: Column) -> Column:
     """The stem, with underscores as spaces, after the caption."""
     return F.concat_ws(", ", F.nullif(caption, F.lit("")), F.replace(stem, F.lit("_"), F.lit(" ")))

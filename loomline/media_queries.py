@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from loomline.functions import imaging as I
 from loomline.operators import augment
+from loomline.operators import joins as J
+from loomline.operators import ordering as O
 from loomline.queries import query
 from loomline.sources import exif
 
@@ -101,3 +103,24 @@ def exif_replaced(t):
     rows = rows.select("doc_id", exif.with_exif(exif.replace_in_field(F.col("content"), "UserComment", "the", "THE"), fields).alias("content"))
     text = F.coalesce(exif.exif_field(F.col("content"), "UserComment"), exif.exif_field(F.col("content"), "Artist"))
     return rows.select("doc_id", text.alias("t")).where("t IS NOT NULL").select("doc_id", F.char_length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("sha256"))
+
+
+@query(f"""{_V} SELECT vec_id, array_to_string(flatten(list_transform(range(64), lambda i: list_transform(range(3), lambda c: floor(v[1 + i] * (1 - ((i // 8 // 4 * 2 + i % 8 // 4) * 60) / 255.0::DOUBLE) + (c * 100) * ((i // 8 // 4 * 2 + i % 8 // 4) * 60) / 255.0::DOUBLE + 0.5)::INT))), ' ') AS pixels FROM v""")
+def image_overlays(t):
+    """One overlay of two by two pixels, of growing density, over every picture."""
+    corners = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.array(F.lit(0), F.lit(100), F.lit(200), k * 60)))
+    overlay = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.slice(corners, ((F.floor(i / 32) * 2 + F.floor(i % 8 / 4)) * 4 + 1).cast("int"), 4)))
+    return _pictures(t).select("vec_id", _shown(I.covered(F.col("content"), I.from_values(overlay, 8, 4))).alias("pixels"))
+
+
+@query(f"""{_V}, b AS (SELECT vec_id, v AS q, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS n FROM v),
+d AS (SELECT v.vec_id AS id, v, d::INT AS draw, q, b.vec_id AS background FROM v, range(2) r(d) JOIN b ON place = ('0x' || md5(v.vec_id || '|' || d || '|6')[1:15])::BIGINT % n)
+SELECT id, draw, background, array_to_string(flatten(list_transform(range(32), lambda i: list_transform(range(3), lambda c: CASE WHEN v[2 * i + 2] >= 128 THEN v[2 * i + 1] ELSE q[1 + i // 4 * 8 + i % 4 + draw] END))), ' ') AS pixels FROM d""")
+def image_backgrounds(t):
+    """Every picture as a narrow cut-out (grey and an alpha that is all or nothing) over two drawn pictures, the second one moved by a quarter."""
+    alpha = F.transform(I.to_values(F.col("content")), lambda v, i: F.when(i % 2 == 1, F.when(v >= 128, 255).otherwise(0)).otherwise(v))
+    subjects = _pictures(t).select(F.col("vec_id").alias("id"), I.from_values(alpha, 4, 2).alias("content"))
+    backgrounds = O.ordinal(_pictures(t).select(F.col("vec_id").alias("background"), F.col("content").alias("below")), [F.col("background")])
+    drawn = J.with_backgrounds(subjects, backgrounds, 2, seed=6)
+    made = I.on_background(F.col("content"), F.col("below"), F.col("draw") * 0.25, F.lit(-0.1))
+    return drawn.select("id", "draw", "background", _shown(made).alias("pixels"))

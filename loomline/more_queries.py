@@ -649,3 +649,49 @@ def limit_lock_history(spark: SparkSession, sf_dir: str):
     rows = rows.select(F.col("user_id").alias("key"), F.when(F.col("event_type") == "purchase", "success").otherwise("hit").alias("kind"), "ts", exact.alias("renew_at"))
     locks = U.replayed(rows, U.limit_locks, "lock-history")
     return locks.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("reached_at", "renew_at")})
+
+
+@_streamed("""WITH e AS (SELECT user_id::VARCHAR AS key, event_id, value AS progress, ts, lag(ts) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, sum(CASE WHEN ts >= before + INTERVAL 1 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ts, event_id) AS life FROM e)
+SELECT key, event_id, progress FROM (SELECT *, max(progress) OVER (PARTITION BY key, life ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM g) WHERE most IS NULL OR progress > most""")
+def stream_progress(spark: SparkSession, sf_dir: str):
+    """Values of a user that rise above all before them, of which a day without events is the end."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), "event_id", F.col("value").alias("progress"), "ts")
+    return U.replayed(rows, U.rising, "progress")
+
+
+@query("""SELECT doc_id, md5(regexp_replace(text, 'th(e|a)', '\\1x', 'g')) AS whole_regex, md5(replace(text, 'the', 'a, b')) AS whole_plain,
+array_to_string(list_filter(l, lambda x, i: x <> '' AND list_position(l, x) = i), ', ') AS tags_plain
+FROM (SELECT doc_id, text, flatten(list_transform(list_filter(list_transform(string_split(text, ','), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))), lambda x: x <> ''),
+  lambda x: list_transform(string_split(replace(x, 'the', 'a, b'), ','), lambda y: trim(y, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))))) AS l FROM documents)""")
+def search_replace_modes(t):
+    """The other three of the four ways to search and replace."""
+    c = F.col("text")
+    return t("documents").select("doc_id", F.md5(T.search_replace(c, "th(e|a)", "$1x", True, False)).alias("whole_regex"), F.md5(T.search_replace(c, "the", "a, b", False, False)).alias("whole_plain"), T.search_replace(c, "the", "a, b", False, True).alias("tags_plain"))
+
+
+@query("""WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS t, CASE WHEN p_size % 2 = 0 THEN ['a', p_brand, 'gone'] ELSE ['gone'] END || string_split(p_name, ' ')[1:1] AS before, ['a', p_brand, 'b'] AS now FROM part),
+k AS (SELECT *, list_filter(t, lambda x: NOT (list_contains(before, x) AND NOT list_contains(now, x))) AS kept FROM p)
+SELECT p_partkey, array_to_string(list_filter(now, lambda x: NOT list_contains(before, x) AND NOT list_contains(kept, x)) || list_filter(kept, lambda x, i: list_position(kept, x) = i), ',') AS tags FROM k""")
+def label_changes(t):
+    tags = F.split("p_name", " ")
+    state = F.concat(F.when(F.col("p_size") % 2 == 0, F.array(F.lit("a"), "p_brand", F.lit("gone"))).otherwise(F.array(F.lit("gone"))), F.slice(tags, 1, 1))
+    return t("part").select("p_partkey", F.array_join(T.sync_changes(tags, state, F.array(F.lit("a"), "p_brand", F.lit("b"))), ",").alias("tags"))
+
+
+@query(f"""WITH p AS (SELECT page_id, {_PATH} AS p, substr(md5(url), 1, 8) || '-' || substr(md5(url), 9, 4) || '-' || substr(md5(url), 13, 4) || '-' || substr(md5(url), 17, 4) || '-' || substr(md5(url), 21, 12) AS u FROM pages),
+o AS (SELECT page_id AS a, page_id AS id, array_to_string(string_split(p, '/')[-2:], '/') AS tail, u FROM p),
+c AS (SELECT page_id AS b, CASE WHEN page_id % 4 = 0 THEN page_id END AS id, CASE WHEN page_id % 4 = 1 THEN array_to_string(string_split(p, '/')[-2:], '/') END AS tail, CASE WHEN page_id % 4 = 2 THEN u END AS u FROM p)
+SELECT a, b FROM o JOIN c ON o.id = c.id OR o.tail = c.tail OR o.u = c.u""")
+def clone_matches(t):
+    """Uploads and what they are clones of: by id, by the end of the path or by an embedded identifier."""
+    p = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    m = F.md5("url")
+    uuid = F.concat_ws("-", *[F.substring(m, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    tail = lambda x: F.array_join(F.slice(F.reverse(F.slice(F.reverse(F.split(x, "/")), 1, 2)), 1, 2), "/")
+    pages = t("pages").select("page_id", p.alias("p"), uuid.alias("u"))
+    left = pages.select(F.col("page_id").alias("a"), F.col("page_id").alias("id"), tail(F.col("p")).alias("tail"), F.col("u").alias("uuid"))
+    k = F.col("page_id") % 4
+    path = F.when(k == 1, cat(F.lit("other/"), "p")).when(k == 2, cat(F.lit("m/"), F.upper("u"), F.lit(".jpg")))
+    right = pages.select(F.col("page_id").alias("b"), F.when(k == 0, F.col("page_id")).alias("id"), F.when(k == 1, tail(path)).alias("tail"), F.get(X.uuids(path), F.lit(0)).alias("uuid"))
+    return J.any_equal(left, right, ["id", "tail", "uuid"], "a", "b")

@@ -125,12 +125,19 @@ def merge_history(a: DataFrame, b: DataFrame, key: list[str], largest: list[str]
     )
 
 
-def zip_merge(lists: DataFrame, separator: str = " ") -> DataFrame:
-    """Rows (list_id, values) as one table of joined values: as long as the longest, shorter lists start again."""
-    size = lists.agg(F.max(F.size("values")).alias("n"))
-    rows = lists.where(F.size("values") > 0).join(F.broadcast(size)).select("list_id", "values", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("row"))
-    value = F.element_at("values", (F.pmod("row", F.size("values")) + 1).cast("int"))
-    return rows.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("list_id", value.alias("v")))), lambda x: x["v"]), separator).alias("merged"))
+def zip_merge(items: DataFrame, separator: str = " ") -> DataFrame:
+    """row, merged: the items (list_id, pos, value) of several lists side by side, in order of list_id.
+
+    There are as many rows as the longest list has items; shorter lists start
+    again. Items of a list go by ``pos``, then value. No list is held whole: each
+    item is sent to the rows it belongs to, and a row holds one of each list.
+    """
+    placed = ordinal(items.select("list_id", "pos", "value"), [F.col("list_id"), F.col("pos"), F.col("value")], "_place")
+    sizes = placed.groupBy("list_id").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    longest = sizes.agg(F.max("_size")).first()[0] or 0
+    rows = placed.join(sizes, "list_id").select("list_id", "value", F.explode(F.sequence(F.col("_place") - F.col("_first"), F.lit(longest - 1), F.col("_size"))).alias("row"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("list_id", F.col("value").alias("v")))), lambda x: x["v"])
+    return rows.groupBy("row").agg(F.array_join(parts, separator).alias("merged"))
 
 
 def any_equal(left: DataFrame, right: DataFrame, keys: list[str], id_left: str, id_right: str) -> DataFrame:
@@ -217,7 +224,7 @@ def online_clusters(vectors: DataFrame, order: str, threshold: float) -> DataFra
     """order, cluster: in order, a vector joins the first exemplar of the whole table within the threshold or becomes one.
 
     A round takes the first ROUND_VECTORS undecided vectors, finds their
-    exemplars on the driver and assigns all undecided vectors to them in
+    exemplars in one task and assigns all undecided vectors to them in
     parallel; earlier exemplars are within the threshold of none of these. Equal
     places in the order are told apart by the vectors. A round decides all that
     it took, so there is at most one for each ROUND_VECTORS exemplars; the work
@@ -229,10 +236,15 @@ def online_clusters(vectors: DataFrame, order: str, threshold: float) -> DataFra
     schema = T.StructType([*left.schema.fields, T.StructField("cluster", T.LongType())])
     matrix = lambda column, n: column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
     paths, base = [], 0
-    while (block := left.orderBy("_place").limit(ROUND_VECTORS).select("_place", "embedding").toArrow()).num_rows:
-        places, values = block["_place"].to_numpy(), matrix(block["embedding"].combine_chunks(), block.num_rows)
-        chosen = _exemplars(values, threshold)
-        shared = spark.sparkContext.broadcast((values[chosen], places[chosen], base))
+
+    def first_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]  # ROUND_VECTORS rows at most
+        if held:
+            table = pa.Table.from_batches(held).sort_by("_place").combine_chunks()
+            yield from table.take(pa.array(_exemplars(matrix(table["embedding"].combine_chunks(), table.num_rows), threshold))).to_batches()
+
+    while (found := left.orderBy("_place").limit(ROUND_VECTORS).select("_place", "embedding").coalesce(1).mapInArrow(first_ones, "_place long, embedding array<double>").toArrow().sort_by("_place")).num_rows:
+        shared = spark.sparkContext.broadcast((matrix(found["embedding"].combine_chunks(), found.num_rows), found["_place"].to_numpy(), base))
 
         def assign(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             exemplars, own, base = shared.value
@@ -244,7 +256,7 @@ def online_clusters(vectors: DataFrame, order: str, threshold: float) -> DataFra
         paths.append(new_path(spark, "clusters-round"))
         left.mapInArrow(assign, schema).write.parquet(paths[-1])
         left = spark.read.schema(schema).parquet(paths[-1]).where("cluster IS NULL").drop("cluster")
-        base += len(chosen)
+        base += found.num_rows
     if not paths:
         return spark.createDataFrame([], schema).select(order, "cluster")
     return spark.read.schema(schema).parquet(*paths).where("cluster IS NOT NULL").select(order, "cluster")

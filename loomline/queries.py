@@ -282,12 +282,13 @@ def upload_plan(t):
     return J.plan_uploads(files, places, there, F.lit("skip")).select(F.col("path").cast("long").alias("path"), "repo", "action")
 
 
-@query("""WITH l AS (SELECT 0 AS list_id, list(n_name ORDER BY n_nationkey) AS v FROM nation UNION ALL SELECT 1, list(r_name ORDER BY r_regionkey) FROM region),
-n AS (SELECT max(len(v)) AS n FROM l) SELECT r AS row, string_agg(v[(r % len(v)) + 1], '-' ORDER BY list_id) AS merged FROM l, (SELECT unnest(range(n))::INT AS r FROM n) GROUP BY r""")
+@query("""WITH l AS (SELECT c_mktsegment AS list_id, list(c_name ORDER BY c_custkey) AS v FROM customer GROUP BY 1 UNION ALL SELECT 'A nation', list(n_name ORDER BY n_nationkey) FROM nation),
+n AS (SELECT max(len(v)) AS n FROM l) SELECT r AS row, string_agg(v[(r % len(v)) + 1], '-' ORDER BY list_id) AS merged FROM l, (SELECT unnest(range(n)) AS r FROM n) GROUP BY r""")
 def merge_lists(t):
-    packed = lambda df, k, v: df.agg(F.array_sort(F.collect_list(F.struct(k, v))).alias("x")).select(F.transform("x", lambda s: s[v]).alias("values"))
-    a, b = packed(t("nation"), "n_nationkey", "n_name"), packed(t("region"), "r_regionkey", "r_name")
-    return J.zip_merge(a.select(F.lit(0).alias("list_id"), "values").union(b.select(F.lit(1).alias("list_id"), "values")), "-")
+    """The customers of every segment and the nations, side by side."""
+    rows = t("customer").select(F.col("c_mktsegment").alias("list_id"), F.col("c_custkey").alias("pos"), F.col("c_name").alias("value"))
+    nations = t("nation").select(F.lit("A nation").alias("list_id"), F.col("n_nationkey").alias("pos"), F.col("n_name").alias("value"))
+    return J.zip_merge(rows.union(nations), "-")
 
 
 @query("SELECT s_suppkey AS a, c_custkey AS b FROM supplier, customer WHERE s_suppkey = c_custkey OR s_acctbal = c_acctbal")
@@ -753,7 +754,11 @@ def handled_entries(t):
     return J.handled(records, entries).select("c_custkey", F.col("entry").isNotNull().alias("any_match"), "entry")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT vec_id, embedding::DOUBLE[] AS e, row_number() OVER (ORDER BY vec_id, embedding) AS k FROM embeddings),
+s AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS vec_id, NULL::BIGINT AS cluster, []::DOUBLE[][] AS x
+  UNION ALL SELECT k, vec_id, coalesce(hit, len(x)), CASE WHEN hit IS NULL THEN list_append(x, e) ELSE x END
+  FROM (SELECT o.k, o.vec_id, o.e, s.x, list_position(list_transform(s.x, lambda c: list_distance(c, o.e) <= 4.0), true) - 1 AS hit FROM s JOIN o ON o.k = s.k + 1))
+SELECT vec_id, cluster FROM s WHERE k > 0""")
 def online_clusters(t):
     return J.online_clusters(t("embeddings"), "vec_id", 4.0)
 

@@ -98,6 +98,38 @@ def tumbling(stream: DataFrame, key: list[str], width: str, delay: str = "1 hour
     return grouped.select(*key, F.col("window.start").alias("start"), "n", "least", "most", F.round(F.col("most") - F.col("least"), 6).alias("delta"))
 
 
+def rising(stream: DataFrame, keep_s: int = 86_400, delay: str = "1 hour") -> DataFrame:
+    """key, event_id, progress of every event (key, event_id, progress, ts) that brings its key further than any before it.
+
+    Repeated and smaller values give nothing, so progress only rises. A key is
+    forgotten ``keep_s`` seconds after its newest event, inside a batch too.
+    Events without progress count as 0.
+    """
+    out = "key string, event_id long, progress double"
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        most, last = state.get if state.exists else (None, None)
+        found = []
+        for event_id, progress, ts in _ordered(batches, ["ts", "event_id"])[["event_id", "progress", "ts"]].itertuples(index=False):
+            now, value = _micros(ts), 0.0 if pd.isna(progress) else float(progress)
+            if last is not None and now >= last + keep_s * 1_000_000:
+                most = None
+            last = now
+            if most is None or value > most:
+                most = value
+                found.append((key[0], event_id, value))
+        state.update((most, last))
+        _wait(state, last + keep_s * 1_000_000)
+        if found:
+            yield pd.DataFrame(found, columns=["key", "event_id", "progress"])
+
+    keyed = stream.withWatermark("ts", delay).groupBy("key")
+    return keyed.applyInPandasWithState(step, out, "most double, last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def signed(stream: DataFrame) -> DataFrame:
     """Events (kind counted or retracted) as +1 and -1, to be summed: a retraction takes back what was counted."""
     return stream.withColumn("delta", F.when(F.col("kind") == "retracted", -1).when(F.col("kind") == "counted", 1).otherwise(0))
