@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from loomline.functions import boxes as B
 from loomline.functions import geometry as G
-from loomline.functions import imaging as I
 from loomline.functions import pixels as P
 from loomline.functions import text as X
 from loomline.media_queries import _V, _pictures, _shown
