@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomline.functions import imaging as I
-from loomline.operators import augment
+from loomline.operators import augment, drawing
 from loomline.operators import joins as J
 from loomline.operators import ordering as O
 from loomline.queries import query
@@ -124,3 +124,18 @@ def image_backgrounds(t):
     drawn = J.with_backgrounds(subjects, backgrounds, 2, seed=6)
     made = I.on_background(F.col("content"), F.col("below"), F.col("draw") * 0.25, F.lit(-0.1))
     return drawn.select("id", "draw", "background", _shown(made).alias("pixels"))
+
+
+_PICK = "('0x' || md5(p_partkey || '|{0}|8')[1:15])::BIGINT % {1}"
+_INK = _PICK.format("colour", 6)
+
+
+@query(f"""WITH d AS (SELECT p_partkey, ['square', 'triangle', 'circle', 'parallel lines', 'rectangle', 'pentagon', 'star'][1 + {_PICK.format('shape', 7)}] AS shape, {_INK} AS ink,
+  ({_INK} + 1 + {_PICK.format('background', 5)}) % 6 AS paper, (20 + {_PICK.format('width', 131)})::INT AS width, ({_PICK.format('rotation', 4)} * 90)::INT AS rotation FROM part),
+n AS (SELECT *, ['white', 'black', 'red', 'green', 'blue', 'gray'] AS names, ['#FFFFFF', '#000000', '#FF0000', '#00FF00', '#0000FF', '#808080'] AS hex FROM d)
+SELECT p_partkey, names[1 + ink] || ' ' || shape || ', ' || CASE WHEN width <= 55 THEN 'thin' WHEN width <= 90 THEN 'normal' ELSE 'thick' END || ' line, ' || names[1 + paper] || ' background, ' || hex[1 + paper] || ' background' AS caption,
+  width, rotation, ('0x' || hex[1 + paper][2:3])::INT AS corner FROM n""")
+def drawn_shapes(t):
+    """A shape for every part, its caption, and the red of a corner of the picture, which no shape reaches."""
+    made = drawing.drawn_shapes(drawing.shape_plan(t("part").select("p_partkey"), F.col("p_partkey"), seed=8), 24)
+    return made.select("p_partkey", "caption", "width", "rotation", I.to_values(F.col("content"))[0].alias("corner"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomline.functions import imaging as I
 from loomline.functions import pixels as P
 from loomline.operators import augment as A
+from loomline.operators import drawing as D
 
 
 def image(h=9, w=12, n=3, seed=0):
@@ -249,3 +250,39 @@ def test_augment_odd_images(spark):
     got = A.augmented(A.plan(sized, 50, A.Settings(rotate=1.0, blur=1.0, sharpen=1.0), 1), contents).collect()
     assert {r["path"]: (r["width"], r["height"], r["content"] is None) for r in got} == {"a": (1, 1, False), "b": (2, 1, False), "c": (None, None, True), "none": (None, None, True)}
     assert A.plan(sized.limit(0), 5).count() == 0
+
+
+# ---- shapes, overlays, backgrounds ----
+
+
+def test_shapes(spark):
+    for shape in D.SHAPES:
+        far = D.distance(shape, 40)
+        assert far.min() < 0.03 and far[0, 0] > 0.1 and far.shape == (40, 40)
+    square = D.picture("square", "red", "white", 100, 0, 40)
+    assert square[4, 20].tolist() == [255, 0, 0] and square[20, 20].tolist() == [255, 255, 255] == square[0, 0].tolist()
+    lines = [D.picture("parallel lines", "black", "gray", 60, r, 60) for r in (0, 90, 180)]
+    assert (lines[1] == np.rot90(lines[0])).all() and (lines[2] == lines[0][::-1, ::-1]).all() and lines[0][20, 30].tolist() == [0, 0, 0] == lines[1][30, 20].tolist()
+    circle = (D.picture("circle", "black", "white", 20, 0, 200)[:, :, 0] < 128).mean()
+    assert circle == pytest.approx(2 * np.pi * 0.4 * 0.02, rel=0.05)
+    rows = spark.range(300).repartition(3)
+    one, two = (sorted(map(tuple, D.drawn_shapes(D.shape_plan(rows.repartition(k), F.col("id"), 1), 8).collect())) for k in (1, 4))
+    assert one == two and {r[1] for r in one} == set(D.SHAPES) and all(r[2] != r[3] for r in one)
+
+
+def test_composites(spark):
+    base, top = image(4, 6, 3, 1), image(2, 3, 4, 2)
+    row = frame(spark, base).select(I.covered(F.col("content"), F.lit(P.encode(top))).alias("c"), I.covered(F.lit(b"x"), F.col("content")).alias("n")).first()
+    big = I.whole(I.resized(top, 6, 4)).astype(float)
+    alpha = big[:, :, 3:] / 255
+    assert (P.decode(bytes(row["c"])) == np.floor(base * (1 - alpha) + big[:, :, :3] * alpha + 0.5)).all() and row["n"] is None
+    clear, half = image(3, 3, 4, 3), image(3, 3, 4, 4)
+    clear[:, :, 3] = 0
+    assert (I.composite(half, clear)[:, :, 3] == half[:, :, 3]).all() and (I.composite(clear, half)[half[:, :, 3] > 0] == half[half[:, :, 3] > 0]).all()
+    cut = image(4, 4, 4, 5)
+    cut[:, :, 3] = np.where(np.arange(16).reshape(4, 4) % 2, 255, 0)
+    wide = image(8, 16, 3, 6)
+    for x, y, left in ((0.0, 0.0, 0), (0.25, 0.9, 1), (9.0, 0.0, 4), (-0.2, -0.2, 0)):
+        out = frame(spark, cut).select(I.on_background(F.col("content"), F.lit(P.encode(wide)), F.lit(x), F.lit(y)).alias("o")).first()["o"]
+        under = I.whole(I.resized(wide, 8, 4))[:, left : left + 4]
+        assert (P.decode(bytes(out)) == np.where(cut[:, :, 3:] == 255, cut[:, :, :3], under)).all()
