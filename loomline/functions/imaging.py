@@ -339,6 +339,98 @@ def on_background(subject: Column, background: Column, x: Column, y: Column) ->
     return _pairs(subject, background, x, y, make)
 
 
+# ---- tints: values from 0 to 1, a the image, b a colour ----
+
+
+def _multiply(a, b):
+    return a * b
+
+
+def _screen(a, b):
+    return 1 - (1 - a) * (1 - b)
+
+
+def _overlay(a, b):
+    return np.where(a < 0.5, 2 * a * b, 1 - 2 * (1 - a) * (1 - b))
+
+
+def _soft(a, b):
+    return (1 - a) * a * b + a * _screen(a, b)
+
+
+def _plain(a):
+    return np.repeat((a @ GREY)[:, :, None], 3, axis=2)
+
+
+#: From linear light to XYZ by the standard primaries, each row over the white point.
+_XYZ = np.array([(0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.0721750), (0.0193339, 0.1191920, 0.9503041)]) / np.array([[0.95047], [1.0], [1.08883]])
+
+
+def to_lab(p: np.ndarray) -> np.ndarray:
+    """CIE lightness and the two colour axes of values from 0 to 1."""
+    light = np.where(p <= 0.04045, p / 12.92, ((p + 0.055) / 1.055) ** 2.4) @ _XYZ.T
+    f = np.where(light > (6 / 29) ** 3, np.cbrt(light), light / (3 * (6 / 29) ** 2) + 4 / 29)
+    return np.stack([116 * f[..., 1] - 16, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], axis=-1)
+
+
+def from_lab(lab: np.ndarray) -> np.ndarray:
+    y = (lab[..., 0] + 16) / 116
+    f = np.stack([y + lab[..., 1] / 500, y, y - lab[..., 2] / 200], axis=-1)
+    light = np.where(f > 6 / 29, f**3, 3 * (6 / 29) ** 2 * (f - 4 / 29)) @ np.linalg.inv(_XYZ).T
+    light = np.clip(light, 0, 1)
+    return np.where(light <= 0.0031308, light * 12.92, 1.055 * light ** (1 / 2.4) - 0.055)
+
+
+def _lightness(a, b):
+    """The lightness of the image with the colour's hue and chroma."""
+    lab, own = to_lab(a), to_lab(b)
+    return from_lab(np.stack([lab[..., 0], *(np.broadcast_to(own[..., k], a.shape[:2]) for k in (1, 2))], axis=-1))
+
+
+def _hue(a, b):
+    """The image's saturation and value with the colour's hue; a grey colour has the hue of red."""
+    top, low = a.max(2, keepdims=True), a.min(2, keepdims=True)
+    span = float(np.ptp(b))
+    pure = (b - b.min()) / span if span else np.array([1.0, 0.0, 0.0])
+    return low + (top - low) * pure
+
+
+#: What a picture and up to three colours give.
+TINTS: dict[str, Callable[..., np.ndarray]] = {
+    "multiply": lambda a, b, *_: (a + b) / 2,
+    "color_burn": lambda a, b, *_: _multiply(a, b),
+    "overlay": lambda a, b, *_: _overlay(a, b),
+    "color": lambda a, b, *_: (_plain(a) + b) / 2,
+    "hue": lambda a, b, *_: _hue(a, b),
+    "screen": lambda a, b, *_: _screen(a, b),
+    "soft_light": lambda a, b, *_: _soft(a, b),
+    "hard_light": lambda a, b, *_: np.where(a <= 0.5, 2 * a * b, 1 - 2 * (1 - a) * (1 - b)),
+    "luminosity": lambda a, b, *_: _lightness(a, b),
+    "difference": lambda a, b, *_: abs(a - b),
+    "light_multiply_screen": lambda a, b, *_: (_screen(_multiply(a, b), b) + a) / 2,
+    "light_soft_overlay": lambda a, b, *_: _overlay(_soft(a, b), b),
+    "light_color_screen": lambda a, b, *_: _screen((_plain(a) + b) / 2, b),
+    "light_lab_soft": lambda a, b, *_: _soft(_lightness(a, b), b),
+    "dual_tone": lambda a, b, c, *_: (c + _plain(a)) / 2,
+    "gradient_light": lambda a, b, c, *_: _multiply(a, b + (c - b) * (np.arange(len(a)) / len(a))[:, None, None]),
+    "tri_color": lambda a, b, c, d: _screen(_overlay(_multiply(b, _plain(a)), c), d),
+    "grayscale": lambda a, b, *_: _plain(a),
+}
+_COLOURS_OF = {"dual_tone": 2, "gradient_light": 2, "tri_color": 3}
+
+
+def tinted(content: Column, mode: str, *colours: str) -> Column:
+    """Images through one of TINTS with hex colours, as RGB: a second colour for dual_tone and gradient_light, a third for tri_color.
+
+    gradient_light goes from the first colour at the top to the second. The mode
+    ``multiply`` is the mean of both and ``color_burn`` the product.
+    """
+    own = [np.array(c, float) / 255 for c in hex_colours(list(colours))]
+    if len(own) < _COLOURS_OF.get(mode, 1):
+        raise ValueError(f"{mode} takes {_COLOURS_OF[mode]} colours")
+    return each(content, lambda p: whole(np.round(TINTS[mode](rgb(p).astype(float) / 255, *own) * 255, 6)))  # a half stays one
+
+
 def face_crop(content: Column, box: Column, least: int) -> Column:
     """A square around a found face (x, y, w, h) of at least ``least`` pixels a side where the image has them, moved inside the image."""
 

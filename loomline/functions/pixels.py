@@ -102,35 +102,6 @@ def exposure(content: Column, gain: float, contrast: float) -> Column:
     return each(content, lambda p: np.clip((p.astype(float) * gain - 128) * contrast + 128, 0, 255).round().astype(np.uint8))
 
 
-#: Blend modes on values from 0 to 1: a is the image, b the colour.
-BLEND = {
-    "normal": lambda a, b: b,
-    "multiply": lambda a, b: a * b,
-    "screen": lambda a, b: 1 - (1 - a) * (1 - b),
-    "overlay": lambda a, b: np.where(a < 0.5, 2 * a * b, 1 - 2 * (1 - a) * (1 - b)),
-    "hard_light": lambda a, b: np.where(b < 0.5, 2 * a * b, 1 - 2 * (1 - a) * (1 - b)),
-    "darken": np.minimum,
-    "lighten": np.maximum,
-    "difference": lambda a, b: abs(a - b),
-    "exclusion": lambda a, b: a + b - 2 * a * b,
-    "add": lambda a, b: np.minimum(a + b, 1),
-    "subtract": lambda a, b: np.maximum(a - b, 0),
-    "average": lambda a, b: (a + b) / 2,
-}
-
-
-def monochrome(content: Column, colour: tuple[int, int, int], mode: str = "multiply", share: float = 1.0) -> Column:
-    """The grey image blended with one colour."""
-    tint = np.array(colour) / 255
-
-    def change(p: np.ndarray) -> np.ndarray:
-        grey = (p[:, :, :3].astype(float) @ [0.299, 0.587, 0.114] if p.shape[2] >= 3 else p[:, :, 0].astype(float))[:, :, None] / 255
-        out = grey + (BLEND[mode](grey, tint) - grey) * share
-        return np.clip(out * 255, 0, 255).round().astype(np.uint8)
-
-    return each(content, change)
-
-
 def overlay(content: Column, top: Column, x: int = 0, y: int = 0) -> Column:
     """A second image laid over the first by its transparency; what reaches beyond is cut."""
 

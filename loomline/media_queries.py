@@ -139,3 +139,19 @@ def drawn_shapes(t):
     """A shape for every part, its caption, and the red of a corner of the picture, which no shape reaches."""
     made = drawing.drawn_shapes(drawing.shape_plan(t("part").select("p_partkey"), F.col("p_partkey"), seed=8), 24)
     return made.select("p_partkey", "caption", "width", "rotation", I.to_values(F.col("content"))[0].alias("corner"))
+
+
+_TINT = """CASE m WHEN 0 THEN (a + b) / 2 WHEN 1 THEN a * b WHEN 2 THEN 1 - (1 - a) * (1 - b) WHEN 3 THEN abs(a - b)
+  WHEN 4 THEN CASE WHEN a < 0.5 THEN 2 * a * b ELSE 1 - 2 * (1 - a) * (1 - b) END WHEN 5 THEN (1 - a) * a * b + a * (1 - (1 - a) * (1 - b)) WHEN 6 THEN a * (b + (c - b) * (y / 8.0)) ELSE (1 - (1 - a * b) * (1 - b) + a) / 2 END"""
+
+
+@query(f"""{_V}, x AS (SELECT vec_id, vec_id % 8 AS m, i, k, v[1 + i] / 255.0::DOUBLE AS a, i // 8 AS y, [32, 96, 200][1 + k] / 255.0::DOUBLE AS b, [255, 0, 64][1 + k] / 255.0::DOUBLE AS c FROM v, range(64) r(i), range(3) s(k))
+SELECT vec_id, array_to_string(list(least(greatest(floor(round(({_TINT}) * 255, 6) + 0.5), 0), 255)::INT ORDER BY i, k), ' ') AS pixels FROM x GROUP BY vec_id""")
+def image_tints(t):
+    """Eight of the tints, each on an eighth of the pictures."""
+    modes = ("multiply", "color_burn", "screen", "difference", "overlay", "soft_light", "gradient_light", "light_multiply_screen")
+    out = None
+    for k, mode in enumerate(modes):
+        rows = _pictures(t).where(F.col("vec_id") % 8 == k).select("vec_id", _shown(I.tinted(F.col("content"), mode, "#2060C8", "#FF0040")).alias("pixels"))
+        out = rows if out is None else out.union(rows)
+    return out

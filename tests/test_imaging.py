@@ -286,3 +286,27 @@ def test_composites(spark):
         out = frame(spark, cut).select(I.on_background(F.col("content"), F.lit(P.encode(wide)), F.lit(x), F.lit(y)).alias("o")).first()["o"]
         under = I.whole(I.resized(wide, 8, 4))[:, left : left + 4]
         assert (P.decode(bytes(out)) == np.where(cut[:, :, 3:] == 255, cut[:, :, :3], under)).all()
+
+
+def test_tints(spark):
+    import colorsys
+
+    assert len(I.TINTS) == 18
+    p = image(5, 4, 3, 8).astype(float) / 255
+    b, c, d = np.array([0.2, 0.5, 0.9]), np.array([0.8, 0.1, 0.3]), np.array([0.1, 0.1, 0.4])
+    made = {mode: f(p, b, c, d) for mode, f in I.TINTS.items()}
+    assert all(x.shape == p.shape for x in made.values())
+    assert I.from_lab(I.to_lab(p)) == pytest.approx(p, abs=1e-6)
+    assert I.to_lab(np.array([[[1.0, 1.0, 1.0]], [[1.0, 0.0, 0.0]]]))[:, 0] == pytest.approx(np.array([[100, 0, 0], [53.24, 80.09, 67.2]]), abs=0.02)
+    assert I.to_lab(np.clip(made["luminosity"], 0, 1)).shape == p.shape
+    for y, x in np.ndindex(5, 4):
+        _, s, v = colorsys.rgb_to_hsv(*p[y, x])
+        assert made["hue"][y, x] == pytest.approx(colorsys.hsv_to_rgb(colorsys.rgb_to_hsv(*b)[0], s, v))
+        grey = p[y, x] @ np.array([0.299, 0.587, 0.114])
+        assert made["grayscale"][y, x] == pytest.approx([grey] * 3) and made["dual_tone"][y, x] == pytest.approx((c + grey) / 2)
+    low = made["gradient_light"]
+    assert low[0] == pytest.approx(p[0] * b) and low[4] == pytest.approx(p[4] * (b + (c - b) * 0.8))
+    row = frame(spark, image(3, 3, 4), None).select(I.tinted(F.col("content"), "tri_color", "#ff0000", "#00ff00", "#0000ff").alias("t")).collect()
+    assert P.decode(bytes(row[0]["t"])).shape == (3, 3, 3) and row[1]["t"] is None
+    with pytest.raises(ValueError, match="colours"):
+        I.tinted(F.col("content"), "dual_tone", "#ffffff")
