@@ -13,6 +13,7 @@ from loomline.operators import aggregates as A
 from loomline.operators import filters as P
 from loomline.operators import joins as J
 from loomline.operators import ordering as O
+from loomline.plans import commits as C
 from loomline.plans import moves as M
 from loomline.queries import ORACLES, QUERIES, query, table
 from loomline.sources import files as S
@@ -695,3 +696,35 @@ def clone_matches(t):
     path = F.when(k == 1, cat(F.lit("other/"), "p")).when(k == 2, cat(F.lit("m/"), F.upper("u"), F.lit(".jpg")))
     right = pages.select(F.col("page_id").alias("b"), F.when(k == 0, F.col("page_id")).alias("id"), F.when(k == 1, tail(path)).alias("tail"), F.get(X.uuids(path), F.lit(0)).alias("uuid"))
     return J.any_equal(left, right, ["id", "tail", "uuid"], "a", "b")
+
+
+_JOBS = """(SELECT 'repo' || r AS repo, source || '/' || doc_id || '.txt' AS target, md5(text) AS sha256, strlen(text) AS bytes, CASE WHEN doc_id % 5 = 0 THEN 'same' WHEN doc_id % 5 = 1 THEN 'overwrite' ELSE 'upload' END AS action
+FROM documents, range(3) x(r) WHERE doc_id % 3 = 0 OR doc_id % 3 = r)"""
+_COMMITS = f"""WITH j AS (SELECT * FROM {_JOBS} WHERE action <> 'same'), k AS (SELECT *, row_number() OVER w AS k, first_value(repo) OVER w AS r1, first_value(target) OVER w AS t1 FROM j WINDOW w AS (PARTITION BY sha256 ORDER BY repo, target)),
+p AS (SELECT repo, target, sha256, bytes, CASE WHEN k = 1 THEN 1 ELSE 2 END::INT AS phase, CASE WHEN k > 1 THEN r1 END AS source_repo, CASE WHEN k > 1 THEN t1 END AS source_target FROM k)"""
+
+
+def _upload_jobs(t):
+    n = F.col("doc_id")
+    repos = F.transform(F.filter(F.sequence(F.lit(0), F.lit(2)), lambda r: (n % 3 == 0) | (n % 3 == r)), lambda r: cat(F.lit("repo"), r.cast("string")))
+    action = F.when(n % 5 == 0, "same").when(n % 5 == 1, "overwrite").otherwise("upload")
+    target = cat("source", F.lit("/"), n.cast("string"), F.lit(".txt"))
+    return t("documents").select(F.explode(repos).alias("repo"), target.alias("target"), F.md5("text").alias("sha256"), F.octet_length("text").cast("long").alias("bytes"), action.alias("action"))
+
+
+@query(f"{_COMMITS} SELECT * FROM p")
+def commit_plan(t):
+    return C.commit_plan(_upload_jobs(t))
+
+
+@query(f"{_COMMITS} SELECT repo, phase, count(*) AS files, sum(CASE WHEN phase = 1 THEN bytes ELSE 0 END)::BIGINT AS bytes FROM p GROUP BY repo, phase")
+def commit_totals(t):
+    return C.commits(C.commit_plan(_upload_jobs(t)))
+
+
+@query(f"{_COMMITS} SELECT p.*, phase = 1 OR source_repo = 'repo0' AS ready FROM p WHERE NOT (repo = 'repo0' AND phase = 1)")
+def unfinished_commits(t):
+    """What is left once the first repository's uploads are done."""
+    planned = C.commit_plan(_upload_jobs(t))
+    done = planned.where("repo = 'repo0' AND phase = 1").select("repo", "phase").distinct()
+    return C.unfinished(planned, done)
