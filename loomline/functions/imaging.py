@@ -395,7 +395,7 @@ def _hue(a, b):
     return low + (top - low) * pure
 
 
-#: What a picture and up to three colours give.
+#: The names of the modes and what each makes of a picture and up to three colours.
 TINTS: dict[str, Callable[..., np.ndarray]] = {
     "multiply": lambda a, b, *_: (a + b) / 2,
     "color_burn": lambda a, b, *_: _multiply(a, b),
