@@ -31,8 +31,8 @@ from loomline.session import written
 
 #: Bytes of a turn's digest in a path.
 DIGEST = 16
-#: Paths of a chunk, and bytes of its paths; a round's chunks are twice as large as those of the round before.
-CHUNK, CHUNK_BYTES = 10_000, 32 << 20
+#: Paths of a chunk, and bytes of its paths, which bound the nodes that a task holds to a quarter of a million; a round's chunks are twice as large as those of the round before.
+CHUNK, CHUNK_BYTES = 10_000, 4 << 20
 #: Ids that one packed row holds.
 PACK = 10_000
 #: Open nodes up to this number are sent to all tasks that look for their parents' ids.
