@@ -728,3 +728,39 @@ def unfinished_commits(t):
     planned = C.commit_plan(_upload_jobs(t))
     done = planned.where("repo = 'repo0' AND phase = 1").select("repo", "phase").distinct()
     return C.unfinished(planned, done)
+
+
+# ---- further cases of operators above ----
+
+
+@query(r"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '([A-Z])([a-z]{2,4})', 2), lambda x: x), '|') AS tails FROM documents WHERE regexp_matches(text, '[A-Z][a-z]{2,4}')")
+def regex_groups(t):
+    """The second group of every match."""
+    tails = F.regexp_extract_all("text", F.lit(r"([A-Z])([a-z]{2,4})"), F.lit(2))
+    return t("documents").where(F.col("text").rlike(r"[A-Z][a-z]{2,4}")).select("doc_id", F.array_join(tails, "|").alias("tails"))
+
+
+@query("""WITH d AS (SELECT p_brand AS grp, CASE WHEN p_size = 7 THEN 'x' || p_partkey ELSE p_partkey::VARCHAR END AS member, CASE WHEN p_brand LIKE '%1' THEN p_size % 4 ELSE 0 END AS n, p_partkey % 9 = 5 AS original, p_partkey AS pos FROM part),
+r AS (SELECT *, count(*) OVER w AS size, bool_or(NOT regexp_full_match(member, '[0-9]+')) OVER w AS blocked,
+  row_number() OVER (PARTITION BY grp ORDER BY n DESC, CASE WHEN n > 0 THEN false ELSE original END DESC, pos, member) AS k FROM d WINDOW w AS (PARTITION BY grp))
+SELECT grp, member, CASE WHEN k = 1 THEN 'keep' WHEN blocked THEN 'blocked' ELSE 'remove' END AS action FROM r WHERE size >= 2""")
+def cleanup_with_originals(t):
+    """Groups without tags keep an original; groups with a member that is no number remove nothing."""
+    member = F.when(F.col("p_size") == 7, cat(F.lit("x"), F.col("p_partkey").cast("string"))).otherwise(F.col("p_partkey").cast("string"))
+    tags = F.when(F.col("p_brand").endswith("1"), F.slice(F.split("p_name", ""), F.lit(1), F.col("p_size") % 4)).otherwise(F.array().cast("array<string>"))
+    rows = t("part").select(F.col("p_brand").alias("grp"), member.alias("member"), tags.alias("tags"), (F.col("p_partkey") % 9 == 5).alias("original"), F.col("p_partkey").alias("pos"))
+    return A.cleanup_plan(rows, "grp", "member", "tags", F.col("original"), "pos")
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: CASE WHEN abs(x) < 0.05 THEN 0 ELSE abs(x) END) AS e FROM embeddings), n AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS e FROM v),
+p AS (SELECT vec_id, e, (SELECT e FROM n WHERE vec_id = 0) AS r FROM n)
+SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN e[i] + r[i] <> 0 THEN (e[i] - r[i]) ** 2 / (e[i] + r[i]) ELSE 0 END)) / 2, 6) AS chi,
+  round((list_sum(list_transform(range(1, 65), lambda i: e[i] * r[i])) - list_sum(e) * list_sum(r) / 64) / sqrt((list_sum(list_transform(e, lambda x: x * x)) - list_sum(e) ** 2 / 64) * (list_sum(list_transform(r, lambda x: x * x)) - list_sum(r) ** 2 / 64)), 6) AS correlation FROM p""")
+def histogram_metrics(t):
+    """Chi-squared distance and correlation of normalised histograms to the first one."""
+    from loomline.functions import vectors as V
+
+    shares = V.normalise(F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(F.abs(x) < 0.05, 0.0).otherwise(F.abs(x))))
+    rows = t("embeddings").select("vec_id", shares.alias("e"))
+    both = rows.join(F.broadcast(rows.where("vec_id = 0").select(F.col("e").alias("r")).limit(1)))
+    return both.select("vec_id", F.round(V.chi_squared(F.col("e"), F.col("r")), 6).alias("chi"), F.round(V.correlation(F.col("e"), F.col("r")), 6).alias("correlation"))
