@@ -52,21 +52,17 @@ def time_slices(rows: DataFrame, least: int = 3, most: int = 1_000_000) -> list[
 def replayed(rows: DataFrame, operator: Callable[[DataFrame], DataFrame], name: str, least: int = 3, most: int = 1_000_000, mode: str = "append") -> DataFrame:
     """A table through a streaming operator in batches of ascending event time, as a Parquet table of the shared folder.
 
-    A slice goes to the source when the query is done with the one before, so
-    batches come in time order on any store, and a task holds the rows of a key
-    within one slice at most.
+    A slice is written whole, then the query goes on from its checkpoint and
+    takes it as one batch, so batches come in time order on any store and however
+    many files a slice has, and a task holds the rows of a key within one slice at
+    most.
     """
     spark = rows.sparkSession
     source, out = new_path(spark, f"source-{name}"), new_path(spark, f"stream-{name}")
-    query = None
     for part in time_slices(rows, least, most):
         part.write.mode("append").parquet(source)
-        if query is None:
-            stream = operator(spark.readStream.schema(part.schema).parquet(source))
-            query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state").outputMode(mode).start()
-        query.processAllAvailable()
-    query.stop()
-    return spark.read.schema(stream.schema).parquet(out)
+        done = run_to_end(operator(spark.readStream.schema(part.schema).parquet(source)), name, mode, out)
+    return done
 
 
 def json_events(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
