@@ -35,7 +35,7 @@ def events(spark: SparkSession, path: str, per_trigger: int | None = 100) -> Dat
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def time_slices(rows: DataFrame, least: int = 3, most: int = 1_000_000) -> list[DataFrame]:
+def time_slices(rows: DataFrame, least: int = 2, most: int = 1_000_000) -> list[DataFrame]:
     """The rows in slices by ``ts``, ascending: at least ``least`` of them and about ``most`` rows each; rows of one time stay together.
 
     Only counts and cuts reach the driver. Rows without a time are left out.
@@ -49,7 +49,7 @@ def time_slices(rows: DataFrame, least: int = 3, most: int = 1_000_000) -> list[
     return [timed.where((F.lit(True) if a is None else at > a) & (F.lit(True) if b is None else at <= b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def replayed(rows: DataFrame, operator: Callable[[DataFrame], DataFrame], name: str, least: int = 3, most: int = 1_000_000, mode: str = "append") -> DataFrame:
+def replayed(rows: DataFrame, operator: Callable[[DataFrame], DataFrame], name: str, least: int = 2, most: int = 1_000_000, mode: str = "append") -> DataFrame:
     """A table through a streaming operator in batches of ascending event time, as a Parquet table of the shared folder.
 
     A slice is written whole, then the query goes on from its checkpoint and
