@@ -352,7 +352,7 @@ def stream_resumed(spark: SparkSession, sf_dir: str):
     """A counting stream that is stopped and started again from its checkpoint after every third of the events."""
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", "event_id", F.lit(10**8).alias("window_s"), F.lit(4).alias("quota"))
     source, out = new_path(spark, "resumed-source"), new_path(spark, "resumed")
-    for part in U.time_slices(rows, 3):
+    for part in U.time_slices(rows, 3, key="key"):
         part.write.mode("append").parquet(source)
         done = U.run_to_end(U.rolling_quota(spark.readStream.schema(part.schema).parquet(source)), "resumed", out=out)
     return done.select("key", "event_id", "used")

@@ -591,7 +591,7 @@ def _streamed(sql: str | None = None):
 SELECT * FROM w WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def tumbling_stream(spark: SparkSession, sf_dir: str):
     """Daily windows through a stream: those that the watermark has passed."""
-    rows = U.replayed(table(spark, sf_dir, "events"), lambda stream: U.tumbling(stream, ["event_type"], "1 day"), "tumbling")
+    rows = U.replayed(table(spark, sf_dir, "events"), lambda stream: U.tumbling(stream, ["event_type"], "1 day"), "tumbling", most=None)
     return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
@@ -602,7 +602,7 @@ def first_limit_locks(spark: SparkSession, sf_dir: str):
     """The first lock of every user whose clicks are limit hits without a stated renewal."""
     rows = table(spark, sf_dir, "events").where("event_type = 'click'")
     rows = rows.select(F.col("user_id").alias("key"), F.lit("hit").alias("kind"), "ts", F.lit(None).cast("timestamp").alias("renew_at"))
-    locks = U.replayed(rows, U.limit_locks, "locks")
+    locks = U.replayed(rows, U.limit_locks, "locks", key="key")
     first = locks.groupBy("key").agg(F.min(F.struct("reached_at", "renew_at")).alias("l"))
     return first.select("key", F.col("l.reached_at").cast("timestamp_ntz").alias("reached_at"), F.col("l.renew_at").cast("timestamp_ntz").alias("renew_at"))
 
@@ -618,7 +618,7 @@ def late_flags(spark: SparkSession, sf_dir: str):
     rows = table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "purchase", "corrected").otherwise("counted")
     rows = rows.select(F.col("user_id").alias("key"), kind.alias("kind"), F.col("event_id").alias("item"), F.lit(None).cast("long").alias("exact"), "ts")
-    return U.replayed(rows, U.late_corrections, "late")
+    return U.replayed(rows, U.late_corrections, "late", key="key")
 
 
 @_streamed("""WITH e AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS key, ts, event_id, CASE event_type WHEN 'purchase' THEN 'saved' WHEN 'view' THEN 'failed' ELSE 'final' END AS kind FROM events),
@@ -630,7 +630,7 @@ def started_fetches(spark: SparkSession, sf_dir: str):
     rows = table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "purchase", "saved").when(F.col("event_type") == "view", "failed").otherwise("final")
     rows = rows.select(F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("key"), kind.alias("kind"), "event_id", "ts")
-    return U.replayed(rows, U.fetched_once, "fetches")
+    return U.replayed(rows, U.fetched_once, "fetches", key="key")
 
 
 @_streamed("""WITH RECURSIVE e AS (
@@ -648,7 +648,7 @@ def limit_lock_history(spark: SparkSession, sf_dir: str):
     rows = table(spark, sf_dir, "events").where("event_type IN ('click', 'error', 'purchase')")
     exact = F.when(F.col("event_id") % 5 == 0, F.timestamp_millis(F.unix_millis(F.col("ts").cast("timestamp")) + 7_200_000 * (1 + F.col("event_id") % 3)))
     rows = rows.select(F.col("user_id").alias("key"), F.when(F.col("event_type") == "purchase", "success").otherwise("hit").alias("kind"), "ts", exact.alias("renew_at"))
-    locks = U.replayed(rows, U.limit_locks, "lock-history")
+    locks = U.replayed(rows, U.limit_locks, "lock-history", key="key")
     return locks.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("reached_at", "renew_at")})
 
 
@@ -658,7 +658,7 @@ SELECT key, event_id, progress FROM (SELECT *, max(progress) OVER (PARTITION BY
 def stream_progress(spark: SparkSession, sf_dir: str):
     """Values of a user that rise above all before them, of which a day without events is the end."""
     rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), "event_id", F.col("value").alias("progress"), "ts")
-    return U.replayed(rows, U.rising, "progress")
+    return U.replayed(rows, U.rising, "progress", key="key")
 
 
 @query("""SELECT doc_id, md5(regexp_replace(text, 'th(e|a)', '\\1x', 'g')) AS whole_regex, md5(replace(text, 'the', 'a, b')) AS whole_plain,

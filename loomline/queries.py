@@ -612,7 +612,7 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events through a deduplicating stream."""
     from loomline.streaming import usage
 
-    return usage.replayed(table(spark, sf_dir, "events"), lambda rows: usage.deduplicated(rows, ["event_id"], "60 days").select("event_id", "user_id"), "dedupe")
+    return usage.replayed(table(spark, sf_dir, "events"), lambda rows: usage.deduplicated(rows, ["event_id"], "60 days").select("event_id", "user_id"), "dedupe", most=None)
 
 
 ORACLES["stream_dedupe"] = "SELECT DISTINCT event_id, user_id FROM events"
@@ -624,7 +624,7 @@ def stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomline.streaming import usage
 
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", "event_id", F.lit(7200).alias("window_s"), F.lit(4).alias("quota"))
-    return usage.replayed(rows, usage.rolling_quota, "quota").select("key", "event_id", "used", "limited")
+    return usage.replayed(rows, usage.rolling_quota, "quota", key="key").select("key", "event_id", "used", "limited")
 
 
 ORACLES["stream_quota"] = """SELECT key, event_id, used, used >= 4 AS limited FROM (
@@ -640,7 +640,7 @@ def stream_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("progress")
     media = F.when(F.col("user_id") % 2 == 0, "image").otherwise("video")
     rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("job"), media.alias("media"), kind.alias("kind"), "ts", F.col("value").alias("progress"))
-    found = usage.replayed(rows, lambda stream: usage.settled_jobs(stream, 6 * 3600, 12 * 3600, 86_400), "jobs")
+    found = usage.replayed(rows, lambda stream: usage.settled_jobs(stream, 6 * 3600, 12 * 3600, 86_400), "jobs", key="job")
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "settled_at")})
 
 
@@ -677,7 +677,7 @@ def stream_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     kind = F.when(F.col("event_type") == "signup", "clicked").when(F.col("event_type") == "view", "busy").when(F.col("event_type") == "click", "idle").when(F.col("event_type") == "purchase", "completed").otherwise("other")
     rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("job"), kind.alias("kind"), "ts")
-    found = usage.replayed(rows, lambda stream: usage.attempts(stream, 6 * 3600, 86_400), "attempts")
+    found = usage.replayed(rows, lambda stream: usage.attempts(stream, 6 * 3600, 86_400), "attempts", key="job")
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "settled_at")})
 
 
@@ -707,7 +707,7 @@ def stream_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     buys = F.col("event_type") == "purchase"
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.when(buys, "cooldown").otherwise("request").alias("kind"), F.col("event_id").alias("item"), F.when(F.col("event_id") % 2 == 0, 4 * 3600).otherwise(12 * 3600).alias("wait_s"), "ts")
-    return usage.replayed(rows, usage.paced, "pauses").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("asked_at", "released_at")})
+    return usage.replayed(rows, usage.paced, "pauses", key="key").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("asked_at", "released_at")})
 
 
 ORACLES["stream_pauses"] = f"""WITH e AS (SELECT user_id AS key, event_id AS item, epoch_us(ts) AS t, event_type = 'purchase' AS pause, CASE WHEN event_id % 2 = 0 THEN 14400000000 ELSE 43200000000 END AS w, max(epoch_us(ts)) OVER (PARTITION BY user_id) AS newest FROM events),

@@ -11,9 +11,10 @@ import heapq
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from loomline.session import new_path
 
@@ -35,31 +36,51 @@ def events(spark: SparkSession, path: str, per_trigger: int | None = 100) -> Dat
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def time_slices(rows: DataFrame, least: int = 2, most: int = 1_000_000) -> list[DataFrame]:
-    """The rows in slices by ``ts``, ascending: at least ``least`` of them and about ``most`` rows each; rows of one time stay together.
+#: Keys are dealt over this many groups, each with one state and one call of Python a batch, so that calls do not grow with the keys.
+GROUPS = 512
 
-    Only counts and cuts reach the driver. Rows without a time are left out.
+
+def _group(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(GROUPS))
+
+
+def time_slices(rows: DataFrame, least: int = 2, most: int | None = 1_000_000, key: str | None = None) -> list[DataFrame]:
+    """The rows in slices by ``ts``, ascending: at least ``least`` of them and about ``most`` rows each (None: as many as fall); rows of one time stay together.
+
+    With a ``key``, only rows of groups of keys that have over ``most`` rows
+    count, so that slices grow in number with the heaviest keys alone. Only
+    counts and cuts reach the driver. Rows without a time are left out.
     """
     timed = rows.where("ts IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp"))
-    n = timed.count()
-    k = max(least, -(-n // most))
-    cuts = timed.agg(F.percentile_approx(F.unix_micros("ts"), [i / k for i in range(1, k)], 10 * k)).first()[0] or []
-    edges = [None, *sorted(set(cuts)), None]
+    counted, n = timed, 0
+    if most is not None and key is not None:
+        heavy = timed.groupBy(_group(key).alias("g")).count().where(F.col("count") > most).collect()
+        counted, n = timed.where(_group(key).isin([r["g"] for r in heavy])) if heavy else timed, sum(r["count"] for r in heavy)
+    elif most is not None:
+        n = timed.count()
+    k = max(least, -(-n // (most or 1)))
     at = F.unix_micros("ts")
+    cuts = sorted(set(counted.agg(F.percentile_approx(at, [i / k for i in range(1, k)], 10 * k)).first()[0] or []))
+    if len(cuts) > 4:  # once by folders, not a scan of all for each
+        path = new_path(rows.sparkSession, "slices")
+        timed.withColumn("_slice", F.size(F.filter(F.lit(cuts), lambda c: at > c))).write.partitionBy("_slice").parquet(path)
+        sliced = rows.sparkSession.read.schema(StructType(timed.schema.fields).add("_slice", "integer")).parquet(path)
+        return [sliced.where(F.col("_slice") == i).drop("_slice") for i in range(len(cuts) + 1)]
+    edges = [None, *cuts, None]
     return [timed.where((F.lit(True) if a is None else at > a) & (F.lit(True) if b is None else at <= b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def replayed(rows: DataFrame, operator: Callable[[DataFrame], DataFrame], name: str, least: int = 2, most: int = 1_000_000, mode: str = "append") -> DataFrame:
+def replayed(rows: DataFrame, operator: Callable[[DataFrame], DataFrame], name: str, least: int = 2, most: int | None = 1_000_000, mode: str = "append", key: str | None = None) -> DataFrame:
     """A table through a streaming operator in batches of ascending event time, as a Parquet table of the shared folder.
 
     A slice is written whole, then the query goes on from its checkpoint and
     takes it as one batch, so batches come in time order on any store and however
-    many files a slice has, and a task holds the rows of a key within one slice at
-    most.
+    many files a slice has. ``most`` and ``key`` (that of a stateful operator in
+    Python) are those of ``time_slices``: a call holds about that many rows.
     """
     spark = rows.sparkSession
     source, out = new_path(spark, f"source-{name}"), new_path(spark, f"stream-{name}")
-    for part in time_slices(rows, least, most):
+    for part in time_slices(rows, least, most, key):
         part.write.mode("append").parquet(source)
         done = run_to_end(operator(spark.readStream.schema(part.schema).parquet(source)), name, mode, out)
     return done
@@ -101,29 +122,22 @@ def rising(stream: DataFrame, keep_s: int = 86_400, delay: str = "1 hour") -> Da
     forgotten ``keep_s`` seconds after its newest event, inside a batch too.
     Events without progress count as 0.
     """
-    out = "key string, event_id long, progress double"
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        most, last = state.get if state.exists else (None, None)
+    def step(key: str | None, held: tuple | None, rows: _Rows, mark: int) -> tuple:
+        if rows is None:
+            return None, None, []
+        most, last = held or (None, None)
         found = []
-        for event_id, progress, ts in _ordered(batches, ["ts", "event_id"])[["event_id", "progress", "ts"]].itertuples(index=False):
-            now, value = _micros(ts), 0.0 if pd.isna(progress) else float(progress)
+        for now, event_id, progress in rows:
+            value = 0.0 if _missing(progress) else float(progress)
             if last is not None and now >= last + keep_s * 1_000_000:
                 most = None
             last = now
             if most is None or value > most:
                 most = value
-                found.append((key[0], event_id, value))
-        state.update((most, last))
-        _wait(state, last + keep_s * 1_000_000)
-        if found:
-            yield pd.DataFrame(found, columns=["key", "event_id", "progress"])
+                found.append((key, event_id, value))
+        return (most, last), last + keep_s * 1_000_000, found
 
-    keyed = stream.withWatermark("ts", delay).groupBy("key")
-    return keyed.applyInPandasWithState(step, out, "most double, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return _keyed(stream, "key", ["event_id", "progress"], _by(1), step, "key string, event_id long, progress double", "most double, last long", delay)
 
 
 def signed(stream: DataFrame) -> DataFrame:
@@ -131,22 +145,70 @@ def signed(stream: DataFrame) -> DataFrame:
     return stream.withColumn("delta", F.when(F.col("kind") == "retracted", -1).when(F.col("kind") == "counted", 1).otherwise(0))
 
 
-def _micros(ts: pd.Timestamp) -> int:
-    return ts.value // 1000
+#: A key's events of a batch, as tuples that begin with their time in microseconds; None once its deadline passed without any.
+_Rows = list[tuple] | None
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
-def _stamp(micros: int) -> pd.Timestamp:
-    return pd.Timestamp(micros * 1000)
+def _by(*places: int) -> Callable[[tuple], tuple]:
+    """Rows by time, then by whole numbers at these places, nulls last."""
+    return lambda r: (r[0], *((r[i] is None, r[i] or 0) for i in places))
 
 
-def _wait(state: GroupState, micros: int) -> None:
-    """Wake the key once the watermark is past ``micros``."""
-    state.setTimeoutTimestamp(max(-(-micros // 1000), state.getCurrentWatermarkMs() + 1))
+def _missing(value: object) -> bool:
+    return value is None or value != value
 
 
-def _ordered(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    """The rows of one key and batch in order; ``replayed`` bounds them."""
-    return pd.concat(list(batches)).sort_values(by, kind="stable")
+def _keyed(stream: DataFrame, key: str, columns: list[str], order: Callable[[tuple], tuple], step: Callable[[str | None, tuple | None, _Rows, int], tuple], out: str, fields: str, delay: str) -> DataFrame:
+    """``step`` over the events of every key, in order, with what the key held before; many keys share a call and a state.
+
+    It takes the key as text, what was held (the ``fields``, None at first), the
+    rows (time, ``columns``) of this batch and the watermark, and gives what is
+    held now (None: nothing), the deadline and rows of ``out``, whose first column
+    is the key. All times are in microseconds. A key without rows is called
+    once the watermark is past its deadline. Whole numbers travel as text, as
+    pandas would round those of columns with nulls.
+    """
+    kinds, target, held_as = {f.name: f.dataType.simpleString() for f in stream.schema}, StructType.fromDDL(out), StructType.fromDDL(fields)
+    timed = lambda c: F.unix_micros(F.col(c).cast("timestamp")) if kinds[c].startswith("timestamp") else F.col(c)
+    whole = {c: kinds[c] in _WHOLE or kinds[c].startswith("timestamp") for c in columns}
+    passed = [timed(c).cast("string").alias(c) if whole[c] else F.col(c) for c in columns]
+    names = [f.name for f in target]
+    raw = ", ".join(f"{f.name} {'string' if f.name == names[0] else 'long' if f.dataType.simpleString() == 'timestamp' else f.dataType.simpleString()}" for f in target)
+    kept = ", ".join(["keys array<string>", "dues array<long>", *(f"{f.name} array<{f.dataType.simpleString()}>" for f in held_as)])
+
+    def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs()
+        held = {k: (due, own) for k, due, *own in zip(*state.get, strict=True)} if state.exists else {}
+        rows: dict[str | None, _Rows] = {}
+        for batch in () if state.hasTimedOut else batches:
+            values = [[None if v is None else int(v) for v in batch[c]] if whole[c] else batch[c].tolist() for c in columns]
+            for k, *row in zip(batch["_key"].tolist(), batch["_at"].tolist(), *values, strict=True):
+                rows.setdefault(k, []).append(row)
+        for k, (due, _own) in held.items():
+            if due < mark and k not in rows:
+                rows[k] = None
+        found = []
+        for k, own in rows.items():
+            if own is not None:
+                own.sort(key=order)
+            now, due, made = step(k, held.pop(k)[1] if k in held else None, own, mark * 1000)
+            found += made
+            if now is not None:
+                held[k] = (max(-(-due // 1000), mark + 1), now)
+        if held:
+            dues = [due for due, _own in held.values()]
+            state.update((list(held), dues, *map(list, zip(*(own for _, own in held.values()), strict=True))))
+            state.setTimeoutTimestamp(max(min(dues), mark + 1))
+        elif state.exists:
+            state.remove()
+        if found:
+            yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip(names, zip(*found, strict=True), strict=True)})
+
+    marked = stream.where("ts IS NOT NULL").withWatermark("ts", delay)
+    grouped = marked.select("ts", _group(key).alias("_group"), F.col(key).cast("string").alias("_key"), F.unix_micros("ts").alias("_at"), *passed).groupBy("_group")
+    made = grouped.applyInPandasWithState(run, raw, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    return made.select(*[(F.timestamp_micros(f.name) if f.dataType.simpleString() == "timestamp" else F.col(f.name).cast(f.dataType)).alias(f.name) for f in target])
 
 
 _SETTLED = "job string, outcome string, started_at timestamp, settled_at timestamp"
@@ -168,13 +230,13 @@ def settled_jobs(stream: DataFrame, image_s: int = IMAGE_GRACE_S, other_s: int =
     in time order, give the same rows however they are cut into batches.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, last, media, progress, settled = state.get if state.exists else (None,) * 5
+    def step(job: str | None, held: tuple | None, rows: _Rows, mark: int) -> tuple:
+        start, last, media, progress, settled = held or (None,) * 5
         found = []
 
         def settle(outcome: str, at: int) -> None:
             nonlocal start, settled
-            found.append((key[0], outcome, _stamp(start), _stamp(at), progress))
+            found.append((job, outcome, start, at, progress))
             start, settled = None, (None if outcome == "dropped" else at)
 
         def due() -> int:
@@ -187,31 +249,24 @@ def settled_jobs(stream: DataFrame, image_s: int = IMAGE_GRACE_S, other_s: int =
             if settled is not None and now >= settled + keep_s * 1_000_000:
                 settled = None
 
-        if state.hasTimedOut:
-            pass_time(state.getCurrentWatermarkMs() * 1000)
-        else:
-            rows = _ordered((b.assign(rank=b["kind"].map({"completed": 0, "failed": 1}).fillna(2)) for b in batches), ["ts", "rank"])
-            for r in rows.itertuples(index=False):
-                now = _micros(r.ts)
-                pass_time(now)
-                if settled is not None:
-                    continue
-                if start is None:
-                    start, media, progress = now, r.media, 0.0
-                last, progress = now, max(progress, 0.0 if pd.isna(r.progress) else float(r.progress))
-                if r.kind in ("completed", "failed"):
-                    settle(r.kind, now)
+        if rows is None:
+            pass_time(mark)
+        for now, own_media, kind, seen in rows or ():
+            pass_time(now)
+            if settled is not None:
+                continue
+            if start is None:
+                start, media, progress = now, own_media, 0.0
+            last, progress = now, max(progress, 0.0 if _missing(seen) else float(seen))
+            if kind in ("completed", "failed"):
+                settle(kind, now)
         if start is None and settled is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((start, last, media, progress, settled))
-            _wait(state, due() if start is not None else settled + keep_s * 1_000_000)
-        if found:
-            yield pd.DataFrame(found, columns=["job", "outcome", "started_at", "settled_at", "progress"])
+            return None, None, found
+        return (start, last, media, progress, settled), due() if start is not None else settled + keep_s * 1_000_000, found
 
-    keyed = stream.withWatermark("ts", delay).groupBy("job")
-    return keyed.applyInPandasWithState(step, f"{_SETTLED}, progress double", "start long, last long, media string, progress double, settled long", "append", GroupStateTimeout.EventTimeTimeout)
+    rank = {"completed": 0, "failed": 1}
+    fields = "start long, last long, media string, progress double, settled long"
+    return _keyed(stream, "job", ["media", "kind", "progress"], lambda r: (r[0], rank.get(r[2], 2)), step, f"{_SETTLED}, progress double", fields, delay)
 
 
 def attempts(stream: DataFrame, accept_s: int = ACCEPT_S, give_up_s: int = GIVE_UP_S, delay: str = "10 minutes") -> DataFrame:
@@ -227,47 +282,38 @@ def attempts(stream: DataFrame, accept_s: int = ACCEPT_S, give_up_s: int = GIVE_
     batch as between batches.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, busy = state.get if state.exists else (None, False)
+    def step(job: str | None, held: tuple | None, rows: _Rows, mark: int) -> tuple:
+        start, busy = held or (None, False)
         found = []
 
         def settle(outcome: str, at: int) -> None:
             nonlocal start, busy
-            found.append((key[0], outcome, _stamp(start), _stamp(at)))
+            found.append((job, outcome, start, at))
             start, busy = None, False
 
         def pass_time(now: int) -> None:
             if start is not None and now >= start + give_up_s * 1_000_000:
                 settle("timed_out", start + give_up_s * 1_000_000)
 
-        if state.hasTimedOut:
-            pass_time(state.getCurrentWatermarkMs() * 1000)
-        else:
-            order = {"completed": 0, "busy": 1, "idle": 2, "clicked": 3}
-            for r in _ordered((b.assign(rank=b["kind"].map(order).fillna(4)) for b in batches), ["ts", "rank"]).itertuples(index=False):
-                now = _micros(r.ts)
-                pass_time(now)
-                if r.kind == "clicked" and start is None:
-                    start = now
-                elif start is not None and r.kind == "completed":
-                    settle("success", now)
-                elif start is not None and r.kind == "busy":
-                    busy = True
-                elif start is not None and r.kind == "idle":
-                    if busy and now >= start + RETURN_S * 1_000_000:
-                        settle("returned", now)
-                    elif not busy and now >= start + accept_s * 1_000_000:
-                        settle("never_accepted", now)
-        if start is not None:
-            state.update((start, busy))
-            _wait(state, start + give_up_s * 1_000_000)
-        elif state.exists:
-            state.remove()
-        if found:
-            yield pd.DataFrame(found, columns=["job", "outcome", "started_at", "settled_at"])
-
-    keyed = stream.withWatermark("ts", delay).groupBy("job")
-    return keyed.applyInPandasWithState(step, _SETTLED, "start long, busy boolean", "append", GroupStateTimeout.EventTimeTimeout)
+        if rows is None:
+            pass_time(mark)
+        for now, kind in rows or ():
+            pass_time(now)
+            if kind == "clicked" and start is None:
+                start = now
+            elif start is not None and kind == "completed":
+                settle("success", now)
+            elif start is not None and kind == "busy":
+                busy = True
+            elif start is not None and kind == "idle":
+                if busy and now >= start + RETURN_S * 1_000_000:
+                    settle("returned", now)
+                elif not busy and now >= start + accept_s * 1_000_000:
+                    settle("never_accepted", now)
+        return (None, None, found) if start is None else ((start, busy), start + give_up_s * 1_000_000, found)
+
+    rank = {"completed": 0, "busy": 1, "idle": 2, "clicked": 3}
+    return _keyed(stream, "job", ["kind"], lambda r: (r[0], rank.get(r[1], 4)), step, _SETTLED, "start long, busy boolean", delay)
 
 
 def paced(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -282,46 +328,33 @@ def paced(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     goes on as if it had not been stopped, and a key that neither waits nor is
     paused has no state.
     """
-    out = "key long, item long, asked_at timestamp, released_at timestamp"
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        until, items, asked = state.get if state.exists else (None, [], [])
-        items, asked = list(items), list(asked)
+    def step(key: str | None, held: tuple | None, rows: _Rows, mark: int) -> tuple:
+        until, items, asked = held or (None, [], [])
         found = []
 
         def pass_time(now: int) -> None:
-            nonlocal until
+            nonlocal until, items, asked
             if until is not None and now >= until:
-                found.extend((key[0], i, _stamp(a), _stamp(until)) for i, a in zip(items, asked, strict=True))
-                items.clear()
-                asked.clear()
-                until = None
-
-        if state.hasTimedOut:
-            pass_time(state.getCurrentWatermarkMs() * 1000)
-        else:
-            rows = _ordered((b.assign(rank=(b["kind"] != "cooldown").astype(int)) for b in batches), ["ts", "rank", "item"])
-            for r in rows.itertuples(index=False):
-                now = _micros(r.ts)
+                found.extend((key, i, a, until) for i, a in zip(items, asked, strict=True))
+                until, items, asked = None, [], []
+
+        if rows is None:
+            pass_time(mark)
+        for now, kind, item, wait_s in rows or ():
+            pass_time(now)
+            if kind == "cooldown" and not _missing(wait_s):
+                until = now + int(wait_s * 1_000_000)
                 pass_time(now)
-                if r.kind == "cooldown" and not pd.isna(r.wait_s):
-                    until = now + int(r.wait_s * 1_000_000)
-                    pass_time(now)
-                elif r.kind == "request" and until is None:
-                    found.append((key[0], r.item, r.ts, r.ts))
-                elif r.kind == "request":
-                    items.append(int(r.item))
-                    asked.append(now)
-        if until is not None:
-            state.update((until, items, asked))
-            _wait(state, until)
-        elif state.exists:
-            state.remove()
-        if found:
-            yield pd.DataFrame(found, columns=["key", "item", "asked_at", "released_at"])
-
-    keyed = stream.withWatermark("ts", delay).groupBy("key")
-    return keyed.applyInPandasWithState(step, out, "until long, items array<long>, asked array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+            elif kind == "request" and until is None:
+                found.append((key, item, now, now))
+            elif kind == "request":
+                items.append(item)
+                asked.append(now)
+        return (None, None, found) if until is None else ((until, items, asked), until, found)
+
+    order = lambda r: (r[0], r[1] != "cooldown", r[2] is None, r[2] or 0)
+    out = "key long, item long, asked_at timestamp, released_at timestamp"
+    return _keyed(stream, "key", ["kind", "item", "wait_s"], order, step, out, "until long, items array<long>, asked array<long>", delay)
 
 
 def rolling_quota(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -332,27 +365,20 @@ def rolling_quota(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     of a batch are taken in time order. The state holds the expiries that have
     not passed, and goes with the last of them.
     """
-    out = "key long, ts timestamp, event_id long, used long, limited boolean"
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        expiries = sorted(state.get[0]) if state.exists else []
-        rows = _ordered(batches, ["ts", "event_id"])
+    def step(key: str | None, held: tuple | None, rows: _Rows, mark: int) -> tuple:
+        if rows is None:
+            return None, None, []
+        expiries = sorted(held[0]) if held else []
         found = []
-        for r in rows.itertuples(index=False):
-            now = int(r.ts.value // 1000)
+        for now, event_id, window_s, quota in rows:
             while expiries and expiries[0] <= now:
                 heapq.heappop(expiries)
-            heapq.heappush(expiries, now + int(r.window_s) * 1_000_000)
-            found.append((key[0], r.ts, r.event_id, len(expiries), len(expiries) >= r.quota))
-        state.update((expiries,))
-        state.setTimeoutTimestamp(max(max(expiries) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(found, columns=["key", "ts", "event_id", "used", "limited"])
+            heapq.heappush(expiries, now + int(window_s) * 1_000_000)
+            found.append((key, now, event_id, len(expiries), len(expiries) >= quota))
+        return (expiries,), max(expiries) + 1, found
 
-    keyed = stream.withWatermark("ts", delay).groupBy("key")
-    return keyed.applyInPandasWithState(step, out, "expiries array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    out = "key long, ts timestamp, event_id long, used long, limited boolean"
+    return _keyed(stream, "key", ["event_id", "window_s", "quota"], _by(1), step, out, "expiries array<long>", delay)
 
 
 def limit_locks(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -362,34 +388,24 @@ def limit_locks(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     ignored unless it brings an exact renewal time, which moves the lock and keeps
     the first time it was reached; a success ends the lock.
     """
-    out = "key long, reached_at timestamp, renew_at timestamp"
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        reached, renew = state.get if state.exists else (None, None)
+    def step(key: str | None, held: tuple | None, rows: _Rows, mark: int) -> tuple:
+        if rows is None:
+            return None, None, []
+        reached, renew = held or (None, None)
         found = []
-        for r in _ordered(batches, ["ts"]).itertuples(index=False):
-            now, exact = _micros(r.ts) // 1000, None if pd.isna(r.renew_at) else _micros(r.renew_at) // 1000
+        for at, kind, renew_at in rows:
+            now, exact = at // 1000, None if renew_at is None else renew_at // 1000
             if renew is not None and now >= renew:
                 reached = renew = None
-            if r.kind == "success":
+            if kind == "success":
                 reached = renew = None
-            elif r.kind == "hit" and (renew is None or exact is not None):
+            elif kind == "hit" and (renew is None or exact is not None):
                 reached, renew = reached if reached is not None else now, exact if exact is not None else now + 3_600_000
-                found.append((key[0], pd.Timestamp(reached, unit="ms"), pd.Timestamp(renew, unit="ms")))
-        if renew is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((reached, renew))
-            state.setTimeoutTimestamp(max(renew, state.getCurrentWatermarkMs() + 1))
-        if found:
-            yield pd.DataFrame(found, columns=["key", "reached_at", "renew_at"])
+                found.append((key, reached * 1000, renew * 1000))
+        return (None, None, found) if renew is None else ((reached, renew), renew * 1000, found)
 
-    keyed = stream.withWatermark("ts", delay).groupBy("key")
-    return keyed.applyInPandasWithState(step, out, "reached long, renew long", "append", GroupStateTimeout.EventTimeTimeout)
+    out = "key long, reached_at timestamp, renew_at timestamp"
+    return _keyed(stream, "key", ["kind", "renew_at"], _by(), step, out, "reached long, renew long", delay)
 
 
 def late_corrections(stream: DataFrame, keep_s: int = 86_400, delay: str = "1 hour") -> DataFrame:
@@ -401,34 +417,26 @@ def late_corrections(stream: DataFrame, keep_s: int = 86_400, delay: str = "1 ho
     for ``keep_s`` seconds; a correction that finds none is lost. Repeated items
     count once, events without an item are left out, other kinds do nothing.
     """
-    out = "key long, item long, flagged_by long"
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = dict(zip(*state.get, strict=True)) if state.exists else {}  # unflagged items, oldest first
+    def step(key: str | None, held: tuple | None, rows: _Rows, mark: int) -> tuple:
+        if rows is None:
+            return None, None, []
+        open_ = dict(zip(*held, strict=True)) if held else {}  # unflagged items, oldest first
         found = []
-        for kind, item, exact, ts in _ordered(batches, ["ts", "item"])[["kind", "item", "exact", "ts"]].itertuples(index=False):
-            now = int(ts.value // 1000)
-            while held and held[oldest := next(iter(held))] + keep_s * 1_000_000 <= now:
-                del held[oldest]
+        for now, kind, item, exact in rows:
+            while open_ and open_[oldest := next(iter(open_))] + keep_s * 1_000_000 <= now:
+                del open_[oldest]
             if kind == "counted":
-                held.setdefault(int(item), now)
-            elif kind == "corrected" and held:
-                meant = next(reversed(held)) if pd.isna(exact) or int(exact) not in held else int(exact)
-                del held[meant]
-                found.append((key[0], meant, int(item)))
-        if held:
-            state.update((list(held), list(held.values())))
-            state.setTimeoutTimestamp(max(max(held.values()) // 1000 + keep_s * 1000, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        if found:
-            yield pd.DataFrame(found, columns=["key", "item", "flagged_by"])
+                open_.setdefault(item, now)
+            elif kind == "corrected" and open_:
+                meant = exact if exact in open_ else next(reversed(open_))
+                del open_[meant]
+                found.append((key, meant, item))
+        if not open_:
+            return None, None, found
+        return (list(open_), list(open_.values())), max(open_.values()) + keep_s * 1_000_000, found
 
-    keyed = stream.where("item IS NOT NULL").withWatermark("ts", delay).groupBy("key")
-    return keyed.applyInPandasWithState(step, out, "items array<long>, ats array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    out = "key long, item long, flagged_by long"
+    return _keyed(stream.where("item IS NOT NULL"), "key", ["kind", "item", "exact"], _by(2), step, out, "items array<long>, ats array<long>", delay)
 
 
 def fetched_once(stream: DataFrame, keep_s: int = 86_400, delay: str = "1 hour") -> DataFrame:
@@ -439,31 +447,23 @@ def fetched_once(stream: DataFrame, keep_s: int = 86_400, delay: str = "1 hour")
     its key is under way or was saved. A failure lets the next final event try
     again. A key is forgotten ``keep_s`` seconds after its newest event.
     """
-    out = "key string, event_id long"
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        at, last = state.get if state.exists else ("idle", None)
+    def step(key: str | None, held: tuple | None, rows: _Rows, mark: int) -> tuple:
+        if rows is None:
+            return None, None, []
+        at, last = held or ("idle", None)
         found = []
-        for kind, event_id, ts in _ordered(batches, ["ts", "event_id"])[["kind", "event_id", "ts"]].itertuples(index=False):
-            now = _micros(ts)
+        for now, kind, event_id in rows:
             if last is not None and now >= last + keep_s * 1_000_000:
                 at = "idle"
             last = now
             if kind == "final" and at == "idle":
                 at = "under way"
-                found.append((key[0], event_id))
+                found.append((key, event_id))
             elif at == "under way" and kind in ("saved", "failed"):
                 at = "saved" if kind == "saved" else "idle"
-        state.update((at, last))
-        _wait(state, last + keep_s * 1_000_000)
-        if found:
-            yield pd.DataFrame(found, columns=["key", "event_id"])
+        return (at, last), last + keep_s * 1_000_000, found
 
-    keyed = stream.withWatermark("ts", delay).groupBy("key")
-    return keyed.applyInPandasWithState(step, out, "at string, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return _keyed(stream, "key", ["kind", "event_id"], _by(2), step, "key string, event_id long", "at string, last long", delay)
 
 
 def notifications(rows: DataFrame, key: list[str], message: str, quiet_s: int = 60) -> DataFrame:

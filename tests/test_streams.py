@@ -224,3 +224,25 @@ def test_replayed_holds_state_between_slices(spark):
     got = U.replayed(rows, U.rolling_quota, "slices", least=4).orderBy("event_id").collect()
     assert [r["used"] for r in got] == [min(i + 1, 10) for i in range(40)]
     assert U.replayed(rows.limit(0), U.rolling_quota, "no-slices").count() == 0
+
+
+def test_calls_and_state_do_not_grow_with_keys(spark, tmp_path):
+    """Many keys share a state; each still has its own results, and whole numbers are exact beside nulls."""
+    big = 2**53 + 1
+    rows = spark.range(3000).select(F.concat(F.lit("k"), F.col("id") % 1500).alias("key"), F.lit("final").alias("kind"), (F.col("id") + big).alias("event_id"), F.timestamp_seconds(F.col("id") + 100).alias("ts"))
+    rows = rows.union(spark.createDataFrame([("k0", "failed", None, START)], "key string, kind string, event_id long, ts timestamp"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    out = f"file://{tmp_path}/out"
+    got = U.run_to_end(U.fetched_once(U.events(spark, f"{tmp_path}/in", None)), "keys", out=out)
+    assert sorted(map(tuple, got.collect())) == sorted((f"k{i}", big + i) for i in range(1500))
+    assert spark.read.format("statestore").load(out + "-state").count() <= U.GROUPS
+
+
+def test_slices_grow_with_heavy_keys_alone(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") < 1000, -1).otherwise(F.col("id")).alias("key"), F.timestamp_seconds(F.col("id")).alias("ts"))
+    assert len(U.time_slices(rows.where("key >= 0"), 2, 200, "key")) == 2
+    parts = U.time_slices(rows, 2, 200, "key")
+    assert len(parts) > 4 and sum(p.count() for p in parts) == 5000
+    assert max(p.where("key = -1").count() for p in parts) <= 250
+    edges = [p.agg(F.min("ts"), F.max("ts")).first() for p in parts]
+    assert all(a[1] < b[0] for a, b in zip(edges[:-1], edges[1:], strict=True))
