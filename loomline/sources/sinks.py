@@ -96,6 +96,15 @@ class _Pieces(io.RawIOBase):
         return self.at
 
 
+#: A piece of rows that leaves a task at once.
+PIECE_ROWS, PIECE_BYTES = 1000, 8 << 20
+
+
+def _tasks(spark: SparkSession) -> int:
+    """As many tasks as shuffles have: a stated number, which few small rows that stand for much work do not lower."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 #: What an archive holds: each file alone, the files of a source, or those of a folder.
 ZIP_MODES = {"file": lambda: F.col("path"), "source": lambda: F.split_part("path", F.lit("/"), F.lit(1)), "folder": lambda: F.regexp_extract("path", r"^(.*)/[^/]*$", 1)}
 
@@ -113,18 +122,25 @@ def zipped(files: DataFrame, mode: str, out: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = pafs.FileSystem.from_uri(out)
         store.create_dir(folder, recursive=True)
-        now, target, archive, name, entries = None, None, None, "", 0
+        now, target, archive, name, entries, done = None, None, None, "", 0, []
 
-        def closed() -> pa.RecordBatch:
+        def close() -> None:
             archive.close()
             target.sink.close()
-            return pa.RecordBatch.from_pydict({"archive": [now], "path": [out.rsplit(folder, 1)[0] + name], "entries": [entries], "bytes": [target.at]})
+            done.append({"archive": now, "path": out.rsplit(folder, 1)[0] + name, "entries": entries, "bytes": target.at})
+
+        def listed() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_pylist(done, pa.schema([("archive", pa.string()), ("path", pa.string()), ("entries", pa.int64()), ("bytes", pa.int64())]))
+            done.clear()
+            return rows
 
         for batch in batches:
             for group, path, content in zip(*batch.columns, strict=True):
                 if archive is None or group.as_py() != now:
                     if archive is not None:
-                        yield closed()
+                        close()
+                    if len(done) >= PIECE_ROWS:
+                        yield listed()
                     now, entries, name = group.as_py(), 0, f"{folder}/{uuid.uuid4().hex}.zip"
                     target = _Pieces(store.open_output_stream(name))
                     archive = zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED)
@@ -133,24 +149,38 @@ def zipped(files: DataFrame, mode: str, out: str) -> DataFrame:
                 archive.writestr(info, content.as_py() or b"")
                 entries += 1
         if archive is not None:
-            yield closed()
+            close()
+        if done:
+            yield listed()
 
-    ordered = kept.repartition("archive").sortWithinPartitions("archive", "path")
+    ordered = kept.repartition(_tasks(files.sparkSession), "archive").sortWithinPartitions("archive", "path")
     return written(ordered.mapInArrow(run, "archive string, path string, entries long, bytes long"), "zip-manifest")
 
 
 def unzipped(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """archive, path, content of the files in the archives of a manifest, an archive to a task at a time."""
+    """archive, path, content of the files in the archives of a manifest, an archive to a task at a time.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Files leave a task in pieces of up to PIECE_ROWS rows and about PIECE_BYTES
+    bytes. Archives are dealt evenly over the tasks, however short the manifest is.
+    """
+    schema = pa.schema([("archive", pa.string()), ("path", pa.string()), ("content", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for group, place in zip(batch["archive"], batch["path"], strict=True):
-                store, name = pafs.FileSystem.from_uri(place)
+            for row in batch.to_pylist():
+                store, name = pafs.FileSystem.from_uri(row["path"])
                 with store.open_input_file(name) as source, zipfile.ZipFile(source) as archive:
                     for info in archive.infolist():
-                        yield pd.DataFrame([(group, info.filename, archive.read(info))], columns=["archive", "path", "content"])
-
-    return manifest.select("archive", "path").repartition("path").mapInPandas(run, "archive string, path string, content binary")
+                        held.append({"archive": row["archive"], "path": info.filename, "content": archive.read(info)})
+                        size += len(held[-1]["content"])
+                        if len(held) >= PIECE_ROWS or size >= PIECE_BYTES:
+                            yield pa.RecordBatch.from_pylist(held, schema)
+                            held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema)
+
+    return manifest.select("archive", "path").repartitionByRange(_tasks(spark), "path").mapInArrow(run, "archive string, path string, content binary")
 
 
 def remembered(seen: DataFrame, new: DataFrame, key: list[str], at: str, most: int) -> DataFrame:

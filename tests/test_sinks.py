@@ -125,3 +125,14 @@ def test_text_chunks_beyond_latin(spark):
     png = pixels.encode(np.zeros((1, 1, 1), np.uint8))
     made = M.png_with_text(png, {"a": "é", "b": "日本", "c": None})
     assert M.png_text(made) == {"a": "é", "b": "日本"} and M.png_text(M.png_with_text(made, {"B": "x", "A": None})) == {"B": "x"}
+
+
+def test_few_archives_are_read_by_many_tasks_in_pieces(spark, tmp_path):
+    """A short manifest stands for much work: its archives are dealt over the tasks, and files leave them many at a time."""
+    files = spark.range(3000).select(F.format_string("s%d/l/%d", F.col("id") % 4, "id").alias("path"), F.when(F.col("id") % 7 > 0, F.encode(F.repeat(F.col("id").cast("string"), 9), "UTF-8")).alias("content"))
+    manifest = K.zipped(files, "source", f"file://{tmp_path}/zips")
+    read = K.unzipped(spark, manifest).withColumn("task", F.spark_partition_id())
+    assert read.select("task").distinct().count() == 4
+    want = files.select("path", F.coalesce("content", F.lit(b"")).alias("content"))
+    assert read.count() == 3000 and want.exceptAll(read.select("path", "content")).isEmpty()
+    assert sorted((r["archive"], r["entries"]) for r in manifest.collect()) == [(f"s{i}", 750) for i in range(4)]
