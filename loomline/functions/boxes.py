@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import statistics
 from collections.abc import Iterator
+from itertools import islice
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,24 +52,41 @@ def agreement(rows: DataFrame, threshold: float, detectors: int) -> DataFrame:
 
     Rows are (path, x, y, w, h, score, src). Per image, boxes by falling score
     join the first group whose median box they overlap; a group counts with
-    enough different detectors. One image is one group, so tasks stay small.
+    enough different detectors. An image's boxes are a row; a call of Python
+    takes many images.
     """
+    numbers = ("x", "y", "w", "h", "score")
+    schema = pa.schema([("path", pa.string()), *((c, pa.float64()) for c in "xywh"), ("votes", pa.int64())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def kept(path: str | None, boxes: list[tuple]) -> Iterator[tuple]:
         groups: list[list[tuple]] = []
-        for row in pdf.sort_values(["score", "src", "x", "y"], ascending=[False, True, True, True]).itertuples(index=False):
+        for x, y, w, h, _, src in sorted(boxes, key=lambda b: tuple((v is None or v != v, v if v is not None and v == v else 0) for v in (-b[4], b[5] or "", b[0], b[1]))):
             for g in groups:
-                x, y, w, h = np.median([b[:4] for b in g], axis=0)
-                both = max(0, min(x + w, row.x + row.w) - max(x, row.x)) * max(0, min(y + h, row.y + row.h) - max(y, row.y))
-                if both > 0 and both / (w * h + row.w * row.h - both) >= threshold:
-                    g.append((row.x, row.y, row.w, row.h, row.src))
+                gx, gy, gw, gh = _middle_box(g)
+                both = max(0, min(gx + gw, x + w) - max(gx, x)) * max(0, min(gy + gh, y + h) - max(gy, y))
+                if both > 0 and both / (gw * gh + w * h - both) >= threshold:
+                    g.append((x, y, w, h, src))
                     break
             else:
-                groups.append([(row.x, row.y, row.w, row.h, row.src)])
-        kept = [(pdf["path"].iloc[0], *np.median([b[:4] for b in g], axis=0), len({b[4] for b in g})) for g in groups if len({b[4] for b in g}) >= detectors]
-        return pd.DataFrame(kept, columns=["path", "x", "y", "w", "h", "votes"])
+                groups.append([(x, y, w, h, src)])
+        for g in groups:
+            if (votes := len({b[4] for b in g})) >= detectors:
+                yield (path, *_middle_box(g), votes)
 
-    return rows.groupBy("path").applyInPandas(run, "path string, x double, y double, w double, h double, votes long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("boxes")
+            columns = [c.to_pylist() for c in lists.flatten().flatten()]
+            boxes = zip(*([math.nan if v is None else v for v in c] for c in columns[:5]), columns[5], strict=True)
+            found = [row for path, n in zip(batch.column("path").to_pylist(), lists.value_lengths().to_pylist(), strict=True) for row in kept(path, list(islice(boxes, n)))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    boxes = F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in numbers], F.col("src").cast("string").alias("src")))
+    return rows.groupBy("path").agg(boxes.alias("boxes")).mapInArrow(run, "path string, x double, y double, w double, h double, votes long")
+
+
+def _middle_box(group: list[tuple]) -> list[float]:
+    return [math.nan if any(v != v for v in side) else statistics.median(side) for side in list(zip(*group, strict=True))[:4]]
 
 
 def fnv1a(text: Column) -> Column:
