@@ -44,3 +44,29 @@ def test_overlay(spark):
     rows = frame(spark, a).select(P.overlay(F.col("content"), F.lit(P.encode(b)), 1, 1).alias("o")).first()
     out = P.decode(bytes(rows["o"]))
     assert (out[1:3, 1:3] == b[:, :, :3]).all() and (out[0] == a[0]).all()
+
+
+def test_changes_of_a_picture_share_a_worker(spark):
+    c = F.col("content")
+    rows = frame(spark, image(), None).select(P.flip(c).alias("a"), P.flip(P.crop(c, 1, 1, 1, 1), False).alias("b"), P.curve(c, [(0, 255), (255, 0)]).alias("c"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    got = rows.collect()[0]
+    assert (P.decode(bytes(got["b"])) == image()[1:-1, 1:-1][::-1]).all()
+
+
+def test_unfiltered_lines_are_read_at_once():
+    p = P.decode(P.encode(image()))
+    p[0, 0] = 7  # a picture of its own, not the file's bytes
+    assert (p[1:] == image()[1:]).all() and p.dtype == np.uint8
+
+
+def test_boxes_of_many_images_share_a_call(spark):
+    """Images without and with agreement, boxes without numbers, and no Python group for each image."""
+    from loomline.functions import boxes as B
+
+    one = [("p", 10.0, 5.0, 20.0, 20.0, 0.9, "a"), ("p", 12.0, 5.0, 20.0, 20.0, 0.7, "b"), ("p", 11.0, 5.0, 20.0, 20.0, None, "c"), ("q", 0.0, 0.0, 5.0, 5.0, 0.5, "a"), (None, 1.0, 1.0, 4.0, 4.0, 0.5, "a"), (None, 1.0, 1.0, 4.0, 6.0, 0.4, "b")]
+    rows = spark.createDataFrame(one, "path string, x double, y double, w double, h double, score double, src string")
+    got = B.agreement(rows, 0.5, 2)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in got.collect()} == {("p", 11.0, 5.0, 20.0, 20.0, 3), (None, 1.0, 1.0, 4.0, 5.0, 2)}
