@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -56,6 +57,7 @@ def _corners(shape: str) -> list[np.ndarray]:
     return lines.get(shape, [])
 
 
+@lru_cache(32)
 def distance(shape: str, side: int) -> np.ndarray:
     """How far the middle of each pixel is from a shape's line, in sides."""
     at = (np.arange(side) + 0.5) / side
