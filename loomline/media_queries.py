@@ -98,10 +98,10 @@ def augmentation_log(t):
 def exif_replaced(t):
     """Whole texts as user comments of PNGs, a word replaced in them, read back; each fourth comment is taken out and another field set."""
     picture = I.from_values(F.array(*[(F.col("doc_id") * k % 256).cast("int") for k in range(1, 5)]), 2)
-    rows = t("documents").select("doc_id", exif.with_exif(picture, F.create_map(F.lit("UserComment"), F.col("text"), F.lit("Artist"), F.lit("none"))).alias("content"))
+    first = F.create_map(F.lit("UserComment"), F.col("text"), F.lit("Artist"), F.lit("none"))
     fields = F.when(F.col("doc_id") % 4 == 0, F.create_map(F.lit("UserComment"), F.lit(""))).otherwise(F.create_map(F.lit("Artist"), F.lit("")))
-    rows = rows.select("doc_id", exif.with_exif(exif.replace_in_field(F.col("content"), "UserComment", "the", "THE"), fields).alias("content"))
-    text = F.coalesce(exif.exif_field(F.col("content"), "UserComment"), exif.exif_field(F.col("content"), "Artist"))
+    rows = t("documents").select("doc_id", exif.edited(picture, [first, ("UserComment", "the", "THE"), fields], ["UserComment", "Artist"]).alias("f"))
+    text = F.coalesce("f.UserComment", "f.Artist")
     return rows.select("doc_id", text.alias("t")).where("t IS NOT NULL").select("doc_id", F.char_length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("sha256"))
 
 

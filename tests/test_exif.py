@@ -120,3 +120,21 @@ def test_columns(spark):
     assert E.field_text(bytes(got["a"]["r"]), "UserComment") == "a cow, a dog" and E.field_text(bytes(got["a"]["w"]), "Software") == "s"
     assert E.field_text(bytes(got["b"]["w"]), "UserComment") is None and bytes(got["e"]["r"]) == jpeg() and bytes(got["c"]["w"]) == jpeg(b"XX")
     assert bytes(got["c"]["x"]) == jpeg() and bytes(got["a"]["x"]) == jpeg(block()) and got["d"]["w"] is None
+
+
+def test_edits_in_one_worker(spark):
+    """Several edits of a file give what one after the other gives, over more rows than a piece, in one Python node."""
+    from pyspark.sql import functions as F
+
+    from loomline.functions.imaging import from_values
+    from loomline.sources import exif
+
+    n = F.col("id")
+    rows = spark.range(1203).coalesce(1).select("id", F.when(n % 50 > 0, from_values(F.array(n % 256, n % 7, n % 5, n % 3), 2)).alias("content"))
+    rows = rows.withColumn("a", F.create_map(F.lit("UserComment"), F.concat(F.lit("the "), n.cast("string")), F.lit("Artist"), F.lit("me"))).withColumn("b", F.when(n % 3 == 0, F.create_map(F.lit("UserComment"), F.lit(""))))
+    got = rows.select("id", exif.edited(F.col("content"), [F.col("a"), ("UserComment", "the", "THE"), F.col("b")], ["UserComment", "Artist"]).alias("f"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2  # the pictures, the edits
+    steps = exif.with_exif(exif.replace_in_field(exif.with_exif(F.col("content"), F.col("a")), "UserComment", "the", "THE"), F.col("b"))
+    want = {r["id"]: (r["u"], r["m"]) for r in rows.select("id", steps.alias("c")).select("id", exif.exif_field(F.col("c"), "UserComment").alias("u"), exif.exif_field(F.col("c"), "Artist").alias("m")).collect()}
+    assert {r["id"]: tuple(r["f"]) for r in got.collect()} == want
+    assert want[1] == ("THE 1", "me") and want[3] == (None, "me") and want[50] == (None, None)
