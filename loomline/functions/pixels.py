@@ -141,7 +141,7 @@ def histogram(content: Column) -> Column:
     """Shares of the 256 values of red, green and blue, one after the other; a grey image counts for all three."""
 
     @F.pandas_udf("array<double>")
-    def run(values: pd.Series) -> pd.Series:
+    def run(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def one(x: bytes | None):
             p = decode(x)
             if p is None:
@@ -150,6 +150,8 @@ def histogram(content: Column) -> Column:
             counts = np.stack([np.bincount(channels[:, :, k].ravel(), minlength=256) for k in range(3)])
             return (counts / np.maximum(counts.sum(1, keepdims=True), 1)).ravel()  # as an array: a list of numbers is four times as large
 
-        return values.map(one)
+        for batch in values:
+            for at in range(0, max(len(batch), 1), 500):  # many numbers a row: they leave in pieces
+                yield batch[at : at + 500].map(one)
 
     return run(content)
