@@ -70,3 +70,10 @@ def test_boxes_of_many_images_share_a_call(spark):
     got = B.agreement(rows, 0.5, 2)
     assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in got.collect()} == {("p", 11.0, 5.0, 20.0, 20.0, 3), (None, 1.0, 1.0, 4.0, 5.0, 2)}
+
+
+def test_distances_of_a_shape_are_kept():
+    from loomline.operators import drawing as D
+
+    assert D.distance("star", 24) is D.distance("star", 24)
+    assert (D.picture("star", "red", "blue", 60, 90, 24) == np.rot90(D.picture("star", "red", "blue", 60, 0, 24))).all()
