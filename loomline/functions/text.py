@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -54,6 +55,16 @@ def _last(text: Column, marker: str) -> tuple[Column, Column]:
     return F.substr(text, F.lit(1), F.length(text) - F.length(after) - len(marker)), after
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it; inside lambdas Spark works a repeated expression out each time."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def last_of_keys(pairs: Column) -> Column:
+    """Of structs with a ``key`` the last of each key, in order."""
+    return bound(pairs, lambda held: F.filter(held, lambda p, i: ~F.exists(F.slice(held, i + 2, F.size(held)), lambda q: q["key"] == p["key"])))
+
+
 def parse_parameters(text: Column) -> Column:
     """prompt, negative_prompt and params of a generation text; null unless both markers are there.
 
@@ -65,8 +76,7 @@ def parse_parameters(text: Column) -> Column:
     prompt, negative = _last(head, "Negative prompt:")
     items = F.filter(F.split(F.concat(F.lit("Steps:"), tail), ","), lambda x: x.contains(":"))
     pairs = F.transform(items, lambda x: F.struct(strip(F.substring_index(x, ":", 1)).alias("key"), strip(F.substr(x, F.position(F.lit(":"), x) + 1)).alias("value")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    found = F.struct(strip(prompt).alias("prompt"), strip(negative).alias("negative_prompt"), F.map_from_entries(last).alias("params"))
+    found = F.struct(strip(prompt).alias("prompt"), strip(negative).alias("negative_prompt"), F.map_from_entries(last_of_keys(pairs)).alias("params"))
     return F.when(text.contains("Steps:") & head.contains("Negative prompt:"), found)
 
 
