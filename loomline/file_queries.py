@@ -109,10 +109,10 @@ def read_lines(spark: SparkSession, sf_dir: str):
 
 @files_query("SELECT p_name AS name, p_size::BIGINT AS size, [p_brand, p_type]::VARCHAR AS tags FROM part WHERE p_partkey % 5 <> 0")
 def read_json_files(spark: SparkSession, sf_dir: str):
-    """A folder of JSON files of one record each; each fifth is cut short."""
+    """JSON files of one record each, in a thousand folders; each fifth is cut short."""
     root, part = new_path(spark, "json"), table(spark, sf_dir, "part")
     body = F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.array("p_brand", "p_type").alias("tags")))
-    rows = part.select(cat(F.col("p_partkey").cast("string"), F.lit(".json")).alias("path"), body.alias("body"), "p_partkey")
+    rows = part.select(cat((F.col("p_partkey") % 1000).cast("string"), F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".json")).alias("path"), body.alias("body"), "p_partkey")
     cut = F.when(F.col("p_partkey") % 5 == 0, F.expr("substring(body, 1, 3)")).otherwise(F.col("body"))
     K.write_files(rows.select("path", F.encode(cut, "UTF-8").alias("content")), root)
     found = S.json_records(spark, [root], "name string, size long, tags array<string>").select("record.*")

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import fnmatch
+from collections.abc import Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.operators.ordering import ordinal
-from loomline.session import written
+from loomline.session import tasks, written
 
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "webp", "bmp", "gif")
 
@@ -25,14 +29,115 @@ def _named(files: DataFrame) -> DataFrame:
     )
 
 
+#: A piece of rows that leaves a task at once.
+PIECE_ROWS, PIECE_BYTES = 1000, 8 << 20
+
+_LISTED = pa.schema([("lead", pa.string()), ("place", pa.string()), ("folder", pa.bool_()), ("modificationTime", pa.timestamp("us", "UTC")), ("length", pa.int64())])
+
+
+def _store(lead: str, place: str, open_: dict[str, pafs.FileSystem]) -> pafs.FileSystem:
+    """The file system of a place, by what its paths begin with; those opened before are taken again."""
+    if lead not in open_:
+        open_[lead] = pafs.LocalFileSystem() if lead == "file:" else pafs.FileSystem.from_uri(lead + quote(place))[0]
+    return open_[lead]
+
+
+def _roots(spark: SparkSession, roots: list[str]) -> list[tuple[str, str]] | None:
+    """Each root as what its path begins with and its place in the store; None if one is a pattern or in a store that Spark alone opens."""
+    jvm, conf, found = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for root in roots:
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        shown = path.getFileSystem(conf).makeQualified(path).toString()
+        if any(c in root for c in "*?[{"):
+            return None
+        if shown.startswith("file:"):
+            found.append(("file:", shown.removeprefix("file:")))
+            continue
+        try:
+            _, place = pafs.FileSystem.from_uri(shown)
+        except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+            return None
+        if not shown.endswith(place):
+            return None
+        found.append((shown.removesuffix(place), place))
+    return found
+
+
+def _hidden(place: str) -> bool:
+    """As Spark's listing has it."""
+    name = place.rsplit("/", 1)[-1]
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _listed(spark: SparkSession, roots: list[tuple[str, str]]) -> DataFrame:
+    """lead, place, modificationTime, length of the files below the roots, as written tables.
+
+    Folders are listed in tasks, level by level; one task lists one folder at a
+    time, so what a task holds is the names of the largest folder. Nothing is
+    listed on the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stores: dict[str, pafs.FileSystem] = {}
+        for batch in batches:
+            for lead, place in zip(*batch.columns, strict=True):
+                lead, place = lead.as_py(), place.as_py()
+                store = _store(lead, place, stores)
+                own = store.get_file_info(place)
+                inside = [own] if own.type == pafs.FileType.File else store.get_file_info(pafs.FileSelector(place))
+                for at in range(0, len(inside), 10 * PIECE_ROWS):
+                    rows = [f for f in inside[at : at + 10 * PIECE_ROWS] if not _hidden(f.path)]
+                    columns = [[lead] * len(rows), [f.path for f in rows], [f.type == pafs.FileType.Directory for f in rows], [(f.mtime_ns or 0) // 1000 for f in rows], [f.size for f in rows]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()).cast(t.type) if k == 3 else pa.array(c, t.type) for k, (c, t) in enumerate(zip(columns, _LISTED, strict=True))], schema=_LISTED)
+
+    level, found = spark.createDataFrame(roots, "lead string, place string"), None
+    while True:
+        dealt = level.repartition(tasks(spark), "place")
+        rows = written(dealt.mapInArrow(run, "lead string, place string, folder boolean, modificationTime timestamp, length long"), "listing")
+        here = rows.where("NOT folder").drop("folder")
+        found = here if found is None else found.union(here)
+        level = rows.where("folder").select("lead", "place")
+        if level.isEmpty():
+            return found
+
+
+def _contents(files: DataFrame) -> DataFrame:
+    """The files of a listing with ``content``, dealt evenly over tasks; a task holds a file, or some small ones up to PIECE_BYTES."""
+    names = files.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stores: dict[str, pafs.FileSystem] = {}
+        for batch in batches:
+            leads, places, begin, held, size = batch["lead"], batch["place"], 0, [], 0
+            for k in range(batch.num_rows):
+                place = places[k].as_py()
+                with _store(leads[k].as_py(), place, stores).open_input_stream(place) as source:
+                    held.append(source.read())
+                size += len(held[-1])
+                if len(held) >= PIECE_ROWS or size >= PIECE_BYTES or k + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(begin, len(held)).columns, pa.array(held, pa.binary())], [*names, "content"])
+                    begin, held, size = k + 1, [], 0
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema)
+    return files.repartition(tasks(files.sparkSession), "place").mapInArrow(run, kinds + ", content binary")
+
+
 def scan(spark: SparkSession, roots: list[str], recursive: bool = True, content: bool = False) -> DataFrame:
     """path, modificationTime, length (and content), parent, base, stem, ext of the files under the roots.
 
-    The listing and the reads are Spark's; without ``content`` no file is opened.
-    A root that does not exist fails the scan; ``scan_present`` skips it.
+    Whole trees are listed and read in tasks, and the listing is a written table;
+    patterns, single folders and stores that only Spark opens go by Spark's own
+    listing, on its driver, which leaves empty files out. Without ``content`` no
+    file is opened. A root that does not exist fails the scan; ``scan_present``
+    skips it.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(roots)
-    return _named(files if content else files.drop("content"))
+    known = _roots(spark, roots) if recursive else None
+    if known is None:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(roots)
+        return _named(files if content else files.drop("content"))
+    files = _listed(spark, known)
+    files = _contents(files) if content else files
+    return _named(files.select(F.concat("lead", "place").alias("path"), "modificationTime", "length", *(["content"] if content else [])))
 
 
 def scan_present(spark: SparkSession, roots: list[str], **options) -> DataFrame:
@@ -85,8 +190,11 @@ def visible(files: DataFrame) -> DataFrame:
 
 
 def texts(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """path, text of whole text files."""
-    return spark.read.text(roots, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """path, text of whole text files below the roots, listed and read as in ``scan``."""
+    known = _roots(spark, roots)
+    if known is None:
+        return spark.read.text(roots, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return _contents(_listed(spark, known)).select(F.concat("lead", "place").alias("path"), F.col("content").cast("string").alias("text"))
 
 
 def first_lines(texts_: DataFrame) -> DataFrame:

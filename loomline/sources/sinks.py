@@ -7,13 +7,13 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomline.session import written
+from loomline.session import tasks, written
+from loomline.sources.files import PIECE_BYTES, PIECE_ROWS
 
 
 def text_report(rows: DataFrame, key: str, value: str, path: str) -> None:
@@ -57,25 +57,33 @@ def write_files(rows: DataFrame, root: str) -> DataFrame:
     there, so that nobody sees half a file and a task that runs again changes
     nothing. A null content is an empty file. Of rows that share a path any one
     wins: resolve them with ``plans.moves`` first. ``..`` in a path is refused.
+    Rows are dealt evenly over tasks, as a short table may stand for many files.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, folder = pafs.FileSystem.from_uri(root)
+        there: set[str] = set()
         for batch in batches:
-            found = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            sizes = []
+            for path, content in zip(*batch.columns, strict=True):
+                path, data = path.as_py(), content.as_py() or b""
                 if ".." in path.split("/"):
                     raise ValueError(f"{path} leaves its root")
-                place, data = f"{folder}/{path.strip('/')}", bytes(content) if content is not None else b""
-                files.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                place = f"{folder}/{path.strip('/')}"
+                parent = place.rsplit("/", 1)[0]
+                if parent not in there:
+                    files.create_dir(parent, recursive=True)
+                    there = there if len(there) < PIECE_ROWS else set()
+                    there.add(parent)
                 part = f"{place}.{uuid.uuid4().hex}.part"
                 with files.open_output_stream(part) as sink:
                     sink.write(data)
                 files.move(part, place)
-                found.append((path, len(data)))
-            yield pd.DataFrame(found, columns=["path", "bytes"])
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["path", "bytes"])
 
-    return written(rows.select("path", F.col("content").cast("binary").alias("content")).mapInPandas(run, "path string, bytes long"), "files-written")
+    dealt = rows.select("path", F.col("content").cast("binary").alias("content")).repartition(tasks(rows.sparkSession), "path")
+    return written(dealt.mapInArrow(run, "path string, bytes long"), "files-written")
 
 
 class _Pieces(io.RawIOBase):
@@ -96,15 +104,6 @@ class _Pieces(io.RawIOBase):
         return self.at
 
 
-#: A piece of rows that leaves a task at once.
-PIECE_ROWS, PIECE_BYTES = 1000, 8 << 20
-
-
-def _tasks(spark: SparkSession) -> int:
-    """As many tasks as shuffles have: a stated number, which few small rows that stand for much work do not lower."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
 #: What an archive holds: each file alone, the files of a source, or those of a folder.
 ZIP_MODES = {"file": lambda: F.col("path"), "source": lambda: F.split_part("path", F.lit("/"), F.lit(1)), "folder": lambda: F.regexp_extract("path", r"^(.*)/[^/]*$", 1)}
 
@@ -153,7 +152,7 @@ def zipped(files: DataFrame, mode: str, out: str) -> DataFrame:
         if done:
             yield listed()
 
-    ordered = kept.repartition(_tasks(files.sparkSession), "archive").sortWithinPartitions("archive", "path")
+    ordered = kept.repartition(tasks(files.sparkSession), "archive").sortWithinPartitions("archive", "path")
     return written(ordered.mapInArrow(run, "archive string, path string, entries long, bytes long"), "zip-manifest")
 
 
@@ -180,7 +179,7 @@ def unzipped(spark: SparkSession, manifest: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_pylist(held, schema)
 
-    return manifest.select("archive", "path").repartitionByRange(_tasks(spark), "path").mapInArrow(run, "archive string, path string, content binary")
+    return manifest.select("archive", "path").repartitionByRange(tasks(spark), "path").mapInArrow(run, "archive string, path string, content binary")
 
 
 def remembered(seen: DataFrame, new: DataFrame, key: list[str], at: str, most: int) -> DataFrame:

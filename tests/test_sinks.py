@@ -136,3 +136,22 @@ def test_few_archives_are_read_by_many_tasks_in_pieces(spark, tmp_path):
     want = files.select("path", F.coalesce("content", F.lit(b"")).alias("content"))
     assert read.count() == 3000 and want.exceptAll(read.select("path", "content")).isEmpty()
     assert sorted((r["archive"], r["entries"]) for r in manifest.collect()) == [(f"s{i}", 750) for i in range(4)]
+
+
+def test_trees_are_written_listed_and_read_in_tasks(spark):
+    """Empty files, odd names and bytes, hidden ones left out; a short table of one part gives even work, and no step asks for a task per some files."""
+    root = new_path(spark, "tree-test")
+    rows = [(f"f{k % 3}/é {k}%20.txt", str(k).encode() * k) for k in range(300)] + [("a/.hidden", b"1"), ("a/_hidden", b"1"), (".b/c.txt", b"1"), ("a/_k=1", b"\xff"), ("top.txt", b"t")]
+    made = K.write_files(spark.createDataFrame(rows, "path string, content binary").coalesce(1), root)
+    assert len(made.inputFiles()) > 1 and made.count() == len(rows)
+    want = {p: c for p, c in rows if "hidden" not in p and not p.startswith(".b")}
+    found = S.scan(spark, [root])
+    below = F.substring_index("path", root.rsplit("/", 1)[-1] + "/", -1)
+    assert {r[0]: r[1] for r in found.select(below, "length").collect()} == {p: len(c) for p, c in want.items()}
+    assert {r[0]: bytes(r[1]) for r in S.scan(spark, [root], content=True).select(below, "content").collect()} == want
+    read = S.texts(spark, [root])
+    assert {r[0]: r[1] for r in read.select(below, F.hex("text")).collect()} == {p: c.hex().upper() for p, c in want.items()}
+    assert "FileScan text" not in read._jdf.queryExecution().toString() and "FileScan binaryFile" not in found._jdf.queryExecution().toString()
+    assert {r["base"] for r in S.scan(spark, [root + "/top.txt", root + "/f?"]).collect()} == {p.rsplit("/", 1)[-1] for p in want if p[0] in "ft" and not p.endswith(" 0%20.txt")}
+    with pytest.raises(Exception, match="tree-test"):
+        S.scan(spark, [root + "/missing"]).count()
