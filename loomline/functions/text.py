@@ -100,48 +100,56 @@ def parse_parameters_first(text: Column) -> Column:
     )
 
 
-#: The rewrites that simplify a prompt, in order. Escaped brackets wait as private-use characters meanwhile.
+#: The rewrites that simplify a prompt, in order, each with texts that a match holds. Escaped brackets wait as private-use
+#: characters meanwhile. Repeats that cannot give anything back are possessive: the same matches, and no second search where there is none.
 SIMPLIFY = [
-    (r"\(:0\)", ""),
-    (r"\( :0\)", " "),
-    (r"\\\(", "\ue000"),
-    (r"\\\)", "\ue001"),
-    (r"(?<=\))([^,\s\]])", ",$1"),
-    (r"(?<=\])([^,\s\]])", ",$1"),
-    (r"<[^>]+>", ""),
-    (r"\(([^:]+):([^:]+):\d+(\.\d+)?\)", "$1, $2"),
-    (r"\(([^:]+):\d+(\.\d+)?\)", "$1"),
-    (r"((?:\[(?=[^\]]+\])|(?!^)\G)[^\[\]|]*)\|", "$1, "),
-    (r"\[([^\]]+)\]", "$1"),
-    (r"\(([^()]+)\)", "$1"),
-    (r"([^:]):\s*\d+(\.\d+)?", "$1"),
-    (r",[ ]+,", ", "),
+    (r"\(:0\)", "", "(:0)"),
+    (r"\( :0\)", " ", "( :0)"),
+    (r"\\\(", "\ue000", "\\("),
+    (r"\\\)", "\ue001", "\\)"),
+    (r"(?<=\))([^,\s\]])", ",$1", ")"),
+    (r"(?<=\])([^,\s\]])", ",$1", "]"),
+    (r"<[^>]++>", "", "<", ">"),
+    (r"\(([^:]++):([^:]++):\d+(\.\d+)?\)", "$1, $2", "(", ":", ")"),
+    (r"\(([^:]++):\d+(\.\d+)?\)", "$1", "(", ":", ")"),
+    (r"((?:\[(?=[^\]]++\])|(?!^)\G)[^\[\]|]*+)\|", "$1, ", "[", "|"),
+    (r"\[([^\]]++)\]", "$1", "[", "]"),
+    (r"\(([^()]++)\)", "$1", "(", ")"),
+    (r"([^:]):\s*\d+(\.\d+)?", "$1", ":"),
+    (r",[ ]++,", ", ", ", "),
     (r"[|()\[\]]", ""),
-    (r":(?![ \d])", ""),
-    (r"BREAK", ""),
-    (r"\s*,\s*", ", "),
-    (r"\ue000", "("),
-    (r"\ue001", ")"),
-    (r",\s*:\d+(\.\d+)?,", ", "),
-    (r",\s*\d+(\.\d+)?,", ", "),
-    (r"^,|,$", ""),
-    (r"^ *, *", ""),
-    (r" *, *$", ""),
+    (r":(?![ \d])", "", ":"),
+    (r"BREAK", "", "BREAK"),
+    (r"\s*,\s*", ", ", ","),
+    (r"\ue000", "(", "\ue000"),
+    (r"\ue001", ")", "\ue001"),
+    (r",\s*:\d+(\.\d+)?,", ", ", ",", ":"),
+    (r",\s*\d+(\.\d+)?,", ", ", ","),
+    (r"^,|,$", "", ","),
+    (r"^ *, *", "", ","),
+    (r" *, *$", "", ","),
     (r"[\n\r]", " "),
-    (r", ,", ", "),
-    (r"\d+\.\d+", ""),
-    (r" +", " "),
-    (r",[ ]+,", ","),
+    (r", ,", ", ", ", ,"),
+    (r"\d+\.\d+", "", "."),
+    (r" +", " ", "  "),
+    (r",[ ]++,", ",", ", "),
 ]
 
 
+def _rewritten(text: Column, pattern: str, replacement: str, *held: str) -> Column:
+    """The text after replacement; the pattern is tried on texts alone that have all of ``held``."""
+    if not held:
+        return F.regexp_replace(text, pattern, replacement)
+    return bound(text, lambda x: F.when(reduce(lambda a, b: a & b, [x.contains(h) for h in held]), F.regexp_replace(x, pattern, replacement)).otherwise(x))
+
+
 def simplify_prompt(text: Column, excluded: tuple[str, ...] = ()) -> Column:
     """A prompt without weights, brackets, network tags and empty parts; patterns of ``excluded`` go first.
 
     Look-around keeps text that a consuming rewrite would change; RE2 engines
     cannot express it, so it is tested by example.
     """
-    return strip(reduce(lambda x, p: F.regexp_replace(x, *p), [*((e, "") for e in excluded), *SIMPLIFY], text))
+    return strip(reduce(lambda x, p: _rewritten(x, *p), [*((e, "") for e in excluded), *SIMPLIFY], text))
 
 
 def extract_prompt(text: Column, mode: str = "original", excluded: tuple[str, ...] = ()) -> Column:

@@ -1,5 +1,9 @@
 """Text expressions that are worked out once, and what they give."""
 
+import random
+import time
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from loomline.functions import text as X
@@ -18,3 +22,15 @@ def test_pairs_are_split_once(spark):
     assert _plan(rows.select(X.parse_parameters(F.col("body")).alias("g"))).count("split(") == 1
     lines = rows.select(M.key_values(F.lit("a=1\nb=2\n a = 3\nnone")).alias("m"), M.key_values(F.col("body")).alias("n"))
     assert lines.first()["m"] == {"b": "2", "a": "3"} and _plan(lines.select("n")).count("split(") == 1
+
+
+def test_prompts_are_simplified_as_by_the_plain_rules(spark):
+    rng = random.Random(5)
+    parts = ["(", ")", "[", "]", ":", ",", " ", "  ", "<", ">", "|", "\\(", "\\)", "(:0)", "( :0)", "BREAK", "1.5", "12", "a", "bc", "\n", "\t", "\ue000", "lora"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(3000)] + [None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    plain = reduce(lambda x, p: F.regexp_replace(x, p[0].replace("++", "+").replace("*+", "*"), p[1]), X.SIMPLIFY, F.col("t"))
+    assert rows.where(~X.strip(plain).eqNullSafe(X.simplify_prompt(F.col("t")))).count() == 0
+    began = time.perf_counter()  # brackets that never close were searched to the end of the text, each
+    assert spark.createDataFrame([("(" * 100_000,)], "t string").select(X.simplify_prompt(F.col("t")).alias("t")).first()["t"] == ""
+    assert time.perf_counter() - began < 8
