@@ -210,7 +210,7 @@ def png_text_chunks(t):
     """Text chunks set, set anew and taken out, Latin and not."""
     first = F.create_map(F.lit("Parameters"), F.lit("old"), F.lit("other"), F.lit("kept"))
     more = F.create_map(F.lit("parameters"), cat(F.lit("é "), F.col("label").cast("string")), F.lit("note"), cat(F.lit("日 "), F.col("vec_id").cast("string")), F.lit("other"), F.when(F.col("vec_id") % 2 == 0, "kept").otherwise(""))
-    rows = _pictures(t).withColumn("content", M.with_text(M.with_text(F.col("content"), first), more)).withColumn("m", M.text_map(F.col("content")))
+    rows = _pictures(t).withColumn("content", M.with_text(F.col("content"), first, more)).withColumn("m", M.text_map(F.col("content")))
     return rows.select("vec_id", F.col("m")["parameters"].alias("parameters"), F.col("m")["note"].alias("note"), F.col("m")["other"].alias("other"))
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from loomline.functions import text as X
+from loomline.queries import QUERIES
 from loomline.sources import metadata as M
 
 
@@ -34,3 +35,9 @@ def test_prompts_are_simplified_as_by_the_plain_rules(spark):
     began = time.perf_counter()  # brackets that never close were searched to the end of the text, each
     assert spark.createDataFrame([("(" * 100_000,)], "t string").select(X.simplify_prompt(F.col("t")).alias("t")).first()["t"] == ""
     assert time.perf_counter() - began < 8
+
+
+def test_text_chunks_of_many_maps_share_a_process(spark, sf):
+    from loomline import file_queries  # noqa: F401
+
+    assert _plan(QUERIES["png_text_chunks"](spark, sf)).count("ArrowEvalPython") <= 2
