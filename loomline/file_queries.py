@@ -174,8 +174,10 @@ def zip_archives(spark: SparkSession, sf_dir: str):
     files = table(spark, sf_dir, "documents").select(path.alias("path"), F.encode("text", "UTF-8").alias("content"))
     out = None
     for mode in K.ZIP_MODES:
-        read = K.unzipped(spark, K.zipped(files, mode, new_path(spark, f"zip-{mode}"))).join(files.select("path", F.sha2("content", 256).alias("own")), "path")
-        rows = read.where(F.sha2("content", 256) == F.col("own")).groupBy(F.lit(mode).alias("mode"), "archive").agg(F.count(F.lit(1)).alias("entries"), F.sum(F.octet_length("content").cast("long")).alias("length"))
+        read = K.unzipped(spark, K.zipped(files, mode, new_path(spark, f"zip-{mode}")))
+        read = read.select("archive", "path", F.sha2("content", 256).alias("found"), F.octet_length("content").cast("long").alias("length"))
+        whole = read.join(files.select("path", F.sha2("content", 256).alias("own")), "path").where("found = own")
+        rows = whole.groupBy(F.lit(mode).alias("mode"), "archive").agg(F.count(F.lit(1)).alias("entries"), F.sum("length").alias("length"))
         out = rows if out is None else out.union(rows)
     return out
 

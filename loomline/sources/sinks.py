@@ -161,6 +161,8 @@ def unzipped(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 
     Files leave a task in pieces of up to PIECE_ROWS rows and about PIECE_BYTES
     bytes. Archives are dealt evenly over the tasks, however short the manifest is.
+    Spark takes the files to be as small as the manifest, so a join of them has the
+    hint to sort and merge: else it would broadcast all contents through the driver.
     """
     schema = pa.schema([("archive", pa.string()), ("path", pa.string()), ("content", pa.binary())])
 
@@ -179,7 +181,7 @@ def unzipped(spark: SparkSession, manifest: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_pylist(held, schema)
 
-    return manifest.select("archive", "path").repartitionByRange(tasks(spark), "path").mapInArrow(run, "archive string, path string, content binary")
+    return manifest.select("archive", "path").repartitionByRange(tasks(spark), "path").mapInArrow(run, "archive string, path string, content binary").hint("merge")
 
 
 def remembered(seen: DataFrame, new: DataFrame, key: list[str], at: str, most: int) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
 
+from loomline import file_queries as Q
 from loomline.functions import tags as T
 from loomline.operators import aggregates as A
 from loomline.operators import filters as P
@@ -138,6 +139,21 @@ def test_few_archives_are_read_by_many_tasks_in_pieces(spark, tmp_path):
     assert sorted((r["archive"], r["entries"]) for r in manifest.collect()) == [(f"s{i}", 750) for i in range(4)]
 
 
+def test_contents_of_archives_are_not_broadcast(spark, sf, tmp_path):
+    """A manifest of a few rows stands for all contents, so what a join would broadcast by its size is far more than that; digests are all that is joined."""
+    files = spark.range(400).select(F.format_string("s/%d", "id").alias("path"), F.encode(F.repeat(F.sha2(F.col("id").cast("string"), 256), 99), "UTF-8").alias("content"))
+    manifest = K.zipped(files, "source", f"file://{tmp_path}/zips")
+    joined = K.unzipped(spark, manifest).withColumn("n", F.octet_length("content")).join(files.select("path", F.lit(1).alias("one")), "path")
+    assert manifest.count() == 1 and sorted(r["path"] for r in joined.select("path", "n", "one").where("n = 99 * 64").collect()) == sorted(f"s/{k}" for k in range(400))
+    query = Q.zip_archives(spark, sf)
+    for rows, least in ((joined, 400), (query, 1)):
+        assert len(rows.collect()) >= least
+        final = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in final and "Broadcast" not in final
+    sorts = [x for x in final.splitlines() if " Sort [" in x or " Exchange " in x]
+    assert sorts and not any("content" in x for x in sorts)
+
+
 def test_trees_are_written_listed_and_read_in_tasks(spark):
     """Empty files, odd names and bytes, hidden ones left out; a short table of one part gives even work, and no step asks for a task per some files."""
     root = new_path(spark, "tree-test")
